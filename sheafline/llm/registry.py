@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .sharding import op4_shard_documents
+from .simhash import op6_simhash_classes
 
 QUERIES = {
     "op4_shard_documents": op4_shard_documents,
+    "op6_simhash_classes": op6_simhash_classes,
 }
 
 #: Operators that SQL can express.
