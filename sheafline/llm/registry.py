@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .embeddings import op10_embedding_classes
+from .packing import op1_pack_documents
 from .sharding import op4_shard_documents
 from .simhash import op6_simhash_classes
 
 QUERIES = {
+    "op1_pack_documents": op1_pack_documents,
     "op4_shard_documents": op4_shard_documents,
     "op6_simhash_classes": op6_simhash_classes,
+    "op10_embedding_classes": op10_embedding_classes,
 }
 
 #: Operators that SQL can express.
