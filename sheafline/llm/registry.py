@@ -6,9 +6,11 @@ from .embeddings import op10_embedding_classes
 from .packing import op1_pack_documents
 from .sharding import op4_shard_documents
 from .simhash import op6_simhash_classes
+from .tokencount import op2_token_counts
 
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
+    "op2_token_counts": op2_token_counts,
     "op4_shard_documents": op4_shard_documents,
     "op6_simhash_classes": op6_simhash_classes,
     "op10_embedding_classes": op10_embedding_classes,
