@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe_round
 from .embeddings import op10_embedding_classes
 from .packing import op1_pack_documents
 from .sharding import op4_shard_documents
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_shard_documents": op4_shard_documents,
     "op6_simhash_classes": op6_simhash_classes,
+    "op8_bpe_round": op8_bpe_round,
     "op10_embedding_classes": op10_embedding_classes,
 }
 
