@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_bpe_round
 from .embeddings import op10_embedding_classes
+from .langid import op9_language
 from .packing import op1_pack_documents
 from .sharding import op4_shard_documents
 from .simhash import op6_simhash_classes
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_shard_documents": op4_shard_documents,
     "op6_simhash_classes": op6_simhash_classes,
     "op8_bpe_round": op8_bpe_round,
+    "op9_language": op9_language,
     "op10_embedding_classes": op10_embedding_classes,
 }
 
