@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_bpe_round
 from .embeddings import op10_embedding_classes
 from .langid import op9_language
+from .linequality import op3_line_quality
 from .packing import op1_pack_documents
 from .sharding import op4_shard_documents
 from .simhash import op6_simhash_classes
@@ -13,6 +14,7 @@ from .tokencount import op2_token_counts
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
     "op2_token_counts": op2_token_counts,
+    "op3_line_quality": op3_line_quality,
     "op4_shard_documents": op4_shard_documents,
     "op6_simhash_classes": op6_simhash_classes,
     "op8_bpe_round": op8_bpe_round,
