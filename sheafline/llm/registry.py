@@ -7,6 +7,7 @@ from .embeddings import op10_embedding_classes
 from .langid import op9_language
 from .linequality import op3_line_quality
 from .packing import op1_pack_documents
+from .rules import op7_quality_rules
 from .sharding import op4_shard_documents
 from .simhash import op6_simhash_classes
 from .tokencount import op2_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_line_quality": op3_line_quality,
     "op4_shard_documents": op4_shard_documents,
     "op6_simhash_classes": op6_simhash_classes,
+    "op7_quality_rules": op7_quality_rules,
     "op8_bpe_round": op8_bpe_round,
     "op9_language": op9_language,
     "op10_embedding_classes": op10_embedding_classes,
