@@ -11,12 +11,14 @@ from .rules import op7_quality_rules
 from .sharding import op4_shard_documents
 from .simhash import op6_simhash_classes
 from .tokencount import op2_token_counts
+from .urllists import OP5_SQL, op5_url_lists
 
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
     "op2_token_counts": op2_token_counts,
     "op3_line_quality": op3_line_quality,
     "op4_shard_documents": op4_shard_documents,
+    "op5_url_lists": op5_url_lists,
     "op6_simhash_classes": op6_simhash_classes,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe_round": op8_bpe_round,
@@ -25,4 +27,4 @@ QUERIES = {
 }
 
 #: Operators that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_url_lists": OP5_SQL}
