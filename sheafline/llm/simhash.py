@@ -160,17 +160,19 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                           keep: tuple[str, ...] = (), max_bits: int = MAX_BITS, width: int = SHINGLE) -> DataFrame:
+                           keep: tuple[str, ...] = (), row_col: str | None = None, max_bits: int = MAX_BITS, width: int = SHINGLE) -> DataFrame:
     """Every row's id, fingerprint (signed long) and component_id, with the columns in keep.
 
     component_id is the smallest id reachable over links. Null, empty and blank texts
     have fingerprint zero and link like any other; rows with equal fingerprints are
     one class from the start, so copies are never paired. Null ids are ignored when
     the smallest is sought (a component of null ids alone has null). An empty table
-    gives an empty one. Columns of docs that are not named are not read.
+    gives an empty one. Columns of docs that are not named are not read. row_col, if
+    given, is the name of a column that numbers the rows without repeats.
     """
     c = F.col
-    cols = [c(id_col).alias("__id"), c(text_col).alias("__text"), *[c(k).alias(f"__k_{k}") for k in keep if k != text_col]]
+    number = [F.monotonically_increasing_id().alias("__row")] if row_col else []
+    cols = [*number, c(id_col).alias("__id"), c(text_col).alias("__text"), *[c(k).alias(f"__k_{k}") for k in keep if k != text_col]]
     marked = with_fingerprints(docs.select(*cols), "__text", "__fp", width)
     marked = materialize(marked if text_col in keep else marked.drop("__text"), "fingerprints")
     fps = materialize(marked.groupBy(c("__fp").alias("fp")).agg(F.min("__id").alias("first_id")), "distinct-fingerprints")
@@ -179,10 +181,26 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     least = named.groupBy("part").agg(F.min("first_id").alias("component_id"))
     classes = named.join(least, "part").select(c("fp").alias("__fp"), "component_id")
     back = [c("__text" if k == text_col else f"__k_{k}").alias(k) for k in keep]
-    return marked.join(classes, "__fp").select(c("__id").alias(id_col), c("__fp").alias("fingerprint"), "component_id",
+    return marked.join(classes, "__fp").select(c("__id").alias(id_col), c("__fp").alias("fingerprint"), "component_id", *([c("__row").alias(row_col)] if row_col else []),
                                                *[x for x, k in zip(back, keep, strict=True) if k != id_col])
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """docs with one row of each near-duplicate class: the one with the smallest id, of repeated rows any one.
+
+    Rows of a class with null ids stay only where the class has no other.
+    """
+    cols = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(cols))])
+    own, text = f"c{cols.index(id_col)}", f"c{cols.index(text_col)}"
+    marked = near_duplicate_classes(inner, id_col=own, text_col=text, keep=tuple(inner.columns), row_col="row", max_bits=max_bits)
+    first = F.struct(F.col(own).isNull().alias("none"), F.col(own).alias("id"), F.col("row").alias("row"))
+    # a class without ids is told by its fingerprint; links between such classes still meet in component_id where one has an id
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint")))
+    stays = marked.groupBy(group.alias("grp")).agg(F.min(first).alias("first")).select("first.row")
+    return marked.join(stays, "row", "left_semi").select(*inner.columns).toDF(*cols)
+
+
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
