@@ -152,7 +152,10 @@ class RuleModel:
         return cls([(rule, float(k)) for rule, k in zip(found, w, strict=True) if k], float(b - w @ middle))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.intercept + sum(k * holds(rule, x) for rule, k in self.rules))))
+        total = np.full(len(x), self.intercept)
+        for rule, k in self.rules:
+            total += k * holds(rule, x)
+        return 1 / (1 + np.exp(-total))
 
     def column(self, prefix: str = "__q_") -> Column:
         """The score as an expression over the columns of with_features()."""
