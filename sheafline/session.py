@@ -17,6 +17,7 @@ def local_session(cores: str | int | None = None, partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SHEAFLINE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
