@@ -164,7 +164,8 @@ def subsections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("site_totals", _TREE + "SELECT count(*) AS n_pages, count(*) FILTER (WHERE array_to_string(components, '/') NOT IN (SELECT section_path FROM s)) AS n_orphans, (SELECT count(*) FROM s) - 1 AS n_sections FROM p")
 def site_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, sections = _tree(spark, sf_dir)
-    return pages.agg(F.count("*").alias("n_pages")).crossJoin(hierarchy.orphans(pages, sections).agg(F.count("*").alias("n_orphans"))).crossJoin(sections.agg((F.count("*") - 1).alias("n_sections")))
+    kinds = pages.select(F.lit("page").alias("kind")).unionByName(hierarchy.orphans(pages, sections).select(F.lit("orphan").alias("kind"))).unionByName(sections.select(F.lit("section").alias("kind")))
+    return kinds.agg(F.count_if(F.col("kind") == "page").alias("n_pages"), F.count_if(F.col("kind") == "orphan").alias("n_orphans"), (F.count_if(F.col("kind") == "section") - 1).alias("n_sections"))
 
 
 @query("draft_pruning", _TREE + "SELECT doc_id FROM p WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = p.doc_id AND x.prefix IN ('fr', 'en/src3', 'de/src1/f2'))")
