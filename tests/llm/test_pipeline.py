@@ -3,8 +3,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from sheafline.llm import linequality, rules, simhash
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from sheafline.llm import linequality, rules
+from tests.llm.test_similar import plain_groups
 
 
 def test_stages_against_plain_versions(spark, sf):
@@ -29,8 +29,8 @@ def test_stages_against_plain_versions(spark, sf):
     assert {r.doc_id for r in two.collect()} == want
 
     three = P.near_dedup(spark, two, sf)
-    fps = [(k, plain_fingerprint(rows[k].text)) for k in want]
-    want = set(plain_components(fps, lambda a, b: (a ^ b).bit_count() <= 4))
+    ids = sorted(want)
+    want = {ids[i] for i in plain_groups([rows[k].text for k in ids])}
     left = three.collect()
     assert three.columns == docs.columns and {r.doc_id for r in left} == want and len(left) == len(want)
     assert all(r == rows[r.doc_id] for r in left)
@@ -55,12 +55,3 @@ def test_labelled_clean_documents_stay(spark):
     one = P.quality_rules(spark, docs, sf)
     two = {r.doc_id for r in P.quality_classifier(spark, one, sf).collect()}
     assert len(open_ & two) >= 0.98 * len(open_)
-
-
-def test_keep_one_on_odd_rows(spark):
-    text = "a b c d e f"
-    df = spark.createDataFrame([(5, text, "x"), (5, text, "x"), (4, text.upper(), "y"), (None, text, "z"), (None, None, "n"), (None, "", "n"), (7, "other words are here now", None)], "doc_id long, text string, fingerprint string")
-    out = simhash.keep_one(df)
-    assert out.columns == df.columns
-    assert sorted(((r.doc_id or -1), r.text or "") for r in out.collect()) in ([(-1, ""), (4, text.upper()), (7, "other words are here now")],)
-    assert simhash.keep_one(df.limit(0)).count() == 0
