@@ -134,7 +134,7 @@ def merge_extracts(relations: DataFrame, topics: DataFrame, extracts: DataFrame)
 def upgrade_v1(pages: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages (url, ...) of the first schema get path ids; edges that name a url are rewritten, others stay."""
     ids = pages.withColumns({"path": F.concat(F.lit("/"), F.regexp_replace(paths.norm_path(F.col("url")), "^/", ""))})
-    ids = ids.withColumn("id", F.concat(F.lit("content"), F.regexp_replace(F.when(F.col("path") == "/", "/_index").otherwise("path"), "/$", ""), F.lit(".md")))
+    ids = ids.withColumn("id", F.concat(F.lit("content"), F.regexp_replace(F.when(F.col("path") == "/", "/_index").otherwise(F.col("path")), "/$", ""), F.lit(".md")))
     m = ids.select(F.col("url").alias("__url"), F.col("id").alias("__id"))
     out = relations
     for end in ("from", "to"):

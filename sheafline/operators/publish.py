@@ -35,7 +35,7 @@ def sitemap_xml(entries: DataFrame, base: str, size: int = 30_000) -> DataFrame:
                           F.concat(F.lit(f"{head}<urlset {space}>\n"), "items", F.lit("\n</urlset>\n")).alias("content"))
     index = chunks.where("n > 1").groupBy().agg(F.array_sort(F.collect_list("chunk")).alias("all")).where(F.size("all") > 0).select(
         F.lit("sitemap.xml").alias("path"),
-        F.concat(F.lit(f"{head}<sitemapindex {space}>\n"), F.array_join(F.transform("all", lambda c: F.concat(F.lit(f"<sitemap><loc>{base}/sitemap"), c, F.lit(".xml</loc></sitemap>"))), "\n"), F.lit("\n</sitemapindex>\n")))
+        F.concat(F.lit(f"{head}<sitemapindex {space}>\n"), F.array_join(F.transform("all", lambda c: F.concat(F.lit(f"<sitemap><loc>{base}/sitemap"), c, F.lit(".xml</loc></sitemap>"))), "\n"), F.lit("\n</sitemapindex>\n")).alias("content"))
     return files.unionByName(index)
 
 

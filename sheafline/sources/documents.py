@@ -26,12 +26,47 @@ HEADER_SCHEMA = """file string, is_section boolean, header_kind string, body str
   sort_by string, paginate_by bigint, paginate_reversed boolean, paginate_path string, insert_anchor_links string, redirect_to string, transparent boolean, page_template string, generate_feeds boolean"""
 
 
+def _relative(path: Column, root: str) -> Column:
+    """A file's path below root, percent escapes decoded."""
+    prefix = root.rstrip("/").split("://")[-1]
+    plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^.*?" + re.escape(prefix) + "/+", "")
+
+
+def _underscored(spark: SparkSession, root: str, pattern: str, depth: int = 12) -> DataFrame:
+    """(path, value) of files whose names start with an underscore, which Spark's readers take for hidden.
+
+    Their names are listed by the file system's own patterns, level by level; their
+    contents are read in tasks.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = []
+    for level in range(depth):
+        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{'*/' * level}_{pattern}")) or []
+        names += [(f.getPath().toString(),) for f in found if f.isFile()]
+
+    def read(batches: Iterator):
+        from pyarrow import fs as store
+
+        for pdf in batches:
+            values = []
+            for p in pdf["path"]:
+                where, inner = store.FileSystem.from_uri(re.sub("^file:/+", "/", p))
+                with where.open_input_stream(inner) as f:
+                    values.append(f.read().decode("utf-8", "replace"))
+            pdf["value"] = values
+            yield pdf
+
+    df = spark.createDataFrame(names, "path string")
+    return (df.repartition(max(1, len(names) // 500 + 1)) if names else df).mapInPandas(read, "path string, value string")
+
+
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.md", ignored: str | None = None) -> DataFrame:
     """(file, content) of all files under root that match a pattern; dot files and ignored paths (a regular expression) are left out."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    prefix = root.rstrip("/").split("://")[-1]
-    rel = F.regexp_replace(F.regexp_replace(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/*", "/"), "^.*?" + re.escape(prefix) + "/", "")
-    out = files.select(rel.alias("file"), F.col("value").alias("content")).where(~F.col("file").rlike(r"(^|/)\."))
+    both = files.select(F.col("_metadata.file_path").alias("path"), "value").unionByName(_underscored(spark, root, pattern))
+    out = both.select(_relative(F.col("path"), root).alias("file"), F.col("value").alias("content")).where(~F.col("file").rlike(r"(^|/)\."))
     return out.where(~F.col("file").rlike(ignored)) if ignored else out
 
 
