@@ -53,9 +53,9 @@ def missing_anchors(links: DataFrame, anchors: DataFrame, html: DataFrame) -> Da
 
 
 def backlinks(links: DataFrame, source: str, target: str) -> DataFrame:
-    """(target, n_sources, sources): distinct pages that link to each target, sorted."""
-    return links.select(source, target).where(F.col(target).isNotNull()).distinct().groupBy(target).agg(
-        F.count("*").alias("n_sources"), F.array_sort(F.collect_list(source)).alias("sources"))
+    """(target, source, n_sources): distinct pages that link to each target, a row each, so that a target of the whole site stays spread."""
+    edges = links.select(target, source).where(F.col(target).isNotNull()).distinct()
+    return edges.join(edges.groupBy(target).agg(F.count("*").alias("n_sources")), target)
 
 
 def domain_groups(links: DataFrame, url: str = "link") -> DataFrame:

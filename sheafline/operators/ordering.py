@@ -34,13 +34,41 @@ def order(by: str, permalink: str = "permalink", **columns) -> list[Column]:
     return [key.desc() if falling else key.asc(), F.col(permalink).asc()]
 
 
+#: Rows of one group that a task may sort; larger groups are ranked over many tasks.
+HOT_ROWS = 2_000_000
+
+
+def has_hot_group(rows: DataFrame, group: list[str], hot: int | None = None) -> bool:
+    """Whether some group has more than HOT_ROWS rows: one aggregation with partial counts."""
+    n = rows.groupBy(*group).count().agg(F.max("count")).first()[0] if group else rows.count()
+    return (n or 0) > (HOT_ROWS if hot is None else hot)
+
+
+def group_rank(rows: DataFrame, group: list[str], keys: list[Column], out: str = "rank") -> DataFrame:
+    """Numbers each group's rows from 1 in the order of keys, whatever the groups' sizes.
+
+    Without a hot group it is a window. With one, rows are range-partitioned by group and
+    keys, so that a hot group lies in many partitions; the counts of (partition, group)
+    give each its offset, and tasks number their own share.
+    """
+    if not has_hot_group(rows, group):
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*keys)))
+    from ..sources.shared import materialize
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(n, *group, *keys).withColumn("__part", F.spark_partition_id()), "ranked")
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__part", *group).count().withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    own = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*keys))
+    return dealt.withColumn("__own", own).join(offsets, ["__part", *group]).withColumn(out, (F.col("__base") + F.col("__own")).cast("int")).drop("__part", "__own", "__base")
+
+
 def sort_pages(pages: DataFrame, by: str, group: str | None = None, permalink: str = "permalink", **columns) -> tuple[DataFrame, DataFrame]:
     """(sorted, unsortable): sorted has a rank from 1 within its group; unsortable has null keys. `none` sorts nothing."""
     if by == "none":
         return pages.withColumn("rank", F.lit(None).cast("int")), pages.limit(0)
     key, _ = sort_key(by, permalink=permalink, **columns)
-    w = Window.partitionBy(*([group] if group else [])).orderBy(*order(by, permalink, **columns))
-    return pages.where(key.isNotNull()).withColumn("rank", F.row_number().over(w)), pages.where(key.isNull())
+    return group_rank(pages.where(key.isNotNull()), [group] if group else [], order(by, permalink, **columns)), pages.where(key.isNull())
 
 
 def sort_sections(sections: DataFrame, by: str, group: str | None = None, **columns) -> tuple[DataFrame, DataFrame]:
@@ -49,10 +77,18 @@ def sort_sections(sections: DataFrame, by: str, group: str | None = None, **colu
 
 
 def siblings(pages: DataFrame, by: str, group: str, permalink: str = "permalink", **columns) -> DataFrame:
-    """Sortable pages with lower and higher: the permalinks before and after in the group's order."""
+    """Sortable pages with lower and higher: the permalinks before and after in the group's order.
+
+    With a hot group, neighbours meet by their ranks in two equi-joins instead of in a window.
+    """
     key, _ = sort_key(by, permalink=permalink, **columns)
-    w = Window.partitionBy(group).orderBy(*order(by, permalink, **columns))
-    return pages.where(key.isNotNull()).withColumns({"lower": F.lag(permalink).over(w), "higher": F.lead(permalink).over(w)})
+    live, keys = pages.where(key.isNotNull()), order(by, permalink, **columns)
+    if not has_hot_group(live, [group]):
+        w = Window.partitionBy(group).orderBy(*keys)
+        return live.withColumns({"lower": F.lag(permalink).over(w), "higher": F.lead(permalink).over(w)})
+    ranked = group_rank(live, [group], keys, "__rank")
+    other = lambda name, step: ranked.select(group, (F.col("__rank") + step).alias("__rank"), F.col(permalink).alias(name))
+    return ranked.join(other("lower", 1), [group, "__rank"], "left").join(other("higher", -1), [group, "__rank"], "left").drop("__rank")
 
 
 def top_k(rows: DataFrame, k: int | None, keys: list[Column], group: list[str] | None = None) -> DataFrame:
@@ -68,16 +104,13 @@ def top_k(rows: DataFrame, k: int | None, keys: list[Column], group: list[str] |
 
 
 def global_rank(rows: DataFrame, keys: list[str], out: str = "rank") -> DataFrame:
-    """Numbers all rows from 1 in the order of these columns without one task sorting everything.
-
-    Rows are range-partitioned and sorted; partition counts, one row for each
-    partition, give each range its offset.
-    """
+    """Numbers all rows from 1 in the order of these columns without one task sorting everything."""
     from ..sources.shared import materialize
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialize(rows.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()), "ranked")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition, so their number is a setting's
     offsets = dealt.groupBy("__part").count().withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
     return dealt.withColumn("__own", own).join(F.broadcast(offsets.select("__part", "__base")), "__part") \

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import paginate_url
+from .ordering import group_rank
 
 
 def pager_of(rank: Column, total: Column, by: Column | int, reverse: bool = False) -> Column:
@@ -18,10 +19,10 @@ def pager_of(rank: Column, total: Column, by: Column | int, reverse: bool = Fals
 def fill_pagers(owners: DataFrame, rows: DataFrame, by: int, owner: str, keys: list[Column], reverse: bool = False) -> DataFrame:
     """(owner, pager, place, row columns): each owner's rows in slices of `by`; an owner without rows has pager 1 with nulls.
 
-    Owners are matched by an equi-join, ranks are windows per owner.
+    Owners are matched by an equi-join; ranks hold for owners of any size, totals are an aggregation.
     """
-    w = Window.partitionBy(owner)
-    ranked = rows.withColumns({"__rank": F.row_number().over(w.orderBy(*keys)), "__total": F.count("*").over(w)})
+    totals = rows.groupBy(owner).agg(F.count("*").alias("__total"))
+    ranked = group_rank(rows, [owner], keys, "__rank").join(totals, owner)
     place = (F.col("__total") - F.col("__rank") + 1) if reverse else F.col("__rank")
     sliced = ranked.withColumns({"pager": pager_of(F.col("__rank"), F.col("__total"), by, reverse), "place": ((place - 1) % by + 1).cast("int")}).drop("__rank", "__total")
     return owners.select(owner).join(sliced, owner, "left").withColumn("pager", F.coalesce("pager", F.lit(1)))

@@ -138,8 +138,17 @@ def write_outputs(outputs: DataFrame, folder: str) -> None:
     outputs.select("path", "content").foreachPartition(write)
 
 
-def search_index(docs: DataFrame, lang: str = "lang", script: bool = False) -> DataFrame:
-    """(lang, content): all search documents of a language as JSON, without null fields; script puts it into a variable."""
+#: Documents of one search file.
+SEARCH_ROWS = 20_000
+
+
+def search_index(docs: DataFrame, key: str = "url", lang: str = "lang", script: bool = False) -> DataFrame:
+    """(lang, part, content): search documents of a language as JSON files of about SEARCH_ROWS documents, without null fields; script puts each into a variable.
+
+    Parts are dealt by a hash of the key, as many as the whole table asks for, so no file gathers a language.
+    """
+    n = max(1, -(-docs.count() // SEARCH_ROWS))
     fields = [c for c in docs.columns if c != lang]
     body = F.to_json(F.array_sort(F.collect_list(F.struct(*fields))))
-    return docs.groupBy(lang).agg((F.concat(F.lit("window.searchIndex = "), body, F.lit(";")) if script else body).alias("content"))
+    parts = docs.groupBy(lang, F.pmod(F.xxhash64(key), F.lit(n)).alias("part"))
+    return parts.agg((F.concat(F.lit("window.searchIndex = "), body, F.lit(";")) if script else body).alias("content"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import slug_ascii
+from .ordering import group_rank
 
 
 def explode_terms(pages: DataFrame, taxonomies: Column | str, slug=slug_ascii) -> DataFrame:
@@ -30,9 +31,8 @@ def merge_terms(terms: DataFrame, lang: str = "lang") -> DataFrame:
     ones last, ties by permalink; pages of later names are appended, not sorted in.
     """
     group = [lang, "taxonomy_slug", "term_slug"]
-    w = Window.partitionBy(*group)
-    ranked = w.orderBy("term", F.desc_nulls_last("date"), "permalink", "ord")
-    return terms.withColumns({"name": F.min("term").over(w), "rank": F.row_number().over(ranked)})
+    names = terms.groupBy(*group).agg(F.min("term").alias("name"))
+    return group_rank(terms, group, [F.col("term"), F.desc_nulls_last("date"), F.col("permalink"), F.col("ord")]).join(names, group)
 
 
 def term_counts(terms: DataFrame, lang: str = "lang") -> DataFrame:
@@ -51,8 +51,13 @@ def unconfigured(terms: DataFrame, configured: DataFrame) -> DataFrame:
 
 
 def path_collisions(paths: DataFrame, url: str = "url", file: str = "file") -> DataFrame:
-    """URLs that more than one file claims, with the number of files and their sorted names."""
-    return paths.select(url, file).distinct().groupBy(url).agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list(file)).alias("files")).where("n_files > 1")
+    """URLs that more than one file claims: n_files, first_file, last_file. colliding_files() has them all."""
+    return paths.select(url, file).distinct().groupBy(url).agg(F.count("*").alias("n_files"), F.min(file).alias("first_file"), F.max(file).alias("last_file")).where("n_files > 1")
+
+
+def colliding_files(paths: DataFrame, url: str = "url", file: str = "file") -> DataFrame:
+    """(url, file) of every claim on such a URL."""
+    return paths.select(url, file).distinct().join(path_collisions(paths, url, file).select(url), url, "left_semi")
 
 
 def claimed_paths(pages: DataFrame, path: str = "path", aliases: str = "aliases", file: str = "file") -> DataFrame:

@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from . import content, ordering, rules, stream, structure  # noqa: E402,F401
+from . import content, ordering, rules, scalars, stream, structure  # noqa: E402,F401

@@ -143,9 +143,9 @@ def links_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir).groupBy(links.link_class(F.col("link")).alias("class")).agg(F.count("*").alias("n_links"), F.countDistinct("link").alias("n_distinct"))
 
 
-@query("backlinks", _LINKS + "SELECT link, count(*) AS n_sources, array_to_string(list_sort(list(page_id)), ',') AS sources FROM (SELECT DISTINCT page_id, link FROM l) GROUP BY link")
+@query("backlinks", _LINKS + "SELECT link, page_id, count(*) OVER (PARTITION BY link) AS n_sources FROM (SELECT DISTINCT page_id, link FROM l)")
 def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.backlinks(_links(spark, sf_dir), "page_id", "link").select("link", "n_sources", F.array_join("sources", ",").alias("sources"))
+    return links.backlinks(_links(spark, sf_dir), "page_id", "link")
 
 
 @query("external_by_domain", _LINKS + f", x AS (SELECT {_ABSOLUTE} AS u FROM l) SELECT nullif(lower(regexp_extract(u, '{_URL}(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS domain, count(*) AS n_links, count(DISTINCT u) AS n_urls FROM x WHERE regexp_matches(u, '^https?:') GROUP BY 1")

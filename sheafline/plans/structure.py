@@ -43,10 +43,10 @@ def term_pages_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.merge_terms(_terms(spark, sf_dir)).select("taxonomy_slug", "term_slug", "p_partkey", "name", "rank")
 
 
-@query("taxonomy_merge_slug", _TERMS + "SELECT taxonomy_slug, term_slug, count(DISTINCT term) AS n_names, array_to_string(list_sort(list(DISTINCT term)), '|') AS names FROM h GROUP BY ALL HAVING count(DISTINCT term) > 1")
+@query("taxonomy_merge_slug", _TERMS + "SELECT taxonomy_slug, term_slug, count(DISTINCT term) AS n_names, min(term) AS first_name, max(term) AS last_name FROM h GROUP BY ALL HAVING count(DISTINCT term) > 1")
 def taxonomy_merge_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = _terms(spark, sf_dir).select("taxonomy_slug", "term_slug", "term").distinct().groupBy("taxonomy_slug", "term_slug")
-    return by.agg(F.count("*").alias("n_names"), F.array_join(F.array_sort(F.collect_list("term")), "|").alias("names")).where("n_names > 1")
+    return by.agg(F.count("*").alias("n_names"), F.min("term").alias("first_name"), F.max("term").alias("last_name")).where("n_names > 1")
 
 
 @query("term_lookup", _MERGED + "SELECT r_regionkey, 'brand' AS taxonomy_slug, 'brand-' || (r_regionkey + 11) AS term_slug, name, coalesce(n, 0) AS page_count FROM region LEFT JOIN (SELECT term_slug, min(name) AS name, count(*) AS n FROM m WHERE taxonomy_slug = 'brand' GROUP BY 1) ON term_slug = 'brand-' || (r_regionkey + 11)")
@@ -81,9 +81,14 @@ def _claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.claimed_paths(pages)
 
 
-@query("path_collisions", _CLAIMED + "SELECT url, count(*) AS n_files, array_to_string(list_sort(list(file)), ',') AS files FROM c GROUP BY url HAVING count(*) > 1")
+@query("path_collisions", _CLAIMED + "SELECT url, count(*) AS n_files, min(file) AS first_file, max(file) AS last_file FROM c GROUP BY url HAVING count(*) > 1")
 def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.path_collisions(_claimed(spark, sf_dir)).select("url", "n_files", F.array_join("files", ",").alias("files"))
+    return taxonomy.path_collisions(_claimed(spark, sf_dir))
+
+
+@query("colliding_files", _CLAIMED + "SELECT url, file FROM c QUALIFY count(*) OVER (PARTITION BY url) > 1")
+def colliding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.colliding_files(_claimed(spark, sf_dir))
 
 
 @query("claimed_paths", _CLAIMED + "SELECT url, file FROM c")

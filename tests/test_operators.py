@@ -35,6 +35,14 @@ def test_global_rank(spark):
     assert got == list(range(1, 1001))
 
 
+def test_hot_groups_are_ranked_alike(spark, monkeypatch):
+    df = spark.range(500).select(F.when(F.col("id") < 400, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), F.hash("id").alias("weight"), F.concat(F.lit("/"), "id", F.lit("/")).alias("permalink"))
+    plain = rows(ordering.sort_pages(df, "weight", "g")[0].select("permalink", "rank")), rows(ordering.siblings(df, "weight", "g").select("permalink", "lower", "higher").na.fill("-"))
+    monkeypatch.setattr(ordering, "HOT_ROWS", 50)
+    spread = rows(ordering.sort_pages(df, "weight", "g")[0].select("permalink", "rank")), rows(ordering.siblings(df, "weight", "g").select("permalink", "lower", "higher").na.fill("-"))
+    assert plain == spread and len(plain[0]) == 500
+
+
 def test_greedy_batches_start_anew(spark):
     items = spark.createDataFrame([("en", i, f"p{i // 2}", s) for i, s in enumerate([5, 5, 5, 20, 1, 1, 1])], "lang string, i int, page string, size long")
     got = [r.batch for r in paginate.greedy_batches(items, "lang", ["i"], "size", 3, 12).orderBy("i").collect()]
