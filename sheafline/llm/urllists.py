@@ -67,21 +67,22 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, lists: dict[str,
     and null times match nothing; repeated captures are returned once each; only the
     named columns are read.
 
-    Only keys that some entry names go on from the first join. Keys of more than RUN_ROWS captures are
-    dealt over runs, to each of which the key's intervals are copied, so no task sorts a whole hot host.
+    Keys of more than RUN_ROWS captures are dealt over runs, to each of which the
+    key's intervals are copied, so no task joins or sorts a whole hot host. Only keys
+    that some entry names go on to the window.
     """
     c = F.col
     intervals = validity_intervals(entries.where(c("list_name").isin(*lists)))
     own = F.struct(F.lit("").alias("kind"), c("row").cast("string").alias("key"))  # keeps captures that match nothing
     asked = captures.select(F.monotonically_increasing_id().alias("row"), c(id_col).alias("id"), c(url_col).alias("url"), c(time_col).cast("date").alias("ts"))
     keys = asked.withColumn("k", F.explode(F.concat(F.array(own), url_keys(c("url"))))).select("row", "id", "url", "ts", "k.kind", "k.key")
-    named = intervals.select("kind", "key").distinct().withColumn("named", F.lit(True))
-    keys = keys.join(named, ["kind", "key"], "left").where("named OR kind = ''").drop("named")
-
     runs = keys.where("kind <> ''").groupBy("kind", "key").count().where(c("count") > RUN_ROWS) \
         .select("kind", "key", F.ceil(c("count") / RUN_ROWS).cast("int").alias("runs"))
-    left = keys.join(runs, ["kind", "key"], "left").withColumn("run", F.pmod(F.xxhash64("row"), F.coalesce("runs", F.lit(1))))
-    right = intervals.join(runs, ["kind", "key"], "left").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("runs", F.lit(1)).cast("long") - 1)))
+    every_run = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("runs", F.lit(1)).cast("long") - 1))
+    named = intervals.select("kind", "key").distinct().join(runs, ["kind", "key"], "left").select("kind", "key", every_run.alias("run"), F.lit(True).alias("named"))
+    left = keys.join(runs, ["kind", "key"], "left").withColumn("run", F.pmod(F.xxhash64("row"), F.coalesce("runs", F.lit(1)).cast("long"))).drop("runs")
+    left = left.join(named, ["kind", "key", "run"], "left").where("named OR kind = ''")
+    right = intervals.join(runs, ["kind", "key"], "left").withColumn("run", every_run)
     line = left.select("kind", "key", "run", "ts", F.lit(1).alias("asks"), "row", "id", "url", F.lit(None).cast("string").alias("list_name"), F.lit(None).cast("date").alias("valid_to")) \
         .unionByName(right.select("kind", "key", "run", c("valid_from").alias("ts"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("row"), "list_name", "valid_to"), allowMissingColumns=True)
     w = Window.partitionBy("kind", "key", "run").orderBy("ts", "asks").rowsBetween(Window.unboundedPreceding, 0)
