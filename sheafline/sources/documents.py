@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .data import parse_yaml, plain_value
 
 #: Header fields by kind of file, with their types and defaults.
 PAGE_FIELDS = {"title": str, "description": str, "date": str, "updated": str, "draft": bool, "render": bool, "in_search_index": bool, "include_in_feeds": bool, "hidden": bool,
@@ -83,18 +84,7 @@ def split_header(content: str) -> tuple[str, str, str]:
     raise ValueError("no header between +++ or --- lines")
 
 
-def plain_value(v):
-    """TOML dates and times as text, also inside."""
-    if isinstance(v, dict):
-        return {k: plain_value(x) for k, x in v.items()}
-    if isinstance(v, list):
-        return [plain_value(x) for x in v]
-    return v.isoformat() if hasattr(v, "isoformat") else v
-
-
 def parse_header(kind: str, header: str) -> dict:
-    from .data import parse_yaml
-
     return plain_value(tomllib.loads(header)) if kind == "toml" else (parse_yaml(header) or {})
 
 
