@@ -24,7 +24,7 @@ SYMBOLS = "#*$%&|<>"
 #: Base rules, and the share of words in content lines that a kept document has.
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 10, 20, 0.5
 #: Training: labelled documents of each class, at most, and lines of a training sequence.
-TRAIN_DOCS, TRAIN_LINES = 600, 64
+TRAIN_DOCS, TRAIN_LINES = 600, 16
 
 CONTENT, BOILERPLATE = 0, 1
 FEATURES = ("bias", "log_words", "mean_word", "symbols", "upper", "digits", "marks", "ends", "distinct", "repeats", "duplicate", "edge", "starts_upper", "bars")
@@ -160,7 +160,7 @@ class Field:
         return float(((z - score) * norm).sum()), g_w, g_m
 
     @classmethod
-    def train(cls, texts: list[np.ndarray], labels: list[int], steps: int = 300, rate: float = 0.1, l2: float = 1e-3) -> Field:
+    def train(cls, texts: list[np.ndarray], labels: list[int], steps: int = 200, rate: float = 0.1, l2: float = 1e-3) -> Field:
         """Adam on the whole sample; each class weighs the same. labels: of all lines of a text."""
         if len(set(labels)) < 2:
             return cls.empty()
