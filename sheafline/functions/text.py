@@ -20,9 +20,13 @@ WORD = r"[\p{L}\p{N}_]+(?:['’.][\p{L}\p{N}_]+)*"
 FENCE = "```"
 
 
+#: The characters of SPACE.
+_BLANKS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def trim_all(s: Column) -> Column:
     """Without any white space at the ends."""
-    return F.regexp_replace(F.regexp_replace(s, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.trim(s, F.lit(_BLANKS))
 
 
 def outside_fences(text: Column) -> Column:
