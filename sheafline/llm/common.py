@@ -45,6 +45,19 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+#: Tables under so many bytes may lie in one or two row groups, which as many tasks read.
+SMALL_BYTES = 24_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over the cluster's cores where its files are so small that a few tasks would read them all.
+
+    Larger tables come in enough row groups and are left alone, so nothing is shuffled there.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of ids that no model learns from; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out
+from .common import hash_sample, held_out, spread
 
 #: Bytes of a segment: a word's first segment starts with a space, longer words are cut.
 SEGMENT = 16
@@ -228,4 +228,4 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents; a fifth of them is held out of learning."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = fit(docs.where(~held_out(F.col("doc_id"))))
-    return identify(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(spread(docs.select("doc_id", "text")), net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

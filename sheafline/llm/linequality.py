@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, held_out
+from .common import hash_sample, held_out, spread
 
 SYMBOLS = "#*$%&|<>"
 #: Base rules, and the share of words in content lines that a kept document has.
@@ -242,5 +242,5 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base numbers and the field's verdict for all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     field = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_line_quality(docs.select("doc_id", "text"), field, keep_text=False).select(
+    return with_line_quality(spread(docs.select("doc_id", "text")), field, keep_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "line_labels")

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out
+from .common import hash_sample, held_out, spread
 
 #: Training: labelled documents of each class, at most; trees, their depth, cut points of a statistic.
 TRAIN_DOCS, TREES, DEPTH, CUTS = 2000, 24, 3, 24
@@ -204,4 +204,4 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; a fifth of them is held out of learning."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_scores(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return with_scores(spread(docs.select("doc_id", "text")), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

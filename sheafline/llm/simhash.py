@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, spread
 from .components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -185,5 +185,5 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    out = near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = near_duplicate_classes(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
