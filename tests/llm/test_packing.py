@@ -60,8 +60,19 @@ def test_given_documents(spark, sf):
     want = {r.doc_id: [*library_ids(r.text), 1] for r in docs.collect()}
     rows = packing.pack_documents(docs, PATH).collect()
     assert check_pieces(rows, want, packing.TIERS) == 0
+    # the query may read other partitions, so its own pieces are held against the library
     digests = packing.op1_pack_documents(spark, sf).collect()
-    assert {(r.doc_id, r.start): r.ids_crc32 for r in digests} == {(r.doc_id, r.start): zlib.crc32(bytes(r.ids)) for r in rows}
+    at, offset = dict.fromkeys(want, 0), defaultdict(int)
+    for r in sorted(digests, key=lambda r: (r.doc_id, r.start)):
+        ids = want[r.doc_id]
+        assert r.start == at[r.doc_id] and r.doc_tokens == len(ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        at[r.doc_id] += r.length
+    assert at == {k: len(v) for k, v in want.items()}
+    for r in sorted(digests, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == offset[r.sequence_id]
+        offset[r.sequence_id] += r.length
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in offset.values())
 
 
 def test_small_pools_and_odd_rows(spark, monkeypatch):
