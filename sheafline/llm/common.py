@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space of the contracts: space and the controls tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="sheafline-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+from ..sources.shared import materialize, shared_dir
 
+__all__ = ["discard", "hash_sample", "held_out", "materialize", "shared_dir", "spread"]
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back.
-
-    Cuts lineage and fixes the rows: later reads see the same rows and ids even
-    when executors are lost. The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(conf).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
