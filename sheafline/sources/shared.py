@@ -18,7 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back; the files go with the driver's JVM."""
+    """Writes df as Parquet into the shared folder and reads it back.
+
+    Cuts lineage and fixes the rows: later reads see the same rows and ids even when
+    executors are lost. The files go when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
