@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the rule ensemble scores below its cutoff."""
-    model = rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Drops documents that the rule ensemble scores below its cutoff; it learns from the whole table, as the stages before leave few bad examples or none."""
+    model = rules.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rules.with_scores(docs, model).where("predicted = 1").select(*docs.columns)
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -55,3 +56,15 @@ def test_labelled_clean_documents_stay(spark):
     one = P.quality_rules(spark, docs, sf)
     two = {r.doc_id for r in P.quality_classifier(spark, one, sf).collect()}
     assert len(open_ & two) >= 0.98 * len(open_)
+
+
+def test_classifier_learns_from_the_whole_table_and_removes_planted_bad_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert rules.fit(docs, labels).rules
+    one = P.quality_rules(spark, docs, sf)
+    bad = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id").withColumn("doc_id", F.col("doc_id") + 10**9).select(*docs.columns)
+    n_bad, n_one = bad.count(), one.count()
+    left = [r.doc_id for r in P.quality_classifier(spark, one.unionByName(bad), sf).collect()]
+    assert n_bad > 20 and sum(k >= 10**9 for k in left) <= 0.1 * n_bad
+    assert sum(k < 10**9 for k in left) >= 0.98 * n_one
