@@ -1,12 +1,12 @@
-"""Near-duplicates by shingle similarity, found through wide SimHash fingerprints.
-
-A few edited words change many of a text's five-word shingles but few of its words, so
-the fingerprint is taken over distinct words, and is wide: 32 positional bytes. Texts
-that differ in at most MAX_BITS of its 256 bits agree in at least four positions. The
-index holds triples of positions; in a posting list, shared positional bytes are
-tallied, pairs below the guaranteed minimum go, the rest is verified bit by bit. What
-is linked so is then compared by its exact shingle sets, and only pairs at or above
-the threshold count.
+"""Near-duplicates by shingle similarity, found through an exact prefix index.
+
+Two sets whose similarity reaches the threshold share a member of their prefixes: the
+first n - ceil(threshold * n) + 1 of n shingles, in any order that is the same for all.
+Every such shingle has a posting list, rare ones come first. In a list, pairs go whose
+sizes or parity bitmaps rule the threshold out: the bits in which two bitmaps differ are
+at most as many as the shingles that only one text holds, so no pair is lost. Pairs of
+long texts are met once more with wider bitmaps. What is linked so is then compared by
+its exact shingle sets, and only pairs at or above the threshold count.
 """
 
 from __future__ import annotations
@@ -26,10 +26,14 @@ from .components import connected_components
 
 #: Five words and a similarity of 0.8.
 WIDTH, THRESHOLD = 5, 0.8
-#: Positional bytes of a fingerprint; bits that linked ones may differ in.
-BYTES, MAX_BITS = 32, 28
-#: Rounds of disjoint position triples: ten posting lists of a fingerprint each.
-ROUNDS = 4
+#: Bytes of a parity bitmap in a posting list and of a fingerprint; bytes of the widest bitmap of a text.
+BYTES, WIDEST = 32, 8192
+#: Shingles from which a posting list's bitmap tells little; so many such texts of a list give all their pairs to the wider bitmaps.
+LONG, PAIRED = 384, 24
+#: Texts sampled for the order of shingles; shingles that come last, at most; sampled texts that hold one, at least.
+SAMPLE, FREQUENT, SEEN = 4096, 65536, 3
+#: The fingerprint index that the prefix index replaced: tests still measure it, nothing else uses it.
+MAX_BITS, ROUNDS = 28, 4
 #: Members that meet in a task: of a posting list, and of a group whose shingles are compared.
 LIST_LIMIT, GROUP_LIMIT = 4096, 1000
 
@@ -72,9 +76,9 @@ def triples(rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
     return np.concatenate([rng.permutation(BYTES)[: BYTES // 3 * 3].reshape(-1, 3) for _ in range(rounds)])
 
 
-def _search(n: int, near) -> list[tuple[int, int]]:
-    """Edges that span all links among members 0 to n - 1; near(i, rest) tells which of rest link with i. Every member is met once."""
-    left, edges = np.arange(n), []
+def _search(members: np.ndarray, near) -> list[tuple[int, int]]:
+    """Edges that span all links among members; near(i, rest) tells which of rest link with i. Every member is met once."""
+    left, edges = members, []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
@@ -86,49 +90,121 @@ def _search(n: int, near) -> list[tuple[int, int]]:
     return edges
 
 
-def _marks(text: str, out: T.StructType):
+def prefix(shingles: np.ndarray, frequent: np.ndarray, seen: np.ndarray, threshold: float) -> np.ndarray:
+    """Shingles of which any set at the threshold holds one in its own prefix: rare ones first, then those in frequent (sorted) by how often they were seen."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    rank = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        rank = np.where(frequent[at] == shingles, seen[at], 0)
+    return shingles[np.argsort(rank, kind="stable")][: n - int(np.ceil(threshold * n - 1e-6)) + 1]
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """A bitmap of two to four bits a shingle, within bounds: for each remainder of shingles, whether an odd number has it."""
+    bits = 8 * min(max(BYTES, 1 << (len(shingles) // 4).bit_length()), WIDEST)
+    return np.packbits((np.bincount(shingles & (bits - 1), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def fold(bitmap: bytes, size: int = BYTES) -> np.ndarray:
+    """A bitmap cut down to fewer remainders: what it would be with so many bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(bitmap, np.uint8).reshape(-1, size), axis=0)
+
+
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(words(x.as_py()), width))], names=["shingle"])
+
+    return run
+
+
+def _frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that several of about SAMPLE texts hold, and how many do: FREQUENT at most. They only order prefixes, so any sample gives the same result."""
+    c = F.col
+    share = F.pmod(F.xxhash64(c(text), F.lit("order")), F.lit(1 << 31)) / float(1 << 31)
+    some = docs.select(text).where(share < SAMPLE / max(docs.count(), 1)).mapInArrow(_shingles(width), "shingle long")
+    rows = some.groupBy("shingle").count().where(c("count") >= SEEN).orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
+    found = np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
+def _marks(text: str, out: T.StructType, frequent: np.ndarray, seen: np.ndarray, width: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, sums = [], []
+            firsts, sizes, bits, sums = [], [], [], []
             for x in b.column(b.schema.get_field_index(text)):
                 own = words(x.as_py())
-                prints.append(wide_fingerprint(own))
+                shingles = shingle_set(own, width)
+                firsts.append(prefix(shingles, frequent, seen, threshold))
+                sizes.append(len(shingles))
+                bits.append(parity(shingles))
                 sums.append(xxhash.xxh3_128_digest(b" ".join(own)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prints, pa.binary()), pa.array(sums, pa.binary())], names=out.fieldNames())
+            added = [pa.array(firsts, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(sums, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=out.fieldNames())
 
     return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at = triples()
     for b in batches:
         if not b.num_rows:
             continue
-        cls = b.column(0).to_numpy()
-        fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, BYTES)
-        three = fps[:, at].astype(np.int64)
-        keys = (np.arange(len(at)) << 24) | (three[:, :, 0] << 16) | (three[:, :, 1] << 8) | three[:, :, 2]
-        members = np.concatenate([cls[:, None].view(np.uint8).reshape(-1, 8), fps], axis=1)
-        packed = [m.tobytes() for m in members]
-        n = len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array([m for m in packed for _ in range(n)], pa.binary())], names=["key", "member"])
+        cls, size = b.column(0).to_numpy(), b.column(2).to_numpy()
+        lists = b.column(1)
+        bits = np.stack([fold(x) for x in b.column(3).to_pylist()])
+        members = np.concatenate([cls.astype(np.int64)[:, None].view(np.uint8), size.astype(np.int32)[:, None].view(np.uint8), bits], axis=1)
+        packed = pa.array([m.tobytes() for m in members], pa.binary())
+        owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+        yield pa.RecordBatch.from_arrays([lists.flatten(), packed.take(pa.array(owner))], names=["key", "member"])
 
 
-def _list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        edges: list[tuple[int, int]] = []
-        for members in b.column(0).to_pylist():
-            m = np.frombuffer(b"".join(members), np.uint8).reshape(-1, 8 + BYTES)
-            cls, fps = m[:, :8].copy().view(np.int64)[:, 0], np.ascontiguousarray(m[:, 8:])
+def _most(size_a, size_b, threshold: float):
+    """Shingles that only one of two texts at the threshold holds, at most."""
+    return (1 - threshold) / (1 + threshold) * (size_a + size_b) + 1e-6
 
-            def near(i, rest, fps=fps):
-                diff = fps[rest] ^ fps[i]
-                shared = (diff == 0).sum(1) >= BYTES - MAX_BITS
-                return shared & (np.bitwise_count(diff).sum(1) <= MAX_BITS)
 
-            edges += [(int(cls[i]), int(cls[j])) for i, j in _search(len(cls), near)]
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+def _list_edges(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sure: list[tuple[int, int]] = []
+            open_: list[tuple[int, int]] = []
+            for members in b.column(0).to_pylist():
+                m = np.frombuffer(b"".join(members), np.uint8).reshape(-1, 12 + BYTES)
+                cls, size, bits = m[:, :8].copy().view(np.int64)[:, 0], m[:, 8:12].copy().view(np.int32)[:, 0].astype(np.int64), m[:, 12:].copy().view(np.uint64)
+
+                def near(i, rest, size=size, bits=bits):
+                    limit = _most(size[rest], size[i], threshold)
+                    return (np.abs(size[rest] - size[i]) <= limit) & (np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= limit)
+
+                long = np.flatnonzero(size >= LONG)
+                if len(long) > PAIRED:
+                    sure += [(int(cls[i]), int(cls[j])) for i, j in _search(np.arange(len(cls)), near)]
+                    continue
+                sure += [(int(cls[i]), int(cls[j])) for i, j in _search(np.flatnonzero(size < LONG), near)]
+                for i in long:
+                    rest = np.flatnonzero((size < LONG) | (np.arange(len(cls)) > i))
+                    open_ += [(min(int(cls[i]), int(k)), max(int(cls[i]), int(k))) for k in cls[rest[near(i, rest)]]]
+            e = np.array(list(set(sure)) + list(set(open_)), np.int64).reshape(-1, 2)
+            known = np.arange(len(e)) < len(set(sure))
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(known)], names=["a", "b", "sure"])
+
+    return run
+
+
+def _wide_edges(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                size = min(len(x), len(y))
+                keep.append(bool(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum() <= _most(n, m, threshold)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _sets(width: int):
@@ -156,31 +232,35 @@ def _group_edges(threshold: float):
             own[column[at[i] : at[i + 1]]] = False
             return shared >= threshold * (size[i] + size[rest] - shared) - 1e-9
 
-        e = np.array([(cls[i], cls[j]) for i, j in _search(len(cls), near)], np.int64).reshape(-1, 2)
+        e = np.array([(cls[i], cls[j]) for i, j in _search(np.arange(len(cls)), near)], np.int64).reshape(-1, 2)
         return pa.table({"a": e[:, 0], "b": e[:, 1]})
 
     return run
 
 
-def _in_blocks(rows: DataFrame, group: list[str], blocks: DataFrame, own: str) -> DataFrame:
-    """rows with block numbers i and j: groups that blocks (group, n) names are cut by a hash of `own` and every pair of blocks is a group of its own."""
+def _in_blocks(rows: DataFrame, group: list[str], blocks: DataFrame, own: str, how: str = "left") -> DataFrame:
+    """rows with block numbers i and j: groups that blocks (group, n) names are cut by a hash of `own` and every pair of blocks is a group of its own; an inner join drops the others."""
     c = F.col
-    cut = rows.join(blocks, group, "left").withColumn("__own", F.pmod(F.xxhash64(own), F.coalesce("n", F.lit(1))).cast("int"))
+    cut = rows.join(blocks, group, how).withColumn("__own", F.pmod(F.xxhash64(own), F.coalesce("n", F.lit(1))).cast("int"))
     cut = cut.withColumn("__x", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)).cast("int") - 1)))
     return cut.withColumns({"i": F.least("__own", "__x"), "j": F.greatest("__own", "__x")}).drop("n", "__own", "__x").where(c("i").isNotNull())
 
 
 def similar_links(classes: DataFrame, texts: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (a, b) that span all verified links between classes (cls, fp); texts: (cls, text) of one row of each.
+    """Edges (a, b) that span all verified links between classes (cls, prefix, size, bits); texts: (cls, text) of one row of each.
 
     Posting lists over LIST_LIMIT and groups over GROUP_LIMIT are met block by block,
     every pair of blocks in a task of its own; spanning edges alone leave a task.
     """
     c = F.col
-    keyed = classes.select("cls", "fp").mapInArrow(_keys, "key long, member binary")
-    hot = keyed.groupBy("key").count().where(c("count") > LIST_LIMIT).select("key", F.ceil(c("count") / (LIST_LIMIT // 2)).cast("int").alias("n"))
-    lists = _in_blocks(keyed, ["key"], materialize(hot, "hot-lists"), "member").groupBy("key", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
-    found = materialize(lists.select("members").mapInArrow(_list_edges, "a long, b long").distinct(), "candidate-edges")
+    keyed = classes.select("cls", "prefix", "size", "bits").mapInArrow(_keys, "key long, member binary")
+    blocks = F.when(c("count") > LIST_LIMIT, F.ceil(c("count") / (LIST_LIMIT // 2))).otherwise(1).cast("int")
+    shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key", blocks.alias("n")), "shared-keys")
+    lists = _in_blocks(keyed, ["key"], shared, "member", "inner").groupBy("key", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
+    edges = materialize(lists.select("members").mapInArrow(_list_edges(threshold), "a long, b long, sure boolean").distinct(), "candidate-edges")
+    wide = lambda k: classes.select(c("cls").alias(k), c("size").alias(f"size_{k}"), c("bits").alias(f"bits_{k}"))
+    pairs = edges.where("NOT sure").join(wide("a"), "a").join(wide("b"), "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
+    found = materialize(edges.where("sure").select("a", "b").unionByName(pairs.mapInArrow(_wide_edges(threshold), "a long, b long")), "candidate-pairs")
     groups = materialize(connected_components(found).select(c("node").alias("cls"), c("component").alias("grp")), "candidate-groups")
     sizes = groups.groupBy("grp").count().where(c("count") > GROUP_LIMIT).select("grp", F.ceil(c("count") / (GROUP_LIMIT // 2)).cast("int").alias("n"))
     sets = groups.join(texts, "cls").select("grp", "cls", "text").mapInArrow(_sets(width), "grp long, cls long, shingles array<long>")
@@ -194,18 +274,18 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     least the threshold, or when their words are the same; classes are what such
     links reach. Null, empty and blank texts are one class. Rows with null ids stay
     only where a class has no other. All columns are kept as they are, whatever their
-    names; an empty table gives an empty one. The exact step compares what the
-    fingerprint index proposes: pairs beyond MAX_BITS or without a shared triple are
-    not proposed, which the tests measure against brute force.
+    names; an empty table gives an empty one. The index proposes every pair at the
+    threshold, so nothing is missed; the tests hold it against brute force.
     """
     c = F.col
     cols = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(cols))])
     own, text = f"c{cols.index(id_col)}", f"c{cols.index(text_col)}"
-    out = T.StructType([*inner.schema.fields, T.StructField("fp", T.BinaryType()), T.StructField("same", T.BinaryType())])
-    marked = materialize(inner.mapInArrow(_marks(text, out), out).withColumn("row", F.monotonically_increasing_id()), "marked")
+    out = T.StructType([*inner.schema.fields, T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType()),
+                        T.StructField("bits", T.BinaryType()), T.StructField("same", T.BinaryType())])
+    marked = materialize(inner.mapInArrow(_marks(text, out, *_frequent(inner, text, width), width, threshold), out).withColumn("row", F.monotonically_increasing_id()), "marked")
     least = F.struct(c(own).isNull().alias("none"), c(own).alias("id"), c("row").alias("row"))
-    classes = materialize(marked.groupBy("same").agg(F.min("row").alias("cls"), F.first("fp").alias("fp"), F.min(least).alias("least")), "classes")
+    classes = materialize(marked.groupBy("same").agg(F.min("row").alias("cls"), *[F.first(k).alias(k) for k in ("prefix", "size", "bits")], F.min(least).alias("least")), "classes")
     texts = marked.select(c("row").alias("cls"), c(text).alias("text"))
     parts = connected_components(similar_links(classes, texts, width=width, threshold=threshold))
     named = classes.join(parts, c("cls") == c("node"), "left").select(F.coalesce("component", "cls").alias("part"), "least")

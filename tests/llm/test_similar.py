@@ -97,3 +97,40 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or -1), r.text or "", r.fp) for r in out.collect())
     assert got == [(-1, "", "n"), (4, text.upper(), "y"), (7, "other words are here now", None)]
     assert S.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group,lists", [(1000, 4096), (4, 6)])
+def test_appended_truncated_and_long_texts_against_brute_force(spark, monkeypatch, group, lists):
+    monkeypatch.setattr(S, "GROUP_LIMIT", group)
+    monkeypatch.setattr(S, "LIST_LIMIT", lists)
+    monkeypatch.setattr(S, "SAMPLE", 20)
+    rng, texts = random.Random(4), []
+    common = [f"c{k}" for k in range(30)]
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for n in [40, 100, 200, 400] * 6 + [6000, 20000]:
+        base = common + new(n - 30)
+        for share in (0.8, 0.81, 0.85, 0.9):
+            k = int(share * n) + 1
+            texts += [" ".join(base[:k])] if rng.random() < 0.5 else [" ".join(base + new(int(n / share - n)))]
+        texts += [" ".join(base), " ".join(base[:100] + edited(rng, base[100:], n // 50) if n > 100 else base[1:]), " ".join(edited(rng, base, n // 40))]
+    rng.shuffle(texts)
+    want = plain_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert len(want) < 0.5 * len(texts) and sorted(r.doc_id for r in S.keep_one(df).collect()) == want
+
+
+def test_prefixes_meet_and_bitmaps_lose_no_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 9, 50, 333, 5000):
+        for _ in range(40):
+            a = np.unique(rng.integers(-2**63, 2**63 - 1, n))
+            gone = int(rng.integers(0, n // 5 + 1))
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(-2**63, 2**63 - 1, int(rng.integers(0, gone + 1)))]))
+            frequent = np.sort(rng.permutation(a)[: n // 2])
+            shared = len(np.intersect1d(a, b))
+            if shared >= 0.8 * (len(a) + len(b) - shared):
+                p, q = (S.prefix(x, frequent, np.arange(len(frequent)) % 3 + 3, 0.8) for x in (a, b))
+                x, y = S.parity(a), S.parity(b)
+                assert len(np.intersect1d(p, q))
+                for size in (S.BYTES, min(len(x), len(y))):
+                    assert np.bitwise_count(S.fold(x, size) ^ S.fold(y, size)).sum() <= len(a) + len(b) - 2 * shared
