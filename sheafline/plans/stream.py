@@ -30,14 +30,18 @@ def _changes(events: DataFrame) -> DataFrame:
 
 @query("stream_last_change", _CHANGES + "SELECT path, kind, change_kind FROM k")
 def stream_last_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads the table's files as a stream until none is left; the state is each path's last change."""
+    """Reads the table's files as a stream until none is left; executors write each batch's last changes to the shared folder, and the last of each path are taken from there."""
     place = f"{sf_dir}/events.parquet"
     stream = changes.stream_table(spark, place, table(spark, sf_dir, "events").schema)
-    state = changes.last_changes(changes.meaningful(_changes(stream)))
-    name = f"last_change_{uuid.uuid4().hex}"
-    run = state.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("path", "kind", "change_kind")
+    name = f"{shared_dir(spark)}/last-change-{uuid.uuid4().hex}"
+
+    def write(last: DataFrame, n: int) -> None:
+        last.write.mode("overwrite").parquet(f"{name}/batch={n}")  # a batch that is run again replaces its own rows
+
+    changes.apply_stream(_changes(stream), write, f"{name}-checkpoint").awaitTermination()
+    schema = changes.last_changes(changes.meaningful(_changes(table(spark, sf_dir, "events")))).schema
+    rows = spark.read.schema(schema).parquet(f"{name}/batch=*") if changes.has_files(spark, name) else spark.createDataFrame([], schema)
+    return rows.groupBy("path").agg(F.max_by("kind", F.struct("ts", "kind")).alias("kind"), F.first("change_kind").alias("change_kind"))
 
 
 @query("rebuild_plan", _CHANGES + "SELECT change_kind, count(*) AS n, CASE WHEN change_kind = 'config' OR (change_kind = 'content' AND bool_or(kind = 'remove')) THEN 'full' WHEN change_kind = 'static' THEN 'copy' ELSE 'partial' END AS action FROM k GROUP BY change_kind")

@@ -73,3 +73,9 @@ def apply_stream(events: DataFrame, apply: Callable[[DataFrame, int], None], che
 def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """A table's files as a stream, oldest first. The path is given as a pattern, so it may be one file as well as a folder."""
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there: a stream without rows writes none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -60,3 +60,12 @@ def test_clients(spark, send):
     pages = spark.createDataFrame([("p", "t", "river river bank")], "id string, title string, body string")
     assert clients.extract_topics(pages).count() == 2
     assert [r.label for r in clients.extract_topics(pages, lambda t, b: [("A", ["b", ""]), (" ", [])]).collect()] == ["A"]
+
+
+def test_stream_keeps_no_table_in_the_driver(spark, sf):
+    from sheafline.plans.stream import stream_last_change
+
+    before = {t.name for t in spark.catalog.listTables()}
+    out = stream_last_change(spark, sf)
+    assert {t.name for t in spark.catalog.listTables()} == before and out.inputFiles()
+    assert out.count() == out.select("path").distinct().count() > 0
