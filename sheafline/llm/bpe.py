@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import dealt
 
 #: Distinct words whose ids a task remembers, and bytes of result that it holds back.
 REMEMBERED, HELD_BYTES = 400_000, 16_000_000
@@ -202,6 +202,6 @@ def op8_bpe_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded, as counts and digests."""
     import public_tokenizers
 
-    coded = bpe_round(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
+    coded = bpe_round(dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_dir
 
-__all__ = ["discard", "hash_sample", "held_out", "materialize", "shared_dir", "spread"]
+__all__ = ["dealt", "discard", "hash_sample", "held_out", "materialize", "renamed", "shared_dir"]
 
+#: Session setting: into how many partitions dealt() deals a table. Unset, tables stay as they are read.
+PARTITIONS = "spark.sheafline.partitions"
 
 
 def discard(df: DataFrame) -> None:
@@ -20,17 +22,24 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-#: Tables under so many bytes may lie in one or two row groups, which as many tasks read.
-SMALL_BYTES = 24_000_000
+def dealt(df: DataFrame) -> DataFrame:
+    """df in the number of partitions that the session asks for, whatever its size; as it is read where it asks for none.
+
+    For tables that lie in fewer row groups than the cluster has cores.
+    """
+    n = df.sparkSession.conf.get(PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, dealt over the cluster's cores where its files are so small that a few tasks would read them all.
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1 and so on, and what each name of df has become: no name of the caller's can clash then.
 
-    Larger tables come in enough row groups and are left alone, so nothing is shuffled there.
+    Of columns with the same name, the first one is found.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+    names: dict[str, str] = {}
+    for i, name in enumerate(df.columns):
+        names.setdefault(name, f"c{i}")
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), names
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,18 +47,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def hash_sample(df: DataFrame, n: int, *, by: Column, group: str | None = None) -> DataFrame:
-    """About n rows of df (of each group) with the smallest hashes of `by`.
+def hash_sample(df: DataFrame, n: int, *, by: list[str], group: str) -> DataFrame:
+    """Of each group, the n rows with the smallest hashes of the columns `by`; all of a group that has fewer.
 
-    One counting pass gives the share to take, so no sort or window holds a whole
-    group; the same rows come out however the input is partitioned.
+    Rows that are equal in `by` are one row. Every group has its rows, however many
+    groups there are and however many copies one holds, and they are the same rows
+    however df is partitioned. A counting pass tells which hashes can be among the
+    smallest, so only some 4n hashes of a group meet; rows with a null group are left out.
     """
-    share = F.pmod(F.xxhash64(by, F.lit("sample")), F.lit(1 << 31)) / float(1 << 31)
-    if group is None:
-        total = df.count()
-        return df.where(share < min(1.0, n / max(total, 1))).limit(2 * n)
-    sizes = {r[0]: r[1] for r in df.groupBy(group).count().orderBy(F.desc("count"), group).limit(200).collect()}
-    keep = F.lit(False)
-    for value, count in sizes.items():
-        keep = keep | ((F.col(group) == F.lit(value)) & (share < min(1.0, n / count)))
-    return df.where(keep).limit(2 * n * max(len(sizes), 1))
+    c = F.col
+    cols = df.columns
+    hashed = df.where(c(group).isNotNull()).withColumn("__h", F.xxhash64(*by, F.lit("sample")).bitwiseAND(F.lit((1 << 62) - 1)))
+    sizes = materialize(hashed.groupBy(group).agg(F.approx_count_distinct("__h").alias("__n")), "group-sizes")
+    small = hashed.select(group, "__h").join(sizes, group).where(c("__h") / float(1 << 62) < F.lit(4.0 * n + 100) / c("__n")).select(group, "__h").distinct()
+    ranked = small.selectExpr("*", f"row_number() OVER (PARTITION BY `{group}` ORDER BY __h) AS __r")
+    picked = materialize(ranked.where(c("__r") <= n).select(c(group).alias("__g"), c("__h").alias("__p")), "picked")
+    rows = hashed.join(picked, (c(group) == c("__g")) & (c("__h") == c("__p")))
+    return rows.groupBy("__g", "__h").agg(F.first(F.struct(*cols)).alias("__row")).select("__row.*")

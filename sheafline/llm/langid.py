@@ -1,16 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word, with the space before it, in both directions
-and gives every byte position a probability for each language. A document's
-probabilities are the mean over all its positions. The state starts anew at each word,
-so equal words get equal labels: a batch's distinct words go through the network
-once, weighted by how often each document has them. All bytes of a text but repeated
-white space are labelled. Training is plain backpropagation through time in numpy.
+The network reads a document's bytes in both directions, over word and line ends, and
+gives every byte position a probability for each language. A document's probabilities
+are the mean over all its positions. Texts are read in windows of WINDOW bytes, all of
+the same cost: each direction starts MARGIN bytes outside, so that a position's state
+is carried over window ends, and only the window's own bytes are labelled. Outside of a
+text lie zero bytes. Training is plain backpropagation through time in numpy.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,23 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out, spread
+from .common import dealt, hash_sample, held_out
 
-#: Bytes of a segment: a word's first segment starts with a space, longer words are cut.
-SEGMENT = 16
-#: Training: documents and word occurrences of each language, at most; hidden units; passes.
-TRAIN_DOCS, TRAIN_WORDS, HIDDEN, EPOCHS = 150, 6000, 16, 4
+#: Bytes of a window, and of what each direction reads before it.
+WINDOW, MARGIN = 128, 16
+#: Training: documents of each language and windows of a document, at most; bytes of a training window; hidden units; passes.
+TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_BYTES, HIDDEN, EPOCHS = 150, 12, 64, 12, 4
 
 
-def segments(text: str) -> list[bytes]:
-    out = []
-    for w in text.encode("utf-8", "replace").split():
-        if len(w) < SEGMENT:
-            out.append(b" " + w)
-        else:
-            w = b" " + w
-            out += [w[k : k + SEGMENT] for k in range(0, len(w), SEGMENT)]
-    return out
+def encoded(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
+
+
+def windows(text: bytes, size: int = WINDOW, margin: int = MARGIN) -> np.ndarray:
+    """[n, margin + size + margin]: all windows of a text with what lies around them."""
+    n = -(-len(text) // size)
+    padded = np.zeros(n * size + 2 * margin, np.uint8)
+    padded[margin : margin + len(text)] = np.frombuffer(text, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, size + 2 * margin)[::size] if n else np.zeros((0, size + 2 * margin), np.uint8)
 
 
 def has_letter(text: str) -> bool:
@@ -76,7 +76,7 @@ def _backward(p: dict, side: str, x: np.ndarray, saved: list, grads: list[np.nda
         dr = dc * gc * r * (1 - r)
         da = np.concatenate([dr, dz, dc], 1)
         dg = np.concatenate([dr, dz, dc * r], 1)
-        np.add.at(dw, x[t], da)
+        dw += (x[t] == np.arange(256)[:, None]).astype(da.dtype) @ da
         du += h.T @ dg
         dh = dh * z + dg @ u.T
     out["w" + side], out["u" + side] = dw, du
@@ -123,26 +123,19 @@ class Network:
         _backward(self.p, "b", x.T[::-1], kept_b, list(dh[::-1, :, HIDDEN:]), out)
         return loss, out
 
-    def train(self, words: list[bytes], labels: list[int], epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01, seed: int = 1) -> float:
-        """Adam over batches of words of one length; returns the last pass's mean loss."""
+    def train(self, x: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01, seed: int = 1) -> float:
+        """Adam over shuffled batches of training windows [n, bytes]; returns the last pass's mean loss."""
         rng, step = np.random.default_rng(seed), 0
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        labels = np.array(labels)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         losses: list[float] = []
-        for epoch in range(epochs):
-            parts = [(size, part) for size, at in sorted(by_length.items()) for part in np.array_split(rng.permutation(at), -(-len(at) // batch))]
+        for epoch in range(epochs if len(x) else 0):
             losses = []
-            for k in rng.permutation(len(parts)):
-                size, part = parts[k]
-                x = np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(-1, size)
-                loss, g = self.gradients(x, labels[part])
+            now = rate * (1 - epoch / epochs) + rate * 0.05
+            for part in np.array_split(rng.permutation(len(x)), -(-len(x) // batch)):
+                loss, g = self.gradients(x[part], labels[part])
                 losses.append(loss)
                 step += 1
-                now = rate * (1 - epoch / epochs) + rate * 0.05
                 for name, value in self.p.items():
                     d = np.clip(g[name], -1, 1)
                     m[name] += 0.1 * (d - m[name])
@@ -150,60 +143,105 @@ class Network:
                     value -= now * (m[name] / (1 - 0.9**step)) / (np.sqrt(v2[name] / (1 - 0.99**step)) + 1e-8)
         return float(np.mean(losses)) if losses else 0.0
 
-    def sums(self, words: list[bytes], chunk: int = 8192) -> np.ndarray:
-        """For each word, the sum of its positions' probabilities."""
-        out = np.zeros((len(words), len(self.languages)))
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for size, at in by_length.items():
-            for k in range(0, len(at), chunk):
-                part = at[k : k + chunk]
-                x = np.frombuffer(b"".join([words[i] for i in part]), np.uint8).reshape(-1, size)
-                out[part] = self.positions(x).sum(0)
+    def window_sums(self, x: np.ndarray, live: np.ndarray, margin: int = MARGIN) -> np.ndarray:
+        """For each window [n, margin + size + margin], the sum of its first `live` positions' probabilities [n, language]."""
+        size, kinds = x.shape[1] - 2 * margin, len(self.languages)
+        out, most = np.zeros((len(x), kinds)), max(128, min(2048, (1 << 24) // (size * kinds)))
+        for at in range(0, len(x), most):
+            part, n = np.ascontiguousarray(x[at : at + most].T), live[at : at + most]
+            ahead = np.empty((size, kinds, part.shape[1]), np.float32)
+            for t, h in self._steps("f", part[: margin + size]):
+                if t >= margin:
+                    np.matmul(self.p["o"][:HIDDEN].T, h.T, out=ahead[t - margin])
+            total = np.zeros((kinds, part.shape[1]))
+            for t, h in self._steps("b", part[: margin - 1 : -1] if margin else part[::-1]):
+                k = size + margin - 1 - t
+                if t >= margin:
+                    y = ahead[k] + self.p["o"][HIDDEN:].T @ h.T + self.p["b"][:, None]
+                    y -= y.max(0)
+                    np.exp(y, out=y)
+                    total += y * ((k < n) / y.sum(0))
+            out[at : at + most] = total.T
         return out
 
+    def _steps(self, side: str, x: np.ndarray):
+        """(t, state [n, h]) of one direction over bytes x [t, n]; the state's array is used again."""
+        w, u = self.p["w" + side].copy(), self.p["u" + side].copy()
+        w[:, : 2 * HIDDEN] *= 0.5  # a sigmoid is a tanh of half the argument
+        u[:, : 2 * HIDDEN] *= 0.5
+        n = x.shape[1]
+        h, g, a = np.zeros((n, HIDDEN), w.dtype), np.empty((n, 3 * HIDDEN), w.dtype), np.empty((n, 3 * HIDDEN), w.dtype)
+        rz, c = np.empty((n, 2 * HIDDEN), w.dtype), np.empty((n, HIDDEN), w.dtype)
+        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
+        for t in range(len(x)):
+            np.take(w, x[t], axis=0, out=a, mode="clip")
+            np.matmul(h, u, out=g)
+            np.add(a[:, : 2 * HIDDEN], g[:, : 2 * HIDDEN], out=rz)
+            np.tanh(rz, out=rz)
+            rz *= 0.5
+            rz += 0.5
+            np.multiply(r, g[:, 2 * HIDDEN :], out=c)
+            c += a[:, 2 * HIDDEN :]
+            np.tanh(c, out=c)
+            h -= c
+            h *= z
+            h += c
+            yield t, h
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and its pooled probability; `und` and 0 where a text is null or has no letter."""
-        counts = [Counter(segments(t)) if t and self.languages and has_letter(t) else None for t in texts]
-        number = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts if c for w in c))}
-        sums = self.sums(list(number))
-        size = np.array([len(w) for w in number], float)
+        coded = [encoded(t) if t and self.languages and has_letter(t) else b"" for t in texts]
+        cut = [windows(t) for t in coded]
+        counts = np.array([len(w) for w in cut])
+        first = np.concatenate([[0], counts.cumsum()])
+        live = np.concatenate([np.minimum(WINDOW, len(t) - WINDOW * np.arange(n)) for t, n in zip(coded, counts, strict=True)] or [np.zeros(0)])
+        sums = self.window_sums(np.concatenate(cut), live) if counts.sum() else np.zeros((0, max(1, len(self.languages))))
         names, scores = [], []
-        for c in counts:
-            if not c:
+        for i, t in enumerate(coded):
+            if not t:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            at, n = [number[w] for w in c], np.array(list(c.values()), float)
-            pooled = n @ sums[at] / (n @ size[at])
+            pooled = sums[first[i] : first[i + 1]].sum(0) / len(t)
             best = int(pooled.argmax())
             names.append(self.languages[best])
             scores.append(float(min(1.0, pooled[best])))
         return names, scores
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", n_docs: int = TRAIN_DOCS, n_words: int = TRAIN_WORDS) -> Network:
-    """A network from about n_docs hashed documents of each language (the 200 most frequent languages).
+def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text with a letter, at most TRAIN_WINDOWS windows of TRAIN_BYTES bytes at even distances over the whole text."""
+    for b in batches:
+        names, cut = [], []
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if has_letter(text):
+                t = encoded(text)
+                for k in dict.fromkeys(np.linspace(0, max(0, len(t) - TRAIN_BYTES), min(TRAIN_WINDOWS, -(-len(t) // TRAIN_BYTES))).astype(int).tolist()):
+                    names.append(lang)
+                    cut.append(t[k : k + TRAIN_BYTES].ljust(TRAIN_BYTES, b"\0"))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(cut, pa.binary())], names=["lang", "bytes"])
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_docs: int = TRAIN_DOCS) -> Network:
+    """A network from n_docs documents of each language, picked by a hash of id and text; every language of docs is learned.
 
-    Of a language's documents, n_words word occurrences at even steps are learned
-    from. Rows with a null text or language are not. Without any, a network without
+    Rows that repeat an id and its text are one document; copies under other ids count
+    like any other, and no number of them crowds out another language. Windows are cut
+    in tasks: the driver gets at most TRAIN_WINDOWS of TRAIN_BYTES of a document, of which
+    every language counts the same. Rows with a null text or language are not learned
+    from, and neither are texts without a letter. Without any, a network without
     languages comes back, which answers `und`.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found: dict[str, list[bytes]] = {}
-    for r in sorted(hash_sample(rows, n_docs, by=F.col("text"), group="lang").collect()):
-        if has_letter(r.text):
-            found.setdefault(r.lang, []).extend(segments(r.text))
-    languages = sorted(found)
-    words, labels = [], []
-    for i, name in enumerate(languages):
-        own = found[name]
-        step = max(1, len(own) // n_words)
-        words += own[::step]
-        labels += [i] * len(own[::step])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    found = hash_sample(rows, n_docs, by=["id", "text"], group="lang").select("lang", "text").mapInArrow(_training_windows, "lang string, bytes binary").collect()
+    by_lang: dict[str, list[bytes]] = {}
+    for lang, window in sorted((r.lang, bytes(r.bytes)) for r in found):
+        by_lang.setdefault(lang, []).append(window)
+    languages = sorted(by_lang)
+    most = max(map(len, by_lang.values()), default=0)
+    cut = [by_lang[k][i % len(by_lang[k])] for k in languages for i in range(most)]
     net = Network.fresh(languages)
-    net.train(words, labels)
+    net.train(np.frombuffer(b"".join(cut), np.uint8).reshape(-1, TRAIN_BYTES), np.repeat(np.arange(len(languages)), most))
     return net
 
 
@@ -216,8 +254,8 @@ def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 names, scores = net.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -228,4 +266,4 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents; a fifth of them is held out of learning."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = fit(docs.where(~held_out(F.col("doc_id"))))
-    return identify(spread(docs.select("doc_id", "text")), net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(dealt(docs.select("doc_id", "text")), net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, held_out, spread
+from .common import dealt, hash_sample, held_out, materialize, renamed
 
 SYMBOLS = "#*$%&|<>"
 #: Base rules, and the share of words in content lines that a kept document has.
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 10, 20, 0.5
-#: Training: labelled documents of each class, at most, and lines of a training sequence.
-TRAIN_DOCS, TRAIN_LINES = 600, 16
+#: Training: labelled documents of each class, lines of a sequence and sequences of a document, at most; rounds of relabelling, and how sure the field must be of a line to change its label.
+TRAIN_DOCS, TRAIN_LINES, TRAIN_CUTS, ROUNDS, SURE = 600, 64, 4, 3, 0.8
 
 CONTENT, BOILERPLATE = 0, 1
 FEATURES = ("bias", "log_words", "mean_word", "symbols", "upper", "digits", "marks", "ends", "distinct", "repeats", "duplicate", "edge", "starts_upper", "bars")
@@ -135,10 +135,9 @@ class Field:
             out.append(step[out[-1]])
         return np.array(out[::-1], np.int8)
 
-    def loss(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Mean negative log-likelihood of padded sequences x [n, t, f], y, live [n, t], and its gradients."""
-        n, t = y.shape
-        e = x @ self.weights
+    def _messages(self, e: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward messages and the log of the sum over all labellings, of line scores e [n, t, 2]."""
+        n, t, _ = e.shape
         ahead, behind = np.zeros((n, t, 2)), np.zeros((n, t, 2))
         ahead[:, 0] = e[:, 0]
         for k in range(1, t):
@@ -147,7 +146,17 @@ class Field:
         for k in range(t - 2, -1, -1):
             new = _lse(self.moves + (e[:, k + 1] + behind[:, k + 1])[:, None, :], 2)
             behind[:, k] = np.where(live[:, k + 1, None], new, 0)
-        z = _lse(ahead[:, -1], 1)
+        return ahead, behind, _lse(ahead[:, -1], 1)
+
+    def marginals(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Probabilities [n, t, label] of each line of padded sequences."""
+        ahead, behind, z = self._messages(x @ self.weights, live)
+        return np.exp(ahead + behind - z[:, None, None]) * live[..., None]
+
+    def loss(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean negative log-likelihood of padded sequences x [n, t, f], y, live [n, t], and its gradients."""
+        e = x @ self.weights
+        ahead, behind, z = self._messages(e, live)
         norm = weight / weight.sum()
         p = np.exp(ahead + behind - z[:, None, None]) * live[..., None]
         truth = np.eye(2)[y] * live[..., None]
@@ -159,48 +168,95 @@ class Field:
         score = (e * truth).sum((1, 2)) + np.einsum("ntab,ab->n", seen, self.moves)
         return float(((z - score) * norm).sum()), g_w, g_m
 
-    @classmethod
-    def train(cls, texts: list[np.ndarray], labels: list[int], steps: int = 200, rate: float = 0.1, l2: float = 1e-3) -> Field:
-        """Adam on the whole sample; each class weighs the same. labels: of all lines of a text."""
-        if len(set(labels)) < 2:
-            return cls.empty()
-        cut = [(x[k : k + TRAIN_LINES], l) for x, l in zip(texts, labels, strict=True) for k in range(0, len(x), TRAIN_LINES)]
-        t = max(len(x) for x, _ in cut)
-        x, y, live = np.zeros((len(cut), t, len(FEATURES))), np.zeros((len(cut), t), int), np.zeros((len(cut), t), bool)
-        for i, (rows, label) in enumerate(cut):
-            x[i, : len(rows)], y[i, : len(rows)], live[i, : len(rows)] = rows, label, True
-        share = np.bincount(y[:, 0], minlength=2)
-        field = cls(np.zeros((len(FEATURES), 2)), np.zeros((2, 2)))
-        m = [np.zeros_like(field.weights), np.zeros_like(field.moves)]
-        v = [np.zeros_like(field.weights), np.zeros_like(field.moves)]
+    def _descend(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, weight: np.ndarray, steps: int, rate: float, l2: float) -> None:
+        """Adam on all sequences at once."""
+        values = (self.weights, self.moves)
+        m, v = [np.zeros_like(a) for a in values], [np.zeros_like(a) for a in values]
         for step in range(1, steps + 1):
-            _, *grads = field.loss(x, y, live, 1.0 / share[y[:, 0]])
-            for i, (value, g) in enumerate(zip((field.weights, field.moves), grads, strict=True)):
+            _, *grads = self.loss(x, y, live, weight)
+            for i, (value, g) in enumerate(zip(values, grads, strict=True)):
                 g = g + l2 * value
                 m[i] += 0.1 * (g - m[i])
                 v[i] += 0.01 * (g * g - v[i])
                 value -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
+
+    @classmethod
+    def train(cls, texts: list[np.ndarray], labels: list[int], steps: int = 100, rate: float = 0.1, l2: float = 1e-3, seed: int = 0) -> Field:
+        """A field from sequences of line features, each with its document's label.
+
+        The label of a document tells little about a single line, so it is a start only:
+        a content document has content lines, of a boilerplate document at least one line
+        is boilerplate. In ROUNDS rounds, lines of boilerplate documents that the field is
+        SURE are content become content, all but the likeliest boilerplate line. Beside
+        every sequence stands one spliced from a content and a boilerplate document, in
+        the manner of prose between a page's head and foot, so that both labels and the
+        moves between them are seen. Each class weighs the same.
+        """
+        if len(set(labels)) < 2:
+            return cls.empty()
+        cut = [(x[k : k + TRAIN_LINES], l) for x, l in zip(texts, labels, strict=True) for k in range(0, len(x), TRAIN_LINES)]
+        rng, half = np.random.default_rng(seed), TRAIN_LINES // 2
+        own = {k: [i for i, (_, l) in enumerate(cut) if l == k] for k in (CONTENT, BOILERPLATE)}
+        parts: list[list[tuple[int, int, int]]] = [[(i, 0, len(x))] for i, (x, _) in enumerate(cut)]  # sequences as ranges of rows of cut
+        for i, (x, l) in enumerate(cut):
+            j = int(rng.choice(own[1 - l]))
+            mine, other = (i, 0, min(len(x), half)), (j, 0, min(len(cut[j][0]), half))
+            parts.append([mine, other] if rng.random() < 0.5 else [other, mine])
+        t = max(sum(b - a for _, a, b in seq) for seq in parts)
+        x, live = np.zeros((len(parts), t, len(FEATURES))), np.zeros((len(parts), t), bool)
+        y = [np.full(len(rows), l) for rows, l in cut]
+        for n, seq in enumerate(parts):
+            rows = np.concatenate([cut[i][0][a:b] for i, a, b in seq])
+            x[n, : len(rows)], live[n, : len(rows)] = rows, True
+        share = np.bincount([l for _, l in cut], minlength=2)
+        weight = np.array([np.mean([1.0 / share[cut[i][1]] for i, _, _ in seq]) for seq in parts])
+        field = cls(np.zeros((len(FEATURES), 2)), np.zeros((2, 2)))
+        for step in range(ROUNDS):
+            target = np.zeros((len(parts), t), int)
+            for n, seq in enumerate(parts):
+                truth = np.concatenate([y[i][a:b] for i, a, b in seq])
+                target[n, : len(truth)] = truth
+            field._descend(x, target, live, weight, steps, rate / (1 + step), l2)
+            sure = field.marginals(x[: len(cut)], live[: len(cut)])
+            for i in own[BOILERPLATE]:
+                p = sure[i, : len(cut[i][0])]
+                y[i] = np.where(p[:, CONTENT] > SURE, CONTENT, BOILERPLATE)
+                y[i][p[:, BOILERPLATE].argmax()] = BOILERPLATE
         return field
 
 
+def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of a text's lines: at most TRAIN_CUTS runs of TRAIN_LINES lines, at even distances over the whole text."""
+    for b in batches:
+        out = []
+        for text in b.column(1):
+            x = measure(text.as_py()).x
+            starts = np.unique(np.linspace(0, max(0, len(x) - TRAIN_LINES), TRAIN_CUTS).astype(int)) if len(x) > TRAIN_CUTS * TRAIN_LINES else [0]
+            out.append(np.concatenate([x[k : k + TRAIN_LINES] for k in starts]).ravel() if len(starts) > 1 else x.ravel())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["quality", "x"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
         n_docs: int = TRAIN_DOCS) -> Field:
-    """A field from about n_docs labelled documents of each class, picked by hash.
+    """A field from n_docs labelled documents of each class, picked by hash among those not held out.
 
-    Only documents carry labels: all lines of one marked 0 count as boilerplate, all
-    of one marked 1 as content. Rows with a null id, label or text are not learned
-    from; with one class or none, every line is content.
+    Only documents carry labels; train() says what they mean for lines. Features are
+    made in tasks: the driver gets at most TRAIN_CUTS * TRAIN_LINES lines of numbers for
+    each picked id, however long its text is and however many rows repeat the id (one of
+    them is learned from). Rows with a null id, label or text are not; with one class
+    or none, every line is content.
     """
     c = F.col
-    marked = labels.where(c(quality_col).isin(0, 1)).select(c(id_col).alias("doc_id"), c(quality_col).alias("quality"))
-    picked = hash_sample(marked.where(~held_out(c("doc_id"))), n_docs, by=c("doc_id"), group="quality")
-    rows = docs.select(c(id_col).alias("doc_id"), c(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").collect()
+    marked = labels.select(c(id_col).alias("doc_id"), c(quality_col).alias("quality")).where(c("quality").isin(0, 1) & ~held_out(c("doc_id")))
+    picked = materialize(hash_sample(marked, n_docs, by=["doc_id"], group="quality"), "picked-labels")
+    rows = docs.select(c(id_col).alias("doc_id"), c(text_col).alias("text")).where("text IS NOT NULL").join(picked, "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = rows.select("quality", "text").mapInArrow(_line_features, "quality int, x array<double>").collect()
     texts, y = [], []
-    for r in sorted(rows):
-        x = measure(r.text).x
+    for q, x in sorted((r.quality, r.x) for r in found):
         if len(x):
-            texts.append(x)
-            y.append(BOILERPLATE if r.quality == 0 else CONTENT)
+            texts.append(np.array(x).reshape(-1, len(FEATURES)))
+            y.append(BOILERPLATE if q == 0 else CONTENT)
     return Field.train(texts, y)
 
 
@@ -213,19 +269,22 @@ ADDED = T.StructType([
 def with_line_quality(docs: DataFrame, field: Field, *, text_col: str = "text", min_content: float = MIN_CONTENT, keep_text: bool = True) -> DataFrame:
     """docs with the base numbers, a letter for each line with a word (C or B), content_share and kept.
 
-    Added columns replace those of the same name. kept is false where a base rule
+    Added columns replace those of the same name; other columns may have any name. kept is false where a base rule
     fails, else whether content lines hold at least min_content of the words. Null,
     empty and blank texts have no words and fail. Rows are independent of each other,
     so repeated rows and empty tables need no rule; nothing is shuffled.
     """
     new = [f.name for f in ADDED]
-    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in new or c == text_col])
-    rest = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+    inner, names = renamed(docs)
+    own = names[text_col]
+    rest = [i for i, c in enumerate(docs.columns) if c not in new and (keep_text or c != text_col)]
+    inner = inner.select(*dict.fromkeys([own, *[f"c{i}" for i in rest]]))
+    fields = [inner.schema[f"c{i}"] for i in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in b.column(b.schema.get_field_index(text_col)):
+            for text in b.column(b.schema.get_field_index(own)):
                 m = measure(text.as_py())
                 path = field.viterbi(m.x)
                 share = float(m.words[path == CONTENT].sum() / m.n_words) if m.n_words else 0.0
@@ -233,14 +292,14 @@ def with_line_quality(docs: DataFrame, field: Field, *, text_col: str = "text",
                             "".join("CB"[k] for k in path), share, not m.base_failed and share >= min_content))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.float64(), pa.bool_()]
             added = [pa.array(col, kind) for col, kind in zip(list(zip(*out, strict=True)) or [()] * len(new), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(f.name)) for f in rest], *added], names=[*[f.name for f in rest], *new])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(f.name)) for f in fields], *added], names=[*[f.name for f in fields], *new])
 
-    return docs.mapInArrow(run, T.StructType([*rest, *ADDED.fields]))
+    return inner.mapInArrow(run, T.StructType([*fields, *ADDED.fields])).toDF(*[docs.columns[i] for i in rest], *new)
 
 
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base numbers and the field's verdict for all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     field = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_line_quality(spread(docs.select("doc_id", "text")), field, keep_text=False).select(
+    return with_line_quality(dealt(docs.select("doc_id", "text")), field, keep_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "line_labels")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import dealt
 
 TIERS = (256, 512, 1024, 2048)
 #: Windows of the longest size that one training step takes.
@@ -232,5 +232,5 @@ def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return packed_digests(pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))

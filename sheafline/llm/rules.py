@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out, spread
+from .common import dealt, hash_sample, held_out, materialize, renamed
 
 #: Training: labelled documents of each class, at most; trees, their depth, cut points of a statistic.
 TRAIN_DOCS, TREES, DEPTH, CUTS = 2000, 24, 3, 24
@@ -133,6 +133,7 @@ class RuleModel:
 
     @classmethod
     def train(cls, x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> RuleModel:
+        """Weights of distinct rules; with one class or none, every text scores 1, and where no rule is found, as with a few or constant rows, every text scores a half."""
         if len(np.unique(y)) < 2:
             return cls()
         share = np.bincount(y.astype(int), minlength=2) / len(y)
@@ -145,10 +146,12 @@ class RuleModel:
                 known.add(column.tobytes())
                 found.append(rule)
                 columns.append(column)
+        if not found:  # too few rows, or rows that no statistic tells apart: the weighted share of label 1
+            return cls([], 0.0)
         r = np.array(columns, float).T
-        middle, spread = r.mean(0), r.std(0)
-        w, b = lasso((r - middle) / spread, y, weight, penalty)
-        w = w / spread
+        middle, scale = r.mean(0), r.std(0)
+        w, b = lasso((r - middle) / scale, y, weight, penalty)
+        w = w / scale
         return cls([(rule, float(k)) for rule, k in zip(found, w, strict=True) if k], float(b - w @ middle))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -176,32 +179,36 @@ class RuleModel:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality",
         n_docs: int = TRAIN_DOCS) -> RuleModel:
-    """A model from about n_docs labelled documents of each class, picked by hash among those not held out.
+    """A model from n_docs labelled documents of each class, picked by hash among those not held out.
 
-    Rows with a null id or label are not learned from; with one class or none, every
-    text scores 1.
+    Statistics are made in tasks; the driver gets one row of numbers for each picked id,
+    also where rows repeat the id. Rows with a null id or label are not learned from;
+    train() says what few, constant and one-class rows give.
     """
     c = F.col
-    marked = labels.where(c(quality_col).isin(0, 1)).select(c(id_col).alias("doc_id"), c(quality_col).alias("quality"))
-    picked = hash_sample(marked.where(~held_out(c("doc_id"))), n_docs, by=c("doc_id"), group="quality")
-    rows = with_features(docs.select(c(id_col).alias("doc_id"), c(text_col).alias("text")).join(F.broadcast(picked), "doc_id"), "text")
+    marked = labels.select(c(id_col).alias("doc_id"), c(quality_col).alias("quality")).where(c("quality").isin(0, 1) & ~held_out(c("doc_id")))
+    picked = materialize(hash_sample(marked, n_docs, by=["doc_id"], group="quality"), "picked-labels")
+    rows = docs.select(c(id_col).alias("doc_id"), c(text_col).alias("text")).join(picked, "doc_id")
+    rows = with_features(rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "text")
     data = np.array(sorted(tuple(r) for r in rows.select("quality", *[f"__q_{f}" for f in FEATURES]).collect()), float).reshape(-1, len(FEATURES) + 1)
     return RuleModel.train(data[:, 1:], data[:, 0])
 
 
 def with_scores(docs: DataFrame, model: RuleModel, *, text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from the cutoff on), which replace columns of those names.
+    """docs with score (0 to 1) and predicted (1 from the cutoff on), which replace columns of those names; other columns may have any name.
 
     Null and empty texts have zero statistics and are scored like any other. Rows are
     independent, so repeated rows and empty tables need no rule; nothing is shuffled.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    marked = with_features(docs.select(*[f"`{c}`" for c in keep]), text_col)
-    return marked.select(*[f"`{c}`" for c in keep], model.column().alias("score")).withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
+    keep = [i for i, c in enumerate(docs.columns) if c not in ("score", "predicted")]
+    inner, names = renamed(docs)
+    marked = with_features(inner, names[text_col])
+    out = marked.select(*[f"c{i}" for i in keep], model.column().alias("score")).withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
+    return out.toDF(*[docs.columns[i] for i in keep], "score", "predicted")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; a fifth of them is held out of learning."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_scores(spread(docs.select("doc_id", "text")), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return with_scores(dealt(docs.select("doc_id", "text")), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

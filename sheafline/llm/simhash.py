@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, spread
+from .common import dealt, materialize
 from .components import connected_components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -31,26 +31,34 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """The SimHash of a text's word shingles as an unsigned 64-bit number; zero without words."""
-    if not text:
-        return 0
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; of the whole sequence where it has fewer words, none without words."""
     # One space between words makes each shingle a slice of the same bytes.
-    joined = _SPACE.sub(b" ", text.encode("utf-8").translate(_LOWER)).strip(b" ")
+    joined = _SPACE.sub(b" ", (text or "").encode("utf-8").translate(_LOWER)).strip(b" ")
     if not joined:
-        return 0
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     n = len(gaps) + 1
     if n <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     starts = [0, *(gaps[: n - width] + 1).tolist()]
     ends = [*gaps[width - 1 :].tolist(), len(joined)]
     digest = xxhash.xxh64_intdigest
-    counts, total = np.zeros(64, np.int64), len(starts)
-    for at in range(0, total, 8192):  # whole text, in pieces that stay small
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + 8192], ends[at : at + 8192], strict=True)], ">u8")
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of hashes as an unsigned 64-bit number: bits that over half of them have; zero without hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):  # all of them, in pieces that stay small
+        h = hashes[at : at + 8192].astype(">u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """The SimHash of a text's word shingles as an unsigned 64-bit number; zero without words."""
+    return majority(shingle_hashes(text, width))
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", width: int = SHINGLE) -> DataFrame:
@@ -185,5 +193,5 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def op6_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    out = near_duplicate_classes(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    out = near_duplicate_classes(dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,17 +1,19 @@
-"""Near-duplicates by shingle similarity, found through an exact prefix index.
-
-Two sets whose similarity reaches the threshold share a member of their prefixes: the
-first n - ceil(threshold * n) + 1 of n shingles, in any order that is the same for all.
-Every such shingle has a posting list, rare ones come first. In a list, pairs go whose
+"""Near-duplicates at a similarity of word shingles: SimHash candidates first, then what a fingerprint cannot promise.
+
+Fingerprints of the shingles go through the byte-position index of simhash.py; what it
+proposes is compared by exact shingle sets, and verified links give classes their labels.
+At a similarity of 0.8 two fingerprints differ in some ten of 64 bits, so that index alone
+would lose most of the weaker links. The rest meet through shingles themselves: two sets
+at the threshold share a member of their prefixes, the first n - ceil(threshold * n) + 1 of
+n shingles in any order that is the same for all. Every such shingle has a posting list,
+rare ones come first. In a list, pairs go that have one label already, and those whose
 sizes or parity bitmaps rule the threshold out: the bits in which two bitmaps differ are
-at most as many as the shingles that only one text holds, so no pair is lost. Pairs of
-long texts are met once more with wider bitmaps. What is linked so is then compared by
-its exact shingle sets, and only pairs at or above the threshold count.
+at most as many as the shingles that only one text holds, so no pair is lost. What is left
+is compared by exact shingle sets again.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,72 +23,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import hash_sample, materialize, renamed
 from .components import connected_components
+from .simhash import fingerprint_links, majority, shingle_hashes
 
 #: Five words and a similarity of 0.8.
 WIDTH, THRESHOLD = 5, 0.8
-#: Bytes of a parity bitmap in a posting list and of a fingerprint; bytes of the widest bitmap of a text.
+#: Bytes of a parity bitmap in a posting list; bytes of the widest bitmap of a text.
 BYTES, WIDEST = 32, 8192
-#: Shingles from which a posting list's bitmap tells little; so many such texts of a list give all their pairs to the wider bitmaps.
-LONG, PAIRED = 384, 24
+#: Shingles from which a posting list's bitmap tells little: pairs with such a text are met once more with wider bitmaps.
+LONG = 384
 #: Texts sampled for the order of shingles; shingles that come last, at most; sampled texts that hold one, at least.
 SAMPLE, FREQUENT, SEEN = 4096, 65536, 3
-#: The fingerprint index that the prefix index replaced: tests still measure it, nothing else uses it.
-MAX_BITS, ROUNDS = 28, 4
-#: Members that meet in a task: of a posting list, and of a group whose shingles are compared.
-LIST_LIMIT, GROUP_LIMIT = 4096, 1000
-
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
-
-
-def words(text: str | None) -> list[bytes]:
-    """Words between white space, A to Z in lower case."""
-    return (text or "").encode("utf-8").translate(_LOWER).split()
-
-
-def wide_fingerprint(own: list[bytes]) -> bytes:
-    """The SimHash of the distinct words in BYTES bytes; zeros without words."""
-    distinct = set(own)
-    counts = np.zeros(8 * BYTES, np.int64)
-    pieces = list(distinct)
-    for at in range(0, len(pieces), 8192):
-        part = pieces[at : at + 8192]
-        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, 1) + xxhash.xxh3_128_digest(w, 2) for w in part]), np.uint8).reshape(-1, BYTES)
-        counts += np.unpackbits(h, axis=1).sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(distinct)).tobytes()
-
+#: Members that meet in a task: of a posting list, and of a group whose shingles are compared. Lists of up to so many members give all their pairs.
+LIST_LIMIT, GROUP_LIMIT, PAIRED = 4096, 1000, 64
 
-def shingle_set(own: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of word shingles; a shorter text is one shingle."""
-    joined = b" ".join(own)
-    if not own:
-        return np.zeros(0, np.int64)
-    if len(own) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64).view(np.int64)
-    ends = np.cumsum([len(w) + 1 for w in own]) - 1
-    starts = np.concatenate([[0], ends[: len(own) - width] + 1]).tolist()
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)).view(np.int64)
 
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of word shingles; a shorter text is one shingle."""
+    return np.unique(shingle_hashes(text, width)).view(np.int64)
 
-def triples(rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
-    """[lists, 3] positions: in each round, a shuffle of the positions cut into disjoint triples."""
-    rng = np.random.default_rng(seed)
-    return np.concatenate([rng.permutation(BYTES)[: BYTES // 3 * 3].reshape(-1, 3) for _ in range(rounds)])
 
-
-def _search(members: np.ndarray, near) -> list[tuple[int, int]]:
-    """Edges that span all links among members; near(i, rest) tells which of rest link with i. Every member is met once."""
+def search(members: np.ndarray, label: np.ndarray, near) -> list[tuple[int, int]]:
+    """Edges that span all links among members of different labels; near(i, rest) tells which of rest link with i. Every member is met once, smaller ones first."""
     left, edges = members, []
     while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
+        one = label[left] == label[left[0]]
+        queue, left = left[one].tolist(), left[~one]
         while queue and len(left):
             i = queue.pop()
             hit = near(i, left)
-            found, left = left[hit], left[~hit]
-            edges += [(i, int(x)) for x in found]
-            queue += found.tolist()
+            if hit.any():
+                found = left[hit]
+                first = np.unique(label[found], return_index=True)[1]
+                edges += [(i, int(x)) for x in found[first]]
+                joined = np.isin(label[left], label[found])
+                queue += left[joined].tolist()
+                left = left[~joined]
     return edges
 
 
@@ -117,17 +90,16 @@ def _shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(words(x.as_py()), width))], names=["shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), width))], names=["shingle"])
 
     return run
 
 
 def _frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, sorted, that several of about SAMPLE texts hold, and how many do: FREQUENT at most. They only order prefixes, so any sample gives the same result."""
+    """Shingles, sorted, that several of SAMPLE texts hold, and how many do: FREQUENT at most. They only order prefixes, so any sample gives the same result."""
     c = F.col
-    share = F.pmod(F.xxhash64(c(text), F.lit("order")), F.lit(1 << 31)) / float(1 << 31)
-    some = docs.select(text).where(share < SAMPLE / max(docs.count(), 1)).mapInArrow(_shingles(width), "shingle long")
-    rows = some.groupBy("shingle").count().where(c("count") >= SEEN).orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
+    some = hash_sample(docs.select(c(text).alias("text"), F.lit(0).alias("all")), SAMPLE, by=["text"], group="all")
+    rows = some.select("text").mapInArrow(_shingles(width), "shingle long").groupBy("shingle").count().where(c("count") >= SEEN).orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
     found = np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, 2)
     return found[:, 0].copy(), found[:, 1].copy()
 
@@ -135,31 +107,29 @@ def _frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nd
 def _marks(text: str, out: T.StructType, frequent: np.ndarray, seen: np.ndarray, width: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            firsts, sizes, bits, sums = [], [], [], []
+            firsts, sizes, bits, sums, fps = [], [], [], [], []
             for x in b.column(b.schema.get_field_index(text)):
-                own = words(x.as_py())
-                shingles = shingle_set(own, width)
+                hashes = shingle_hashes(x.as_py(), width)
+                shingles = np.unique(hashes).view(np.int64)
                 firsts.append(prefix(shingles, frequent, seen, threshold))
                 sizes.append(len(shingles))
                 bits.append(parity(shingles))
-                sums.append(xxhash.xxh3_128_digest(b" ".join(own)))
-            added = [pa.array(firsts, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(sums, pa.binary())]
+                sums.append(xxhash.xxh3_128_digest(hashes.tobytes()))  # equal shingles in equal order: equal words
+                fps.append(majority(hashes))
+            added = [pa.array(firsts, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(sums, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=out.fieldNames())
 
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a posting list holds of a class: its number, label, size and folded bitmap."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        cls, size = b.column(0).to_numpy(), b.column(2).to_numpy()
-        lists = b.column(1)
-        bits = np.stack([fold(x) for x in b.column(3).to_pylist()])
-        members = np.concatenate([cls.astype(np.int64)[:, None].view(np.uint8), size.astype(np.int32)[:, None].view(np.uint8), bits], axis=1)
-        packed = pa.array([m.tobytes() for m in members], pa.binary())
-        owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-        yield pa.RecordBatch.from_arrays([lists.flatten(), packed.take(pa.array(owner))], names=["key", "member"])
+        if b.num_rows:
+            numbers = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)], 1)
+            bits = np.stack([fold(x) for x in b.column(3).to_pylist()])
+            packed = np.concatenate([numbers.view(np.uint8), bits], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.tobytes() for m in packed], pa.binary())], names=["cls", "member"])
 
 
 def _most(size_a, size_b, threshold: float):
@@ -168,41 +138,50 @@ def _most(size_a, size_b, threshold: float):
 
 
 def _list_edges(threshold: float):
+    """Candidate pairs (a, b) of posting lists. whole: all pairs of the list are given, else some that span them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sure: list[tuple[int, int]] = []
-            open_: list[tuple[int, int]] = []
-            for members in b.column(0).to_pylist():
-                m = np.frombuffer(b"".join(members), np.uint8).reshape(-1, 12 + BYTES)
-                cls, size, bits = m[:, :8].copy().view(np.int64)[:, 0], m[:, 8:12].copy().view(np.int32)[:, 0].astype(np.int64), m[:, 12:].copy().view(np.uint64)
-
-                def near(i, rest, size=size, bits=bits):
-                    limit = _most(size[rest], size[i], threshold)
-                    return (np.abs(size[rest] - size[i]) <= limit) & (np.bitwise_count(bits[rest] ^ bits[i]).sum(1) <= limit)
-
-                long = np.flatnonzero(size >= LONG)
-                if len(long) > PAIRED:
-                    sure += [(int(cls[i]), int(cls[j])) for i, j in _search(np.arange(len(cls)), near)]
-                    continue
-                sure += [(int(cls[i]), int(cls[j])) for i, j in _search(np.flatnonzero(size < LONG), near)]
-                for i in long:
-                    rest = np.flatnonzero((size < LONG) | (np.arange(len(cls)) > i))
-                    open_ += [(min(int(cls[i]), int(k)), max(int(cls[i]), int(k))) for k in cls[rest[near(i, rest)]]]
-            e = np.array(list(set(sure)) + list(set(open_)), np.int64).reshape(-1, 2)
-            known = np.arange(len(e)) < len(set(sure))
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(known)], names=["a", "b", "sure"])
+            offsets = b.column(0).offsets.to_numpy()
+            m = np.frombuffer(b"".join(b.column(0).flatten().to_pylist()), np.uint8).reshape(-1, 24 + BYTES)
+            cls, label, size = m[:, :24].copy().view(np.int64).T
+            bits, first, length = m[:, 24:].copy().view(np.uint64), offsets[:-1] - offsets[0], np.diff(offsets)
+
+            def near(i, j):
+                limit = _most(size[j], size[i], threshold)
+                return (np.abs(size[j] - size[i]) <= limit) & (np.bitwise_count(bits[j] ^ bits[i]).sum(-1) <= limit) & (label[i] != label[j])
+
+            pairs = {True: [np.zeros((0, 2), np.int64)], False: [np.zeros((0, 2), np.int64)]}
+            for n in np.unique(length[length <= PAIRED]):  # lists of one length are met together
+                x, y = np.triu_indices(n, 1)
+                own = first[length == n]
+                step = max(1, (1 << 18) // len(x))
+                for k in range(0, len(own), step):
+                    i, j = (own[k : k + step, None] + x).ravel(), (own[k : k + step, None] + y).ravel()
+                    hit = near(i, j)
+                    pairs[True].append(np.stack([cls[i[hit]], cls[j[hit]]], 1))
+            for at, n in zip(first[length > PAIRED], length[length > PAIRED], strict=True):
+                own = at + np.argsort(cls[at : at + n])
+                if (label[own] != label[own[0]]).any():
+                    found = np.array(search(own, label, near), np.int64).reshape(-1, 2)
+                    pairs[False].append(cls[found])
+            parts = [np.unique(np.sort(np.concatenate(pairs[k]), axis=1), axis=0) for k in (True, False)]
+            e, whole = np.concatenate(parts), np.repeat([True, False], [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(whole)], names=["a", "b", "whole"])
 
     return run
 
 
-def _wide_edges(threshold: float):
+def _wide(threshold: float):
+    """Of pairs (a, b, whole, sizes, bitmaps), those that the wider of their bitmaps do not rule out; pairs that only span a list stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            for whole, n, m, x, y in zip(*[b.column(k).to_pylist() for k in range(2, 7)], strict=True):
                 size = min(len(x), len(y))
-                keep.append(bool(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum() <= _most(n, m, threshold)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep.append(not whole or max(n, m) < LONG or bool(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum() <= _most(n, m, threshold)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2)], names=["a", "b", "whole"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -210,15 +189,40 @@ def _wide_edges(threshold: float):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(words(x.as_py()), width) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["grp", "cls", "shingles"])
+            sets = [shingle_set(x.as_py(), width) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "shingles"])
 
     return run
 
 
+def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sets without repeats reach the threshold."""
+    shared = len(a) + len(b) - len(np.union1d(a, b))
+    return shared >= threshold * (len(a) + len(b) - shared) - 1e-9
+
+
+def _verified(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = [_alike(x.values.to_numpy(), y.values.to_numpy(), threshold) for x, y in zip(b.column(3), b.column(4), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(same, pa.bool_())], names=["a", "b", "whole", "same"])
+
+    return run
+
+
+def verify(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """edges (a, b, whole) with a column same: whether the shingle sets (cls, shingles) of a and b reach the threshold."""
+    one = lambda k: sets.select(F.col("cls").alias(k), F.col("shingles").alias(f"of_{k}"))
+    return edges.join(one("a"), "a").join(one("b"), "b").select("a", "b", "whole", "of_a", "of_b").mapInArrow(_verified(threshold), "a long, b long, whole boolean, same boolean")
+
+
 def _group_edges(threshold: float):
+    """Edges that span the links between labels of one task: a block of a group, or two."""
+
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cls")
         cls, lists = t["cls"].to_numpy(), t["shingles"].combine_chunks()
+        label = np.unique(t["label"].to_numpy(), return_inverse=True)[1]
         offsets = lists.offsets.to_numpy()
         _, column = np.unique(lists.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)
         at = offsets - offsets[0]
@@ -232,39 +236,87 @@ def _group_edges(threshold: float):
             own[column[at[i] : at[i + 1]]] = False
             return shared >= threshold * (size[i] + size[rest] - shared) - 1e-9
 
-        e = np.array([(cls[i], cls[j]) for i, j in _search(np.arange(len(cls)), near)], np.int64).reshape(-1, 2)
+        e = np.array([(cls[i], cls[j]) for i, j in search(np.arange(len(cls)), label, near)], np.int64).reshape(-1, 2)
         return pa.table({"a": e[:, 0], "b": e[:, 1]})
 
     return run
 
 
-def _in_blocks(rows: DataFrame, group: list[str], blocks: DataFrame, own: str, how: str = "left") -> DataFrame:
-    """rows with block numbers i and j: groups that blocks (group, n) names are cut by a hash of `own` and every pair of blocks is a group of its own; an inner join drops the others."""
+def fingerprint_edges(classes: DataFrame) -> DataFrame:
+    """Candidates (a, b, whole) of the SimHash index: edges that span the links of fingerprints, and classes of one fingerprint with the first of them."""
     c = F.col
-    cut = rows.join(blocks, group, how).withColumn("__own", F.pmod(F.xxhash64(own), F.coalesce("n", F.lit(1))).cast("int"))
-    cut = cut.withColumn("__x", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)).cast("int") - 1)))
-    return cut.withColumns({"i": F.least("__own", "__x"), "j": F.greatest("__own", "__x")}).drop("n", "__own", "__x").where(c("i").isNotNull())
+    fps = materialize(classes.groupBy("fp").agg(F.min("cls").alias("first")), "distinct-fingerprints")
+    name = lambda k: fps.select(c("fp").alias(k), c("first").alias(f"cls_{k}"))
+    linked = fingerprint_links(fps.select("fp")).join(name("a"), "a").join(name("b"), "b").select(c("cls_a").alias("a"), c("cls_b").alias("b"))
+    equal = classes.select("cls", "fp").join(fps, "fp").where("cls <> first").select(c("first").alias("a"), c("cls").alias("b"))
+    return linked.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("whole")).distinct()
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """Edges (a, b) that span all verified links between classes (cls, prefix, size, bits); texts: (cls, text) of one row of each.
+def list_edges(classes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (a, b, whole) of the posting lists, between classes of different labels (cls, label).
 
-    Posting lists over LIST_LIMIT and groups over GROUP_LIMIT are met block by block,
-    every pair of blocks in a task of its own; spanning edges alone leave a task.
+    Lists over LIST_LIMIT are met block by block, every pair of blocks in a task of its own.
     """
     c = F.col
-    keyed = classes.select("cls", "prefix", "size", "bits").mapInArrow(_keys, "key long, member binary")
+    keyed = classes.select("cls", F.explode("prefix").alias("key"))
     blocks = F.when(c("count") > LIST_LIMIT, F.ceil(c("count") / (LIST_LIMIT // 2))).otherwise(1).cast("int")
     shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key", blocks.alias("n")), "shared-keys")
-    lists = _in_blocks(keyed, ["key"], shared, "member", "inner").groupBy("key", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
-    edges = materialize(lists.select("members").mapInArrow(_list_edges(threshold), "a long, b long, sure boolean").distinct(), "candidate-edges")
+    cut = keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("cls"), c("n")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), c("n") - 1)))
+    member = classes.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "size", "bits").mapInArrow(_members, "cls long, member binary")
+    met = cut.select("key", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "cls").join(member, "cls")
+    lists = met.groupBy("key", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
+    found = lists.select("members").mapInArrow(_list_edges(threshold), "a long, b long, whole boolean").groupBy("a", "b").agg(F.min("whole").alias("whole"))
     wide = lambda k: classes.select(c("cls").alias(k), c("size").alias(f"size_{k}"), c("bits").alias(f"bits_{k}"))
-    pairs = edges.where("NOT sure").join(wide("a"), "a").join(wide("b"), "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b")
-    found = materialize(edges.where("sure").select("a", "b").unionByName(pairs.mapInArrow(_wide_edges(threshold), "a long, b long")), "candidate-pairs")
-    groups = materialize(connected_components(found).select(c("node").alias("cls"), c("component").alias("grp")), "candidate-groups")
-    sizes = groups.groupBy("grp").count().where(c("count") > GROUP_LIMIT).select("grp", F.ceil(c("count") / (GROUP_LIMIT // 2)).cast("int").alias("n"))
-    sets = groups.join(texts, "cls").select("grp", "cls", "text").mapInArrow(_sets(width), "grp long, cls long, shingles array<long>")
-    return _in_blocks(sets, ["grp"], sizes, "cls").groupBy("grp", "i", "j").applyInArrow(_group_edges(threshold), "a long, b long")
+    both = found.join(wide("a"), "a").join(wide("b"), "b").select("a", "b", "whole", "size_a", "size_b", "bits_a", "bits_b")
+    return both.mapInArrow(_wide(threshold), "a long, b long, whole boolean")
+
+
+def rest_edges(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) that span the verified links between labels of each group; groups: (cls, grp, label).
+
+    Groups over GROUP_LIMIT are cut into blocks: a label that fills one has blocks of its
+    own, all others share theirs. Pairs of blocks are met but for those of one label, so the
+    work of a group grows with what has no label in common with its largest part.
+    """
+    c = F.col
+    half = GROUP_LIMIT // 2
+    sizes = groups.groupBy("grp", "label").count()
+    own = c("count") >= half
+    total = sizes.groupBy("grp").agg(F.sum("count").alias("all"), F.sum(F.when(own, 0).otherwise(c("count"))).alias("small"))
+    parts = sizes.join(total, "grp").select(
+        "grp", "label", F.when((c("all") > GROUP_LIMIT) & own, c("label")).alias("pure"),
+        F.when(c("all") <= GROUP_LIMIT, 1).when(own, F.ceil(c("count") / half)).otherwise(F.ceil(c("small") / half)).cast("int").alias("n"))
+    placed = materialize(groups.join(parts, ["grp", "label"]).withColumn("block", F.struct("pure", F.pmod(F.xxhash64("cls"), c("n")).cast("int").alias("k"))).drop("n"), "placed")
+    others = placed.select("grp", "block").distinct().groupBy("grp").agg(F.collect_list("block").alias("blocks"))
+    other = F.explode(F.filter("blocks", lambda x: c("pure").isNull() | x["pure"].isNull() | (x["pure"] != c("pure"))))
+    met = placed.join(others, "grp").select("grp", "cls", "label", "block", other.alias("x"))
+    tasks = met.select("grp", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "cls", "label").join(sets, "cls")
+    return tasks.groupBy("grp", "i", "j").applyInArrow(_group_edges(threshold), "a long, b long")
+
+
+def similar_classes(classes: DataFrame, texts: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of all classes (cls, fp, prefix, size, bits) that have a verified link; texts: (cls, text) of one row of each."""
+    c = F.col
+    sets_of = lambda edges: edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(texts, "cls").select("cls", "text").mapInArrow(_sets(width), "cls long, shingles array<long>")
+    near = materialize(fingerprint_edges(classes), "fingerprint-edges")
+    sure = materialize(verify(near, sets_of(near), threshold).where("same"), "fingerprint-links").select("a", "b")
+    labels = sure.groupBy(c("b").alias("cls")).agg(F.min("a").alias("label"))  # whoever links with the same one is of one class
+    found = materialize(list_edges(classes, labels, threshold), "list-edges")
+    checked = materialize(verify(found, materialize(sets_of(found), "sets"), threshold), "list-links")
+    links = sure.unionByName(checked.where("same").select("a", "b"))
+    parts = materialize(connected_components(links), "labels")
+    # pairs that only span a list and failed stand for others that were not compared
+    label = lambda k: parts.select(c("node").alias(k), c("component").alias(f"label_{k}"))
+    open_ = checked.where("NOT same AND NOT whole").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    open_ = materialize(open_.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a <> b"), "open-labels")
+    if open_.isEmpty():
+        return parts
+    groups = materialize(connected_components(open_).toDF("label", "grp"), "open-groups")
+    every = parts.select(c("node").alias("cls"), c("component").alias("label"))
+    every = every.unionByName(groups.select(c("label").alias("cls"), "label").join(every, "cls", "left_anti"))
+    members = every.join(groups, "label").select("cls", "grp", "label")
+    sets = members.select("cls").join(texts, "cls").select("cls", "text").mapInArrow(_sets(width), "cls long, shingles array<long>")
+    return connected_components(links.unionByName(materialize(rest_edges(members, sets, threshold), "rest-links")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -278,16 +330,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     threshold, so nothing is missed; the tests hold it against brute force.
     """
     c = F.col
-    cols = docs.columns
-    inner = docs.toDF(*[f"c{i}" for i in range(len(cols))])
-    own, text = f"c{cols.index(id_col)}", f"c{cols.index(text_col)}"
+    inner, names = renamed(docs)
+    own, text = names[id_col], names[text_col]
     out = T.StructType([*inner.schema.fields, T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("size", T.IntegerType()),
-                        T.StructField("bits", T.BinaryType()), T.StructField("same", T.BinaryType())])
+                        T.StructField("bits", T.BinaryType()), T.StructField("same", T.BinaryType()), T.StructField("fp", T.LongType())])
     marked = materialize(inner.mapInArrow(_marks(text, out, *_frequent(inner, text, width), width, threshold), out).withColumn("row", F.monotonically_increasing_id()), "marked")
     least = F.struct(c(own).isNull().alias("none"), c(own).alias("id"), c("row").alias("row"))
-    classes = materialize(marked.groupBy("same").agg(F.min("row").alias("cls"), *[F.first(k).alias(k) for k in ("prefix", "size", "bits")], F.min(least).alias("least")), "classes")
+    classes = materialize(marked.groupBy("same").agg(F.min("row").alias("cls"), *[F.first(k).alias(k) for k in ("fp", "prefix", "size", "bits")], F.min(least).alias("least")), "classes")
     texts = marked.select(c("row").alias("cls"), c(text).alias("text"))
-    parts = connected_components(similar_links(classes, texts, width=width, threshold=threshold))
-    named = classes.join(parts, c("cls") == c("node"), "left").select(F.coalesce("component", "cls").alias("part"), "least")
+    parts = similar_classes(classes, texts, width=width, threshold=threshold)
+    named = classes.select("cls", "least").join(parts, c("cls") == c("node"), "left").select(F.coalesce("component", "cls").alias("part"), "least")
     stays = named.groupBy("part").agg(F.min("least").alias("least")).select(c("least.row").alias("row"))
-    return marked.join(stays, "row", "left_semi").select(*inner.columns).toDF(*cols)
+    return marked.join(stays, "row", "left_semi").select(*inner.columns).toDF(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, spread
+from .common import dealt, materialize
 
 _SPACE, _NL = " ▁", "\n"
 #: Latin, Greek and Cyrillic letters. Other scripts count as other characters, which only makes their pre-tokens longer.
@@ -140,4 +140,4 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     import public_tokenizers
 
-    return count_tokens(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), public_tokenizers.path("piece_bpe_32k.model"))
