@@ -10,18 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.llm import linequality, packing, rules, similar
+from sheafline.llm.common import dealt, materialize, renamed
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail a base rule or are mostly boilerplate lines."""
+    """Drops documents that fail a base rule or are mostly boilerplate lines.
+
+    Null, empty and blank texts fail. Rows are judged one by one, so repeated rows and
+    ties share their fate and an empty table gives an empty one; columns of docs come out
+    as they are, whatever their names.
+    """
     field = linequality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return linequality.with_line_quality(docs, field).where("kept").select(*docs.columns)
+    inner, names = renamed(docs)
+    return linequality.with_line_quality(inner, field, text_col=names["text"]).where("kept").select(*inner.columns).toDF(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the rule ensemble scores below its cutoff; it learns from the whole table, as the stages before leave few bad examples or none."""
+    """Drops documents that the rule ensemble scores below its cutoff; it learns from the whole table, as the stages before leave few bad examples or none.
+
+    Null and empty texts are scored like any other. Rows are judged one by one, so
+    repeated rows and ties share their fate and an empty table gives an empty one;
+    columns of docs come out as they are, whatever their names.
+    """
     model = rules.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rules.with_scores(docs, model).where("predicted = 1").select(*docs.columns)
+    inner, names = renamed(docs)
+    return rules.with_scores(inner, model, text_col=names["text"]).where("predicted = 1").select(*inner.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage keeps is written to the shared folder and read again."""
-    from sheafline.llm.common import materialize, spread
-
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
     return STAGES[-1][1](spark, docs, sf_dir)
