@@ -35,7 +35,7 @@ BYTES, WIDEST = 32, 8192
 LONG = 384
 #: Texts sampled for the order of shingles; shingles that come last, at most; sampled texts that hold one, at least.
 SAMPLE, FREQUENT, SEEN = 4096, 65536, 3
-#: Members that meet in a task: of a posting list, and of a group whose shingles are compared. Lists of up to so many members give all their pairs.
+#: Members that meet in a task: of a posting list, and of a group whose shingles are compared. Lists of up to so many members give all their pairs, longer ones what spans them.
 LIST_LIMIT, GROUP_LIMIT, PAIRED = 4096, 1000, 64
 
 
@@ -123,13 +123,13 @@ def _marks(text: str, out: T.StructType, frequent: np.ndarray, seen: np.ndarray,
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a posting list holds of a class: its number, label, size and folded bitmap."""
+    """What a posting list holds of a class: its number, label, size and bitmap, folded in small lists and whole in large ones."""
     for b in batches:
         if b.num_rows:
             numbers = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)], 1)
-            bits = np.stack([fold(x) for x in b.column(3).to_pylist()])
-            packed = np.concatenate([numbers.view(np.uint8), bits], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.tobytes() for m in packed], pa.binary())], names=["cls", "member"])
+            heads, bits = [m.tobytes() for m in numbers], b.column(3).to_pylist()
+            small = [h + fold(x).tobytes() for h, x in zip(heads, bits, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(small, pa.binary()), pa.array([h + x for h, x in zip(heads, bits, strict=True)], pa.binary())], names=["cls", "member", "wide"])
 
 
 def _most(size_a, size_b, threshold: float):
@@ -137,43 +137,68 @@ def _most(size_a, size_b, threshold: float):
     return (1 - threshold) / (1 + threshold) * (size_a + size_b) + 1e-6
 
 
+def _pairs_of_small(members: pa.Array, lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """All candidate pairs of lists (each of so many members, one after the other) that the folded bitmaps leave."""
+    m = np.frombuffer(b"".join(members.to_pylist()), np.uint8).reshape(-1, 24 + BYTES)
+    cls, label, size = m[:, :24].copy().view(np.int64).T
+    bits, first = m[:, 24:].copy().view(np.uint64), np.concatenate([[0], lengths.cumsum()])[:-1]
+    pairs = [np.zeros((0, 2), np.int64)]
+    for n in np.unique(lengths[lengths > 1]):  # lists of one length are met together
+        x, y = np.triu_indices(n, 1)
+        own = first[lengths == n]
+        step = max(1, (1 << 18) // len(x))
+        for k in range(0, len(own), step):
+            i, j = (own[k : k + step, None] + x).ravel(), (own[k : k + step, None] + y).ravel()
+            limit = _most(size[j], size[i], threshold)
+            hit = (label[i] != label[j]) & (np.abs(size[j] - size[i]) <= limit)
+            i, j, limit = i[hit], j[hit], limit[hit]
+            hit = np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= limit
+            pairs.append(np.stack([cls[i[hit]], cls[j[hit]]], 1))
+    return np.concatenate(pairs)
+
+
+def _pairs_of_large(members: list[bytes], threshold: float) -> np.ndarray:
+    """Candidate pairs that span those of one list, as its whole bitmaps leave them: (a, b, 1 where they stand for themselves alone)."""
+    cls, label, size = np.frombuffer(b"".join([m[:24] for m in members]), np.int64).reshape(-1, 3).T
+    order = np.argsort(cls)
+    if (label == label[0]).all():
+        return np.zeros((0, 3), np.int64)
+    bits = np.stack([fold(m[24:]) for m in members]).view(np.uint64)
+
+    def near(i, rest):
+        limit = _most(size[rest], size[i], threshold)
+        out = np.abs(size[rest] - size[i]) <= limit
+        out[out] = np.bitwise_count(bits[rest[out]] ^ bits[i]).sum(1) <= limit[out]
+        for k in np.flatnonzero(out & (np.maximum(size[rest], size[i]) >= LONG)):
+            x, y = members[i][24:], members[rest[k]][24:]
+            out[k] = np.bitwise_count(fold(x, min(len(x), len(y))) ^ fold(y, min(len(x), len(y)))).sum() <= limit[k]
+        return out
+
+    found = np.array(search(order, label, near), np.int64).reshape(-1, 2)
+    met = np.bincount(found.ravel(), minlength=len(cls))
+    alone = (met[found] == 1).all(1) if len(found) else np.zeros(0, bool)
+    return np.concatenate([cls[found], alone[:, None]], 1)
+
+
 def _list_edges(threshold: float):
-    """Candidate pairs (a, b) of posting lists. whole: all pairs of the list are given, else some that span them."""
+    """Candidate pairs (a, b) of posting lists. whole: a pair stands for itself alone, and not for others that it connects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            offsets = b.column(0).offsets.to_numpy()
-            m = np.frombuffer(b"".join(b.column(0).flatten().to_pylist()), np.uint8).reshape(-1, 24 + BYTES)
-            cls, label, size = m[:, :24].copy().view(np.int64).T
-            bits, first, length = m[:, 24:].copy().view(np.uint64), offsets[:-1] - offsets[0], np.diff(offsets)
-
-            def near(i, j):
-                limit = _most(size[j], size[i], threshold)
-                return (np.abs(size[j] - size[i]) <= limit) & (np.bitwise_count(bits[j] ^ bits[i]).sum(-1) <= limit) & (label[i] != label[j])
-
-            pairs = {True: [np.zeros((0, 2), np.int64)], False: [np.zeros((0, 2), np.int64)]}
-            for n in np.unique(length[length <= PAIRED]):  # lists of one length are met together
-                x, y = np.triu_indices(n, 1)
-                own = first[length == n]
-                step = max(1, (1 << 18) // len(x))
-                for k in range(0, len(own), step):
-                    i, j = (own[k : k + step, None] + x).ravel(), (own[k : k + step, None] + y).ravel()
-                    hit = near(i, j)
-                    pairs[True].append(np.stack([cls[i[hit]], cls[j[hit]]], 1))
-            for at, n in zip(first[length > PAIRED], length[length > PAIRED], strict=True):
-                own = at + np.argsort(cls[at : at + n])
-                if (label[own] != label[own[0]]).any():
-                    found = np.array(search(own, label, near), np.int64).reshape(-1, 2)
-                    pairs[False].append(cls[found])
-            parts = [np.unique(np.sort(np.concatenate(pairs[k]), axis=1), axis=0) for k in (True, False)]
-            e, whole = np.concatenate(parts), np.repeat([True, False], [len(x) for x in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(whole)], names=["a", "b", "whole"])
+            large = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            small = b.column(0).filter(pa.array(~large))
+            pairs = _pairs_of_small(small.flatten(), np.diff(small.offsets.to_numpy()), threshold)
+            parts = [np.concatenate([pairs, np.ones((len(pairs), 1), np.int64)], 1)]
+            parts += [_pairs_of_large(members, threshold) for members in b.column(0).filter(pa.array(large)).to_pylist()]
+            e = np.concatenate(parts)
+            e = np.unique(np.concatenate([np.sort(e[:, :2], axis=1), e[:, 2:]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(e[:, 2] == 1)], names=["a", "b", "whole"])
 
     return run
 
 
 def _wide(threshold: float):
-    """Of pairs (a, b, whole, sizes, bitmaps), those that the wider of their bitmaps do not rule out; pairs that only span a list stay."""
+    """Of pairs (a, b, whole, sizes, bitmaps), those that their whole bitmaps do not rule out; pairs that only span a list have been through that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -260,12 +285,12 @@ def list_edges(classes: DataFrame, labels: DataFrame, threshold: float) -> DataF
     c = F.col
     keyed = classes.select("cls", F.explode("prefix").alias("key"))
     blocks = F.when(c("count") > LIST_LIMIT, F.ceil(c("count") / (LIST_LIMIT // 2))).otherwise(1).cast("int")
-    shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key", blocks.alias("n")), "shared-keys")
+    shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key", blocks.alias("n"), (c("count") > PAIRED).alias("large")), "shared-keys")
     cut = keyed.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("cls"), c("n")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), c("n") - 1)))
-    member = classes.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "size", "bits").mapInArrow(_members, "cls long, member binary")
-    met = cut.select("key", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "cls").join(member, "cls")
-    lists = met.groupBy("key", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
-    found = lists.select("members").mapInArrow(_list_edges(threshold), "a long, b long, whole boolean").groupBy("a", "b").agg(F.min("whole").alias("whole"))
+    member = classes.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "size", "bits").mapInArrow(_members, "cls long, member binary, wide binary")
+    met = cut.select("key", "large", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "cls").join(member, "cls").withColumn("member", F.when(c("large"), c("wide")).otherwise(c("member")))
+    lists = met.groupBy("key", "i", "j", "large").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
+    found = lists.select("members", "large").mapInArrow(_list_edges(threshold), "a long, b long, whole boolean").groupBy("a", "b").agg(F.min("whole").alias("whole"))
     wide = lambda k: classes.select(c("cls").alias(k), c("size").alias(f"size_{k}"), c("bits").alias(f"bits_{k}"))
     both = found.join(wide("a"), "a").join(wide("b"), "b").select("a", "b", "whole", "size_a", "size_b", "bits_a", "bits_b")
     return both.mapInArrow(_wide(threshold), "a long, b long, whole boolean")
