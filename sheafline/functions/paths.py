@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Endings of static assets.
-ASSET_ENDINGS = (".ico .png .jpg .jpeg .gif .webp .svg .avif .css .js .json "
-                 ".xml .pdf .zip .mp4 .webm .woff .woff2 .ttf").split()
+ASSET_ENDINGS = (".ico", ".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".avif", ".css", ".js", ".json",
+                 ".xml", ".pdf", ".zip", ".mp4", ".webm", ".woff", ".woff2", ".ttf")
 
 
 def one_of(words) -> str:

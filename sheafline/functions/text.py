@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Words (zh, ja: characters) read in a minute.
@@ -11,8 +11,8 @@ OTHER_RATE = 200
 #: Characters that count as a word each.
 CJK = (r"[\x{1100}-\x{11FF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{3130}-\x{318F}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
        r"\x{A960}-\x{A97F}\x{AC00}-\x{D7FF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9D}]")
-#: Primary language codes written from right to left.
-RIGHT_TO_LEFT = "ar arc ckb dv fa he ks lrc mzn nqo pnb ps rhg sd syr ug ur uz-arab yi".split()
+# Language codes written from right to left.
+RIGHT_TO_LEFT = ("ar", "arc", "ckb", "dv", "fa", "he", "ks", "lrc", "mzn", "nqo", "pnb", "ps", "rhg", "sd", "syr", "ug", "ur", "uz-arab", "yi")
 
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: A word: letters and digits, joined inside by an apostrophe or a dot.
@@ -57,7 +57,7 @@ def reading_minutes(count: Column, lang: Column) -> Column:
 
 
 def text_direction(lang: Column) -> Column:
-    return F.when(F.lower(primary(lang)).isin(RIGHT_TO_LEFT) | F.lower(lang).isin(RIGHT_TO_LEFT), "rtl").otherwise("ltr")
+    return F.when(F.lower(primary(lang)).isin(list(RIGHT_TO_LEFT)) | F.lower(lang).isin(list(RIGHT_TO_LEFT)), "rtl").otherwise("ltr")
 
 
 def strip_tags(html: Column) -> Column:
@@ -172,16 +172,25 @@ def file_size(n: Column) -> Column:
     return out
 
 
-#: Thousands mark and group pattern by locale.
-NUMBER_FORMATS = {"en": ",", "de": ".", "es": ".", "it": ".", "pt": ".", "fr": " ", "ru": " ", "pl": " ", "en-IN": ","}
+# Locales whose groups are of two after the last three; the platform's data do not tell.
+GROUPS_OF_TWO = ("as", "bn", "brx", "dz", "en-IN", "gu", "hi", "kok", "mai", "ml", "mr", "ne", "pa", "sat", "ta", "te", "ur-IN")
+
+
+def _grouping(locale: str) -> tuple[str, bool]:
+    """A locale's thousands mark, from the platform's locale data, and whether its groups are of two after the last three; ValueError for an unknown language."""
+    java = SparkSession.active()._jvm.java
+    if locale.split("-")[0] not in set(java.util.Locale.getISOLanguages()):
+        raise ValueError(f"unknown locale {locale}")
+    form = java.text.NumberFormat.getIntegerInstance(java.util.Locale.forLanguageTag(locale))
+    return form.getDecimalFormatSymbols().getGroupingSeparator(), locale in GROUPS_OF_TWO or locale.split("-")[0] in GROUPS_OF_TWO
 
 
 def num_format(n: Column, locale: str = "en") -> Column:
-    """An integer with its locale's thousands marks; Indian groups are of two after the last three."""
+    """An integer with its locale's thousands marks; an unknown locale is an error."""
     digits = F.abs(n.cast("decimal(38,0)")).cast("string")
     sign = F.when(n < 0, "-").otherwise("")
-    mark = NUMBER_FORMATS.get(locale, NUMBER_FORMATS.get(locale.split("-")[0], ","))
-    if locale == "en-IN":
+    mark, by_two = _grouping(locale)
+    if by_two:
         head, tail = F.regexp_replace(digits, r"\d{3}$", ""), F.substring(digits, -3, 3)
         grouped = F.concat(F.regexp_replace(head, r"(\d)(?=(\d{2})+$)", "$1" + mark), F.lit(mark), tail)
         return F.concat(sign, F.when(F.length(digits) > 3, grouped).otherwise(digits))
@@ -207,12 +216,13 @@ def resize_geometry(op: str, w: Column, h: Column, want_w: int | None, want_h: i
         hh = F.when(small, h).when(by_width, F.floor(h * want_w / w)).otherwise(F.lit(want_h))
         return whole(ww, hh)
     if op == "fill":
-        wide = w * want_h > h * want_w
-        cw = F.when(wide, F.round(h * want_w / want_h)).otherwise(w)
-        ch = F.when(wide, h).otherwise(F.round(w * want_h / want_w))
+        by_w, by_h = (w / want_w).cast("float"), (h / want_h).cast("float")
+        tall = by_w < by_h
+        cw = F.when(tall, w).otherwise(F.round(by_h * F.lit(want_w).cast("float")))
+        ch = F.when(tall, F.round(by_w * F.lit(want_h).cast("float"))).otherwise(h)
         crop = (F.floor((w - cw) / 2), F.floor((h - ch) / 2), cw, ch)
-        exact = w * want_h == h * want_w
-        return whole(F.lit(want_w), F.lit(want_h), tuple(F.when(~exact, c) for c in crop))
+        similar = F.abs(by_w - by_h) <= F.lit(0.1).cast("float")  # so close that nothing is cut
+        return whole(F.lit(want_w), F.lit(want_h), tuple(F.when(~similar, c) for c in crop))
     raise ValueError(f"unknown operation {op}")
 
 

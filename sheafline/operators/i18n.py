@@ -138,8 +138,19 @@ def adopt(pairs: DataFrame, source: str, translation: str, source_hash: str, glo
 
 
 def parse_batch_reply(reply: Column, sent: Column) -> Column:
-    """struct(ok, error, texts) of a service's JSON reply: `ok` not false, no error code but 0 and 200, and as many texts as were sent."""
-    body = F.from_json(reply, "ok boolean, code int, message string, translations array<string>")
-    error = (F.when(body.isNull() | body["translations"].isNull(), "not a reply").when(~F.coalesce(body["ok"], F.lit(True)), F.coalesce(body["message"], F.lit("refused")))
-             .when(~F.coalesce(body["code"], F.lit(0)).isin(0, 200), F.concat(F.lit("code "), body["code"].cast("string"))).when(F.size(body["translations"]) != sent, "another number of texts"))
-    return F.struct(error.isNull().alias("ok"), error.alias("error"), F.when(error.isNull(), body["translations"]).alias("texts"))
+    """struct(ok, error, texts, flags) of a service's JSON reply.
+
+    A reply fails as a whole where `ok` is false, where its code is neither 0 nor 200, and
+    where it is malformed: no texts, another number of them than was sent, or an `ok` array
+    of another length or with anything but true and false in it. Without `ok`, and with true,
+    all inputs count as translated; an array flags each input, and a false one marks that
+    input alone.
+    """
+    body = F.from_json(reply, "ok string, code int, message string, translations array<string>")
+    listed = F.from_json(body["ok"], "array<string>")
+    is_list, texts = F.startswith(F.ltrim(body["ok"]), F.lit("[")), body["translations"]
+    error = (F.when(body.isNull() | texts.isNull(), "not a reply").when(F.coalesce(body["ok"] == "false", F.lit(False)), F.coalesce(body["message"], F.lit("refused")))
+             .when(~F.coalesce(body["code"], F.lit(0)).isin(0, 200), F.concat(F.lit("code "), body["code"].cast("string"))).when(F.size(texts) != sent, "another number of texts")
+             .when(is_list & (listed.isNull() | (F.size(listed) != sent) | ~F.forall(listed, lambda x: F.coalesce(x.isin("true", "false"), F.lit(False)))), "malformed flags"))
+    flags = F.when(is_list, F.transform(listed, lambda x: x == "true")).otherwise(F.transform(texts, lambda x: F.lit(True)))
+    return F.struct(error.isNull().alias("ok"), error.alias("error"), F.when(error.isNull(), texts).alias("texts"), F.when(error.isNull(), flags).alias("flags"))

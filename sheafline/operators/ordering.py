@@ -10,11 +10,16 @@ from ..functions.paths import transliterate
 MODES = ("date", "update_date", "title", "title_bytes", "weight", "slug", "permalink", "none")
 
 
+def measured(digits: Column) -> Column:
+    """A digit run behind its length in ten places: as text it sorts by value, however long it is."""
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+
 def natural_key(s: Column) -> Column:
     """Sorts as people do: no case, no accents, Greek spelled out, digit runs by their value."""
     plain = F.lower(transliterate(s))
     parts = F.regexp_extract_all(plain, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, r"^0+(\d)", "$1"), 20, "0")).otherwise(x)), "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), measured(F.regexp_replace(x, r"^0+(\d)", "$1"))).otherwise(x)), "")
 
 
 def sort_key(by: str, date="date", updated="updated", title="title", weight="weight", slug="slug", permalink="permalink") -> tuple[Column, bool]:

@@ -61,10 +61,12 @@ def feed_xml(items: DataFrame, group: str, title: Column, url: Column, updated:
 
 
 def redirect_html(url: Column) -> Column:
-    """A page that sends its reader on to a URL."""
+    """A page that sends its reader on to a URL, with the fragment of the address asked for; without scripts, to the URL alone."""
     u = escape_xml(url)
-    return F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><link rel="canonical" href="'), u, F.lit('"><meta http-equiv="refresh" content="0; url='), u,
-                    F.lit('"><title>Redirect</title></head><body><p><a href="'), u, F.lit('">Click here</a> to be redirected.</p></body></html>'))
+    quoted = F.replace(F.to_json(F.struct(url.alias("u"))), F.lit("<"), F.lit("\\u003c"))
+    script = F.concat(F.lit("<script>location.replace("), F.substring(quoted, 6, F.length(quoted) - 6), F.lit(" + location.hash)</script>"))
+    return F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><link rel="canonical" href="'), u, F.lit('">'), script, F.lit('<noscript><meta http-equiv="refresh" content="0; url='), u,
+                    F.lit('"></noscript><title>Moved</title></head><body><p>This page is now at <a href="'), u, F.lit('">'), u, F.lit("</a>.</p></body></html>"))
 
 
 def alias_outputs(pages: DataFrame, aliases: str = "aliases", permalink: str = "permalink") -> DataFrame:

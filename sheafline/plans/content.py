@@ -84,7 +84,18 @@ def search_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", text.search_body(F.col("html")).alias("body"))
 
 
-@query("html_to_text")
+def _html_text_sql() -> str:
+    out = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?(</script>|$)', '', 'g'), '(?is)<style\b.*?(</style>|$)', '', 'g')"
+    out = f"regexp_replace({out}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?i)</?({'|'.join(text.BLOCKS)})(\\s[^>]*)?/?>', chr(10) || chr(10), 'g')"
+    out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
+    for name, value in text.PAGE_ENTITIES.items():
+        out = f"replace({out}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
+    out = f"regexp_replace(regexp_replace({out}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"SELECT page_id, regexp_replace(regexp_replace({out}, '^\\s+', ''), '\\s+$', '') AS text FROM pages"
+
+
+@query("html_to_text", _html_text_sql())
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", text.html_to_text(F.col("html")).alias("text"))
 

@@ -82,7 +82,10 @@ def feed_last_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(spark, sf_dir).groupBy("section").agg(F.greatest(F.max(F.col("updated").cast("string")), newest).alias("last_updated"), F.count("*").alias("n_pages"))
 
 
-@query("sort_title_natural")
+_NATURAL = "array_to_string(list_transform(regexp_extract_all(replace(lower(strip_accents(title)), 'ß', 'ss'), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(regexp_replace(x, '^0+([0-9])', '\\1')) AS VARCHAR), 10, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), '')"
+
+
+@query("sort_title_natural", DOC_PAGES_SQL + f"SELECT section, doc_id, CAST(row_number() OVER (PARTITION BY section ORDER BY {_NATURAL}, path) AS INT) AS rank FROM doc_pages WHERE title IS NOT NULL")
 def sort_title_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = ordering.sort_pages(doc_pages(spark, sf_dir), "title", "section", "path", **_NAMES)
     return out.select("section", "doc_id", "rank")

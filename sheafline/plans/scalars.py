@@ -88,17 +88,17 @@ def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("section", F.regexp_count("content", F.lit("<entry>")).cast("long").alias("n_entries"), F.array_join(ids, ",").alias("ids"))
 
 
-@query("alias_redirects", "SELECT 'alias' AS kind, 'old/' || page_id || '/index.html' AS path FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT 'alias', 'p' || page_id || '.html' FROM pages WHERE page_id % 4 = 0")
+@query("alias_redirects", "SELECT 'alias' AS kind, 'old/' || page_id || '/index.html' AS path FROM pages UNION ALL SELECT 'alias', 'p' || page_id || '.html' FROM pages")
 def alias_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").where("page_id % 4 = 0").select(F.col("url").alias("permalink"), F.array(F.concat(F.lit("/old/"), "page_id"), F.concat(F.lit("p"), "page_id", F.lit(".html"))).alias("aliases"))
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("permalink"), F.array(F.concat(F.lit("/old/"), "page_id"), F.concat(F.lit("p"), "page_id", F.lit(".html"))).alias("aliases"))
     return publish.alias_outputs(pages).select("kind", "path")
 
 
-@query("output_collisions", "SELECT path, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (SELECT 'p' || page_id % 100 || '.html' AS path, 'page' AS kind FROM pages UNION ALL SELECT 'p' || page_id % 150 || '.html', 'alias' FROM pages WHERE page_id % 7 = 0) GROUP BY path HAVING count(*) > 1")
+@query("output_collisions", "SELECT path, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (SELECT 'p' || page_id || '.html' AS path, 'page' AS kind FROM pages UNION ALL SELECT 'p' || page_id * 3 || '.html', 'alias' FROM pages) GROUP BY path HAVING count(*) > 1")
 def output_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    name = lambda n: F.concat(F.lit("p"), F.col("page_id") % n, F.lit(".html")).alias("path")
-    plan = publish.output_plan({"page": pages.select(name(100)), "alias": pages.where("page_id % 7 = 0").select(name(150))})
+    name = lambda n: F.concat(F.lit("p"), F.col("page_id") * n, F.lit(".html")).alias("path")
+    plan = publish.output_plan({"page": pages.select(name(1)), "alias": pages.select(name(3))})
     return publish.colliding_outputs(plan).select("path", "n", F.array_join("kinds", ",").alias("kinds"))
 
 
@@ -109,11 +109,13 @@ def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.stale_files(orders.select(F.col("o_orderkey").alias("rel"), F.col("o_orderdate").alias("changed")), built).select("rel")
 
 
-@query("resize_plans", "SELECT count(*) AS n FROM (SELECT DISTINCT p_size, p_partkey % 40 AS k FROM part)")
+@query("resize_plans", """SELECT 'i' || p_partkey || '.png' AS path, CAST(CASE WHEN w <= 120 AND h <= 90 THEN w WHEN w * 90 > h * 120 THEN 120 ELSE w * 90 // h END AS INT) AS width, CAST(CASE WHEN w <= 120 AND h <= 90 THEN h WHEN w * 90 > h * 120 THEN h * 120 // w ELSE 90 END AS INT) AS height
+  FROM (SELECT p_partkey, CAST(p_size * 10 AS BIGINT) AS w, CAST(p_partkey % 300 + 5 AS BIGINT) AS h FROM part)""")
 def resize_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image is asked for twice and planned once."""
     c = F.col
-    req = table(spark, sf_dir, "part").select(F.concat(F.lit("i"), "p_size", F.lit("-"), c("p_partkey") % 40, F.lit(".png")).alias("path"), (c("p_size") * 10).alias("width"), (c("p_partkey") % 40 + 5).cast("int").alias("height"), F.lit("png").alias("format"))
-    return images.plan(req, "fit", 120, 90).agg(F.count("*").alias("n"))
+    req = table(spark, sf_dir, "part").select(F.concat(F.lit("i"), "p_partkey", F.lit(".png")).alias("path"), (c("p_size") * 10).alias("width"), (c("p_partkey") % 300 + 5).cast("int").alias("height"), F.lit("png").alias("format"))
+    return images.plan(req.unionByName(req), "fit", 120, 90).select("path", "geometry.width", "geometry.height")
 
 
 @query("search_files", "SELECT lang, count(*) AS n_documents FROM documents GROUP BY lang")

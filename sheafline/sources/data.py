@@ -216,7 +216,7 @@ def parse_csv(text: str) -> dict:
     import csv
     import io
 
-    rows = list(csv.reader(io.StringIO(text)))
+    rows = [r for r in csv.reader(io.StringIO(text)) if r]  # a blank line is no row
     if not rows:
         return {"headers": [], "records": []}
     if any(len(r) != len(rows[0]) for r in rows):
@@ -307,27 +307,60 @@ def string_list(data: Column, path: str) -> Column:
     return F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<string>"))
 
 
-#: Keys whose values are no copy.
-NOT_COPY = r"(?i)(^|_)(id|key|slug|url|href|src|path|icon|image|img|color|class|lang|date|type|template|email|phone|code)s?$"
+# Keys, and endings of keys, that never hold copy; the ending of keys that name other data.
+SKIP_KEYS = ("source_hash", "content_hash", "canonical", "source_url", "template", "slug", "id", "app", "author", "date", "updated", "path", "url", "href", "src", "image", "img", "shot", "icon", "glyph", "class", "lang", "jsonld", "noindex")
+SKIP_ENDINGS = ("_url", "_href", "_src", "_path", "_id", "_icon", "_class", "_image", "_img", "_hash")
+DATA_KEY_ENDING = "_key"
+MACHINE_PREFIXES = ("/", "./", "../", "#", "{", "[", "http://", "https://", "mailto:", "tel:")
 
 
-def leaves(rows: DataFrame, key: str, data: str, depth: int = 8) -> DataFrame:
-    """(key, path, text) of all string leaves of a JSON text column to a depth: arrays as [i], keys that hold no copy left out.
+def skipped_key(name: Column) -> Column:
+    """Whether a key never holds copy; false for the entries of arrays, which have no name."""
+    ends = F.lit(False)
+    for end in SKIP_ENDINGS:
+        ends = ends | name.endswith(end)
+    return F.coalesce(name.isin(*SKIP_KEYS) | ends, F.lit(False))
 
-    Each level is one explode of the variant's entries; there is no recursion.
+
+def data_key(path: Column) -> Column:
+    """Whether the leaf at a path (`a.b[2].c`) is a look-up key into other data: it is copied as it is."""
+    return F.coalesce(F.regexp_replace(path, r"(\[\d+\])+$", "").endswith(DATA_KEY_ENDING), F.lit(False))
+
+
+def is_copy(text: Column) -> Column:
+    """Whether a string reads as copy: it has letters and is no address, slug, file name, language tag or style value."""
+    t = F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+    machine = F.lit(False)
+    for start in MACHINE_PREFIXES:
+        machine = machine | t.startswith(start)
+    slug = t.rlike(r"^[a-z0-9_./-]+$") & t.rlike(r"[_./-]")
+    tag = t.rlike(r"^[a-z]{2,3}-(?=[a-zA-Z0-9]*[A-Z])[a-zA-Z0-9]{2,4}$")
+    style = t.rlike(r"[A-Za-z]\([0-9-]")
+    return F.coalesce(t.rlike(r"\p{IsAlphabetic}") & ~machine & ~slug & ~tag & ~style, F.lit(False))
+
+
+def leaves(rows: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, path, text) of all string leaves of a JSON text column, however deep: arrays as [i], keys that hold no copy left out.
+
+    Each level is one explode of the variant's entries, until a level has nothing inside;
+    what a level leaves is written once, so deep data read nothing again.
     """
+    from .shared import materialize
+
     level = rows.select(key, F.lit("").alias("path"), F.parse_json(data).alias("v"))
     found = None
-    for _ in range(depth):
+    while True:
         kind = F.schema_of_variant("v")
         text = level.where(kind == "STRING").select(key, "path", F.try_variant_get("v", "$", "string").alias("text"))
         found = text if found is None else found.unionByName(text)
         inner = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
         inner.createOrReplaceTempView("__leaves")
         level = inner.sparkSession.sql(f"SELECT t.`{key}`, t.path AS above, e.pos, e.key AS name, e.value AS v FROM __leaves t, LATERAL variant_explode(t.v) e")
-        level = level.where(F.col("name").isNull() | ~F.col("name").rlike(NOT_COPY))
+        level = level.where(~skipped_key(F.col("name")))
         level = level.select(key, F.when(F.col("name").isNull(), F.concat("above", F.lit("["), "pos", F.lit("]"))).when(F.col("above") == "", F.col("name")).otherwise(F.concat("above", F.lit("."), "name")).alias("path"), "v")
-    return found
+        level = materialize(level.withColumn("v", F.to_json("v")), "leaves").withColumn("v", F.parse_json("v"))
+        if level.isEmpty():
+            return found
 
 
 def merge_tables(first: dict, second: dict, where: str = "") -> dict:

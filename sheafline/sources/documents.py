@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tomllib
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,18 +35,21 @@ def _relative(path: Column, root: str) -> Column:
     return F.regexp_replace(plain, "^.*?" + re.escape(prefix) + "/+", "")
 
 
-def _underscored(spark: SparkSession, root: str, pattern: str, depth: int = 12) -> DataFrame:
-    """(path, value) of files whose names start with an underscore, which Spark's readers take for hidden.
+def _underscored(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(path, value) of files with an underscore before their name or a folder's, which Spark's readers take for hidden.
 
-    Their names are listed by the file system's own patterns, level by level; their
-    contents are read in tasks.
+    Their names are listed by the file system's own patterns, level by level down to the
+    deepest folder; their contents are read in tasks.
     """
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = []
-    for level in range(depth):
-        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{'*/' * level}_{pattern}")) or []
-        names += [(f.getPath().toString(),) for f in found if f.isFile()]
+    at = lambda tail: spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{tail}")
+    fs = at("").getFileSystem(spark._jsc.hadoopConfiguration())
+    found: set[str] = set()
+    for level in count():
+        tails = ["*/" * level + "_" + pattern, *["*/" * k + "_*/" + "*/" * (level - k - 1) + pattern for k in range(level)]]
+        found |= {f.getPath().toString() for tail in tails for f in fs.globStatus(at(tail)) or [] if f.isFile()}
+        if not any(f.isDirectory() for f in fs.globStatus(at("*/" * level + "*")) or []):
+            break
+    names = [(name,) for name in sorted(found)]
 
     def read(batches: Iterator):
         from pyarrow import fs as store
@@ -242,10 +246,11 @@ def sitemap_locations(xml: Column) -> Column:
     return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.replace(F.replace(F.replace(x, F.lit("&amp;"), F.lit("&")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")))
 
 
-def discover_urls(spark: SparkSession, start: list[str], fetch, depth: int = 10) -> DataFrame:
+def discover_urls(spark: SparkSession, start: list[str], fetch) -> DataFrame:
     """All page addresses of site maps and the site maps they list. fetch(url) -> text is the caller's client.
 
-    One round for each level of indexes; addresses met before are not asked again.
+    One round for each level of indexes, until one lists no new ones: addresses met before
+    are not asked again, so loops end.
     """
     from .shared import materialize
 
@@ -256,14 +261,14 @@ def discover_urls(spark: SparkSession, start: list[str], fetch, depth: int = 10)
 
     todo = spark.createDataFrame([(u,) for u in start], "url string")
     seen, found = todo, None
-    for _ in range(depth):
+    while True:
         got = materialize(todo.mapInPandas(load, "url string, xml string").withColumn("index", F.contains(F.lower("xml"), F.lit("<sitemapindex"))), "sitemaps")
         if got.isEmpty():
             break
         locs = got.select("index", F.explode(sitemap_locations(F.col("xml"))).alias("url"))
         pages = locs.where("NOT index").select("url")
         found = pages if found is None else found.unionByName(pages)
-        todo = locs.where("index").select("url").distinct().join(seen, "url", "left_anti")
+        todo = materialize(locs.where("index").select("url").distinct().join(seen, "url", "left_anti"), "listed")
         seen = seen.unionByName(todo)
     return (found if found is not None else todo.limit(0)).distinct()
 
