@@ -52,11 +52,55 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((400, 64))
     y = x + rng.standard_normal((400, 64)) * 0.15
-    codes, factors = E.encode(x)
-    q = (y / np.linalg.norm(y, axis=1, keepdims=True)) @ E.rotation(64).T
+    codes = E.Codes.of(E.unit(np.concatenate([x, y])))
+    codes = E.Codes.unpack(codes.pack(), 64)
     cos = (x * y).sum(1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
-    est = np.diag(E.estimate(codes, factors, q))
-    assert abs((est - cos).mean()) < 0.003
-    hit = cos >= 0.98
-    assert hit.sum() > 100 and (est[hit] >= 0.98 - E.slack(factors[hit], 0.98, 64)).all()
-    assert (est[hit] >= 0.98 - E.slack(factors[hit], 0.98, 64, 0.99)).mean() > 0.97
+    i, j = np.arange(400), np.arange(400, 800)
+    est = codes.estimates(i, j)
+    assert abs((est - cos).mean()) < 0.005
+    hit, f, step = cos >= 0.98, codes.numbers[:400, 0], codes.numbers[400:, 2]
+    low = lambda confidence: 0.98 - np.diag(E.slack(f, step, 0.98, 64, confidence))
+    assert hit.sum() > 100 and (est[hit] >= low(1.0)[hit]).all()
+    assert (est[hit] >= low(0.99)[hit]).mean() > 0.97
+    differ = np.bitwise_count(codes.signs[i] ^ codes.signs[j]).sum(1)
+    assert (differ[hit] <= codes.most_bits(0.98, 0.9999)).all()
+
+
+def test_partners_share_a_cell():
+    """With confidence 1 every pair at the threshold shares a cell; else nearly every one."""
+    rng = np.random.default_rng(2)
+    x = E.unit(rng.standard_normal((500, 32)))
+    d = rng.standard_normal((500, 32))
+    d = E.unit(d - (d * x).sum(1, keepdims=True) * x)
+    y, pivots = E.unit(0.98 * x + np.sqrt(1 - 0.98**2) * d + 1e-9 * x), E.unit(rng.standard_normal((60, 32)))
+    shared = lambda c: np.mean([bool(np.intersect1d(a, b).size) for a, b in zip(E.probes(x, pivots, 0.98, c), E.probes(y, pivots, 0.98, c), strict=True)])
+    assert shared(1.0) == 1 and shared(0.9999) > 0.995
+    assert sum(map(len, E.probes(x, pivots, 0.98, 0.9999))) < sum(map(len, E.probes(x, pivots, 0.98, 1.0)))
+
+
+def test_recall_against_brute_force(spark):
+    """Single pairs at all angles up to the threshold's, groups and equal vectors of one label."""
+    rng, rows = np.random.default_rng(8), []
+    for _ in range(150):
+        a = E.unit(rng.standard_normal((1, 48)))[0]
+        b = rng.standard_normal(48)
+        b = E.unit((b - (b @ a) * a)[None])[0]
+        c = rng.uniform(0.9801, 0.985)
+        rows += [(len(rows), a.tolist(), 1), (len(rows) + 1, (3 * (c * a + np.sqrt(1 - c * c) * b)).tolist(), 1)]
+    group = rng.standard_normal(48)
+    for k in range(200):
+        rows.append((len(rows), (group if k % 4 == 0 else group + rng.standard_normal(48) * 0.14).tolist(), 1))
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    for confidence, least in ((1.0, 1.0), (E.CONFIDENCE, 0.995)):
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.embedding_classes(df, confidence=confidence).collect())
+        assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+        assert sum(g[1] for g in got) >= least * sum(w[1] for w in want)
+        if least == 1:
+            assert got == want
+
+
+def test_very_large_and_small_numbers(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [2e200, 2e200], 1), (3, [1e-200, 1e-200], 1), (4, [1e-200, -1e-200], 1), (5, [0.0, -0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (0, 5, True)}

@@ -23,14 +23,48 @@ def test_gradients_match_differences():
             assert abs((up - down) / (2 * eps) - d[i]) < 1e-5 + 1e-3 * abs(d[i]), name
 
 
-def test_pooling_is_the_mean_over_positions():
-    net = G.Network.fresh(["a", "b"])
-    text = "one two one three-very-long-word-that-is-cut two"
-    every = [net.positions(np.frombuffer(s, np.uint8)[None])[:, 0] for s in G.segments(text)]
-    want = np.concatenate(every).mean(0)
-    names, scores = net.predict([text])
-    assert names == [net.languages[want.argmax()]] and abs(scores[0] - want.max()) < 1e-6
-    assert b"".join(G.segments(text)).decode() == " " + text
+def plain_states(net, side, data):
+    """One state after the other, by the unit's equations."""
+    h, out = np.zeros(G.HIDDEN), []
+    for byte in data:
+        a, g = net.p["w" + side][byte].astype(float), h @ net.p["u" + side]
+        n = G.HIDDEN
+        r, z = (1 / (1 + np.exp(-(a[k : k + n] + g[k : k + n]))) for k in (0, n))
+        c = np.tanh(a[2 * n :] + r * g[2 * n :])
+        h = z * h + (1 - z) * c
+        out.append(h)
+    return out
+
+
+def test_windows_against_the_plain_recurrence():
+    """Every byte of a text is labelled once, by states that start MARGIN bytes outside of its window in each direction."""
+    net = G.Network.fresh(["a", "b", "c"], seed=4)
+    text = ("one two three-very-long-word-that-is-not-cut " * 9).encode()[:300]
+    m, size, total = G.MARGIN, G.WINDOW, np.zeros(3)
+    padded = bytes(m) + text + bytes(2 * size)
+    for k in range(0, len(text), size):
+        ahead = plain_states(net, "f", padded[k : k + m + size])[m:]
+        back = plain_states(net, "b", padded[k + m : k + 2 * m + size][::-1])[m:][::-1]
+        for p in range(min(size, len(text) - k)):
+            y = np.concatenate([ahead[p], back[p]]) @ net.p["o"] + net.p["b"]
+            total += np.exp(y) / np.exp(y).sum()
+    names, scores = net.predict([text.decode()])
+    assert names == [net.languages[total.argmax()]] and abs(scores[0] - total.max() / len(text)) < 1e-5
+
+
+def test_labels_of_a_word_depend_on_its_neighbours():
+    net = G.Network.fresh(["a", "b"], seed=2)
+    x = [np.frombuffer(t, np.uint8)[None] for t in (b"aaa word bbb", b"ccc word ddd")]
+    one, other = (net.positions(k)[4:8, 0] for k in x)
+    assert np.abs(one - other).max() > 1e-3
+    assert net.positions(x[0]).shape == (12, 1, 2)
+
+
+def test_window_sums_are_those_of_positions():
+    net = G.Network.fresh(["a", "b"], seed=1)
+    x = np.random.default_rng(0).integers(0, 256, (5, 40)).astype(np.uint8)
+    want = net.positions(x).sum(0)
+    assert np.abs(net.window_sums(x, np.full(5, 40), margin=0) - want).max() < 1e-4
 
 
 def test_held_out_accuracy(spark):

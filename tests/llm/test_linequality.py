@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 from itertools import product
 
@@ -88,3 +89,49 @@ def test_odd_rows(spark):
     assert Q.with_line_quality(df.limit(0), Q.Field.empty()).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert (Q.fit(df, none).weights == Q.Field.empty().weights).all()
+
+
+def held_out_lines(sf, spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = {0: [], 1: []}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.doc_id in docs:
+            lines = [x for x in docs[r.doc_id].split("\n") if x.strip()]
+            if len(lines) > 2 or r.quality == 0 and lines:
+                out[r.quality].append(lines[:8])
+    return out
+
+
+def test_mixed_documents_line_by_line(spark):
+    """Prose between boilerplate is told apart line by line."""
+    sf = "/root/testdata/sf0.01"
+    field = Q.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    lines, right, total, switched, n = held_out_lines(sf, spark), 0, 0, 0, 0
+    for i, good in enumerate(lines[1][:60]):
+        bad = lines[0][i % len(lines[0])]
+        bad = (bad * 3)[:4]
+        text, want = "\n".join([*bad, *good, *bad]), [1] * len(bad) + [0] * len(good) + [1] * len(bad)
+        got = field.viterbi(Q.measure(text).x)
+        right, total, n = right + (got == want).sum(), total + len(want), n + 1
+        switched += 0 < got.sum() < len(got)
+    assert n > 20 and switched >= 0.8 * n and right >= 0.85 * total, (n, switched, right, total)
+
+
+def test_ties_go_to_content():
+    field = Q.Field(np.zeros((len(Q.FEATURES), 2)), np.zeros((2, 2)))
+    assert field.viterbi(np.ones((4, len(Q.FEATURES)))).tolist() == [0] * 4
+
+
+def test_a_repeated_id_is_learned_from_once(spark):
+    good, bad = "A fine line of words that goes on.", "buy | now $$$ !!! ###"
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5]
+    docs = spark.createDataFrame([(k, (good if k % 2 else bad) + f" {k}") for k in ids] + [(ids[0], "x" * 10 + f" {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+    field = Q.fit(docs, labels)
+    assert field.viterbi(Q.measure(good).x).tolist() == [0] and field.viterbi(Q.measure(bad).x).tolist() == [1]
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([("a fine line of ten words that goes on and on.", "y", "z")], "text string, `a``b` string, c0 string")
+    out = Q.with_line_quality(df, Q.Field.empty())
+    assert out.columns[:3] == ["text", "a`b", "c0"] and tuple(out.first())[1:3] == ("y", "z")

@@ -24,7 +24,7 @@ def test_stages_against_plain_versions(spark, sf):
     assert {r.doc_id for r in one.collect()} == want and 0 < len(want) < len(rows)
 
     two = P.quality_classifier(spark, one, sf)
-    model = rules.fit(one, labels)
+    model = rules.fit(docs, labels)
     x = {r.doc_id: [r[f"__q_{f}"] for f in rules.FEATURES] for r in rules.with_features(one, "text").collect()}
     want = {k for k, v in x.items() if model.scores(np.array([v]))[0] >= 0.3}
     assert {r.doc_id for r in two.collect()} == want
@@ -68,3 +68,15 @@ def test_classifier_learns_from_the_whole_table_and_removes_planted_bad_document
     left = [r.doc_id for r in P.quality_classifier(spark, one.unionByName(bad), sf).collect()]
     assert n_bad > 20 and sum(k >= 10**9 for k in left) <= 0.1 * n_bad
     assert sum(k < 10**9 for k in left) >= 0.98 * n_one
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["kept", "score", "predicted", "n_words", "line_labels", "content_share", "__q_words", "prefix", "bits", "c0", "row", "a`b"]
+    wide = docs.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    for stage in (P.quality_rules, P.quality_classifier, P.near_dedup):
+        out = stage(spark, wide, sf)
+        assert out.columns == wide.columns
+        r = out.orderBy("doc_id").first()
+        assert [v for v in r[len(docs.columns):]] == [n + str(r.doc_id) for n in names]
+        assert stage(spark, wide.limit(0), sf).count() == 0

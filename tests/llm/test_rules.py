@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sheafline.llm import rules as R
 
@@ -48,3 +49,54 @@ def test_statistics_and_odd_rows(spark):
     assert scored.columns == ["doc_id", "text", "score", "predicted"] and {r.predicted for r in scored.collect()} == {1}
     assert R.with_scores(df.limit(0), R.RuleModel()).count() == 0
     assert R.fit(df, spark.createDataFrame([(1, 1), (2, None)], "doc_id long, quality int")).rules == []
+
+
+@pytest.mark.parametrize("rows", [[], [(0, 1)], [(0, 0), (1, 1)], [(5, k % 2) for k in range(40)], [(k, 1) for k in range(30)]])
+def test_few_constant_and_one_class_rows(rows):
+    x = np.array([[float(a)] * len(R.FEATURES) for a, _ in rows]).reshape(-1, len(R.FEATURES))
+    model = R.RuleModel.train(x, np.array([b for _, b in rows], float))
+    got = model.scores(x)
+    assert np.isfinite(got).all() and ((got >= 0) & (got <= 1)).all()
+    assert (got == 0.5).all() or len({b for _, b in rows}) < 2 and (got > 0.99).all()
+
+
+def plain_tree(x, cuts, g, h, rows, depth):
+    """Rules and leaf values of one tree, by trying every cut on its own."""
+    best = (1e-6, None)
+    if depth:
+        for f, points in enumerate(cuts):
+            for cut in points:
+                more = x[rows, f] > cut
+                if min(more.sum(), (~more).sum()) >= 5:
+                    part = lambda m: g[rows[m]].sum() ** 2 / (h[rows[m]].sum() + 1)
+                    gain = part(more) + part(~more) - part(np.ones(len(rows), bool))
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (f, float(cut)))
+    if best[1] is None:
+        return set(), {int(r): -g[rows].sum() / (h[rows].sum() + 1) for r in rows}
+    f, cut = best[1]
+    rules, leaves = set(), {}
+    for more in (False, True):
+        inner, own = plain_tree(x, cuts, g, h, rows[(x[rows, f] > cut) == more], depth - 1)
+        rules |= {((f, more, cut),)} | {((f, more, cut), *r) for r in inner}
+        leaves |= own
+    return rules, leaves
+
+
+def test_trees_against_a_plain_grower():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 4)).round(1)
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.1, 0.9, 8))) for f in range(4)]
+    g, h, rows = rng.standard_normal(200), rng.random(200), np.arange(0, 200, 2)
+    found, out = set(), np.zeros(200)
+    R.grow(x, cuts, g, h, rows, 3, (), found, out)
+    rules, leaves = plain_tree(x, cuts, g, h, rows, 3)
+    assert found == rules and all(abs(out[r] - v) < 1e-9 for r, v in leaves.items()) and (out[1::2] == 0).all()
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "word " * 200_000, "a", "b"), (1, "word " * 200_000, "a", "b"), (None, None, "c", "d")], "doc_id long, text string, __q_words string, `x``y` string")
+    out = R.with_scores(df, R.RuleModel([(((0, True, 5.0),), 1.0)], 0.0))
+    rows = out.collect()
+    assert out.columns == ["doc_id", "text", "__q_words", "x`y", "score", "predicted"]
+    assert sorted(round(r.score, 3) for r in rows) == [0.5, 0.731, 0.731] and {r[2] for r in rows} == {"a", "c"}

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheafline.llm import similar as S
 
@@ -69,23 +70,71 @@ def test_given_documents(spark):
     assert len(rows) - len(got) >= 0.95 * (len(rows) - len(want))
 
 
-def test_recall_of_the_index():
-    """Pairs of a similarity of 0.8 or more that the index proposes."""
-    rng, at, met, seen = random.Random(9), S.triples(), 0, 0
-    for _ in range(300):
-        base = [f"w{rng.randrange(10**5)}" if rng.random() < 0.6 else rng.choice("abcdefgh") for _ in range(rng.choice([60, 120, 300, 900]))]
-        other = edited(rng, base, rng.randint(1, max(1, len(base) // 50)))
-        a, b = plain_sets([" ".join(base), " ".join(other)])
-        if len(a & b) >= 0.8 * len(a | b):
-            seen += 1
-            x, y = (np.frombuffer(S.wide_fingerprint(S.words(" ".join(w))), np.uint8) for w in (base, other))
-            met += bool((x[at] == y[at]).all(1).any()) and np.bitwise_count(x ^ y).sum() <= S.MAX_BITS
-    assert seen > 150 and met >= 0.97 * seen
+def changed(rng, words, kind, share):
+    """A text whose similarity with words is about share, by edits, an appended or cut part, or another order of its paragraphs."""
+    n = len(words)
+    new = lambda k: [f"n{rng.randrange(10**6)}" for _ in range(k)]
+    if kind == "append":
+        return words + new(int(n / share) - n)
+    if kind == "cut":
+        return words[: int(n * share)]
+    if kind == "edit":
+        out = list(words)
+        for k in rng.sample(range(n), max(1, int(n * (1 - share) / (1 + share) / 5))):
+            out[k] = f"e{rng.randrange(10**6)}"
+        return out
+    parts = [words[k : k + 60] for k in range(0, n, 60)]
+    rng.shuffle(parts)
+    return [w for p in parts for w in p]
+
+
+def test_recall_by_similarity_and_kind_of_change(spark):
+    """Every pair at the threshold is found, whatever changed and however weak the link."""
+    rng, pairs, texts = random.Random(9), [], []
+    for kind in ("append", "cut", "edit", "order"):
+        for share in (0.79, 0.82, 0.87, 0.93, 0.98):
+            for n in (60, 120, 400, 1500):
+                base = [f"w{rng.randrange(10**5)}" if rng.random() < 0.6 else rng.choice("abcdefgh") for _ in range(n)]
+                a, b = " ".join(base), " ".join(changed(rng, base, kind, share))
+                x, y = plain_sets([a, b])
+                pairs.append((len(x & y) / len(x | y), len(texts)))
+                texts += [a, b]
+    left = {r.doc_id for r in S.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+        found = [k + 1 not in left for j, k in pairs if low <= j < high]
+        assert len(found) >= 8 and all(found), (low, len(found), sum(found))
+    assert all(k + 1 in left for j, k in pairs if j < 0.8)
+
+
+@pytest.mark.parametrize("n", [150, 300, 600])
+def test_edges_grow_with_a_group_and_not_with_its_square(spark, n):
+    rng = random.Random(n)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(edited(rng, base, 1)) for _ in range(n)]
+    marks = [(i, S.shingle_set(t)) for i, t in enumerate(texts)]
+    none = np.zeros(0, np.int64)
+    lists = {}
+    for i, s in marks:
+        for key in S.prefix(s, none, none, 0.8).tolist():
+            lists.setdefault(key, []).append(np.array([i, i, len(s)]).tobytes() + S.parity(s))
+    large = [m for m in lists.values() if len(m) > S.PAIRED]
+    edges = {(int(a), int(b)) for m in large for a, b, _ in S._pairs_of_large(m, 0.8)}
+    assert len(large) > 20 and len(edges) <= 12 * n
+
+
+def test_blocks_of_a_group_by_its_labels(spark, monkeypatch):
+    """A group whose largest part has one label meets the rest only; all links between labels are found."""
+    monkeypatch.setattr(S, "GROUP_LIMIT", 20)
+    sets = [(i, list(range(i % 3, 50))) for i in range(60)] + [(100, list(range(2, 58)))] + [(200 + k, list(range(1000 * k, 1000 * k + 40))) for k in range(1, 15)]
+    df = spark.createDataFrame(sets, "cls long, shingles array<long>")
+    groups = df.select("cls", F.lit(1).cast("long").alias("grp"), F.when(F.col("cls") < 60, 0).otherwise(F.col("cls")).cast("long").alias("label"))
+    found = {frozenset(0 if x < 60 else x for x in r) for r in S.rest_edges(groups, df, 0.8).collect()}
+    assert found == {frozenset({0, 100})}
 
 
 def test_shingles_and_fingerprints():
-    assert len(S.shingle_set(S.words("a b c d e f"))) == 2 and len(S.shingle_set(S.words("A b"))) == 1 and len(S.shingle_set([])) == 0
-    assert S.wide_fingerprint(S.words("a B c")) == S.wide_fingerprint(S.words("c b a A")) and S.wide_fingerprint([]) == bytes(S.BYTES)
+    assert len(S.shingle_set("a b c d e f")) == 2 and len(S.shingle_set("A b")) == 1 and len(S.shingle_set("")) == len(S.shingle_set(None)) == 0
+    assert (S.shingle_set("a B  c\n") == S.shingle_set("A b c")).all()
 
 
 def test_odd_rows(spark):
