@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_prefixes(rows: DataFrame, components: str = "components", own: bool = True) -> DataFrame:
-    """One row for each prefix of an array of directory names: prefix (joined by `/`, empty for the root) and depth."""
+def with_prefixes(rows: DataFrame, components: str = "components", own: bool = True, first: int = 0) -> DataFrame:
+    """One row for each prefix of an array of directory names from a depth on: prefix (joined by `/`, empty for the root) and depth."""
     last = F.size(components) if own else F.size(components) - 1
-    depths = F.when(last >= 0, F.sequence(F.lit(0), last))
+    depths = F.when(last >= first, F.sequence(F.lit(first), last))
     out = rows.withColumn("depth", F.explode(depths))
     return out.withColumn("prefix", F.array_join(F.slice(components, F.lit(1), F.col("depth")), "/"))
 
@@ -28,8 +28,12 @@ def ancestors(rows: DataFrame, sections: DataFrame, key: str, own: bool) -> Data
 
     own: with the section of the row's full path (pages) or only those above (sections).
     """
-    s = sections.select(F.col("section_path").alias("prefix"), "lang")
-    return with_prefixes(rows.select(key, "components", "lang"), own=own).join(s, ["prefix", "lang"]).select(key, F.col("prefix").alias("section_path"), "depth", "lang")
+    s, rows = sections.select(F.col("section_path").alias("prefix"), "lang"), rows.select(key, "components", "lang")
+    # all rows of a language share its root: one row for each language of a site, met without a shuffle
+    root = F.broadcast(s.where("prefix = ''").select("lang"))
+    top = (rows if own else rows.where(F.size("components") > 0)).join(root, "lang").select(key, F.lit("").alias("section_path"), F.lit(0).alias("depth"), "lang")
+    deeper = with_prefixes(rows, own=own, first=1).join(s.where("prefix <> ''"), ["prefix", "lang"])
+    return top.unionByName(deeper.select(key, F.col("prefix").alias("section_path"), "depth", "lang"))
 
 
 def nearest_setting(rows: DataFrame, sections: DataFrame, key: str, setting: str, own: bool) -> DataFrame:

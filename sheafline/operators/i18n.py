@@ -42,20 +42,20 @@ def capped(work: DataFrame, most: int, keys: list[str]) -> DataFrame:
 def split_segments(text: Column) -> Column:
     """array<struct<kind, text>>: lines of a text with their line ends, as code, heading, table, list, quote, blank or prose.
 
-    Fenced code is told by the number of fences before a line. Joined again in order,
-    the pieces are the text, byte for byte.
+    A line is code when it is a fence or when an odd number of fences stands before it.
+    Joined again in order, the pieces are the text, byte for byte.
     """
     lines = F.split(text, "(?<=\n)")
     fence = lambda x: F.ltrim(x).startswith("```") | F.ltrim(x).startswith("~~~")
+    fences = F.array_compact(F.transform(lines, lambda x, i: F.when(fence(x), i)))
 
-    def step(acc, x):
-        bare, inside = F.trim(x), acc["open"]
+    def piece(x, i):
+        bare, inside = F.trim(x), F.size(F.filter(fences, lambda f: f < i)) % 2 == 1
         kind = (F.when(fence(x) | inside, "code").when(F.regexp_replace(x, r"\s", "") == "", "blank").when(bare.rlike("^#{1,6}( |$)"), "heading").when(bare.startswith("|"), "table")
                 .when(bare.rlike(r"^([-*+]|\d+[.)]) "), "list").when(bare.startswith(">"), "quote").otherwise("prose"))
-        return F.struct(F.array_append(acc["out"], F.struct(kind.alias("kind"), x.alias("text"))).alias("out"), F.when(fence(x), ~inside).otherwise(inside).alias("open"))
+        return F.struct(kind.alias("kind"), x.alias("text"))
 
-    start = F.struct(F.array().cast("array<struct<kind:string,text:string>>").alias("out"), F.lit(False).alias("open"))
-    return F.aggregate(lines, start, step)["out"]
+    return F.transform(lines, piece)
 
 
 def join_segments(pieces: Column) -> Column:

@@ -119,23 +119,32 @@ def pruned_files(existing: DataFrame, wanted: DataFrame, key: str = "rel") -> Da
 
 
 def write_outputs(outputs: DataFrame, folder: str) -> None:
-    """Writes (path, content) rows as files under folder, partition by partition, through Spark's own file systems' mounts.
+    """Writes (path, content) rows as files under folder, a URI of any store that executors reach; each file appears whole or not at all.
 
-    Paths that leave the folder are refused.
+    Paths that leave the folder are refused, and so is a plain local folder on a cluster,
+    whose machines do not share it.
     """
-    import os
-
-    root = os.path.abspath(folder)
+    master = outputs.sparkSession.sparkContext.master
+    if "://" not in folder and master.partition("[")[0] != "local":
+        raise ValueError(f"{folder} is a folder of one machine only: give a URI that all machines of {master} share")
 
     def write(rows):
+        import os
+        import posixpath
+        import uuid
+
+        from pyarrow import fs as store
+
+        place, root = store.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
         for r in rows:
-            target = os.path.abspath(os.path.join(root, r.path.lstrip("/")))
-            if not target.startswith(root + os.sep):
+            target = posixpath.normpath(posixpath.join(root, r.path.lstrip("/")))
+            if not target.startswith(root.rstrip("/") + "/"):
                 raise ValueError(f"{r.path} is outside of {folder}")
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target + f".{os.getpid()}", "w", encoding="utf-8") as f:
-                f.write(r.content or "")
-            os.replace(target + f".{os.getpid()}", target)
+            place.create_dir(posixpath.dirname(target), recursive=True)
+            part = f"{target}.{uuid.uuid4().hex}"
+            with place.open_output_stream(part) as f:
+                f.write((r.content or "").encode("utf-8"))
+            place.move(part, target)
 
     outputs.select("path", "content").foreachPartition(write)
 

@@ -15,13 +15,13 @@ def search_documents(pages: DataFrame, sections: DataFrame, limit: int | None =
     """(lang, url, title, description, body): sections and listed pages that may be searched.
 
     pages: (lang, url, title, description, content, in_search_index, hidden); sections
-    also redirect_to. A page that several sections list is one document, unless distinct is off.
+    also redirect_to. A page that several sections list is one document, the first one by its columns, unless distinct is off.
     """
     shown = sections.where(F.col("in_search_index") & F.col("redirect_to").isNull() & ~F.col("hidden"))
     own = pages.where(F.col("in_search_index") & ~F.col("hidden"))
     cols = ["lang", "url", "title", "description", search_body(F.col("content"), limit).alias("body")]
     out = shown.select(*cols).unionByName(own.select(*cols))
-    return out.dropDuplicates(["url"]) if distinct else out
+    return out.groupBy("url").agg(F.min(F.struct("lang", "title", "description", "body", "url")).alias("first")).select("first.lang", "url", "first.title", "first.description", "first.body") if distinct else out
 
 
 def tokens(docs: DataFrame, key: str, fields: list[str], stop_words=STOP_WORDS, paths: list[str] = ()) -> DataFrame:
