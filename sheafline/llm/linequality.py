@@ -99,11 +99,6 @@ def measure(text: str | None) -> Measured:
     return Measured(len(words), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, SYMBOLS)), sum(dup), int(again.sum()), counts, x)
 
 
-def _lse(a: np.ndarray, axis: int) -> np.ndarray:
-    m = a.max(axis, keepdims=True)
-    return (m + np.log(np.exp(a - m).sum(axis, keepdims=True))).squeeze(axis)
-
-
 @dataclass
 class Field:
     """Weights of line features by label [feature, label] and of label pairs [before, after]."""
@@ -138,15 +133,18 @@ class Field:
     def _messages(self, e: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward and backward messages and the log of the sum over all labellings, of line scores e [n, t, 2]."""
         n, t, _ = e.shape
-        ahead, behind = np.zeros((n, t, 2)), np.zeros((n, t, 2))
-        ahead[:, 0] = e[:, 0]
+        (cc, cb), (bc, bb) = self.moves
+        ec, eb, on = np.ascontiguousarray(e[..., 0].T), np.ascontiguousarray(e[..., 1].T), np.ascontiguousarray(live.T)
+        ac, ab, zc, zb = (np.zeros((t, n)) for _ in range(4))
+        ac[0], ab[0] = ec[0], eb[0]
         for k in range(1, t):
-            new = _lse(ahead[:, k - 1, :, None] + self.moves, 1) + e[:, k]
-            ahead[:, k] = np.where(live[:, k, None], new, ahead[:, k - 1])
+            ac[k] = np.where(on[k], np.logaddexp(ac[k - 1] + cc, ab[k - 1] + bc) + ec[k], ac[k - 1])
+            ab[k] = np.where(on[k], np.logaddexp(ac[k - 1] + cb, ab[k - 1] + bb) + eb[k], ab[k - 1])
         for k in range(t - 2, -1, -1):
-            new = _lse(self.moves + (e[:, k + 1] + behind[:, k + 1])[:, None, :], 2)
-            behind[:, k] = np.where(live[:, k + 1, None], new, 0)
-        return ahead, behind, _lse(ahead[:, -1], 1)
+            c, b = ec[k + 1] + zc[k + 1], eb[k + 1] + zb[k + 1]
+            zc[k] = np.where(on[k + 1], np.logaddexp(cc + c, cb + b), 0)
+            zb[k] = np.where(on[k + 1], np.logaddexp(bc + c, bb + b), 0)
+        return np.stack([ac.T, ab.T], 2), np.stack([zc.T, zb.T], 2), np.logaddexp(ac[-1], ab[-1])
 
     def marginals(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Probabilities [n, t, label] of each line of padded sequences."""
@@ -160,20 +158,28 @@ class Field:
         norm = weight / weight.sum()
         p = np.exp(ahead + behind - z[:, None, None]) * live[..., None]
         truth = np.eye(2)[y] * live[..., None]
-        g_w = np.einsum("ntf,ntl,n->fl", x, p - truth, norm)
+        g_w = x.reshape(-1, x.shape[2]).T @ ((p - truth) * norm[:, None, None]).reshape(-1, 2)
         both = live[:, 1:]
         pair = np.exp(ahead[:, :-1, :, None] + self.moves + (e[:, 1:] + behind[:, 1:])[:, :, None, :] - z[:, None, None, None])
         seen = np.einsum("nta,ntb->ntab", truth[:, :-1], truth[:, 1:])
-        g_m = np.einsum("ntab,nt,n->ab", pair - seen, both, norm)
+        g_m = ((pair - seen) * (both * norm[:, None])[..., None, None]).sum((0, 1))
         score = (e * truth).sum((1, 2)) + np.einsum("ntab,ab->n", seen, self.moves)
         return float(((z - score) * norm).sum()), g_w, g_m
 
     def _descend(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, weight: np.ndarray, steps: int, rate: float, l2: float) -> None:
-        """Adam on all sequences at once."""
-        values = (self.weights, self.moves)
+        """Adam on all sequences at once; sequences of like lengths are padded together."""
+        values, length = (self.weights, self.moves), live.sum(1)
+        groups = []
+        for t in (1 << k for k in range(int(length.max()).bit_length() + 1)):
+            own = np.flatnonzero((length <= t) & (length > t // 2))
+            if len(own):
+                groups.append((x[own, :t], y[own, :t], live[own, :t], weight[own], weight[own].sum() / weight.sum()))
         m, v = [np.zeros_like(a) for a in values], [np.zeros_like(a) for a in values]
         for step in range(1, steps + 1):
-            _, *grads = self.loss(x, y, live, weight)
+            grads = [np.zeros_like(a) for a in values]
+            for *group, share in groups:
+                for g, part in zip(grads, self.loss(*group)[1:], strict=True):
+                    g += share * part
             for i, (value, g) in enumerate(zip(values, grads, strict=True)):
                 g = g + l2 * value
                 m[i] += 0.1 * (g - m[i])

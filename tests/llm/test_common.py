@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheafline.llm import common as C
-from sheafline.llm import langid, packing
+from sheafline.llm import langid
 
 
 def test_every_group_has_its_rows(spark):
@@ -43,17 +43,6 @@ def test_tables_are_dealt_as_the_session_asks(spark, asked):
         spark.conf.unset(C.PARTITIONS)
 
 
-def test_pieces_do_not_depend_on_the_size_of_the_table(spark):
-    """The pieces of a partition are the same, whatever else the table holds."""
-    import public_tokenizers
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    few = spark.createDataFrame([(i, f"text number {i} " * (i % 30)) for i in range(40)], "doc_id long, text string").coalesce(1)
-    more = spark.range(1000, 1400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("other words "), 3000).alias("text")).coalesce(1)
-    pieces = lambda df: sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in packing.pack_documents(df, path).where("doc_id < 1000").collect())
-    assert pieces(few) == pieces(few.unionByName(more))
-
-
 def test_renamed_columns(spark):
     inner, names = C.renamed(spark.createDataFrame([(1, 2)], "`a``b` int, text int"))
     assert inner.columns == ["c0", "c1"] and names["text"] == "c1"
