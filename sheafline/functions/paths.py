@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -201,3 +203,27 @@ def join_url(base: Column, rel: Column) -> Column:
     """A site-relative link on the host of base; absolute links stay."""
     origin = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     return F.when(rel.startswith("/"), F.concat(origin, rel)).otherwise(rel)
+
+
+def get_url(base: str, path: Column, lang: Column | None = None, default: str = "en", trailing_slash: bool = False, content: Column | None = None) -> Column:
+    """The address of a path of the site in a language; with the content of its file, the start of its hash is appended, so that caches notice a change."""
+    bare = F.regexp_replace(path, "^/+", "")
+    own = bare if lang is None else F.when(lang == default, bare).otherwise(F.concat(lang, F.lit("/"), bare))
+    out = F.concat(F.lit(base.rstrip("/") + "/"), own)
+    if trailing_slash:
+        out = F.when(out.endswith("/"), out).otherwise(F.concat(out, F.lit("/")))
+    return out if content is None else F.concat(out, F.lit("?h="), F.substring(F.sha2(content, 256), 1, 20))
+
+
+def translated(key: Column, lang: Column, words: dict[str, dict[str, str]]) -> Column:
+    """A configured word (language -> key -> text) in a language; null where it is missing."""
+    flat = [x for code, own in sorted(words.items()) for k, v in sorted(own.items()) for x in (F.lit(f"{code}\0{k}"), F.lit(v))]
+    return F.try_element_at(F.create_map(*flat), F.concat(lang, F.lit("\0"), key)) if flat else F.lit(None).cast("string")
+
+
+def get_env(name: str, default: str | None = None) -> Column:
+    """A variable of the driver's environment as it is when the plan is made; without it the default, and without that an error."""
+    value = os.environ.get(name, default)
+    if value is None:
+        raise ValueError(f"{name} is not set")
+    return F.lit(value)
