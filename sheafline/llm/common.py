@@ -47,8 +47,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def hash_sample(df: DataFrame, n: int, *, by: list[str], group: str) -> DataFrame:
-    """Of each group, the n rows with the smallest hashes of the columns `by`; all of a group that has fewer.
+def hash_sample(df: DataFrame, n: int, *, by: list[str], group: str | None = None) -> DataFrame:
+    """Of each group, or of all of df, the n rows with the smallest hashes of the columns `by`; all of a group that has fewer.
 
     Rows that are equal in `by` are one row. Every group has its rows, however many
     groups there are and however many copies one holds, and they are the same rows
@@ -57,10 +57,18 @@ def hash_sample(df: DataFrame, n: int, *, by: list[str], group: str) -> DataFram
     """
     c = F.col
     cols = df.columns
-    hashed = df.where(c(group).isNotNull()).withColumn("__h", F.xxhash64(*by, F.lit("sample")).bitwiseAND(F.lit((1 << 62) - 1)))
-    sizes = materialize(hashed.groupBy(group).agg(F.approx_count_distinct("__h").alias("__n")), "group-sizes")
-    small = hashed.select(group, "__h").join(sizes, group).where(c("__h") / float(1 << 62) < F.lit(4.0 * n + 100) / c("__n")).select(group, "__h").distinct()
-    ranked = small.selectExpr("*", f"row_number() OVER (PARTITION BY `{group}` ORDER BY __h) AS __r")
-    picked = materialize(ranked.where(c("__r") <= n).select(c(group).alias("__g"), c("__h").alias("__p")), "picked")
-    rows = hashed.join(picked, (c(group) == c("__g")) & (c("__h") == c("__p")))
-    return rows.groupBy("__g", "__h").agg(F.first(F.struct(*cols)).alias("__row")).select("__row.*")
+    hashed = df.withColumn("__h", F.xxhash64(*by, F.lit("sample")).bitwiseAND(F.lit((1 << 62) - 1)))
+    count, most = F.approx_count_distinct("__h").alias("__n"), 4.0 * n + 100
+    share = c("__h") / float(1 << 62)
+    if group is None:
+        total = max(1, hashed.agg(count).first()[0])
+        keys = ["__h"]
+        picked = hashed.where(share < most / total).select("__h").distinct().orderBy("__h").limit(n)
+    else:
+        keys = [group, "__h"]
+        hashed = hashed.where(c(group).isNotNull())
+        sizes = materialize(hashed.groupBy(group).agg(count), "group-sizes")
+        small = hashed.select(*keys).join(sizes, group).where(share < F.lit(most) / c("__n")).select(*keys).distinct()
+        picked = small.selectExpr("*", f"row_number() OVER (PARTITION BY `{group}` ORDER BY __h) AS __r").where(c("__r") <= n).select(*keys)
+    rows = hashed.join(materialize(picked, "picked"), keys)
+    return rows.groupBy(*keys).agg(F.first(F.struct(*cols)).alias("__row")).select("__row.*")

@@ -243,9 +243,9 @@ def _verified(threshold: float, confidence: float):
 def _fit_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Pivots of each length: unit vectors of a hashed sample, of the square root of the rows and at most PIVOTS. Lengths that it does not hold have one cell."""
     n = min(PIVOTS, int(np.ceil(np.sqrt(vectors.count()))))
-    usable = vectors.where("embedding IS NOT NULL AND size(embedding) > 0").select("embedding", F.lit(0).alias("all"), F.xxhash64("vec_id", "embedding").alias("h"))
+    usable = vectors.where("embedding IS NOT NULL AND size(embedding) > 0").select("embedding", F.xxhash64("vec_id", "embedding").alias("h"))
     found: dict[int, list] = {}
-    for r in hash_sample(usable, max(1, n), by=["h"], group="all").collect():
+    for r in hash_sample(usable, max(1, n), by=["h"]).collect():
         v = np.array(r.embedding, float)
         if np.isfinite(v).all() and v.any():
             found.setdefault(len(v), []).append(v)

@@ -98,7 +98,7 @@ def _shingles(width: int):
 def _frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles, sorted, that several of SAMPLE texts hold, and how many do: FREQUENT at most. They only order prefixes, so any sample gives the same result."""
     c = F.col
-    some = hash_sample(docs.select(c(text).alias("text"), F.lit(0).alias("all")), SAMPLE, by=["text"], group="all")
+    some = hash_sample(docs.select(c(text).alias("text")), SAMPLE, by=["text"])
     rows = some.select("text").mapInArrow(_shingles(width), "shingle long").groupBy("shingle").count().where(c("count") >= SEEN).orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
     found = np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, 2)
     return found[:, 0].copy(), found[:, 1].copy()
