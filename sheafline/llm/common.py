@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_dir
 
-__all__ = ["dealt", "discard", "hash_sample", "held_out", "materialize", "renamed", "shared_dir"]
+__all__ = ["dealt", "discard", "hash_sample", "held_out", "join_hot", "materialize", "renamed", "shared_dir"]
 
 #: Session setting: into how many partitions dealt() deals a table. Unset, tables stay as they are read.
 PARTITIONS = "spark.sheafline.partitions"
@@ -72,3 +72,18 @@ def hash_sample(df: DataFrame, n: int, *, by: list[str], group: str | None = Non
         picked = small.selectExpr("*", f"row_number() OVER (PARTITION BY `{group}` ORDER BY __h) AS __r").where(c("__r") <= n).select(*keys)
     rows = hashed.join(materialize(picked, "picked"), keys)
     return rows.groupBy(*keys).agg(F.first(F.struct(*cols)).alias("__row")).select("__row.*")
+
+
+def join_hot(many: DataFrame, few: DataFrame, key: str, *, by: str, share: int = 4096) -> DataFrame:
+    """Inner join of many with few, whose keys are distinct; keys that hold over 1/share of many's rows are dealt over salts of the column `by`.
+
+    At most `share` keys can hold so much, so what is broadcast is bounded, and all
+    their copies in few are 2 * share rows at most.
+    """
+    c = F.col
+    counts = materialize(many.groupBy(key).count(), "key-counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = counts.where(c("count") * share > total).select(key, F.ceil(c("count") * share / F.lit(max(total, 1))).cast("int").alias("__n"))
+    salted = many.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(c("__n").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), c("__n"))).cast("int"))
+    copies = few.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))).drop("__n")
+    return salted.drop("__n").join(copies, [key, "__salt"]).drop("__salt")

@@ -12,6 +12,7 @@ from .sharding import op4_shard_documents
 from .simhash import op6_simhash_classes
 from .tokencount import op2_token_counts
 from .urllists import OP5_SQL, op5_url_lists
+from .winnowing import OP11_SQL, op11_decontamination
 
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_bpe_round": op8_bpe_round,
     "op9_language": op9_language,
     "op10_embedding_classes": op10_embedding_classes,
+    "op11_decontamination": op11_decontamination,
 }
 
 #: Operators that SQL can express.
-ORACLES: dict[str, str] = {"op5_url_lists": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_url_lists": OP5_SQL, "op11_decontamination": OP11_SQL}
