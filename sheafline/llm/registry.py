@@ -6,7 +6,9 @@ from .bpe import op8_bpe_round
 from .embeddings import op10_embedding_classes
 from .langid import op9_language
 from .linequality import op3_line_quality
+from .metrictrees import OP13_SQL, op13_vector_codes
 from .packing import op1_pack_documents
+from .partenum import op12_spelling_variants
 from .rules import op7_quality_rules
 from .sharding import op4_shard_documents
 from .simhash import op6_simhash_classes
@@ -26,7 +28,9 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_embedding_classes": op10_embedding_classes,
     "op11_decontamination": op11_decontamination,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: Operators that SQL can express.
-ORACLES: dict[str, str] = {"op5_url_lists": OP5_SQL, "op11_decontamination": OP11_SQL}
+ORACLES: dict[str, str] = {"op5_url_lists": OP5_SQL, "op11_decontamination": OP11_SQL, "op13_vector_codes": OP13_SQL}
