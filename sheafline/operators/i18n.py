@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,32 +60,6 @@ def join_segments(pieces: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: p["text"]), "")
 
 
-def translate_segments(pages: DataFrame, key: str, text: str, client: Callable[[list[str], str], list[str]] | None, lang: str) -> DataFrame:
-    """pages with their prose, headings, lists, quotes and tables sent through a client (texts, lang) -> texts; code and blanks stay.
-
-    A wrong number of answers, or an empty answer, is asked once more; what fails again stays as it was.
-    """
-    ask = client or (lambda texts, _: list(texts))
-    cut = pages.withColumn("__pieces", split_segments(F.col(text)))
-
-    def run(batches: Iterator):
-        for pdf in batches:
-            out = []
-            for pieces in pdf["__pieces"]:
-                sent = [p["text"] for p in pieces if p["kind"] not in ("code", "blank")]
-                got = ask(sent, lang) if sent else []
-                if len(got) != len(sent) or not all(got):
-                    got = ask(sent, lang)
-                if len(got) != len(sent):
-                    got = sent
-                answers = iter(g or s for g, s in zip(got, sent, strict=True))
-                out.append("".join(p["text"] if p["kind"] in ("code", "blank") else next(answers) for p in pieces))
-            pdf[text] = out
-            yield pdf.drop(columns="__pieces")
-
-    return cut.mapInPandas(run, pages.schema)
-
-
 # gates -------------------------------------------------------------------------------------
 
 

@@ -39,39 +39,46 @@ def order(by: str, permalink: str = "permalink", **columns) -> list[Column]:
     return [key.desc() if falling else key.asc(), F.col(permalink).asc()]
 
 
-#: Rows of one group that a task may sort; larger groups are ranked over many tasks.
-HOT_ROWS = 2_000_000
+def _dealt(rows: DataFrame, group: list[str], keys: list[Column]) -> DataFrame:
+    """rows range-partitioned and sorted by group and keys, with __at, their place: the partition's number in the upper bits, places without gaps in the lower 33."""
+    from ..sources.shared import materialize
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [F.col(g) for g in group]
+    return materialize(rows.repartitionByRange(n, *names, *keys).sortWithinPartitions(*names, *keys).withColumn("__at", F.monotonically_increasing_id()), "dealt")
 
 
-def has_hot_group(rows: DataFrame, group: list[str], hot: int | None = None) -> bool:
-    """Whether some group has more than HOT_ROWS rows: one aggregation with partial counts."""
-    n = rows.groupBy(*group).count().agg(F.max("count")).first()[0] if group else rows.count()
-    return (n or 0) > (HOT_ROWS if hot is None else hot)
+def _runs(dealt: DataFrame, group: list[str], *more: Column) -> DataFrame:
+    """One row for each group in each partition (__part): its first and last place, how many rows of the group stand in partitions before (__base), and more."""
+    per = dealt.groupBy(F.shiftright("__at", 33).alias("__part"), *group).agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.count("*").alias("__n"), *more)
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return per.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+
+
+def _with_runs(dealt: DataFrame, runs: DataFrame, group: list[str]) -> DataFrame:
+    """dealt with its runs' columns; null groups meet as well. No key is hot: a group's rows are dealt over its partitions."""
+    own = dealt.withColumn("__part", F.shiftright("__at", 33)).alias("d")
+    on = [F.col("d.__part") == F.col("r.__part"), *[F.col(f"d.`{g}`").eqNullSafe(F.col(f"r.`{g}`")) for g in group]]
+    extra = [F.col(f"r.`{x}`") for x in runs.columns if x not in ("__part", *group)]
+    return own.join(runs.alias("r"), on).select(*[F.col(f"d.`{x}`") for x in dealt.columns], *extra)
 
 
 def group_rank(rows: DataFrame, group: list[str], keys: list[Column], out: str = "rank") -> DataFrame:
-    """Numbers each group's rows from 1 in the order of keys, whatever the groups' sizes.
+    """Numbers each group's rows from 1 in the order of keys, as a long, whatever the groups' sizes.
 
-    Without a hot group it is a window. With one, rows are range-partitioned by group and
-    keys, so that a hot group lies in many partitions; the counts of (partition, group)
-    give each its offset, and tasks number their own share.
+    Rows are range-partitioned and sorted by group and keys, so a large group lies in many
+    partitions. A row's rank is its place in its partition plus the group's rows in
+    partitions before; only a row per group and partition meets in a window.
     """
-    if not has_hot_group(rows, group):
-        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(*keys)))
-    from ..sources.shared import materialize
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(rows.repartitionByRange(n, *group, *keys).withColumn("__part", F.spark_partition_id()), "ranked")
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("__part", *group).count().withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*keys))
-    return dealt.withColumn("__own", own).join(offsets, ["__part", *group]).withColumn(out, (F.col("__base") + F.col("__own")).cast("int")).drop("__part", "__own", "__base")
+    dealt = _dealt(rows, group, keys)
+    ranked = _with_runs(dealt, _runs(dealt, group).select("__part", *group, "__first", "__base"), group)
+    return ranked.withColumn(out, F.col("__at") - F.col("__first") + F.col("__base") + 1).drop("__at", "__first", "__base")
 
 
 def sort_pages(pages: DataFrame, by: str, group: str | None = None, permalink: str = "permalink", **columns) -> tuple[DataFrame, DataFrame]:
     """(sorted, unsortable): sorted has a rank from 1 within its group; unsortable has null keys. `none` sorts nothing."""
     if by == "none":
-        return pages.withColumn("rank", F.lit(None).cast("int")), pages.limit(0)
+        return pages.withColumn("rank", F.lit(None).cast("long")), pages.limit(0)
     key, _ = sort_key(by, permalink=permalink, **columns)
     return group_rank(pages.where(key.isNotNull()), [group] if group else [], order(by, permalink, **columns)), pages.where(key.isNull())
 
@@ -84,16 +91,20 @@ def sort_sections(sections: DataFrame, by: str, group: str | None = None, **colu
 def siblings(pages: DataFrame, by: str, group: str, permalink: str = "permalink", **columns) -> DataFrame:
     """Sortable pages with lower and higher: the permalinks before and after in the group's order.
 
-    With a hot group, neighbours meet by their ranks in two equi-joins instead of in a window.
+    Rows are range-partitioned by group and order; neighbours in a partition come from its
+    window, those beyond its ends from the first and last rows of the group's other partitions.
     """
+    c = F.col
     key, _ = sort_key(by, permalink=permalink, **columns)
-    live, keys = pages.where(key.isNotNull()), order(by, permalink, **columns)
-    if not has_hot_group(live, [group]):
-        w = Window.partitionBy(group).orderBy(*keys)
-        return live.withColumns({"lower": F.lag(permalink).over(w), "higher": F.lead(permalink).over(w)})
-    ranked = group_rank(live, [group], keys, "__rank")
-    other = lambda name, step: ranked.select(group, (F.col("__rank") + step).alias("__rank"), F.col(permalink).alias(name))
-    return ranked.join(other("lower", 1), [group, "__rank"], "left").join(other("higher", -1), [group, "__rank"], "left").drop("__rank")
+    dealt = _dealt(pages.where(key.isNotNull()), [group], order(by, permalink, **columns))
+    runs = _runs(dealt, [group], F.min_by(permalink, "__at").alias("__head"), F.max_by(permalink, "__at").alias("__tail"))
+    order_of_runs = Window.partitionBy(group).orderBy("__part")
+    ends = runs.withColumns({"__before": F.lag("__tail").over(order_of_runs), "__after": F.lead("__head").over(order_of_runs)}).select("__part", group, "__first", "__last", "__before", "__after")
+    inside = Window.partitionBy(F.shiftright("__at", 33), group).orderBy("__at")
+    near = dealt.withColumns({"__lower": F.lag(permalink).over(inside), "__higher": F.lead(permalink).over(inside)})
+    whole = _with_runs(near, ends, [group])
+    return whole.withColumns({"lower": F.when(c("__at") == c("__first"), c("__before")).otherwise(c("__lower")), "higher": F.when(c("__at") == c("__last"), c("__after")).otherwise(c("__higher"))}) \
+        .drop("__at", "__first", "__last", "__before", "__after", "__lower", "__higher")
 
 
 def top_k(rows: DataFrame, k: int | None, keys: list[Column], group: list[str] | None = None) -> DataFrame:
@@ -110,13 +121,4 @@ def top_k(rows: DataFrame, k: int | None, keys: list[Column], group: list[str] |
 
 def global_rank(rows: DataFrame, keys: list[str], out: str = "rank") -> DataFrame:
     """Numbers all rows from 1 in the order of these columns without one task sorting everything."""
-    from ..sources.shared import materialize
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(rows.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()), "ranked")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each partition, so their number is a setting's
-    offsets = dealt.groupBy("__part").count().withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
-    return dealt.withColumn("__own", own).join(F.broadcast(offsets.select("__part", "__base")), "__part") \
-        .withColumn(out, F.col("__base") + F.col("__own")).drop("__part", "__own", "__base")
+    return group_rank(rows, [], [F.col(k) for k in keys], out)

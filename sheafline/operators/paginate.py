@@ -49,35 +49,105 @@ def chunk_number(rank: Column, size: int) -> Column:
     return (F.floor((rank - 1) / size) + 1).cast("int")
 
 
+def _next_starts(sizes: list[int], pages: list, max_items: int, max_bytes: int, max_pages: int | None) -> list[int]:
+    """For each item, where the batch that starts with it would end: two marks that only move on."""
+    out, end, total, held = [], 0, 0, {}
+    for start in range(len(sizes)):
+        if end <= start:
+            end, total, held = start, 0, {}
+        while end < len(sizes) and (end == start or (end - start < max_items and total + sizes[end] <= max_bytes and (max_pages is None or pages[end] in held or len(held) < max_pages))):
+            total += sizes[end]
+            held[pages[end]] = held.get(pages[end], 0) + 1
+            end += 1
+        out.append(end)
+        total -= sizes[start]
+        held[pages[start]] -= 1
+        if not held[pages[start]]:
+            del held[pages[start]]
+    return out
+
+
+def _range_maps(max_items: int, max_bytes: int, max_pages: int | None):
+    """Of one range of a key's items and the first items of the next range: where a batch that enters at each of its first places leaves, and how many batches start on the way."""
+
+    def run(t):
+        import pyarrow as pa
+
+        t = t.sort_by("__rank")
+        own = sum(t["__own"].to_pylist())
+        ends = _next_starts([n or 0 for n in t["__size"].to_pylist()], t["__page"].to_pylist(), max_items, max_bytes, max_pages)
+        leaves, starts = [0] * own, [0] * own
+        for i in range(own - 1, -1, -1):
+            leaves[i], starts[i] = (ends[i] - own, 1) if ends[i] >= own else (leaves[ends[i]], starts[ends[i]] + 1)
+        first = slice(0, max_items)
+        return pa.table({"key": t["__key"].slice(0, 1), "range": t["__range"].slice(0, 1), "own": pa.array([own], pa.int64()),
+                         "leaves": pa.array([leaves[first]], pa.list_(pa.int32())), "starts": pa.array([starts[first]], pa.list_(pa.int32()))})
+
+    return run
+
+
+def _entries(t):
+    """The maps of a key's ranges in order, composed: where the first batch of each range starts and how many batches started before."""
+    import pyarrow as pa
+
+    t = t.sort_by("range")
+    entry, number, entries, numbers = 0, 0, [], []
+    for own, leaves, starts in zip(t["own"].to_pylist(), t["leaves"].to_pylist(), t["starts"].to_pylist(), strict=True):
+        entries.append(entry)
+        numbers.append(number)
+        if entry >= own:  # the batch goes on over the whole range
+            entry -= own
+        else:
+            entry, number = leaves[entry], number + starts[entry]
+    return pa.table({"key": t["key"], "range": t["range"], "entry": pa.array(entries, pa.int32()), "number": pa.array(numbers, pa.int64())})
+
+
+def _numbered(max_items: int, max_bytes: int, max_pages: int | None):
+    def run(t):
+        import pyarrow as pa
+
+        t = t.sort_by("__rank")
+        own, entry, number = sum(t["__own"].to_pylist()), t["entry"][0].as_py(), t["number"][0].as_py()
+        ends = _next_starts([n or 0 for n in t["__size"].to_pylist()], t["__page"].to_pylist(), max_items, max_bytes, max_pages)
+        out, at = [number] * min(entry, own), entry
+        while at < own:
+            number += 1
+            out += [number] * (min(ends[at], own) - at)
+            at = ends[at]
+        return pa.table({"__key": t["__key"].slice(0, own), "__rank": t["__rank"].slice(0, own), "batch": pa.array(out, pa.int64())})
+
+    return run
+
+
+#: Items of a range of greedy_batches, which one task holds; longer only where a batch may be.
+RANGE = 1 << 16
+
+
 def greedy_batches(items: DataFrame, key: str, order_by: list[str], size_col: str, max_items: int, max_bytes: int, page_col: str | None = None,
-                   max_pages: int | None = None) -> DataFrame:
+                   max_pages: int | None = None, out: str = "batch") -> DataFrame:
     """Batches that a new item joins while count, bytes (and distinct pages) stay within limits; sums start anew with each batch.
 
-    The fold depends on the order, so each key's items are folded in that order, in
-    one task per key, batch by batch of Arrow: only the running totals are held. An
-    item larger than the limit has a batch of its own.
+    A batch depends on where the one before ended, but it never reaches further than
+    max_items items. So each key's items are cut into ranges by their rank; for each of the
+    first max_items places where a batch may enter a range, the range's map says where the
+    last of its batches leaves it and how many start in it. Maps are composed in order
+    (a row of a range each), and ranges number their items. No task holds a key; the order
+    must be total. An item larger than the limit has a batch of its own, a null size is 0,
+    items of a null key are a key of their own. Batches count from 1, as a long.
     """
-    schema = items.schema.fields
-    names = [f.name for f in schema]
-    from pyspark.sql import types as T
+    from ..sources.shared import materialize
 
-    def run(batches):
-        import pyarrow as pa
-
-        now, number, count, size, pages = object(), 0, 0, 0, set()
-        for b in batches:
-            out = []
-            for k, n, page in zip(b.column(names.index(key)).to_pylist(), b.column(names.index(size_col)).to_pylist(),
-                                  b.column(names.index(page_col)).to_pylist() if page_col else [None] * b.num_rows, strict=True):
-                if k != now:
-                    now, number, count, size, pages = k, 1, 0, 0, set()
-                over = count and (count + 1 > max_items or size + (n or 0) > max_bytes or (max_pages and page not in pages and len(pages) + 1 > max_pages))
-                if over:
-                    number, count, size, pages = number + 1, 0, 0, set()
-                count, size = count + 1, size + (n or 0)
-                pages.add(page)
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*names, "batch"])
-
-    together = items.repartition(key).sortWithinPartitions(key, *order_by)
-    return together.mapInArrow(run, T.StructType([*schema, T.StructField("batch", T.IntegerType())]))
+    c = F.col
+    width, length = max_items, max(RANGE, max_items)
+    ranked = materialize(group_rank(items, [key], [c(x).asc() for x in order_by], "__rank"), "ranked")
+    page = c(page_col).cast("string") if page_col else F.lit(None).cast("string")
+    slim = ranked.select(F.to_json(F.struct(c(key).alias("k"))).alias("__key"), (c("__rank") - 1).alias("__rank"), c(size_col).cast("long").alias("__size"), page.alias("__page"))
+    own = F.floor(c("__rank") / length).cast("long")
+    ahead = F.when((c("__rank") % length < width) & (own > 0), F.struct((own - 1).alias("__range"), F.lit(0).alias("__own")))
+    placed = slim.withColumn("p", F.explode(F.array_compact(F.array(F.struct(own.alias("__range"), F.lit(1).alias("__own")), ahead)))).select("*", "p.*").drop("p")
+    maps = placed.groupBy("__key", "__range").applyInArrow(_range_maps(max_items, max_bytes, max_pages), "key string, range long, own long, leaves array<int>, starts array<int>")
+    entries = materialize(maps.groupBy("key").applyInArrow(_entries, "key string, range long, entry int, number long"), "batch-entries")
+    entered = placed.join(entries.select(c("key").alias("__key"), c("range").alias("__range"), "entry", "number"), ["__key", "__range"])
+    numbers = entered.groupBy("__key", "__range").applyInArrow(_numbered(max_items, max_bytes, max_pages), "__key string, __rank long, batch long")
+    named = ranked.withColumns({"__key": F.to_json(F.struct(c(key).alias("k"))), "__rank": c("__rank") - 1})
+    return named.join(numbers.withColumnRenamed("batch", out), ["__key", "__rank"]).drop("__key", "__rank")

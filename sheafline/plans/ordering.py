@@ -19,7 +19,7 @@ def _sorted(by: str, key: str, order: str, select: str) -> tuple[str, object]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out, _ = ordering.sort_pages(doc_pages(spark, sf_dir), by, "section", "path", **_NAMES)
-        return out.select("section", "doc_id", "rank")
+        return out.select("section", "doc_id", F.col("rank").cast("int").alias("rank"))
 
     return sql, run
 
@@ -88,13 +88,13 @@ _NATURAL = "array_to_string(list_transform(regexp_extract_all(replace(lower(stri
 @query("sort_title_natural", DOC_PAGES_SQL + f"SELECT section, doc_id, CAST(row_number() OVER (PARTITION BY section ORDER BY {_NATURAL}, path) AS INT) AS rank FROM doc_pages WHERE title IS NOT NULL")
 def sort_title_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = ordering.sort_pages(doc_pages(spark, sf_dir), "title", "section", "path", **_NAMES)
-    return out.select("section", "doc_id", "rank")
+    return out.select("section", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("sort_slug_natural", DOC_PAGES_SQL + "SELECT section, doc_id, CAST(row_number() OVER (PARTITION BY section ORDER BY doc_id) AS INT) AS rank FROM doc_pages")
 def sort_slug_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = ordering.sort_pages(doc_pages(spark, sf_dir), "slug", "section", "path", **_NAMES)
-    return out.select("section", "doc_id", "rank")
+    return out.select("section", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
 # pagers ---------------------------------------------------------------------------
@@ -155,7 +155,19 @@ f AS (SELECT source, doc_id, size, r, CAST(1 AS INT) AS batch, CAST(1 AS BIGINT)
 SELECT source, doc_id, batch FROM f""")
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"))
-    return paginate.greedy_batches(docs, "source", ["doc_id"], "size", 24, 8192).select("source", "doc_id", "batch")
+    return paginate.greedy_batches(docs, "source", ["doc_id"], "size", 24, 8192).select("source", "doc_id", F.col("batch").cast("int").alias("batch"))
+
+
+@query("page_batches", """WITH RECURSIVE o AS (SELECT lang, doc_id, 'p' || doc_id // (doc_id % 3 + 1) AS page, strlen(text) // 8 AS size, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents),
+f AS (SELECT lang, doc_id, r, CAST(1 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS n, CAST(size AS BIGINT) AS total, [page] AS pages FROM o WHERE r = 1
+  UNION ALL SELECT lang, doc_id, r, CASE WHEN over THEN batch + 1 ELSE batch END, CASE WHEN over THEN 1 ELSE n + 1 END, CASE WHEN over THEN size ELSE total + size END, CASE WHEN over THEN [page] ELSE list_distinct(pages || [page]) END
+  FROM (SELECT o.lang, o.doc_id, o.r, o.page, o.size, f.batch, f.n, f.total, f.pages, f.n + 1 > 128 OR f.total + o.size > 16384 OR (NOT list_contains(f.pages, o.page) AND len(f.pages) + 1 > 4) AS over FROM f JOIN o ON o.lang = f.lang AND o.r = f.r + 1))
+SELECT lang, doc_id, batch FROM f""")
+def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of texts that hold few distinct pages."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.concat(F.lit("p"), F.floor(k / (k % 3 + 1)).cast("long")).alias("page"), F.floor(F.octet_length("text") / 8).cast("long").alias("size"))
+    return paginate.greedy_batches(docs, "lang", ["doc_id"], "size", 128, 16384, "page", 4).select("lang", "doc_id", "batch")
 
 
 # site map ---------------------------------------------------------------------------

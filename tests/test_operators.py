@@ -1,3 +1,7 @@
+import random
+
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheafline.operators import graph, headings, hierarchy, links, ordering, paginate, publish, quality, search, taxonomy
@@ -35,20 +39,54 @@ def test_global_rank(spark):
     assert got == list(range(1, 1001))
 
 
-def test_hot_groups_are_ranked_alike(spark, monkeypatch):
-    df = spark.range(500).select(F.when(F.col("id") < 400, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), F.hash("id").alias("weight"), F.concat(F.lit("/"), "id", F.lit("/")).alias("permalink"))
-    plain = rows(ordering.sort_pages(df, "weight", "g")[0].select("permalink", "rank")), rows(ordering.siblings(df, "weight", "g").select("permalink", "lower", "higher").na.fill("-"))
-    monkeypatch.setattr(ordering, "HOT_ROWS", 50)
-    spread = rows(ordering.sort_pages(df, "weight", "g")[0].select("permalink", "rank")), rows(ordering.siblings(df, "weight", "g").select("permalink", "lower", "higher").na.fill("-"))
-    assert plain == spread and len(plain[0]) == 500
-
-
-def test_greedy_batches_start_anew(spark):
-    items = spark.createDataFrame([("en", i, f"p{i // 2}", s) for i, s in enumerate([5, 5, 5, 20, 1, 1, 1])], "lang string, i int, page string, size long")
-    got = [r.batch for r in paginate.greedy_batches(items, "lang", ["i"], "size", 3, 12).orderBy("i").collect()]
-    assert got == [1, 1, 2, 3, 4, 4, 4]
-    got = [r.batch for r in paginate.greedy_batches(items, "lang", ["i"], "size", 9, 99, "page", 2).orderBy("i").collect()]
-    assert got == [1, 1, 1, 1, 2, 2, 2]
+@pytest.mark.parametrize("partitions", [1, 8, 200])
+def test_groups_of_any_size_are_ranked_by_one_plan(spark, partitions):
+    """A group of most rows, small ones, a null one, and ties; as a window ranks them, whatever the number of partitions."""
+    name = F.when(F.col("id") < 400, "hot").when(F.col("id") % 7 > 0, F.concat(F.lit("g"), F.col("id") % 7))
+    df = spark.range(500).select(name.alias("g"), (F.hash("id") % 20).alias("weight"), F.concat(F.lit("/"), "id", F.lit("/")).alias("permalink"))
+    w = Window.partitionBy("g").orderBy("weight", "permalink")
+    want = rows(df.select("permalink", F.row_number().over(w).alias("rank"))), rows(df.select("permalink", F.lag("permalink").over(w).alias("lower"), F.lead("permalink").over(w).alias("higher")).na.fill("-"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = rows(ordering.sort_pages(df, "weight", "g")[0].select("permalink", "rank")), rows(ordering.siblings(df, "weight", "g").select("permalink", "lower", "higher").na.fill("-"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want and len(got[0]) == 500
+    assert ordering.sort_pages(df.limit(0), "weight", "g")[0].count() == ordering.siblings(df.limit(0), "weight", "g").count() == 0
+
+
+def plain_batches(items, most, size, pages):
+    """The fold, item by item: [(size, page)] to batch numbers."""
+    out, count, total, held = [], 0, 0, set()
+    for n, page in items:
+        n = n or 0
+        if count and (count + 1 > most or total + n > size or (pages and page not in held and len(held) + 1 > pages)):
+            count, total, held = 0, 0, set()
+        if not count:
+            out.append((out[-1] if out else 0) + 1)
+        else:
+            out.append(out[-1])
+        count, total = count + 1, total + n
+        held.add(page)
+    return out
+
+
+@pytest.mark.parametrize("most,size,pages", [(3, 12, None), (9, 99, 2), (24, 60, 4), (1, 5, None), (40, 10**9, 3)])
+def test_greedy_batches_equal_the_fold(spark, monkeypatch, most, size, pages):
+    """A key of half of all items over many ranges, items over the limit, null sizes and a null key."""
+    monkeypatch.setattr(paginate, "RANGE", 16)
+    rng = random.Random(most)
+    keys = ["hot"] * 200 + [rng.choice(["a", "b", None]) for _ in range(150)] + ["one"]
+    data = [(k, i, f"p{i // rng.randint(1, 5)}", rng.choice([None, 0, 1, 5, 5, 20, size + 7 if size < 10**9 else 3])) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(data, "lang string, i int, page string, size long").repartition(4)
+    got = {r.i: r.batch for r in paginate.greedy_batches(df, "lang", ["i"], "size", most, size, "page" if pages else None, pages).collect()}
+    want = {}
+    for key in set(keys):
+        own = [x for x in data if x[0] == key]
+        want |= dict(zip([x[1] for x in own], plain_batches([(x[3], x[2]) for x in own], most, size, pages), strict=True))
+    assert got == want
+    assert paginate.greedy_batches(df.limit(0), "lang", ["i"], "size", most, size).count() == 0
 
 
 def test_taxonomy(spark):
