@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, materialize, renamed
+from .common import discard, hash_sample, materialize, renamed
 from .components import connected_components
 from .simhash import fingerprint_links, majority, shingle_hashes
 
@@ -37,6 +37,8 @@ LONG = 384
 SAMPLE, FREQUENT, SEEN = 4096, 65536, 3
 #: Members that meet in a task: of a posting list, and of a group whose shingles are compared. Lists of up to so many members give all their pairs, longer ones what spans them.
 LIST_LIMIT, GROUP_LIMIT, PAIRED = 4096, 1000, 64
+#: Edges of a hub that meet it in one place.
+HUB_LIMIT = 256
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -197,20 +199,71 @@ def _list_edges(threshold: float):
     return run
 
 
-def _wide(threshold: float):
-    """Of pairs (a, b, whole, sizes, bitmaps), those that their whole bitmaps do not rule out; pairs that only span a list have been through that."""
+def _bits_alike(threshold: float):
+    """Whether the whole bitmaps of two texts leave them a chance."""
+
+    def test(n: int, x: bytes, m: int, y: bytes) -> bool:
+        size = min(len(x), len(y))
+        return bool(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum() <= _most(n, m, threshold))
+
+    return test
+
+
+def _sets_alike(threshold: float):
+    def test(_n: int, x: bytes, _m: int, y: bytes) -> bool:
+        return _alike(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), threshold)
+
+    return test
+
+
+def _met(test):
+    """Of rows sorted by hub and block, the hub's own before all others: edges and whether the test holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, data = 0, b""
         for b in batches:
-            keep = []
-            for whole, n, m, x, y in zip(*[b.column(k).to_pylist() for k in range(2, 7)], strict=True):
-                size = min(len(x), len(y))
-                keep.append(not whole or max(n, m) < LONG or bool(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum() <= _most(n, m, threshold)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2)], names=["a", "b", "whole"]).filter(pa.array(keep, pa.bool_()))
+            hubs, others, wholes, same = [], [], [], []
+            for hub, other, whole, n, x in zip(*[b.column(k).to_pylist() for k in ("hub", "other", "whole", "size", "data")], strict=True):
+                if other is None:
+                    size, data = n, x
+                else:
+                    hubs.append(hub)
+                    others.append(other)
+                    wholes.append(whole)
+                    same.append(test(size, data, n, x))
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(others, pa.int64()), pa.array(wholes, pa.bool_()), pa.array(same, pa.bool_())], names=["hub", "other", "whole", "same"])
 
     return run
 
 
+def compare(edges: DataFrame, data: DataFrame, test) -> DataFrame:
+    """edges (a, b, whole) with a column same: what the test says of the data (cls, size, data) of a and b.
+
+    The end with more edges is the hub. Its data travel once for each block of HUB_LIMIT
+    edges, and the other end's once an edge, so a text with very many neighbours is
+    neither one task nor copied for each of them.
+    """
+    c = F.col
+    ends = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").count()
+    degree = lambda k: ends.select(c("cls").alias(k), c("count").alias(f"n_{k}"))
+    first = c("n_a") >= c("n_b")
+    aimed = edges.join(degree("a"), "a").join(degree("b"), "b").select(
+        F.when(first, c("a")).otherwise(c("b")).alias("hub"), F.when(first, c("b")).otherwise(c("a")).alias("other"), "whole",
+        F.ceil(F.greatest("n_a", "n_b") / HUB_LIMIT).cast("int").alias("n")).withColumn("block", F.pmod(F.xxhash64("other"), c("n")).cast("int"))
+    aimed = materialize(aimed.select("hub", "block", "other", "whole"), "aimed-edges")
+    others = aimed.join(data.withColumnRenamed("cls", "other"), "other").select("hub", "block", "other", "whole", "size", "data")
+    hubs = aimed.select("hub", "block").distinct().join(data.withColumnRenamed("cls", "hub"), "hub").selectExpr("hub", "block", "CAST(NULL AS BIGINT) AS other", "CAST(NULL AS BOOLEAN) AS whole", "size", "data")
+    sorted_ = others.unionByName(hubs).repartition("hub", "block").sortWithinPartitions("hub", "block", c("other").asc_nulls_first())
+    met = sorted_.select("hub", "other", "whole", "size", "data").mapInArrow(_met(test), "hub long, other long, whole boolean, same boolean")
+    return met.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"), "whole", "same")
+
+
+def unruled(edges: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Of edges (a, b, whole), those that whole bitmaps do not rule out. Edges that only span a list have been through that."""
+    alone = compare(edges.where("whole"), classes.select("cls", "size", F.col("bits").alias("data")), _bits_alike(threshold)).where("same")
+    return alone.select("a", "b", "whole").unionByName(edges.where("NOT whole").select("a", "b", "whole"))
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,25 +273,28 @@ def _sets(width: int):
     return run
 
 
-def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """Whether two sets without repeats reach the threshold."""
-    shared = len(a) + len(b) - len(np.union1d(a, b))
-    return shared >= threshold * (len(a) + len(b) - shared) - 1e-9
-
-
-def _verified(threshold: float):
+def _set_bytes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same = [_alike(x.values.to_numpy(), y.values.to_numpy(), threshold) for x, y in zip(b.column(3), b.column(4), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(same, pa.bool_())], names=["a", "b", "whole", "same"])
+            sets = [shingle_set(x.as_py(), width) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "size", "data"])
 
     return run
 
 
-def verify(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """edges (a, b, whole) with a column same: whether the shingle sets (cls, shingles) of a and b reach the threshold."""
-    one = lambda k: sets.select(F.col("cls").alias(k), F.col("shingles").alias(f"of_{k}"))
-    return edges.join(one("a"), "a").join(one("b"), "b").select("a", "b", "whole", "of_a", "of_b").mapInArrow(_verified(threshold), "a long, b long, whole boolean, same boolean")
+def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sets without repeats reach the threshold."""
+    shared = len(a) + len(b) - len(np.union1d(a, b))
+    return shared >= threshold * (len(a) + len(b) - shared) - 1e-9
+
+
+def verify(edges: DataFrame, texts: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame:
+    """edges (a, b, whole) with a column same, written: whether the shingle sets of the texts (cls, text) of a and b reach the threshold."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = materialize(ends.join(texts, "cls").select("cls", "text").mapInArrow(_set_bytes(width), "cls long, size int, data binary"), "set-bytes")
+    out = materialize(compare(edges, sets, _sets_alike(threshold)), "verified")
+    discard(sets)
+    return out
 
 
 def _group_edges(threshold: float):
@@ -290,10 +346,7 @@ def list_edges(classes: DataFrame, labels: DataFrame, threshold: float) -> DataF
     member = classes.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "size", "bits").mapInArrow(_members, "cls long, member binary, wide binary")
     met = cut.select("key", "large", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "cls").join(member, "cls").withColumn("member", F.when(c("large"), c("wide")).otherwise(c("member")))
     lists = met.groupBy("key", "i", "j", "large").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
-    found = lists.select("members", "large").mapInArrow(_list_edges(threshold), "a long, b long, whole boolean").groupBy("a", "b").agg(F.min("whole").alias("whole"))
-    wide = lambda k: classes.select(c("cls").alias(k), c("size").alias(f"size_{k}"), c("bits").alias(f"bits_{k}"))
-    both = found.join(wide("a"), "a").join(wide("b"), "b").select("a", "b", "whole", "size_a", "size_b", "bits_a", "bits_b")
-    return both.mapInArrow(_wide(threshold), "a long, b long, whole boolean")
+    return lists.select("members", "large").mapInArrow(_list_edges(threshold), "a long, b long, whole boolean").groupBy("a", "b").agg(F.min("whole").alias("whole"))
 
 
 def rest_edges(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -322,12 +375,11 @@ def rest_edges(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFram
 def similar_classes(classes: DataFrame, texts: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of all classes (cls, fp, prefix, size, bits) that have a verified link; texts: (cls, text) of one row of each."""
     c = F.col
-    sets_of = lambda edges: edges.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(texts, "cls").select("cls", "text").mapInArrow(_sets(width), "cls long, shingles array<long>")
-    near = materialize(fingerprint_edges(classes), "fingerprint-edges")
-    sure = materialize(verify(near, sets_of(near), threshold).where("same"), "fingerprint-links").select("a", "b")
+    near = materialize(unruled(materialize(fingerprint_edges(classes), "fingerprint-edges"), classes, threshold), "near-fingerprints")
+    sure = verify(near, texts, threshold, width).where("same").select("a", "b")
     labels = sure.groupBy(c("b").alias("cls")).agg(F.min("a").alias("label"))  # whoever links with the same one is of one class
-    found = materialize(list_edges(classes, labels, threshold), "list-edges")
-    checked = materialize(verify(found, materialize(sets_of(found), "sets"), threshold), "list-links")
+    found = materialize(unruled(materialize(list_edges(classes, labels, threshold), "list-edges"), classes, threshold), "near-lists")
+    checked = verify(found, texts, threshold, width)
     links = sure.unionByName(checked.where("same").select("a", "b"))
     parts = materialize(connected_components(links), "labels")
     # pairs that only span a list and failed stand for others that were not compared
