@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,13 +125,53 @@ def bucket_pairs(words: list[str]) -> Iterator[tuple[str, str]]:
             yield (a, b) if a < b else (b, a)
 
 
+def _alike_halves(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Groups of places with equal keys, as arrays [groups, members], for each size from two on."""
+    order = np.argsort(keys, kind="stable")
+    begins = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0]) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[begins, len(keys)])
+    for n in np.unique(sizes[sizes > 1]):
+        yield order[begins[sizes == n][:, None] + np.arange(n)]
+
+
+def list_pairs(words: pa.Array, sizes: np.ndarray) -> set[tuple[str, str]]:
+    """Near pairs of lists of words, one after the other.
+
+    In a list, words have one length, or two that differ by one. One edit leaves the first
+    or the second half of the shorter word as it is, so only words that share a half are
+    compared; groups that share one and are large are met by their deletion variants.
+    """
+    begins = np.cumsum(sizes) - sizes
+    lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    shortest = np.repeat(np.minimum.reduceat(lengths, begins), sizes) if len(sizes) else lengths
+    one_length = np.repeat(np.maximum.reduceat(lengths, begins), sizes) == shortest if len(sizes) else lengths == 0
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    found: set[tuple[str, str]] = set()
+    for n in np.unique(shortest):
+        at = np.flatnonzero(shortest == n)
+        own = words.take(pa.array(at))
+        half = int(n) // 2
+        for part in (pc.utf8_slice_codeunits(own, 0, half), pc.utf8_slice_codeunits(own, -(int(n) - half))):
+            names = pc.dictionary_encode(part).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            for groups in _alike_halves(of[at] * (int(names.max()) + 1) + names):
+                if groups.shape[1] > 32:
+                    for g in groups:
+                        found.update(bucket_pairs(own.take(pa.array(g)).to_pylist()))
+                    continue
+                x, y = np.triu_indices(groups.shape[1], 1)
+                i, j = at[groups[:, x].ravel()], at[groups[:, y].ravel()]
+                fit = one_length[i] | (lengths[i] != lengths[j])
+                for a, b in zip(words.take(pa.array(i[fit])).to_pylist(), words.take(pa.array(j[fit])).to_pylist(), strict=True):
+                    if near(a, b):
+                        found.add((a, b) if a < b else (b, a))
+    return found
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        a, z = [], []
-        for words in b.column("words").to_pylist():
-            for x, y in bucket_pairs(words):
-                a.append(x)
-                z.append(y)
+        lists = b.column("words")
+        pairs = list_pairs(lists.flatten(), np.diff(lists.offsets.to_numpy()))
+        a, z = zip(*pairs, strict=True) if pairs else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(z, pa.string())], names=["a", "b"])
 
 
@@ -162,7 +203,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     sizes = materialize(signed.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1"), "signature-sizes")
     hot = sizes.where(c("k") > BUCKET).select("sig")
     shared = signed.join(sizes.where(c("k") <= BUCKET).select("sig"), "sig")
-    cold = shared.groupBy("sig").agg(F.collect_set("word").alias("words")).where(F.size("words") > 1).select("words").mapInArrow(_verified, "a string, b string")
+    cold = shared.groupBy("sig").agg(F.collect_list("word").alias("words")).where(F.size("words") > 1).select("words").mapInArrow(_verified, "a string, b string")
     every = cold if hot.isEmpty() else cold.union(_by_deletion(signed.join(hot, "sig", "left_semi")))
     pairs = materialize(every.distinct(), "near-words")
     for done in (signed, sizes):

@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sheafline.llm import partenum as P
@@ -88,6 +90,23 @@ def test_bucket_pairs(n):
     assert set(P.bucket_pairs(words)) == want
 
 
+@pytest.mark.parametrize("letters", ["ab", "abñc"])
+def test_pairs_of_lists(letters):
+    """Lists of one length, and of two that differ by one; those that only hold the longer words give the pairs among them or none."""
+    rng = random.Random(len(letters))
+    lists = []
+    for _ in range(120):
+        n = rng.randint(3, 7)
+        lists.append(sorted({"".join(rng.choices(letters, k=n + rng.randint(0, rng.choice([0, 1])))) for _ in range(rng.choice([2, 3, 9, 60]))}))
+    lists = [x for x in lists if len(x) > 1]
+    got = P.list_pairs(pa.array([w for x in lists for w in x]), np.array([len(x) for x in lists]))
+    mixed = lambda x: len({len(w) for w in x}) == 2
+    want = {(a, b) for x in lists for a in x for b in x if a < b and plain_near(a, b) and (len(a) != len(b) or not mixed(x))}
+    every = {(a, b) for x in lists for a in x for b in x if a < b and plain_near(a, b)}
+    assert want <= got <= every
+    assert P.list_pairs(pa.array([], pa.string()), np.zeros(0, np.int64)) == set()
+
+
 def test_query_equals_all_pairs(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     n = plain_counts(docs)
