@@ -107,16 +107,41 @@ def lookup_topics(labels: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def new_topic_ids(labels: DataFrame, topics: DataFrame) -> DataFrame:
-    """(label, id) for labels without a topic: slug, slug-2, slug-3 and so on after those taken; `topic` for empty slugs.
+    """(label, id) for labels without a topic: the slug where it is free, else slug-2, slug-3 and so on, the first number that is free; `topic` for empty slugs.
 
-    Numbers start after the highest suffix in use of a slug, so they never meet an existing id.
+    Labels of one slug take their turns in the order of the labels. Free slugs are given out
+    before numbers, so that a number never meets a new slug (`x-2` of a label "X 2"). Where
+    numbers have gaps, they are filled: the k-th number that is free is 1 + k plus the
+    used numbers below it, which a window over used and wanted numbers counts.
     """
-    fresh = lookup_topics(labels.select("label").distinct(), topics).where("topic_id IS NULL").select("label", paths.slug_ascii(F.col("label")).alias("slug"))
-    used = topics.select(F.regexp_replace("id", "-[0-9]+$", "").alias("slug"), F.coalesce(F.nullif(F.regexp_extract("id", "-([0-9]+)$", 1), F.lit("")).cast("long"), F.lit(1)).alias("n"))
-    exact = topics.select(F.col("id").alias("slug"), F.lit(1).cast("long").alias("n"))
-    top = used.unionByName(exact).groupBy("slug").agg(F.max("n").alias("n"))
-    n = F.coalesce("n", F.lit(0)) + F.row_number().over(Window.partitionBy("slug").orderBy("label"))
-    return fresh.join(top, "slug", "left").withColumn("k", n).select("label", F.when(F.col("slug") == "", "topic").when(F.col("k") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), "k")).alias("id"))
+    c = F.col
+    fresh = lookup_topics(labels.select("label").distinct(), topics).where("topic_id IS NULL").select("label", paths.slug_ascii(c("label")).alias("slug"))
+    taken = topics.select("id").distinct()
+    free = fresh.select("slug").where("slug <> ''").distinct().join(taken.select(c("id").alias("slug")), "slug", "left_anti").withColumn("free", F.lit(1))
+    turn = F.row_number().over(Window.partitionBy("slug").orderBy("label"))
+    ranked = fresh.join(free, "slug", "left").select("label", "slug", (turn - F.coalesce("free", F.lit(0))).cast("long").alias("k"))
+    number = F.try_to_number(F.regexp_extract("id", "-([1-9][0-9]{0,17})$", 1), F.lit("9" * 18)).cast("long")
+    every = taken.unionByName(free.select(c("slug").alias("id")))
+    used = every.select(F.regexp_replace("id", "-[0-9]+$", "").alias("slug"), number.alias("n")).where("n >= 2")
+    # before the i-th used number u (from 0 on) stand u - 2 - i free ones
+    gaps = used.select("slug", (c("n") - 1 - F.row_number().over(Window.partitionBy("slug").orderBy("n"))).alias("k"), F.lit(1).alias("used"), F.lit(None).cast("string").alias("label"))
+    wanted = ranked.where("k > 0 AND slug <> ''").select("slug", "k", F.lit(0).alias("used"), "label")
+    below = F.sum("used").over(Window.partitionBy("slug").orderBy("k", "used").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = gaps.unionByName(wanted).withColumn("n", c("k") + 1 + below).where("used = 0").select("label", "n")
+    return ranked.join(numbered, "label", "left").select("label", F.when(c("slug") == "", "topic").when(c("n").isNull(), c("slug")).otherwise(F.concat("slug", F.lit("-"), "n")).alias("id"))
+
+
+def seed_organization(organizations: DataFrame, name: str, id_: str = "", logo: str = "") -> DataFrame:
+    """organizations (id, name, url, logo, same_as), with the site's own as the only one where there is none and the site has a name.
+
+    Without an id, it is `org:` and the name's slug.
+    """
+    if not name:
+        return organizations
+    own = F.lit(id_) if id_ else F.concat(F.lit("org:"), paths.slug_ascii(F.lit(name)))
+    none = organizations.agg(F.count("*").alias("n")).where("n = 0")
+    seed = none.select(own.alias("id"), F.lit(name).alias("name"), F.lit("").alias("url"), F.lit(logo).alias("logo"), F.expr("cast(array() as array<string>)").alias("same_as"))
+    return organizations.select("id", "name", "url", "logo", "same_as").unionByName(seed)
 
 
 def merge_extracts(relations: DataFrame, topics: DataFrame, extracts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -159,3 +159,21 @@ def translate_pages(pages: DataFrame, key: str, client: segments.Client, lang: s
     rows = told.groupBy(key).agg(one(0, "title"), one(1, "description"), one(3, "body"), wrong)
     inside = nested.set_leaves(pages.select(key, extra), key, extra, told.where("field = 2").select(key, "path", "text")).select(key, extra)
     return pages.select(key).join(rows, key, "left").join(inside, key).select(key, "title", "description", extra, "body", F.coalesce("errors", F.expr("cast(array() as array<string>)")).alias("errors"))
+
+
+def sibling_texts(pages: DataFrame, siblings: DataFrame, key: str) -> DataFrame:
+    """(key, lang, texts, error): what each sibling (key, lang, extra as JSON) has at the paths of its page's copy (key, extra as JSON), as array of (path, text) in the page's order.
+
+    The first path that the sibling lacks, or where it has no string, is the error, and texts is null then.
+    """
+    c = F.col
+    node = F.to_json(F.struct(c(key).alias("k"), c("lang").alias("l"))).alias("node")
+    want = nested.take_apart(pages, key, "extra").where("kind = 'string'").where(~F.exists("steps", lambda s: skipped_key(s["name"]))).where(is_copy(nested.unquoted(c("value"))))
+    want = siblings.select(key, "lang", node).join(want.select(key, "path", F.transform("steps", lambda s: s["pos"]).alias("at")), key)
+    have = nested.take_apart(siblings.select(node, "extra"), "node", "extra").where("kind = 'string'").select("node", "path", nested.unquoted(c("value")).alias("text"))
+    told = want.join(have, ["node", "path"], "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "path", "text"))).alias("t"))
+    first = F.get(F.filter("t", lambda t: t["text"].isNull()), 0)["path"]
+    texts = F.transform("t", lambda t: F.struct(t["path"].alias("path"), t["text"].alias("text")))
+    none = F.expr("cast(array() as array<struct<path:string,text:string>>)")
+    out = siblings.select(key, "lang", node).join(told.select("node", F.concat(F.lit("missing extra."), first).alias("error"), texts.alias("texts")), "node", "left")
+    return out.select(key, "lang", F.when(c("error").isNull(), F.coalesce("texts", none)).alias("texts"), "error")

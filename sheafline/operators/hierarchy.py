@@ -28,7 +28,7 @@ def ancestors(rows: DataFrame, sections: DataFrame, key: str, own: bool) -> Data
 
     own: with the section of the row's full path (pages) or only those above (sections).
     """
-    s, rows = sections.select(F.col("section_path").alias("prefix"), "lang"), rows.select(key, "components", "lang")
+    s, rows = sections.select(F.col("section_path").alias("prefix"), "lang").distinct(), rows.select(key, "components", "lang")
     # all rows of a language share its root: one row for each language of a site, met without a shuffle
     root = F.broadcast(s.where("prefix = ''").select("lang"))
     top = (rows if own else rows.where(F.size("components") > 0)).join(root, "lang").select(key, F.lit("").alias("section_path"), F.lit(0).alias("depth"), "lang")
@@ -38,9 +38,13 @@ def ancestors(rows: DataFrame, sections: DataFrame, key: str, own: bool) -> Data
 
 def nearest_setting(rows: DataFrame, sections: DataFrame, key: str, setting: str, own: bool) -> DataFrame:
     """(key, setting) of the deepest section on each row's path that sets it; rows without one are absent."""
-    chain = ancestors(rows, sections, key, own)
-    set_ = sections.where(F.col(setting).isNotNull()).select("section_path", "lang", setting)
-    return chain.join(set_, ["section_path", "lang"]).groupBy(key).agg(F.max_by(setting, "depth").alias(setting))
+    set_ = sections.where(F.col(setting).isNotNull()).select(F.col("section_path").alias("prefix"), "lang", F.col(setting).alias("__set"))
+    rows = rows.select(key, "components", "lang")
+    # the root of a language would be one key for all its rows: it is met without a shuffle, a row for each language
+    root = F.broadcast(set_.where("prefix = ''").groupBy("lang").agg(F.max("__set").alias("__set")))
+    top = (rows if own else rows.where(F.size("components") > 0)).join(root, "lang").select(key, F.lit(0).alias("depth"), "__set")
+    deeper = with_prefixes(rows, own=own, first=1).join(set_.where("prefix <> ''"), ["prefix", "lang"]).select(key, "depth", "__set")
+    return top.unionByName(deeper).groupBy(key).agg(F.max_by("__set", "depth").alias(setting))
 
 
 def resolve_hidden(sections: DataFrame) -> DataFrame:
@@ -64,8 +68,13 @@ def roll_up(pages: DataFrame, sections: DataFrame, key: str) -> DataFrame:
     The walk ends at the first directory without a section or with one that isn't
     transparent, so every prefix is kept whose deeper ones all exist and are transparent.
     """
-    s = sections.select(F.col("section_path").alias("prefix"), "lang", "transparent", F.lit(True).alias("__there"))
-    walk = with_prefixes(pages.select(key, "components", "lang")).join(s, ["prefix", "lang"], "left")
+    s = sections.select(F.col("section_path").alias("prefix"), "lang", F.coalesce("transparent", F.lit(False)).alias("transparent"), F.lit(True).alias("__there"))
+    pages = pages.select(key, "components", "lang")
+    # as in nearest_setting, roots are met without a shuffle
+    root = F.broadcast(s.where("prefix = ''").groupBy("lang").agg(F.bool_or("transparent").alias("transparent"), F.first("__there").alias("__there")))
+    top = pages.join(root, "lang", "left").select(key, "lang", F.lit(0).alias("depth"), F.lit("").alias("prefix"), "transparent", "__there")
+    deep = with_prefixes(pages, first=1).join(s.where("prefix <> ''"), ["prefix", "lang"], "left").select(key, "lang", "depth", "prefix", "transparent", "__there")
+    walk = top.unionByName(deep)
     deeper = Window.partitionBy(key).orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, -1)
     open_ = F.coalesce(F.min((F.coalesce("__there", F.lit(False)) & F.coalesce("transparent", F.lit(False))).cast("int")).over(deeper), F.lit(1)) == 1
     return walk.withColumn("__open", open_).where("__there AND __open").select(key, F.col("prefix").alias("section_path"), "depth", "lang")

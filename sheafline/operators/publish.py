@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_xml
+from ..sources.shared import materialize
+from ..sources.trees import list_tree, opened, remove_files
 
 
 def sitemap_entries(parts: list[DataFrame]) -> DataFrame:
@@ -39,25 +45,47 @@ def sitemap_xml(entries: DataFrame, base: str, size: int = 30_000) -> DataFrame:
     return files.unionByName(index)
 
 
-def feed_xml(items: DataFrame, group: str, title: Column, url: Column, updated: Column, kind: str = "atom") -> DataFrame:
+def feed_xml(items: DataFrame, group: str, title: Column, url: Column, updated: Column, kind: str = "atom", *, name: Column | None = None, subtitle: Column | None = None,
+             home: Column | None = None, lang: Column | None = None, author: Column | None = None, generator: str = "sheafline") -> DataFrame:
     """(group, content): an Atom or RSS file of each group's items (rank, title, permalink, date, updated, summary), by rank.
 
-    title, url and updated are the feed's own, as aggregates or literals. Items are
-    expected to be limited before, so a group's file stays small.
+    title, url, updated and the others are the feed's own, as aggregates or literals: name
+    is that of a section or term and follows the title, home is the page that the feed
+    belongs to. Items may have authors (array), lang and content, which stands in where
+    the summary is null or empty; without authors the feed's author counts, else `Unknown`.
+    Items are expected to be limited before, so a group's file stays small.
     """
     c = F.col
+    none = F.lit(None).cast("string")
+    given = lambda x: none if x is None else x
+    own = lambda column, kind_="string": c(column) if column in items.columns else F.lit(None).cast(kind_)
     e = lambda x: escape_xml(F.coalesce(x, F.lit("")))
+    element = lambda tag, x, attrs="": F.coalesce(F.concat(F.lit(f"<{tag}{attrs}>"), escape_xml(x), F.lit(f"</{tag}>\n")), F.lit(""))
+    attribute = lambda label, x: F.coalesce(F.concat(F.lit(f' {label}="'), escape_xml(x), F.lit('"')), F.lit(""))
+    whole, place = F.concat_ws(" - ", title, given(name)), F.coalesce(given(home), url)
+    short, authors = F.nullif(own("summary"), F.lit("")), own("authors", "array<string>")
     if kind == "atom":
-        item = F.concat(F.lit("<entry><title>"), e(c("title")), F.lit("</title><published>"), c("date").cast("string"), F.lit("</published><updated>"), F.coalesce(c("updated"), c("date")).cast("string"),
-                        F.lit('</updated><link rel="alternate" type="text/html" href="'), e(c("permalink")), F.lit('"/><id>'), e(c("permalink")), F.lit('</id><summary type="html">'), e(c("summary")), F.lit("</summary></entry>"))
-        head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<feed xmlns="http://www.w3.org/2005/Atom"><title>'), e(title), F.lit('</title><link rel="self" type="application/atom+xml" href="'), e(url), F.lit('"/><updated>'), updated, F.lit("</updated><id>"), e(url), F.lit("</id>\n"))
+        people = F.array_join(F.transform(F.when(F.size(authors) > 0, authors).otherwise(F.array("__author")), lambda a: element("name", a)), "</author>\n<author>")
+        content = F.concat(F.lit("<content"), attribute("type", F.lit("html")), attribute("xml:base", c("permalink")), F.lit(">"), e(own("content")), F.lit("</content>\n"))
+        item = F.concat(
+            F.lit("<entry"), attribute("xml:lang", own("lang")), F.lit(">\n<title>"), e(c("title")), F.lit("</title>\n"), element("published", c("date").cast("string")), element("updated", F.coalesce(c("updated"), c("date")).cast("string")),
+            F.lit("<author>"), people, F.lit('</author>\n<link rel="alternate" type="text/html"'), attribute("href", c("permalink")), F.lit("/>\n"), element("id", c("permalink")),
+            F.when(short.isNotNull(), element("summary", short, ' type="html"')).otherwise(content), F.lit("</entry>"))
+        head = F.concat(
+            F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<feed xmlns="http://www.w3.org/2005/Atom"'), attribute("xml:lang", given(lang)), F.lit(">\n<title>"), e(whole), F.lit("</title>\n"), element("subtitle", given(subtitle)),
+            F.lit('<link rel="self" type="application/atom+xml"'), attribute("href", url), F.lit('/>\n<link rel="alternate" type="text/html"'), attribute("href", place), F.lit("/>\n"), element("generator", F.lit(generator)), element("updated", updated), element("id", url))
         foot = F.lit("\n</feed>\n")
     else:
-        item = F.concat(F.lit("<item><title>"), e(c("title")), F.lit("</title><pubDate>"), F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss xx"), F.lit("</pubDate><link>"), e(c("permalink")), F.lit("</link><guid>"), e(c("permalink")), F.lit("</guid><description>"), e(c("summary")), F.lit("</description></item>"))
-        head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0"><channel><title>'), e(title), F.lit("</title><link>"), e(url), F.lit("</link><lastBuildDate>"), updated, F.lit("</lastBuildDate>\n"))
-        foot = F.lit("\n</channel></rss>\n")
+        item = F.concat(
+            F.lit("<item>\n<title>"), e(c("title")), F.lit("</title>\n"), element("pubDate", F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss xx")), element("author", F.coalesce(F.get(authors, 0), c("__author"))), element("link", c("permalink")), element("guid", c("permalink")),
+            F.lit("<description"), attribute("xml:base", c("permalink")), F.lit(">"), e(F.coalesce(short, own("content"))), F.lit("</description>\n</item>"))
+        head = F.concat(
+            F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<rss xmlns:atom="http://www.w3.org/2005/Atom" version="2.0">\n<channel>\n<title>'), e(whole), F.lit("</title>\n"), element("link", place), F.lit("<description>"), e(given(subtitle)), F.lit("</description>\n"),
+            element("generator", F.lit(generator)), element("language", given(lang)), F.lit("<atom:link"), attribute("href", url), F.lit(' rel="self" type="application/rss+xml"/>\n'), element("lastBuildDate", updated))
+        foot = F.lit("\n</channel>\n</rss>\n")
+    listed = items.withColumn("__author", F.coalesce(given(author), F.lit("Unknown")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("xml")))), lambda x: x["xml"]), "\n")
-    return items.groupBy(group).agg(F.concat(head, body, foot).alias("content"))
+    return listed.groupBy(group).agg(F.concat(head, body, foot).alias("content"))
 
 
 def redirect_html(url: Column) -> Column:
@@ -118,35 +146,94 @@ def pruned_files(existing: DataFrame, wanted: DataFrame, key: str = "rel") -> Da
     return existing.join(wanted.select(key), key, "left_anti")
 
 
-def write_outputs(outputs: DataFrame, folder: str) -> None:
-    """Writes (path, content) rows as files under folder, a URI of any store that executors reach; each file appears whole or not at all.
-
-    Paths that leave the folder are refused, and so is a plain local folder on a cluster,
-    whose machines do not share it.
+#: Folder of files that are written but not in place yet, below an output folder.
+STAGING = ".staging"
+
+
+def _staged(folder: str, job: str):
+    """Writes contents to a folder of this attempt, and tells where each file lies and where it belongs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, root = opened(folder)
+        attempt = f"{STAGING}/{job}/{uuid.uuid4().hex}"
+        place.create_dir(posixpath.join(root, attempt), recursive=True)
+        n = 0
+        for b in batches:
+            lies, belongs, sizes = [], [], []
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                target = posixpath.normpath(path.lstrip("/"))
+                if target.split("/")[0] in ("..", ".", STAGING):
+                    raise ValueError(f"{path} is outside of {folder}")
+                data = (content or "").encode("utf-8")
+                with place.open_output_stream(posixpath.join(root, attempt, str(n))) as f:
+                    f.write(data)
+                lies.append(f"{attempt}/{n}")
+                belongs.append(target)
+                sizes.append(len(data))
+                n += 1
+            yield pa.RecordBatch.from_arrays([b.column("kind"), pa.array(belongs, pa.string()), pa.array(lies, pa.string()), pa.array(sizes, pa.int64())], names=["kind", "path", "staged", "bytes"])
+
+    return run
+
+
+def _placed(folder: str):
+    """Moves staged files to where they belong; one that an earlier attempt has moved is there already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, root = opened(folder)
+        for b in batches:
+            for path, staged in zip(b.column("path").to_pylist(), b.column("staged").to_pylist(), strict=True):
+                target = posixpath.join(root, path)
+                place.create_dir(posixpath.dirname(target), recursive=True)
+                try:
+                    place.move(posixpath.join(root, staged), target)
+                except FileNotFoundError:
+                    if place.get_file_info(target).type.name == "NotFound":
+                        raise
+            yield b.select(["path"])
+
+    return run
+
+
+def write_outputs(outputs: DataFrame, folder: str, kinds: tuple[str, ...] = ()) -> dict[str, int]:
+    """Writes (path, content) rows, or (kind, path, content), as files under folder, a URI of any store that executors reach.
+
+    Every attempt of a task writes to a folder of its own; Spark commits the rows of one
+    attempt of each task, and only their files are moved into place. So retries and
+    speculative tasks leave no stray file, and a job that fails leaves the folder as it was.
+    Paths that leave the folder are refused, one path twice is an error, and so is a plain
+    local folder on a cluster, whose machines do not share it.
+
+    Returned are counters that the writing pass itself has observed: files, bytes, and for
+    each of the kinds its number of files.
     """
     master = outputs.sparkSession.sparkContext.master
     if "://" not in folder and master.partition("[")[0] != "local":
         raise ValueError(f"{folder} is a folder of one machine only: give a URI that all machines of {master} share")
-
-    def write(rows):
-        import os
-        import posixpath
-        import uuid
-
-        from pyarrow import fs as store
-
-        place, root = store.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
-        for r in rows:
-            target = posixpath.normpath(posixpath.join(root, r.path.lstrip("/")))
-            if not target.startswith(root.rstrip("/") + "/"):
-                raise ValueError(f"{r.path} is outside of {folder}")
-            place.create_dir(posixpath.dirname(target), recursive=True)
-            part = f"{target}.{uuid.uuid4().hex}"
-            with place.open_output_stream(part) as f:
-                f.write((r.content or "").encode("utf-8"))
-            place.move(part, target)
-
-    outputs.select("path", "content").foreachPartition(write)
+    job, seen = uuid.uuid4().hex, Observation()
+    kind = F.col("kind") if "kind" in outputs.columns else F.lit("file")
+    staged = outputs.select(kind.cast("string").alias("kind"), "path", "content").mapInArrow(_staged(folder, job), "kind string, path string, staged string, bytes long")
+    counters = [F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds]]
+    place, root = opened(folder)
+    try:
+        committed = materialize(staged.observe(seen, *counters), "staged-files")
+        twice = committed.groupBy("path").count().where("count > 1").select("path").limit(1).collect()
+        if twice:
+            raise ValueError(f"{twice[0].path} is written twice")
+        committed.select("path", "staged").mapInArrow(_placed(folder), "path string").count()
+        return dict(seen.get)
+    finally:
+        rest = posixpath.join(root, STAGING, job)
+        if place.get_file_info(rest).type.name != "NotFound":
+            place.delete_dir(rest)
+
+
+def clean_outputs(spark: SparkSession, folder: str, planned: DataFrame, keep_dot_files: bool = True) -> int:
+    """Removes the files under folder that are not among planned (path); dot files, and all in dot folders, may stay. How many were removed."""
+    there = list_tree(spark, folder)
+    if keep_dot_files:
+        there = there.where(~F.col("file").rlike(r"(^|/)\."))
+    return remove_files(there.join(planned.select(F.regexp_replace("path", "^/+", "").alias("file")).distinct(), "file", "left_anti"), folder)
 
 
 #: Documents of one search file.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.text import trim_all
 from .graph import is_thin_exempt
 
 
@@ -108,18 +109,31 @@ def hreflang_reciprocal(html: DataFrame) -> DataFrame:
     return reciprocal(alt)
 
 
-def canonical_hosts(html: DataFrame, sitemap_host: str | None) -> DataFrame:
-    """Canonical addresses on another host than the site map's first one; nothing without a host."""
-    links = head_links(html).where("rel = 'canonical'")
-    bad = links.where(F.lit(sitemap_host is not None) & (paths.url_host(F.col("href")) != F.lit(sitemap_host)))
-    return violations(bad, "canonical_host", "path", F.concat(F.lit("canonical host of "), F.col("href")))
+def sitemap_host(outputs: DataFrame, path: str = "sitemap.xml") -> DataFrame:
+    """(host) of the first address in the site map among outputs (path, html), in lower case; no row without one."""
+    loc = F.regexp_extract("html", r"(?is)<loc>(.*?)</loc>", 1)
+    host = F.nullif(F.lower(paths.url_host(trim_all(loc))), F.lit(""))
+    return outputs.where(F.col("path") == path).agg(F.min(host).alias("host")).where("host IS NOT NULL")
 
 
-def rating_without_claim(html: DataFrame, claims: DataFrame) -> DataFrame:
-    """Pages that show an aggregate rating while no claim backs ratings."""
-    shown = html.where(F.contains("html", F.lit("aggregateRating")))
-    backed = claims.agg(F.coalesce(F.bool_or(F.contains(F.lower("metric"), F.lit("rating"))), F.lit(False)))
-    return violations(shown.where(~backed.scalar()), "rating_without_claim", "path", F.lit("rating without a claim"))
+def canonical_hosts(outputs: DataFrame, path: str = "sitemap.xml") -> DataFrame:
+    """Canonical addresses on another host than the first one of the site map, which is among outputs (path, html); nothing without it."""
+    host = sitemap_host(outputs, path).select("host")
+    # the explode keeps the long expression of an address's host from being copied to each use
+    links = head_links(outputs.where(F.col("path") != path)).where("rel = 'canonical'").select("path", F.explode(F.array(F.lower(paths.url_host(F.col("href"))))).alias("own")).where("own <> ''")
+    bad = links.withColumn("host", host.scalar()).where("own <> host")
+    return violations(bad, "canonical_host", "path", F.concat(F.lit("canonical host "), "own", F.lit(" is not the site map's "), "host"))
+
+
+def rating_without_claim(outputs: DataFrame, claims: DataFrame) -> DataFrame:
+    """One violation, of no page, where outputs (html) show an AggregateRating while no claim allows ratings and has an evidence address.
+
+    claims: (allows_aggregate_rating, evidence_url); nulls allow nothing.
+    """
+    shown = outputs.agg(F.coalesce(F.bool_or(F.contains("html", F.lit("AggregateRating"))), F.lit(False)).alias("shown"))
+    backed = claims.agg(F.coalesce(F.bool_or(F.col("allows_aggregate_rating") & (F.col("evidence_url") != "")), F.lit(False)).alias("backed"))
+    bad = shown.withColumn("backed", backed.scalar()).where("shown AND NOT backed")
+    return violations(bad, "rating_without_claim", F.lit(None).cast("string"), F.lit("pages show an AggregateRating that no claim with evidence allows"))
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stems
 from ..functions.text import path_tokens, search_body
+from ..sources.nested import put_together
 
 #: Words that the English pipeline leaves out.
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was with".split()
 
 
+#: Characters of a term that are a level each in index_trees.
+DEPTH = 12
+
+
 def search_documents(pages: DataFrame, sections: DataFrame, limit: int | None = None, distinct: bool = True) -> DataFrame:
     """(lang, url, title, description, body): sections and listed pages that may be searched.
 
@@ -24,16 +30,26 @@ def search_documents(pages: DataFrame, sections: DataFrame, limit: int | None =
     return out.groupBy("url").agg(F.min(F.struct("lang", "title", "description", "body", "url")).alias("first")).select("first.lang", "url", "first.title", "first.description", "first.body") if distinct else out
 
 
-def tokens(docs: DataFrame, key: str, fields: list[str], stop_words=STOP_WORDS, paths: list[str] = ()) -> DataFrame:
-    """(key, field, pos, term): lower-case words without stop words; path fields split at slashes, dashes and spaces."""
+def tokens(docs: DataFrame, key: str, fields: list[str], stop_words=STOP_WORDS, paths: list[str] = (), lang: str | None = None) -> DataFrame:
+    """(key, field, pos, term): lower-case words without stop words; path fields split at slashes, dashes and spaces.
+
+    With a language column, words of English documents become stems after that. Each
+    distinct word is stemmed once, however often it occurs.
+    """
     parts = []
     for f in fields:
         words = path_tokens(F.col(f)) if f in paths else F.regexp_extract_all(F.lower(f), F.lit("([a-z0-9]+)"), F.lit(1))
-        parts.append(docs.select(key, F.lit(f).alias("field"), F.posexplode(F.coalesce(words, F.array().cast("array<string>"))).alias("pos", "term")))
+        parts.append(docs.select(key, *([F.col(lang).alias("__lang")] if lang else []), F.lit(f).alias("field"), F.posexplode(F.coalesce(words, F.array().cast("array<string>"))).alias("pos", "term")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.where(~F.col("term").isin(list(stop_words)))
+    out = out.where(~F.col("term").isin(list(stop_words)))
+    if not lang:
+        return out
+    english = F.col("__lang") == "en"
+    words = out.where(english).select("term").distinct().select("term", F.get(stems(F.array("term")), 0).alias("stem"))
+    stemmed = out.where(english).join(words, "term").select(key, "field", "pos", F.col("stem").alias("term"))
+    return stemmed.unionByName(out.where(~F.coalesce(english, F.lit(False))).select(key, "field", "pos", "term"))
 
 
 def inverted_index(docs: DataFrame, key: str, fields: list[str], **how) -> DataFrame:
@@ -43,3 +59,26 @@ def inverted_index(docs: DataFrame, key: str, fields: list[str], **how) -> DataF
 
 def document_frequencies(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy("field", "term").agg(F.count(key).alias("df"), F.sum("tf").alias("cf"))
+
+
+def index_trees(index: DataFrame, key: str) -> DataFrame:
+    """(field, letter, content): an index (field, term, key, tf) as JSON trees of prefixes, one for each first character.
+
+    A node has its next characters one by one, down to DEPTH of them; the rest of a longer
+    term is one step. Where a term ends, it has df and the documents with their
+    tf. Trees are built from their leaves up, so each level costs one shuffle of what
+    stands on it; a tree is one row, as it is one file.
+    """
+    c = F.col
+    named = lambda at, name: F.struct(at.alias("pos"), name.alias("name"))
+    single = F.transform(F.filter(F.split(F.substring("term", 1, DEPTH), ""), lambda x: x != ""), lambda x: named(F.ascii(x), x))
+    rest = F.substring(c("term"), F.lit(DEPTH + 1), F.length("term"))
+    path = F.concat(single, F.when(rest != "", F.array(named(F.lit(1 << 21), rest))).otherwise(F.array().cast("array<struct<pos:int,name:string>>")))
+    late = lambda k, name: named(F.lit((1 << 22) + k), F.lit(name))
+    node = F.struct("field", F.substring("term", 1, 1).alias("letter")).alias("node")
+    # the place of a document among those of a term is its own, so that order is the key's
+    doc = named(F.lit(0), c(key).cast("string"))
+    tf = index.select(node, F.concat(path, F.array(late(1, "docs"), doc)).alias("steps"), F.to_json(F.struct(c("tf").alias("tf"))).alias("value"))
+    df = document_frequencies(index, key).select(node, F.concat(path, F.array(late(0, "df"))).alias("steps"), c("df").cast("string").alias("value"))
+    trees = put_together(tf.unionByName(df), "node", "content")
+    return trees.select("node.field", "node.letter", "content")

@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from . import content, files, markup, ordering, rules, scalars, stream, structure, surface, translation  # noqa: E402,F401
+from . import content, files, markup, ordering, rules, scalars, stores, stream, structure, surface, translation  # noqa: E402,F401

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -188,13 +190,32 @@ def merged_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_extracts(topics.limit(0).select(F.col("id").alias("from"), F.col("id").alias("to"), F.lit("").alias("kind")), topics, extracts)[1]
 
 
-@query("new_topic_ids", """SELECT label, CASE n WHEN 1 THEN slug ELSE slug || '-' || n END AS id FROM (SELECT label, slug, row_number() OVER (PARTITION BY slug ORDER BY label) + 1 AS n FROM (
-  SELECT DISTINCT p_type || suffix AS label, regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g') AS slug FROM part, (VALUES ('!'), ('?')) s(suffix)))""")
+@query("new_topic_ids", r"""WITH p AS (SELECT DISTINCT p_type, regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g') AS slug, row_number() OVER (ORDER BY p_type) % 5 AS n FROM (SELECT DISTINCT p_type FROM part)),
+topic AS (SELECT slug AS id, p_type AS label FROM p WHERE n < 4 UNION ALL SELECT slug || '-' || k, p_type || ' no ' || k FROM p, (VALUES (3), (4), (6)) v(k) WHERE n IN (1, 4) UNION ALL SELECT slug || '-02', p_type || ' no 02' FROM p WHERE n = 2),
+fresh AS (SELECT p_type || suffix AS label, slug || tail AS slug FROM p, (VALUES ('!', ''), ('?', ''), ('..', ''), (' 2', '-2'), (' 10', '-10')) s(suffix, tail)),
+base AS (SELECT DISTINCT slug FROM fresh WHERE slug NOT IN (SELECT id FROM topic)),
+taken AS (SELECT id FROM topic UNION SELECT slug FROM base),
+turn AS (SELECT label, slug, row_number() OVER (PARTITION BY slug ORDER BY label) - CASE WHEN slug IN (SELECT slug FROM base) THEN 1 ELSE 0 END AS k FROM fresh),
+free AS (SELECT slug, n, row_number() OVER (PARTITION BY slug ORDER BY n) AS k FROM (SELECT DISTINCT slug FROM fresh), range(2, 20) r(n) WHERE slug || '-' || n NOT IN (SELECT id FROM taken))
+SELECT label, CASE WHEN k = 0 THEN slug ELSE slug || '-' || n END AS id FROM turn LEFT JOIN free USING (slug, k) UNION ALL SELECT '€', 'topic'""")
 def new_topic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New labels whose slug is taken are numbered on."""
-    part = table(spark, sf_dir, "part")
-    labels = part.select(F.explode(F.array(F.concat("p_type", F.lit("!")), F.concat("p_type", F.lit("?")))).alias("label"))
-    return graph.new_topic_ids(labels, part.select(paths.slug_ascii(F.col("p_type")).alias("id"), F.col("p_type").alias("label")).distinct())
+    """New labels take their slug, or the first number that is free: gaps are filled, and labels that end in digits are slugs of their own."""
+    c = F.col
+    rank = F.row_number().over(Window.orderBy("p_type"))
+    kinds = table(spark, sf_dir, "part").select("p_type").distinct().withColumn("n", rank % 5).withColumn("slug", paths.slug_ascii(c("p_type")))  # 150 types, whatever the table's size
+    numbered = kinds.where("n IN (1, 4)").withColumn("k", F.explode(F.array(F.lit(3), F.lit(4), F.lit(6)))).select(_cat(c("slug"), "-", c("k")).alias("id"), _cat(c("p_type"), " no ", c("k")).alias("label"))
+    other = kinds.where("n = 2").select(_cat(c("slug"), "-02").alias("id"), _cat(c("p_type"), " no 02").alias("label"))
+    topics = kinds.where("n < 4").select(c("slug").alias("id"), c("p_type").alias("label")).unionByName(numbered).unionByName(other)
+    fresh = table(spark, sf_dir, "part").select(F.explode(F.array(*[F.concat("p_type", F.lit(x)) for x in ("!", "?", "..", " 2", " 10")], F.lit("€"))).alias("label"))
+    return graph.new_topic_ids(fresh, topics)
+
+
+@query("seeded_organizations", """SELECT 's' || s_suppkey AS id, s_name AS name, 'known' AS store FROM supplier UNION ALL SELECT 'org:acme-books', 'Acme Books', 'none' UNION ALL SELECT 'org:own', 'Acme Books', 'own id'""")
+def seeded_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site's own organisation is seeded where the store has none."""
+    rows = table(spark, sf_dir, "supplier").select(_cat("s", F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit("").alias("url"), F.lit("").alias("logo"), F.array(F.lit("x")).alias("same_as"))
+    stores = {"known": graph.seed_organization(rows, "Acme Books"), "none": graph.seed_organization(rows.where("id = ''"), "Acme Books"), "own id": graph.seed_organization(rows.where("id = ''"), "Acme Books", "org:own"), "no name": graph.seed_organization(rows.where("id = ''"), "")}
+    return reduce(DataFrame.unionByName, [df.select("id", "name", F.lit(k).alias("store")) for k, df in stores.items()])
 
 
 @query("upgraded_edges", """SELECT 'content/p' || page_id || '.md' AS "from", CASE WHEN page_id % 2 = 0 THEN 't' || page_id ELSE 'content/p' || page_id || '.md' END AS "to" FROM pages""")
@@ -272,18 +293,29 @@ def hreflang_reciprocal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.hreflang_reciprocal(one.unionByName(two))
 
 
-@query("canonical_hosts", """SELECT 'canonical_host' AS code, 'p' || page_id AS page_id, 'canonical host of https://other.org/' || page_id || '/' AS message FROM pages WHERE page_id % 4 = 0""")
+@query("canonical_hosts", """SELECT 'canonical_host' AS code, 'p' || page_id AS page_id, CASE WHEN page_id % 4 = 0 THEN 'canonical host other.org is not the site map''s example.org' ELSE 'canonical host www.example.org is not the site map''s example.org' END AS message FROM pages WHERE page_id % 4 IN (0, 1)""")
 def canonical_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host that counts is the site map's first; with another site map, or without one, nothing is wrong."""
     k = F.col("page_id")
-    head = _cat('<LINK href="https://', F.when(k % 4 == 0, "Other.org").otherwise("example.org"), "/", k, '" rel="canonical">')
-    return quality.canonical_hosts(table(spark, sf_dir, "pages").select(_cat("p", k).alias("path"), F.concat(head, "html").alias("html")), "example.org")
+    host = F.when(k % 4 == 0, "Other.org").when(k % 4 == 1, "www.example.org").when(k % 4 == 2, "EXAMPLE.org")
+    head = F.coalesce(_cat('<LINK href="https://', host, "/", k, '" rel="canonical">'), F.lit('<link rel=canonical href="/relative/">'))
+    pages = table(spark, sf_dir, "pages").select(_cat("p", k).alias("path"), F.concat(head, "html").alias("html"))
+    first = pages.agg(F.lit("sitemap.xml").alias("path"), F.concat(F.lit("<urlset><url><loc> https://Example.org/a/ </loc></url><url><loc>https://other.org/</loc></url>"), F.max(F.lit("</urlset>"))).alias("html"))
+    return quality.all_violations(quality.canonical_hosts(pages.unionByName(first)), quality.canonical_hosts(pages))
 
 
-@query("rating_without_claim", "SELECT 'rating_without_claim' AS code, 'p' || page_id AS page_id FROM pages WHERE page_id % 6 = 0 AND NOT EXISTS (SELECT 1 FROM events WHERE event_type ILIKE '%rating%')")
+@query("rating_without_claim", """WITH c AS (SELECT p_partkey % 3 = 0 AS allows, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'https://example.org/' || p_partkey END AS evidence FROM part),
+s(store, html, claims) AS (VALUES ('all pages', (SELECT count(*) FROM pages WHERE page_id % 6 = 0), 0), ('none', 0, 0), ('backed', 1, 1))
+SELECT store, 'rating_without_claim' AS code, CAST(NULL AS VARCHAR) AS page_id FROM s WHERE html > 0 AND claims = 0 AND NOT EXISTS (SELECT 1 FROM c WHERE allows AND evidence <> '')""")
 def rating_without_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("page_id")
-    html = table(spark, sf_dir, "pages").select(_cat("p", k).alias("path"), F.concat("html", F.when(k % 6 == 0, '{"aggregateRating": 5}').otherwise("")).alias("html"))
-    return quality.rating_without_claim(html, table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"))).select("code", "page_id")
+    """A claim has to allow ratings and have evidence, both at once; one violation for all pages together."""
+    k, p = F.col("page_id"), F.col("p_partkey")
+    pages = table(spark, sf_dir, "pages")
+    shown = pages.select(F.concat("html", F.when(k % 6 == 0, '{"@type":"AggregateRating"}').otherwise('{"aggregateRatings": 1}')).alias("html"))
+    split = table(spark, sf_dir, "part").select((p % 3 == 0).alias("allows_aggregate_rating"), F.when(p % 3 != 0, _cat("https://example.org/", p)).alias("evidence_url"))
+    backed = split.unionByName(table(spark, sf_dir, "part").select(F.lit(True).alias("allows_aggregate_rating"), _cat("https://example.org/", p).alias("evidence_url")))
+    stores = {"all pages": quality.rating_without_claim(shown, split), "none": quality.rating_without_claim(pages.select("html"), split), "backed": quality.rating_without_claim(shown, backed)}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("store"), "code", "page_id") for name, df in stores.items()])
 
 
 # translations ---------------------------------------------------------------------------------------------

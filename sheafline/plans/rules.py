@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import stemming, text
 from ..operators import graph, i18n, quality, search
+from ..sources import nested
 from ..sources.adapters import table
 from .catalog import query
 
@@ -103,6 +104,68 @@ def stale_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP = "('" + "','".join(search.STOP_WORDS) + "')"
 
 
+def _shape_sql(w: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(translate({w}, 'aeiou', 'vvvvv'), '([^vy])y', '\\1v', 'g'), '(^|v)yy', '\\1yv', 'g'), '[^v]', 'c', 'g')"
+
+
+def _measure_sql(w: str) -> str:
+    return f"len(regexp_extract_all({_shape_sql(w)}, 'v+c+'))"
+
+
+def _stem_steps_sql() -> str:
+    """The steps as CTEs s1 to s8 over words w, from the same fixed tables of suffixes."""
+    cut = lambda n: f"left(w, length(w) - {n})"
+    short = lambda x: f"(regexp_matches({_shape_sql(x)}, 'cvc$') AND NOT regexp_matches({x}, '[wxy]$'))"
+
+    def step(rules, fits) -> str:
+        return "CASE " + " ".join(f"WHEN ends_with(w, '{a}') THEN CASE WHEN {fits(cut(len(a)), a)} THEN {cut(len(a))} || '{b}' ELSE w END" for a, b in sorted(rules, key=lambda r: -len(r[0]))) + " ELSE w END"
+
+    mend = lambda x: f"""CASE WHEN regexp_matches({x}, '(at|bl|iz)$') THEN {x} || 'e' WHEN length({x}) > 1 AND right({x}, 1) = left(right({x}, 2), 1) AND NOT regexp_matches({x}, '[aeioulsz]$') THEN left({x}, length({x}) - 1)
+      WHEN {_measure_sql(x)} = 1 AND {short(x)} THEN {x} || 'e' ELSE {x} END"""
+    vowel = lambda x: f"contains({_shape_sql(x)}, 'v')"
+    more = lambda x, a: f"{_measure_sql(x)} > 1" + (f" AND regexp_matches({x}, '[st]$')" if a == "ion" else "")
+    steps = [
+        step(stemming.PLURALS, lambda x, a: "true"),
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {_measure_sql(cut(3))} > 0 THEN {cut(1)} ELSE w END WHEN ends_with(w, 'ed') THEN CASE WHEN {vowel(cut(2))} THEN {mend(cut(2))} ELSE w END WHEN ends_with(w, 'ing') THEN CASE WHEN {vowel(cut(3))} THEN {mend(cut(3))} ELSE w END ELSE w END",
+        f"CASE WHEN ends_with(w, 'y') AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE w END",
+        step(stemming.LONG, lambda x, a: f"{_measure_sql(x)} > 0"), step(stemming.MIDDLE, lambda x, a: f"{_measure_sql(x)} > 0"), step([(a, "") for a in stemming.LAST], more),
+        f"CASE WHEN ends_with(w, 'e') AND ({_measure_sql(cut(1))} > 1 OR ({_measure_sql(cut(1))} = 1 AND NOT {short(cut(1))})) THEN {cut(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {_measure_sql('w')} > 1 THEN {cut(1)} ELSE w END",
+    ]
+    return ", ".join(f"s{i} AS (SELECT word, {x} AS w FROM s{i - 1})" for i, x in enumerate(steps, 1))
+
+
+_STEMS = f"""WITH s0 AS (SELECT DISTINCT word, word AS w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents WHERE lang = 'en')), {_stem_steps_sql()},
+stem AS (SELECT word, CASE WHEN length(word) > 2 AND regexp_matches(word, '^[a-z]+$') THEN w ELSE word END AS stem FROM s8)
+"""
+
+
+@query("stemmed_words", _STEMS + "SELECT word, stem FROM stem")
+def stemmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("word")).distinct()
+    return words.select("word", F.get(stemming.stems(F.array("word")), 0).alias("stem"))
+
+
+@query("stemmed_index", _STEMS + f"""SELECT 'text' AS field, CASE WHEN lang = 'en' THEN stem ELSE t.word END AS term, doc_id, count(*) AS tf
+FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) t LEFT JOIN stem ON stem.word = t.word AND lang = 'en' WHERE t.word NOT IN {_STOP} GROUP BY ALL""")
+def stemmed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all texts, with stems of English words."""
+    return search.inverted_index(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id", ["text"], lang="lang")
+
+
+@query("index_trees", f"""SELECT field, term, doc_id, count(*) AS tf, count(*) OVER (PARTITION BY field, term) AS df
+FROM (SELECT 'source' AS field, doc_id, unnest(regexp_extract_all(lower(source), '[a-z0-9]+')) AS term FROM documents UNION ALL SELECT 'lang', doc_id, unnest(regexp_extract_all(lower(lang), '[a-z0-9]+')) FROM documents) WHERE term NOT IN {_STOP} GROUP BY field, term, doc_id""")
+def index_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields of all documents as JSON trees of prefixes, taken apart again."""
+    trees = search.index_trees(search.inverted_index(table(spark, sf_dir, "documents"), "doc_id", ["source", "lang"]), "doc_id")
+    leaves = nested.take_apart(trees.withColumn("k", F.struct("field", "letter")), "k", "content")
+    term = lambda n: F.array_join(F.transform(F.slice("steps", 1, F.size("steps") - n), lambda s: s["name"]), "")
+    last, field = F.element_at("steps", -1)["name"], F.col("k.field").alias("field")
+    tf = leaves.where(last == "tf").select(field, term(3).alias("term"), F.element_at("steps", -2)["name"].cast("long").alias("doc_id"), F.col("value").cast("long").alias("tf"))
+    df = leaves.where(last == "df").select(field, term(1).alias("term"), F.col("value").cast("long").alias("df"))
+    return tf.join(df, ["field", "term"])
+
+
 @query("inverted_index", f"SELECT field, term, doc_id, count(*) AS tf FROM (SELECT 'text' AS field, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents UNION ALL SELECT 'source', doc_id, unnest(regexp_extract_all(lower(source), '[a-z0-9]+')) FROM documents) WHERE term NOT IN {_STOP} GROUP BY ALL")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.inverted_index(table(spark, sf_dir, "documents"), "doc_id", ["text", "source"])

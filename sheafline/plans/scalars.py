@@ -84,8 +84,35 @@ def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = ordering.top_k(pages, 10, ordering.order("date", "path", **_NAMES), ["section"])
     items = top.select("section", "rank", "title", F.col("path").alias("permalink"), F.col("published").alias("date"), "updated", F.lit(None).cast("string").alias("summary"))
     files = publish.feed_xml(items, "section", F.col("section"), F.concat(F.lit("/"), "section", F.lit("/atom.xml")), F.max(F.col("date").cast("string")))
-    ids = F.regexp_extract_all("content", F.lit("<id>[^<]*/doc-([0-9]+)/</id></entry>|<id>[^<]*/doc-([0-9]+)/</id><summary"), F.lit(2))
-    return files.select("section", F.regexp_count("content", F.lit("<entry>")).cast("long").alias("n_entries"), F.array_join(ids, ",").alias("ids"))
+    ids = F.regexp_extract_all("content", F.lit("<id>[^<]*/doc-([0-9]+)/</id>"), F.lit(1))
+    return files.select("section", F.regexp_count("content", F.lit("<entry")).cast("long").alias("n_entries"), F.array_join(ids, ",").alias("ids"))
+
+
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+
+@query("feed_elements", DOC_PAGES_SQL + f"""SELECT kind, section, CASE kind WHEN 'atom' THEN '<?xml version="1.0" encoding="UTF-8"?>' || e || '<feed xmlns="http://www.w3.org/2005/Atom" xml:lang="en">' || e || '<title>Site &amp; Co - ' || section || '</title>' || e || '<subtitle>All of it</subtitle>' || e
+    || '<link rel="self" type="application/atom+xml" href="/' || section || '/atom.xml"/>' || e || '<link rel="alternate" type="text/html" href="/' || section || '/"/>' || e || '<generator>sheafline</generator>' || e || '<updated>' || CAST(max(published) AS VARCHAR) || '</updated>' || e || '<id>/' || section || '/atom.xml</id>' || e
+    || string_agg('<entry xml:lang="' || lang || '">' || e || '<title>' || title || '</title>' || e || '<published>' || CAST(published AS VARCHAR) || '</published>' || e || '<updated>' || CAST(coalesce(updated, published) AS VARCHAR) || '</updated>' || e
+      || CASE doc_id % 3 WHEN 0 THEN '<author><name>A &lt;a&gt;</name>' || e || '</author>' || e || '<author><name>B</name>' || e || '</author>' || e ELSE '<author><name>Desk</name>' || e || '</author>' || e END || '<link rel="alternate" type="text/html" href="' || path || '"/>' || e || '<id>' || path || '</id>' || e
+      || CASE WHEN doc_id % 2 = 0 THEN '<summary type="html">' || summary || '</summary>' ELSE '<content type="html" xml:base="' || path || '">' || content || '</content>' END || e || '</entry>', chr(10) ORDER BY rank) || e || '</feed>' || e
+  ELSE '<?xml version="1.0" encoding="UTF-8"?>' || e || '<rss xmlns:atom="http://www.w3.org/2005/Atom" version="2.0">' || e || '<channel>' || e || '<title>Site &amp; Co - ' || section || '</title>' || e || '<link>/' || section || '/</link>' || e || '<description>All of it</description>' || e || '<generator>sheafline</generator>' || e || '<language>en</language>' || e
+    || '<atom:link href="/' || section || '/atom.xml" rel="self" type="application/rss+xml"/>' || e || '<lastBuildDate>' || CAST(max(published) AS VARCHAR) || '</lastBuildDate>' || e
+    || string_agg('<item>' || e || '<title>' || title || '</title>' || e || '<pubDate>' || strftime(published, '%a, %d %b %Y 00:00:00 +0000') || '</pubDate>' || e || '<author>' || CASE doc_id % 3 WHEN 0 THEN 'A &lt;a&gt;' ELSE 'Desk' END || '</author>' || e || '<link>' || path || '</link>' || e || '<guid>' || path || '</guid>' || e
+      || '<description xml:base="' || path || '">' || CASE WHEN doc_id % 2 = 0 THEN summary ELSE content END || '</description>' || e || '</item>', chr(10) ORDER BY rank) || e || '</channel>' || e || '</rss>' || e END AS content
+FROM (SELECT section, lang, doc_id, path, published, updated, chr(10) AS e, {_ESCAPED.format("coalesce(title, '')")} AS title, {_ESCAPED.format("'<b>' || section || '</b>'")} AS summary, {_ESCAPED.format("coalesce(text, '')")} AS content, row_number() OVER (PARTITION BY section ORDER BY published DESC, path) AS rank
+  FROM doc_pages WHERE published IS NOT NULL AND NOT hidden AND NOT draft), (VALUES ('atom'), ('rss')) k(kind) WHERE rank <= 10 GROUP BY kind, section, e""")
+def feed_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole feeds of sections, both kinds: names, authors, languages, summaries or contents."""
+    c = F.col
+    pages = doc_pages(spark, sf_dir).where("published IS NOT NULL AND NOT hidden AND NOT draft")
+    top = ordering.top_k(pages, 10, ordering.order("date", "path", **_NAMES), ["section"])
+    authors = F.when(c("doc_id") % 3 == 0, F.array(F.lit("A <a>"), F.lit("B"))).when(c("doc_id") % 3 == 1, F.array().cast("array<string>"))
+    items = top.select("section", "rank", "title", c("path").alias("permalink"), c("published").alias("date"), "updated", "lang", c("text").alias("content"), authors.alias("authors"),
+                       F.when(c("doc_id") % 2 == 0, F.concat(F.lit("<b>"), "section", F.lit("</b>"))).when(c("doc_id") % 4 == 1, "").alias("summary"))
+    path = lambda name: F.concat(F.lit("/"), "section", F.lit(name))
+    both = {kind: publish.feed_xml(items, "section", F.lit("Site & Co"), path("/atom.xml"), F.max(c("date").cast("string")), kind, name=c("section"), subtitle=F.lit("All of it"), home=path("/"), lang=F.lit("en"), author=F.lit("Desk")) for kind in ("atom", "rss")}
+    return both["atom"].withColumn("kind", F.lit("atom")).unionByName(both["rss"].withColumn("kind", F.lit("rss")))
 
 
 @query("alias_redirects", "SELECT 'alias' AS kind, 'old/' || page_id || '/index.html' AS path FROM pages UNION ALL SELECT 'alias', 'p' || page_id || '.html' FROM pages")

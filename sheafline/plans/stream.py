@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.adapters import table
 from ..sources.shared import shared_dir
-from ..streaming import changes
+from ..streaming import changes, watch
 from .catalog import query
 
 #: Events as changes: views modify content, carts create templates, purchases remove static files, others touch the config or a temporary file.
@@ -44,6 +44,23 @@ def stream_last_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by("kind", F.struct("ts", "kind")).alias("kind"), F.first("change_kind").alias("change_kind"))
 
 
+@query("served_versions", _CHANGES + "SELECT path, kind, change_kind FROM k WHERE kind <> 'remove'")
+def served_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is served after all changes of a stream: the state table's last version."""
+    name = f"{shared_dir(spark)}/served-{uuid.uuid4().hex}"
+    served = watch.StateTable(spark, f"{name}/state", "path string, kind string, change_kind string, ts timestamp", "path")
+
+    def keep(last: DataFrame, batch: int) -> None:
+        # an event may come after a later one: what is kept tells whether it counts
+        old = served.read(before=batch).select("path", F.col("ts").alias("kept"))
+        new = last.join(old, "path", "left").where("kept IS NULL OR ts >= kept").drop("kept").select("path", "kind", "change_kind", "ts")
+        served.apply(new, new.limit(0), batch)
+
+    stream = changes.stream_table(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    changes.apply_stream(_changes(stream), keep, f"{name}/checkpoint").awaitTermination()
+    return served.read().where("kind <> 'remove'").select("path", "kind", "change_kind")
+
+
 @query("rebuild_plan", _CHANGES + "SELECT change_kind, count(*) AS n, CASE WHEN change_kind = 'config' OR (change_kind = 'content' AND bool_or(kind = 'remove')) THEN 'full' WHEN change_kind = 'static' THEN 'copy' ELSE 'partial' END AS action FROM k GROUP BY change_kind")
 def rebuild_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.rebuild_plan(changes.last_changes(changes.meaningful(_changes(table(spark, sf_dir, "events")))))

@@ -189,3 +189,33 @@ def written_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = docs.where("doc_id % 4 = 0").select("doc_id", "lang", F.lit('{"title":"alt","draft":true,"extra":{"lead":"alt","noindex":true,"source_hash":"older"}}').alias("header"))
     out = headers.write_siblings(docs.select("doc_id", head.alias("header"), _cat("h", k).alias("hash")), done, there, "doc_id")
     return out.select("doc_id", "lang", "text", F.array_join("missing", ",").alias("missing"))
+
+
+@query("sibling_texts", """SELECT doc_id, lang, CASE doc_id % 5 WHEN 1 THEN 'missing extra.items[1].text' WHEN 2 THEN 'missing extra.z_lead' WHEN 3 THEN 'missing extra.z_lead' END AS error,
+  CASE WHEN doc_id % 5 IN (0, 4) THEN 'z_lead=Vorn ' || source || ';items[0].text=Eins;items[1].text=Zwei;a.deep=Tief' END AS texts FROM documents UNION ALL SELECT doc_id, 'xx', NULL, '' FROM documents WHERE doc_id < 0""")
+def sibling_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sibling's strings at its page's paths, in the page's order; the first one that it lacks is the error."""
+    n = F.col("doc_id") % 5
+    docs = table(spark, sf_dir, "documents")
+    page = docs.select("doc_id", F.lit('{"z_lead":"Front words","slug":"x-y","items":[{"text":"One"},{"text":"Two","n":3}],"a":{"deep":"Deep down"}}').alias("extra"))
+    own = (F.when(n == 1, _cat('{"z_lead":"Vorn","items":[{"text":"Eins"}],"a":{}}')).when(n == 2, '{"items":[{"text":"Eins"},{"text":"Zwei"}]}').when(n == 3, "no JSON")
+           .otherwise(_cat('{"items":[{"text":"Eins"},{"text":"Zwei"}],"a":{"deep":"Tief"},"more":"own","z_lead":"Vorn ', F.col("source"), '"}')))
+    out = headers.sibling_texts(page, docs.select("doc_id", "lang", own.alias("extra")), "doc_id")
+    return out.select("doc_id", "lang", "error", F.array_join(F.transform("texts", lambda t: F.concat(t["path"], F.lit("="), t["text"])), ";").alias("texts"))
+
+
+# configurations ---------------------------------------------------------------------------------------------
+
+
+@query("merged_configs", """SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE '{"base":"https://' || c_custkey || '.org","extra":{"color":"own","deep":{"a":1,"b":[3],"c":"' || c_mktsegment || '"}' || CASE WHEN c_custkey % 5 = 1 THEN ',"menu":{"home":"/"}' ELSE '' END
+    || '},"list":["own"]' || CASE WHEN c_custkey % 5 = 2 THEN ',"menu":{"home":"/"}' ELSE '' END || ',"title":"T"}' END AS data,
+  CASE c_custkey % 5 WHEN 3 THEN 'extra.deep' WHEN 4 THEN 'menu' ELSE '' END AS clashes FROM customer UNION ALL SELECT -s_suppkey - 1, '{"only":' || s_suppkey || '}', '' FROM supplier""")
+def merged_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site's own settings over its theme's: the first one wins entry by entry, and a table against a value is a clash."""
+    c = F.col
+    n, rows = c("c_custkey") % 5, table(spark, sf_dir, "customer")
+    own = _cat('{"title":"T","base":"https://', c("c_custkey"), '.org","list":["own"],"extra":{"color":"own","deep":', F.when(n == 3, "1").otherwise('{"a":1}'), F.when(n == 1, ',"menu":{}').otherwise(""), "}", F.when(n == 2, ',"menu":{}').when(n == 4, ',"menu":"home"').otherwise(""), "}")
+    theme = _cat('{"extra":{"deep":{"c":"', c("c_mktsegment"), '","b":[3],"a":2},"color":"theme"', F.when(n == 1, ',"menu":{"home":"/"}').otherwise(""), '},"list":["theme"],"title":"no"', F.when((n == 2) | (n == 4), ',"menu":{"home":"/"}').otherwise(""), "}")
+    alone = table(spark, sf_dir, "supplier").select((-c("s_suppkey") - 1).alias("k"), _cat('{"only":', c("s_suppkey"), "}").alias("data"))
+    merged = nested.merge(rows.select(c("c_custkey").alias("k"), own.alias("data")).unionByName(alone), rows.select(c("c_custkey").alias("k"), theme.alias("data")), "k", "data")
+    return merged.select("k", "data", F.array_join("clashes", ",").alias("clashes"))

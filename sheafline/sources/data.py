@@ -9,20 +9,13 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .nested import quoted
+
 FORMATS = ("json", "yaml", "toml", "csv", "xml", "bibtex", "plain")
 ENDINGS = {"json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "csv": "csv", "xml": "xml", "bib": "bibtex"}
 ACCEPT = {"json": "application/json", "yaml": "application/x-yaml", "toml": "application/toml", "csv": "text/csv", "xml": "text/xml", "bibtex": "application/x-bibtex", "plain": "text/plain"}
 
 
-def format_of(path: str, given: str | None = None) -> str:
-    """The given format, else by the ending; unknown endings are plain text."""
-    if given:
-        if given not in FORMATS:
-            raise ValueError(f"unknown format {given}")
-        return given
-    return ENDINGS.get(path.rsplit(".", 1)[-1].lower(), "plain")
-
-
 # YAML: the part of it that headers and data files use ------------------------------------------------
 
 
@@ -212,18 +205,6 @@ def plain_value(v):
 # the readers -------------------------------------------------------------------------------------------
 
 
-def parse_csv(text: str) -> dict:
-    import csv
-    import io
-
-    rows = [r for r in csv.reader(io.StringIO(text)) if r]  # a blank line is no row
-    if not rows:
-        return {"headers": [], "records": []}
-    if any(len(r) != len(rows[0]) for r in rows):
-        raise ValueError("rows differ in their number of fields")
-    return {"headers": rows[0], "records": rows[1:]}
-
-
 def parse_xml(text: str):
     """Elements as a map; repeated ones as a list, text under $text where there is more than text."""
     from xml.etree import ElementTree
@@ -249,33 +230,59 @@ def to_json(kind: str, text: str) -> str:
     if kind == "toml":
         value = plain_value(tomllib.loads(text))
     else:
-        value = {"json": json.loads, "yaml": parse_yaml, "csv": parse_csv, "xml": parse_xml, "bibtex": parse_bibtex, "plain": str}[kind](text)
+        value = {"yaml": parse_yaml, "xml": parse_xml, "bibtex": parse_bibtex}[kind](text)
     return json.dumps(value, ensure_ascii=False)
 
 
+#: A record of a CSV text, with line ends inside of quotes only, and a field of a record.
+RECORD, FIELD = r'(?:[^"\n]++|"[^"]*+(?:""[^"]*+)*+")+', r'(?:^|,)("[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+
+
+def csv_columns(content: Column) -> tuple[Column, Column]:
+    """(headers, records) of a CSV text as arrays of strings; blank lines are no rows, quotes are doubled inside of quotes."""
+    bare = lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+    lines = F.filter(F.transform(F.regexp_extract_all(content, F.lit(f"({RECORD})"), F.lit(1)), lambda x: F.regexp_replace(x, "\r$", "")), lambda x: x != "")
+    rows = F.transform(lines, lambda x: F.transform(F.regexp_extract_all(x, F.lit(FIELD), F.lit(1)), bare))
+    return F.coalesce(F.get(rows, 0), F.array().cast("array<string>")), F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))
+
+
 def load_data(files: DataFrame, format: str | None = None, required: bool = True) -> DataFrame:  # noqa: A002
-    """files (file, content) with data (variant) and error, by each file's format. Null contents are errors where required, else null data."""
+    """files (file, content) with data (variant) and error, by each file's format. Null contents are errors where required, else null data.
+
+    JSON, CSV and plain text are column expressions; only the formats that Spark has no
+    reader for as data of any shape (YAML, TOML, XML, BibTeX) go through a parser in Python.
+    """
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             data, error = [], []
-            for f, c in zip(pdf["file"], pdf["content"], strict=True):
+            for f, kind, c in zip(pdf["file"], pdf["kind"], pdf["content"], strict=True):
                 try:
-                    if c is None:
-                        data.append(None)
-                        error.append(f"{f} is missing" if required else None)
-                    else:
-                        data.append(to_json(format_of(f, format), c))
-                        error.append(None)
+                    data.append(to_json(kind, c))
+                    error.append(None)
                 except Exception as e:  # noqa: BLE001  any parser's complaint becomes the row's error
                     data.append(None)
                     error.append(f"{f}: {e}")
             yield pd.DataFrame({"file": pdf["file"], "json": data, "error": error})
 
-    out = files.select("file", "content").mapInPandas(run, "file string, json string, error string")
-    return out.select("file", F.parse_json("json").alias("data"), "error")
+    if format and format not in FORMATS:
+        raise ValueError(f"unknown format {format}")
+    c = F.col
+    kind = F.lit(format) if format else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ENDINGS.items() for x in pair]), F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))), F.lit("plain"))
+    rows = files.select("file", "content", kind.alias("kind"))
+    own = rows.where(c("content").isNull() | c("kind").isin("json", "csv", "plain"))
+    headers, records = csv_columns(c("content"))
+    table = own.withColumns({"headers": F.when(c("kind") == "csv", headers), "records": F.when(c("kind") == "csv", records)})
+    uneven = F.exists("records", lambda r: F.size(r) != F.size("headers"))
+    value = (F.when(c("kind") == "json", F.try_parse_json("content")).when(c("kind") == "plain", F.parse_json(quoted(c("content"))))
+             .when(~uneven, F.parse_json(F.to_json(F.struct("headers", "records")))))
+    fault = (F.when(c("content").isNull(), F.concat("file", F.lit(" is missing")) if required else F.lit(None).cast("string")).when((c("kind") == "json") & F.try_parse_json("content").isNull(), F.concat("file", F.lit(": not valid JSON")))
+             .when(uneven, F.concat("file", F.lit(": rows differ in their number of fields"))))
+    loaded = table.select("file", F.when(c("content").isNotNull(), value).alias("data"), fault.alias("error"))
+    parsed = rows.where(c("content").isNotNull() & ~c("kind").isin("json", "csv", "plain")).mapInPandas(run, "file string, json string, error string")
+    return loaded.unionByName(parsed.select("file", F.parse_json("json").alias("data"), "error"))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 import tomllib
 from collections.abc import Iterator
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from .data import parse_yaml, plain_value
+from .trees import list_tree, read_tree
 
 #: Header fields by kind of file, with their types and defaults.
 PAGE_FIELDS = {"title": str, "description": str, "date": str, "updated": str, "draft": bool, "render": bool, "in_search_index": bool, "include_in_feeds": bool, "hidden": bool,
@@ -36,42 +36,17 @@ def _relative(path: Column, root: str) -> Column:
 
 
 def _underscored(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    """(path, value) of files with an underscore before their name or a folder's, which Spark's readers take for hidden.
-
-    Their names are listed by the file system's own patterns, level by level down to the
-    deepest folder; their contents are read in tasks.
-    """
-    at = lambda tail: spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{tail}")
-    fs = at("").getFileSystem(spark._jsc.hadoopConfiguration())
-    found: set[str] = set()
-    for level in count():
-        tails = ["*/" * level + "_" + pattern, *["*/" * k + "_*/" + "*/" * (level - k - 1) + pattern for k in range(level)]]
-        found |= {f.getPath().toString() for tail in tails for f in fs.globStatus(at(tail)) or [] if f.isFile()}
-        if not any(f.isDirectory() for f in fs.globStatus(at("*/" * level + "*")) or []):
-            break
-    names = [(name,) for name in sorted(found)]
-
-    def read(batches: Iterator):
-        from pyarrow import fs as store
-
-        for pdf in batches:
-            values = []
-            for p in pdf["path"]:
-                where, inner = store.FileSystem.from_uri(re.sub("^file:/+", "/", p))
-                with where.open_input_stream(inner) as f:
-                    values.append(f.read().decode("utf-8", "replace"))
-            pdf["value"] = values
-            yield pdf
-
-    df = spark.createDataFrame(names, "path string")
-    return (df.repartition(max(1, len(names) // 500 + 1)) if names else df).mapInPandas(read, "path string, value string")
+    """(file, content) of files with an underscore before their name or a folder's, which Spark's readers take for hidden; listed and read by tasks."""
+    name = re.escape(pattern).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    hidden = F.col("file").rlike("(^|/)_") & F.col("file").rlike(f"(^|/){name}$")
+    return read_tree(list_tree(spark, root).where(hidden).select("file"), root)
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*.md", ignored: str | None = None) -> DataFrame:
     """(file, content) of all files under root that match a pattern; dot files and ignored paths (a regular expression) are left out."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    both = files.select(F.col("_metadata.file_path").alias("path"), "value").unionByName(_underscored(spark, root, pattern))
-    out = both.select(_relative(F.col("path"), root).alias("file"), F.col("value").alias("content")).where(~F.col("file").rlike(r"(^|/)\."))
+    plain = files.select(_relative(F.col("_metadata.file_path"), root).alias("file"), F.col("value").alias("content"))
+    out = plain.unionByName(_underscored(spark, root, pattern)).where(~F.col("file").rlike(r"(^|/)\."))
     return out.where(~F.col("file").rlike(ignored)) if ignored else out
 
 

@@ -9,7 +9,8 @@ SCHEMAS = {
     "pages": "id string, canonical_path string, path string, title string, h1 string, summary string, lang string, translation_of string, author string, date_published string, date_modified string, og_image string, "
              "schema_types array<string>, content_hash string, enriched_hash string, word_count int, stub boolean, thin boolean, noindex boolean, sitemap boolean",
     "topics": "id string, label string", "relations": "`from` string, `to` string, kind string", "persons": "id string, name string, url string",
-    "organizations": "id string, name string, url string", "claims": "id string, page string, metric string, value string", "meta": "version int, origin string, updated string",
+    "organizations": "id string, name string, url string, logo string, same_as array<string>",
+    "claims": "id string, page string, metric string, value string, evidence_url string, allows_aggregate_rating boolean", "meta": "version int, origin string, updated string",
 }
 
 
@@ -27,7 +28,7 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def save(tables: dict[str, DataFrame], folder: str) -> None:
     """Writes the given tables as JSON lines; a table is replaced as a whole."""
     for name, df in tables.items():
-        columns = [c.split()[0].strip("`") for c in SCHEMAS[name].split(", ")]
+        columns = [f.name for f in df.sparkSession.createDataFrame([], SCHEMAS[name]).schema.fields]
         df.select(*[f"`{c}`" for c in columns if c in df.columns]).write.mode("overwrite").json(f"{folder}/{name}")
 
 

@@ -29,8 +29,8 @@ def path_text(steps: Column) -> Column:
     return F.array_join(part, "")
 
 
-def take_apart(rows: DataFrame, key: str, data: str) -> DataFrame:
-    """(key, steps, path, kind, value) of every leaf of a JSON column: scalars, and objects and arrays without entries.
+def take_apart(rows: DataFrame, key: str, data: str, into_arrays: bool = True) -> DataFrame:
+    """(key, steps, path, kind, value) of every leaf of a JSON column: scalars, and objects and arrays without entries; whole arrays where these are not taken apart.
 
     steps: array of (pos, name) from the root, pos from 0 in the order of the text, name
     null in arrays. kind: string, other, object or array; value: the leaf as JSON. Objects
@@ -48,7 +48,7 @@ def take_apart(rows: DataFrame, key: str, data: str) -> DataFrame:
         named = F.transform(named, lambda e, i: F.struct(i.alias("pos"), e["name"].alias("name"), e["text"].alias("text"), e["v"].alias("v")))
         listed = F.zip_with(F.from_json("value", "array<string>"), F.from_json("value", "array<variant>"), lambda e, v: F.struct(e.alias("text"), v.alias("v")))
         listed = F.transform(listed, lambda e, i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("name"), e["text"].alias("text"), e["v"].alias("v")))
-        inside = level.withColumn("entries", F.when(c("kind") == "object", named).when(c("kind") == "array", listed))
+        inside = level.withColumn("entries", F.when(c("kind") == "object", named).when((c("kind") == "array") & F.lit(into_arrays), listed))
         leaf = inside.where(c("entries").isNull() | (F.size("entries") == 0)).select(key, "steps", "kind", "value")
         found = leaf if found is None else found.unionByName(leaf)
         shape = F.schema_of_variant("e.v")
@@ -96,3 +96,32 @@ def set_leaves(rows: DataFrame, key: str, data: str, edits: DataFrame) -> DataFr
     missing = wanted.join(leaves.where("kind = 'string'").select(key, "path"), [key, "path"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list("path")).alias("missing"))
     out = rows.select(key, data).join(built, key, "left").join(missing, key, "left")
     return out.select(key, F.coalesce("__new", data).alias(data), F.coalesce("missing", F.expr("cast(array() as array<string>)")).alias("missing"))
+
+
+def merge(first: DataFrame, second: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, data, clashes) of two tables of JSON objects: entries of both at any depth, the first one's where both have one; names are sorted.
+
+    Arrays are values. Where one side has an object and the other a value, the path is named
+    in clashes, and data is null. A key of one side alone keeps its object. Data that are no
+    object have no entries.
+    """
+    c = F.col
+    names = F.transform("steps", lambda s: s["name"])
+    sides = []
+    for rows in (first, second):
+        leaves = take_apart(rows, key, data, into_arrays=False).where(F.size("steps") > 0)
+        sides.append(leaves.select(key, names.alias("names"), (c("kind") == "object").alias("empty"), "value"))
+    parts = F.when(F.size("names") > 1, F.transform(F.sequence(F.lit(1), F.size("names") - 1), lambda n: F.slice("names", 1, n)))
+    above = [s.select(key, F.explode(parts).alias("names")).distinct() for s in sides]
+    tables = [above[i].unionByName(sides[i].where("empty").select(key, "names")).distinct() for i in (0, 1)]
+    clash = [sides[i].where("NOT empty").join(tables[1 - i], [key, "names"]).select(key, F.array_join("names", ".").alias("path")) for i in (0, 1)]
+    clashes = clash[0].union(clash[1]).groupBy(key).agg(F.array_sort(F.collect_set("path")).alias("clashes"))
+    # an object without entries is one no more where the other side has some
+    kept = sides[0].join(above[1].withColumn("__more", F.lit(True)), [key, "names"], "left").where("NOT (empty AND __more IS NOT NULL)").drop("__more")
+    added = sides[1].join(sides[0].select(key, "names"), [key, "names"], "left_anti").join(above[0].withColumn("__more", F.lit(True)), [key, "names"], "left").where("NOT (empty AND __more IS NOT NULL)").drop("__more")
+    added = added.join(clash[0].union(clash[1]).select(key).distinct(), key, "left_anti")
+    steps = F.transform("names", lambda n: F.struct(F.lit(0).alias("pos"), n.alias("name")))
+    built = put_together(materialize(kept.unionByName(added).select(key, steps.alias("steps"), "value"), "merged"), key, data)
+    keys = first.select(key).union(second.select(key)).distinct()
+    whole = keys.join(clashes, key, "left").join(built, key, "left")
+    return whole.select(key, F.when(c("clashes").isNull(), F.coalesce(data, F.lit("{}"))).alias(data), F.coalesce("clashes", F.expr("cast(array() as array<string>)")).alias("clashes"))

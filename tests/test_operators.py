@@ -106,15 +106,45 @@ def test_links(spark):
     want = spark.createDataFrame([("b.md", "x"), ("b.md", "y"), ("b.md", "z"), ("b.md", "top"), ("b.md", None)], "file string, anchor string")
     heads, pages = spark.createDataFrame([("b.md", "x")], "file string, anchor string"), spark.createDataFrame([("b.md", "<p id='y'>")], "file string, html string")
     assert rows(links.missing_anchors(want, heads, pages).select("anchor")) == [("z",)]
-    got = links.check_external(found, lambda u: (False, "404")).collect()
-    assert [(r.url, r.domain, r.ok, r.message) for r in got] == [("https://E.org/p", "e.org", False, "404")]
+    got = links.check_external(found, lambda u, body: (404, None)).collect()
+    assert [(r.url, r.domain, r.ok, r.message) for r in got] == [("https://E.org/p", "e.org", False, "client error status 404")]
+    assert rows(links.broken_links(found, links.check_external(found, lambda u, body: (404, None)), "id")) == [(1, "https://E.org/p", "client error status 404")]
+
+
+def test_external_checks_keep_their_distance(spark, tmp_path):
+    """Over two runs each address is called once, calls to a domain keep their spacing, and what a run leaves the next one takes."""
+    import json
+    import time
+
+    log = tmp_path / "calls"
+
+    def fetch(url, body):
+        with open(log, "a") as f:
+            f.write(json.dumps([url, time.time()]) + "\n")
+        return 200, "<p id='x'>" if body else None
+
+    found = spark.createDataFrame([(f"https://{d}.org/{i}",) for d in "ab" for i in range(7)] + [("https://a.org/0#x",), ("https://a.org/0#y",), ("http://",), ("/site",), ("https://skip.org/",)] * 2, "link string").repartition(3)
+    check = lambda: links.check_external(found, fetch, cache=str(tmp_path / "cache"), per_domain=5, spacing=0.2, skip_prefixes=("https://skip",))
+    assert check().where("ok IS NULL").count() == 6
+    got = {r.url: (r.ok, r.message) for r in check().collect()}
+    assert len(got) == 17 and got["https://a.org/0#x"] == (True, "200") and got["https://a.org/0#y"] == (False, "no anchor #y on the page") and got["http://"] == (False, "no host")
+    calls = [json.loads(x) for x in log.read_text().splitlines()]
+    assert sorted(u for u, _ in calls) == sorted(u for u in got if u != "http://")
+    for d in "ab":
+        at = sorted(t for u, t in calls if f"{d}.org" in u)
+        assert len(at) > 6 and sum(y - x < 0.19 for x, y in zip(at, at[1:], strict=False)) <= 1  # the runs stand apart by themselves
+
+
+@pytest.mark.parametrize("url,want", [("https://e.org/a#x", True), ("https://e.org/a", False), ("https://e.org/#/x", False), ("https://e.org/#!x", False), ("https://e.org/#", False), ("https://s.org/#x", False)])
+def test_fragments_that_name_a_place(url, want):
+    assert links.wants_anchor(url, ("https://s.org/",)) is want
 
 
 def test_publish(spark, tmp_path):
     items = spark.createDataFrame([("en", 2, "B & b", "/b/", "2024-01-01", None, "s"), ("en", 1, "A", "/a/", "2024-01-02", "2024-02-02", None)], "lang string, rank int, title string, permalink string, date string, updated string, summary string")
     items = items.withColumn("date", F.to_timestamp("date"))
     atom = publish.feed_xml(items, "lang", F.lit("Site"), F.lit("/atom.xml"), F.lit("2024-02-02"), "atom").first().content
-    assert atom.index("/a/") < atom.index("/b/") and "B &amp; b" in atom and atom.count("<entry>") == 2
+    assert atom.index("/a/") < atom.index("/b/") and "B &amp; b" in atom and atom.count("<entry") == 2
     rss = publish.feed_xml(items, "lang", F.lit("Site"), F.lit("/rss.xml"), F.lit("x"), "rss").first().content
     assert "Tue, 02 Jan 2024 00:00:00 +0000" in rss
     entries = spark.createDataFrame([(f"/{i}/", None) for i in range(5)], "permalink string, updated string")
@@ -143,6 +173,10 @@ def test_graph(spark):
     topics = spark.createDataFrame([("go", "Go"), ("go-2", "GO?")], "id string, label string")
     labels = spark.createDataFrame([("go",), ("Go!",), ("New Topic",), ("日本",)], "label string")
     assert rows(graph.new_topic_ids(labels, topics)) == [("Go!", "go-3"), ("New Topic", "new-topic"), ("日本", "topic")]
+    gaps = spark.createDataFrame([("x", "X"), ("x-5", "X five"), ("top-10", "Top 10"), ("y", "Y"), ("y-02", "Y 02")], "id string, label string")
+    labels = spark.createDataFrame([(x,) for x in ("x!", "x?", "x..", "x .", "x,", "Top", "Y?", "Y 2")], "label string")
+    assert rows(graph.new_topic_ids(labels, gaps)) == sorted([("Top", "top"), ("Y 2", "y-2"), ("Y?", "y-3"), ("x .", "x-2"), ("x!", "x-3"), ("x,", "x-4"), ("x..", "x-6"), ("x?", "x-7")])
+    assert graph.new_topic_ids(labels.limit(0), gaps).count() == 0 and rows(graph.new_topic_ids(labels.limit(2), gaps.limit(0)).select("id")) == [("x",), ("x-2",)]
     ex = spark.createDataFrame([("content/a.md", "GO", ["New", "go"])], "page string, label string, related array<string>")
     every, rel = graph.merge_extracts(spark.createDataFrame([], "from string, to string, kind string"), topics.where("id = 'go'"), ex)
     assert rows(rel) == [("content/a.md", "go", "about"), ("go", "new", "related")] and rows(every.select("id")) == [("go",), ("new",)]
@@ -158,13 +192,15 @@ def test_quality(spark):
     heads = spark.createDataFrame([("a", '<link rel="canonical" href="https://X.org/a"><link rel=alternate hreflang=fr href=https://x.org/fr/a/>'), ("f", "<link rel='canonical' href='https://x.org/fr/a/'><link rel='alternate' hreflang='en' href='https://x.org/a/'>"),
                                    ("b", '<link rel="canonical" href="https://y.org/b/"><link rel="alternate" hreflang="en" href="https://x.org/a/">')], "path string, html string")
     assert rows(quality.hreflang_reciprocal(heads).select("page_id")) == [("https://y.org/b/",)]
-    assert rows(quality.canonical_hosts(heads, "x.org").select("page_id")) == [("b",)] and quality.canonical_hosts(heads, None).count() == 0
+    site = spark.createDataFrame([("sitemap.xml", "<urlset><url><loc>\n https://X.org/ </loc></url></urlset>")], "path string, html string")
+    assert rows(quality.canonical_hosts(heads.unionByName(site)).select("page_id")) == [("b",)] and quality.canonical_hosts(heads).count() == 0
     lines = spark.createDataFrame([("/old /new 301",), ("# no /x",), ("one",)], "value string")
     need = spark.createDataFrame([("/old", "/new/"), ("/z", "/y")], "from string, to string")
     assert rows(quality.missing_redirects(need, need.limit(0), quality.redirects(lines)).select("page_id")) == [("/z/",)]
-    html = spark.createDataFrame([("p", '{"aggregateRating": 1}'), ("q", "")], "path string, html string")
-    claims = spark.createDataFrame([("rating",)], "metric string")
-    assert quality.rating_without_claim(html, claims).count() == 0 and rows(quality.rating_without_claim(html, claims.limit(0)).select("page_id")) == [("p",)]
+    html = spark.createDataFrame([("p", '{"@type": "AggregateRating"}'), ("q", "")], "path string, html string")
+    claims = spark.createDataFrame([(True, ""), (False, "https://e.org"), (None, None), (True, None)], "allows_aggregate_rating boolean, evidence_url string")
+    assert rows(quality.rating_without_claim(html, claims).select("page_id")) == rows(quality.rating_without_claim(html, claims.limit(0)).select("page_id")) == [(None,)]
+    assert quality.rating_without_claim(html, claims.unionByName(spark.createDataFrame([(True, "x")], claims.schema))).count() == quality.rating_without_claim(html.where("path = 'q'"), claims).count() == 0
 
 
 def test_search_and_footnotes(spark):
