@@ -16,25 +16,25 @@ LAST = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment"
 
 
 def shape(word: Column) -> Column:
-    """v for each vowel, c for each consonant; y is a vowel after a consonant."""
-    vowels = F.translate(word, "aeiou", "vvvvv")
+    """V for each vowel, C for each consonant; y is a vowel after a consonant."""
+    vowels = F.translate(word, "aeiou", "VVVVV")
     # from the left: a y after a consonant is a vowel, and the next y stands after a vowel
-    ys = F.regexp_replace(F.regexp_replace(vowels, "([^vy])y", "$1v"), "(^|v)yy", "$1yv")
-    return F.regexp_replace(ys, "[^v]", "c")
+    ys = F.regexp_replace(F.regexp_replace(vowels, "([^Vy])y", "$1V"), "(^|V)yy", "$1yV")
+    return F.regexp_replace(ys, "[^V]", "C")
 
 
 def measure(stem: Column) -> Column:
     """How many times consonants follow vowels."""
-    return F.regexp_count(shape(stem), F.lit("v+c+"))
+    return F.regexp_count(shape(stem), F.lit("V+C+"))
 
 
 def _has_vowel(stem: Column) -> Column:
-    return F.contains(shape(stem), F.lit("v"))
+    return F.contains(shape(stem), F.lit("V"))
 
 
 def _short_end(stem: Column) -> Column:
     """Consonant, vowel, consonant, the last one no w, x or y."""
-    return shape(stem).rlike("cvc$") & ~stem.rlike("[wxy]$")
+    return shape(stem).rlike("CVC$") & ~stem.rlike("[wxy]$")
 
 
 def _stem_of(word: Column, suffix: str) -> Column:

@@ -105,24 +105,24 @@ _STOP = "('" + "','".join(search.STOP_WORDS) + "')"
 
 
 def _shape_sql(w: str) -> str:
-    return f"regexp_replace(regexp_replace(regexp_replace(translate({w}, 'aeiou', 'vvvvv'), '([^vy])y', '\\1v', 'g'), '(^|v)yy', '\\1yv', 'g'), '[^v]', 'c', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace(translate({w}, 'aeiou', 'VVVVV'), '([^Vy])y', '\\1V', 'g'), '(^|V)yy', '\\1yV', 'g'), '[^V]', 'C', 'g')"
 
 
 def _measure_sql(w: str) -> str:
-    return f"len(regexp_extract_all({_shape_sql(w)}, 'v+c+'))"
+    return f"len(regexp_extract_all({_shape_sql(w)}, 'V+C+'))"
 
 
 def _stem_steps_sql() -> str:
     """The steps as CTEs s1 to s8 over words w, from the same fixed tables of suffixes."""
     cut = lambda n: f"left(w, length(w) - {n})"
-    short = lambda x: f"(regexp_matches({_shape_sql(x)}, 'cvc$') AND NOT regexp_matches({x}, '[wxy]$'))"
+    short = lambda x: f"(regexp_matches({_shape_sql(x)}, 'CVC$') AND NOT regexp_matches({x}, '[wxy]$'))"
 
     def step(rules, fits) -> str:
         return "CASE " + " ".join(f"WHEN ends_with(w, '{a}') THEN CASE WHEN {fits(cut(len(a)), a)} THEN {cut(len(a))} || '{b}' ELSE w END" for a, b in sorted(rules, key=lambda r: -len(r[0]))) + " ELSE w END"
 
     mend = lambda x: f"""CASE WHEN regexp_matches({x}, '(at|bl|iz)$') THEN {x} || 'e' WHEN length({x}) > 1 AND right({x}, 1) = left(right({x}, 2), 1) AND NOT regexp_matches({x}, '[aeioulsz]$') THEN left({x}, length({x}) - 1)
       WHEN {_measure_sql(x)} = 1 AND {short(x)} THEN {x} || 'e' ELSE {x} END"""
-    vowel = lambda x: f"contains({_shape_sql(x)}, 'v')"
+    vowel = lambda x: f"contains({_shape_sql(x)}, 'V')"
     more = lambda x, a: f"{_measure_sql(x)} > 1" + (f" AND regexp_matches({x}, '[st]$')" if a == "ion" else "")
     steps = [
         step(stemming.PLURALS, lambda x, a: "true"),
