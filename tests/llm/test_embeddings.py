@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sheafline.llm import embeddings as E
 
@@ -74,8 +75,9 @@ def test_partners_share_a_cell():
     d = E.unit(d - (d * x).sum(1, keepdims=True) * x)
     y, pivots = E.unit(0.98 * x + np.sqrt(1 - 0.98**2) * d + 1e-9 * x), E.unit(rng.standard_normal((60, 32)))
     shared = lambda c: np.mean([bool(np.intersect1d(a, b).size) for a, b in zip(E.probes(x, pivots, 0.98, c), E.probes(y, pivots, 0.98, c), strict=True)])
-    assert shared(1.0) == 1 and shared(0.9999) > 0.995
-    assert sum(map(len, E.probes(x, pivots, 0.98, 0.9999))) < sum(map(len, E.probes(x, pivots, 0.98, 1.0)))
+    usual = E.usual_width(32, 0.9999)
+    assert shared(1.0) == 1 and shared(usual) > 0.995
+    assert sum(map(len, E.probes(x, pivots, 0.98, usual))) < sum(map(len, E.probes(x, pivots, 0.98, 1.0)))
 
 
 def test_recall_against_brute_force(spark):
@@ -100,6 +102,33 @@ def test_recall_against_brute_force(spark):
             assert got == want
 
 
+def test_needed_width_is_where_cells_meet():
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((3, 64))
+    x, pivots = E.unit(rng.standard_normal((300, 3)) @ base), E.unit(rng.standard_normal((20, 3)) @ base)
+    y = E.unit(x + 0.1 * E.unit(rng.standard_normal((300, 3)) @ base))
+    need = E.needed_width(x, y, pivots, 0.98)
+    for width in (0.0, 0.3, 0.6, 1.0):
+        a, b = E.probes(x, pivots, 0.98, width), E.probes(y, pivots, 0.98, width)
+        meet = np.array([bool(np.intersect1d(p, q).size) for p, q in zip(a, b, strict=True)])
+        assert meet[need <= width].all()
+    assert need.max() > 0.2
+
+
+@pytest.mark.parametrize("dim", [64, 384, 1536])
+@pytest.mark.parametrize("inner", [2, 3, 4])
+def test_recall_in_few_dimensions(spark, dim, inner):
+    """Vectors in a subspace: partners lie in the direction of other pivots, so cells have to be widened."""
+    rng = np.random.default_rng(dim + inner)
+    n = {2: 300, 3: 700, 4: 1200}[inner]
+    x = E.unit(rng.standard_normal((n, inner)) @ rng.standard_normal((inner, dim)))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    links = ((x @ x.T) >= 0.98).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in E.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()}
+    found = np.array([got[i] for i in range(n)])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
+
+
 def test_very_large_and_small_numbers(spark):
     rows = [(1, [1e200, 1e200], 1), (2, [2e200, 2e200], 1), (3, [1e-200, 1e-200], 1), (4, [1e-200, -1e-200], 1), (5, [0.0, -0.0], 1)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
