@@ -3,9 +3,13 @@
 The network reads a document's bytes in both directions, over word and line ends, and
 gives every byte position a probability for each language. A document's probabilities
 are the mean over all its positions. Texts are read in windows of WINDOW bytes, all of
-the same cost: each direction starts MARGIN bytes outside, so that a position's state
-is carried over window ends, and only the window's own bytes are labelled. Outside of a
-text lie zero bytes. Training is plain backpropagation through time in numpy.
+the same cost: each direction starts anew, from an empty state, MARGIN bytes outside, and
+only the window's own bytes are labelled. So a position sees MARGIN to MARGIN + WINDOW
+bytes in each direction and not the whole text: states are not carried from window to
+window. What that cuts off is little: on six texts of 20,000 words, trained at sf0.01, the
+pooled probabilities differ by 0.004 at most from those of a network that carries its
+states over the whole text, and the language is always the same (tests/llm/test_langid.py).
+Outside of a text lie zero bytes. Training is plain backpropagation through time in numpy.
 """
 
 from __future__ import annotations
@@ -248,8 +252,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id, lang_pred and score from its whole text; nothing else is read or shuffled.
 
-    Null texts and texts without a letter give `und` and 0. Rows are independent, so
-    repeated rows, null ids and empty tables need no rule.
+    Null texts and texts without a letter give `und` and 0. Of equal probabilities, the
+    first language in alphabetical order counts. Rows are independent, so repeated rows,
+    null ids and empty tables need no rule.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,3 +87,22 @@ def test_odd_rows(spark):
     none = G.fit(df.limit(0))
     assert G.identify(df.limit(0), none).count() == 0
     assert {r.lang_pred for r in G.identify(df, none).collect()} == {"und"}
+
+
+def test_windows_agree_with_the_uncut_network(spark):
+    """Texts of 20,000 words, by windows and by states that are carried over the whole text."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = G.fit(docs.where(~G.held_out(docs.doc_id)))
+    rows = docs.where("length(text) > 300").orderBy("doc_id").select("text", "lang").collect()
+    for lang in ("de", None):
+        text = " ".join(" ".join(r.text for r in rows if lang in (r.lang, None)).split()[:20000])
+        whole = net.positions(np.frombuffer(G.encoded(text), np.uint8)[None]).mean((0, 1))
+        names, scores = net.predict([text])
+        assert names == [net.languages[whole.argmax()]] and abs(scores[0] - whole.max()) < 0.01
+
+
+def test_ties_and_repeated_rows(spark):
+    net = G.Network.fresh(["a", "b", "c"])
+    net.p = {k: np.zeros_like(v) for k, v in net.p.items()}
+    df = spark.createDataFrame([(1, "some text")] * 3, "doc_id long, text string")
+    assert [(r.doc_id, r.lang_pred, round(r.score, 5)) for r in G.identify(df, net).collect()] == [(1, "a", 0.33333)] * 3
