@@ -18,7 +18,7 @@ def _sorted(by: str, key: str, order: str, select: str) -> tuple[str, object]:
       FROM doc_pages WHERE {key} IS NOT NULL"""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out, _ = ordering.sort_pages(doc_pages(spark, sf_dir), by, "section", "path", **_NAMES)
+        out, _ = ordering.sort_pages(doc_pages(spark, sf_dir).drop("text"), by, "section", "path", **_NAMES)  # what is ranked is written once: without the texts
         return out.select("section", "doc_id", F.col("rank").cast("int").alias("rank"))
 
     return sql, run
@@ -44,7 +44,7 @@ def unsortable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("siblings", DOC_PAGES_SQL + """SELECT section, doc_id, lag(path) OVER w AS lower, lead(path) OVER w AS higher
   FROM doc_pages WHERE published IS NOT NULL WINDOW w AS (PARTITION BY section ORDER BY published DESC, path)""")
 def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.siblings(doc_pages(spark, sf_dir), "date", "section", "path", **_NAMES).select("section", "doc_id", "lower", "higher")
+    return ordering.siblings(doc_pages(spark, sf_dir).drop("text"), "date", "section", "path", **_NAMES).select("section", "doc_id", "lower", "higher")
 
 
 _FEED = "published IS NOT NULL AND NOT hidden AND NOT draft"
