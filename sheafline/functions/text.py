@@ -151,10 +151,15 @@ def clip(s: Column, n: int) -> Column:
     return F.when(F.length(s) > n, F.concat(F.substring(s, 1, n), F.lit("…"))).otherwise(s)
 
 
+def base64_line(data: Column) -> Column:
+    """Base64 on one line: Spark breaks it after 76 characters where spark.sql.chunkBase64String.enabled says so."""
+    return F.regexp_replace(F.base64(data), r"\r?\n", "")
+
+
 def hash_of(s: Column, bits: int = 384, as_base64: bool = True) -> Column:
     """SHA-2 as base64 or hex; 384 bits too."""
     h = F.expr("NULL") if bits not in (256, 384, 512) else F.sha2(s, bits)
-    return F.base64(F.unhex(h)) if as_base64 else h
+    return base64_line(F.unhex(h)) if as_base64 else h
 
 
 def source_hash(title: Column, description: Column, body: Column, extra: Column) -> Column:

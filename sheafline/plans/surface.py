@@ -31,7 +31,7 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = F.decode(F.unbase64(F.base64(F.encode("html", "UTF-8"))), "UTF-8")
     once = F.try_url_decode(F.url_encode(back))
     json = F.regexp_replace(F.regexp_extract(F.to_json(F.struct(F.col("url").alias("u"))), r"^\{\"u\":(.*)\}$", 1), r"\\/", "/")
-    return table(spark, sf_dir, "pages").select("page_id", F.base64(F.encode("url", "UTF-8")).alias("b64"), F.sha2(once, 256).alias("back"), json.alias("json"), F.sha2(text.strip_tags(F.col("html")), 256).alias("stripped"))
+    return table(spark, sf_dir, "pages").select("page_id", text.base64_line(F.encode("url", "UTF-8")).alias("b64"), F.sha2(once, 256).alias("back"), F.when(F.col("url").isNotNull(), json).alias("json"), F.sha2(text.strip_tags(F.col("html")), 256).alias("stripped"))
 
 
 @query("rounded_prices", "SELECT o_orderkey, CAST(ceil(o_totalprice) AS BIGINT) AS up, CAST(floor(o_totalprice) AS BIGINT) AS down, CAST(floor(CAST(o_orderkey AS DOUBLE) / 4 + 0.5) AS BIGINT) AS nearest, CAST(trunc(o_totalprice) AS BIGINT) AS whole FROM orders")

@@ -1,4 +1,6 @@
+import base64
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +127,10 @@ def test_batch_reply(spark):
     rows = [('{"translations": ["a"]}', 1), ('{"ok": false, "message": "no"}', 1), ('{"code": 500, "translations": ["a"]}', 1), ('{"translations": ["a"]}', 2), ("x", 1)]
     df = spark.createDataFrame(rows, "r string, n int").coalesce(1).select(i18n.parse_batch_reply(F.col("r"), F.col("n")).alias("x"))
     assert [r.x.error for r in df.collect()] == [None, "not a reply", "code 500", "another number of texts", "not a reply"]
+
+
+def test_base64_stays_on_one_line(spark):
+    long = "https://example.org/" + "a" * 80
+    coded = values(spark, [long, None], text.base64_line(F.encode(F.col("s"), "UTF-8")))
+    assert coded == [base64.b64encode(long.encode()).decode(), None]
+    assert values(spark, ["x"], text.hash_of(F.col("s"), 512)) == [base64.b64encode(hashlib.sha512(b"x").digest()).decode()]

@@ -1,10 +1,12 @@
 import struct
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sheafline.functions import register
 from sheafline.operators import images, markdown
+from sheafline.plans import catalog
 from sheafline.sources import clients, graph_store
 
 
@@ -69,3 +71,17 @@ def test_stream_keeps_no_table_in_the_driver(spark, sf):
     out = stream_last_change(spark, sf)
     assert {t.name for t in spark.catalog.listTables()} == before and out.inputFiles()
     assert out.count() == out.select("path").distinct().count() > 0
+
+
+def test_queries_on_odd_texts_equal_their_sql(spark, tmp_path):
+    """Words between letters beyond ASCII, an address of more than 57 bytes, and nulls."""
+    texts = ["été été", "éabc éabd", "abc abcé", "abc abd", "ABC", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "https://example.org/" + "a" * 80, "<p>x"), (2, None, None)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("prose_filter", "encodings"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.sql(catalog.ORACLES[name]).select(*df.columns).fetchall()
+        assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, want))
