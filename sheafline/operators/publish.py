@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -208,7 +209,7 @@ def write_outputs(outputs: DataFrame, folder: str, kinds: tuple[str, ...] = ())
     each of the kinds its number of files.
     """
     master = outputs.sparkSession.sparkContext.master
-    if "://" not in folder and master.partition("[")[0] != "local":
+    if not re.match(r"[A-Za-z][\w+.-]*:/", folder) and master.partition("[")[0] != "local":
         raise ValueError(f"{folder} is a folder of one machine only: give a URI that all machines of {master} share")
     job, seen = uuid.uuid4().hex, Observation()
     kind = F.col("kind") if "kind" in outputs.columns else F.lit("file")

@@ -30,7 +30,7 @@ HEADER_SCHEMA = """file string, is_section boolean, header_kind string, body str
 
 def _relative(path: Column, root: str) -> Column:
     """A file's path below root, percent escapes decoded."""
-    prefix = root.rstrip("/").split("://")[-1]
+    prefix = re.sub("^file:/+", "/", root.rstrip("/")).split("://")[-1]
     plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(plain, "^.*?" + re.escape(prefix) + "/+", "")
 

@@ -19,7 +19,9 @@ def opened(uri: str):
 
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri) if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
+    if "://" in uri and not uri.startswith("file:"):
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), os.path.abspath(re.sub("^file:/+", "/", uri))
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions import stemming
 from sheafline.operators import publish, search
-from sheafline.sources import documents, trees
+from sheafline.sources import documents, shared, trees
 from sheafline.streaming import watch
 
 
@@ -116,3 +116,15 @@ def test_index_trees(spark):
     for _ in range(search.DEPTH):
         node = node["x"]
     assert node["x" * 28]["df"] == 1
+
+
+def test_shared_folder_is_a_uri_however_it_is_named(spark, tmp_path, monkeypatch):
+    """A plain checkpoint path, or one with a single slash, is no folder of one machine."""
+    forms = (f"{tmp_path}/a b/", f"file:{tmp_path}/a b", f"file://{tmp_path}/a b")
+    with monkeypatch.context() as m:
+        for form in forms:
+            m.setattr(type(spark.conf), "get", lambda self, key, *default, form=form: form)
+            assert shared.shared_dir(spark) == f"file://{tmp_path}/a b"
+    for form in forms[1:]:
+        publish.write_outputs(outputs(spark, 3), form)
+        assert sorted(r.file for r in trees.list_tree(spark, form).collect()) == sorted(r.file for r in documents.scan_files(spark, form, "*.html").collect()) == files(tmp_path / "a b")
