@@ -104,24 +104,29 @@ def merge(first: DataFrame, second: DataFrame, key: str, data: str) -> DataFrame
     Arrays are values. Where one side has an object and the other a value, the path is named
     in clashes, and data is null. A key of one side alone keeps its object. Data that are no
     object have no entries.
+
+    Both sides are taken apart together, and what stands at a path meets in one grouping:
+    no side is small, so none is ever sent to the driver for a join.
     """
     c = F.col
+    sided = lambda rows, n: rows.select(F.struct(F.lit(n).alias("side"), c(key).alias("key")).alias("of"), data)
+    apart = take_apart(sided(first, 0).unionByName(sided(second, 1)), "of", data, into_arrays=False).where(F.size("steps") > 0)
     names = F.transform("steps", lambda s: s["name"])
-    sides = []
-    for rows in (first, second):
-        leaves = take_apart(rows, key, data, into_arrays=False).where(F.size("steps") > 0)
-        sides.append(leaves.select(key, names.alias("names"), (c("kind") == "object").alias("empty"), "value"))
-    parts = F.when(F.size("names") > 1, F.transform(F.sequence(F.lit(1), F.size("names") - 1), lambda n: F.slice("names", 1, n)))
-    above = [s.select(key, F.explode(parts).alias("names")).distinct() for s in sides]
-    tables = [above[i].unionByName(sides[i].where("empty").select(key, "names")).distinct() for i in (0, 1)]
-    clash = [sides[i].where("NOT empty").join(tables[1 - i], [key, "names"]).select(key, F.array_join("names", ".").alias("path")) for i in (0, 1)]
-    clashes = clash[0].union(clash[1]).groupBy(key).agg(F.array_sort(F.collect_set("path")).alias("clashes"))
+    leaves = apart.select("of", names.alias("names"), (c("kind") == "object").alias("empty"), "value")
+    inner = leaves.where(F.size("names") > 1).select("of", F.explode(F.transform(F.sequence(F.lit(1), F.size("names") - 1), lambda n: F.slice("names", 1, n))).alias("names")).distinct()
+    rows = leaves.unionByName(inner, allowMissingColumns=True)  # a table that has entries has no value of its own
+    of = lambda n, x: F.max(F.when(c("of.side") == n, x))
+    met = rows.groupBy(c("of.key").alias("key"), "names").agg(*[a for n in (0, 1) for a in (of(n, c("value")).alias(f"value{n}"), of(n, c("empty")).alias(f"empty{n}"), of(n, c("value").isNull()).alias(f"inner{n}"))])
+    has = lambda x: F.coalesce(c(x), F.lit(False))
+    table = [has(f"empty{n}") | has(f"inner{n}") for n in (0, 1)]
+    plain = [~F.coalesce(c(f"empty{n}"), F.lit(True)) for n in (0, 1)]
+    clash = (plain[0] & table[1]) | (plain[1] & table[0])
     # an object without entries is one no more where the other side has some
-    kept = sides[0].join(above[1].withColumn("__more", F.lit(True)), [key, "names"], "left").where("NOT (empty AND __more IS NOT NULL)").drop("__more")
-    added = sides[1].join(sides[0].select(key, "names"), [key, "names"], "left_anti").join(above[0].withColumn("__more", F.lit(True)), [key, "names"], "left").where("NOT (empty AND __more IS NOT NULL)").drop("__more")
-    added = added.join(clash[0].union(clash[1]).select(key).distinct(), key, "left_anti")
+    value = F.coalesce(*[F.when(~(has(f"empty{n}") & has(f"inner{1 - n}")), c(f"value{n}")) for n in (0, 1)])
+    met = materialize(met.select("key", "names", value.alias("value"), clash.alias("clash")), "merged")
     steps = F.transform("names", lambda n: F.struct(F.lit(0).alias("pos"), n.alias("name")))
-    built = put_together(materialize(kept.unionByName(added).select(key, steps.alias("steps"), "value"), "merged"), key, data)
-    keys = first.select(key).union(second.select(key)).distinct()
-    whole = keys.join(clashes, key, "left").join(built, key, "left")
-    return whole.select(key, F.when(c("clashes").isNull(), F.coalesce(data, F.lit("{}"))).alias(data), F.coalesce("clashes", F.expr("cast(array() as array<string>)")).alias("clashes"))
+    built = put_together(met.where("value IS NOT NULL").select("key", steps.alias("steps"), "value"), "key")
+    paths = met.where("clash").groupBy("key").agg(F.array_sort(F.collect_set(F.array_join("names", "."))).alias("clashes"))
+    every = first.select(c(key).alias("key")).unionByName(second.select(c(key).alias("key")))
+    whole = built.unionByName(paths, allowMissingColumns=True).unionByName(every, allowMissingColumns=True).groupBy("key").agg(F.max("data").alias("data"), F.max("clashes").alias("clashes"))
+    return whole.select(c("key").alias(key), F.when(c("clashes").isNull(), F.coalesce("data", F.lit("{}"))).alias(data), F.coalesce("clashes", F.expr("cast(array() as array<string>)")).alias("clashes"))

@@ -101,3 +101,13 @@ def test_toml(spark):
     df = spark.createDataFrame(list(enumerate(data)), "k int, data string").coalesce(1)
     got = {r.k: r.toml for r in headers.toml_text(nested.take_apart(df, "k", "data"), "k").collect()}
     assert got[1] == "" and tomllib.loads(got[0]) == {"t": {"a": 1, "d": {"e": {"f": "g"}}}, "s": "x\ty", "list": [{"a": 1, "b c": ["d"]}, {}], "e": {}}
+
+
+def test_merge_meets_in_groupings(spark):
+    """Clashes, empty objects, data that are no object, keys of one side and a null key, without a broadcast through the driver."""
+    first = spark.createDataFrame([(1, '{"a":{"x":1},"b":{}}'), (2, '{"a":1,"c":{"d":{}}}'), (3, None), (4, "[1]"), (None, '{"n":null}')], "k int, data string")
+    second = spark.createDataFrame([(1, '{"a":{"x":2,"y":[1]},"b":{"z":0}}'), (2, '{"a":{"x":1},"c":{"d":5}}'), (4, '{"q":1}'), (5, '{}')], "k int, data string")
+    merged = nested.merge(first, second, "k", "data")
+    assert {r.k: (r.data, r.clashes) for r in merged.collect()} == {
+        1: ('{"a":{"x":1,"y":[1]},"b":{"z":0}}', []), 2: (None, ["a", "c.d"]), 3: ("{}", []), 4: ('{"q":1}', []), 5: ("{}", []), None: ('{"n":null}', [])}
+    assert "Broadcast" not in merged._jdf.queryExecution().toString()
