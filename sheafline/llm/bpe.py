@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -142,15 +143,16 @@ class WordBpe:
         return out[:-1]
 
     def learn(self, words: set[str]) -> None:
-        """Remembers the ids of these words."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
+        """Remembers the ids of these words; the room is for words that are new, not for those that are known already."""
         new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(words)
         split = [self.pre_tokens(w) for w in new]
         distinct = list({p for pieces in split for p in pieces})
-        ids = {p: np.array(i, "<u4").tobytes() for p, i in zip(distinct, self.merge(distinct), strict=True)} if distinct else {}
+        ids = {p: struct.pack(f"<{len(i)}I", *i) for p, i in zip(distinct, self.merge(distinct), strict=True)} if distinct else {}
         for w, pieces in zip(new, split, strict=True):
-            self.known[w] = b"".join([ids[p] for p in pieces])
+            self.known[w] = ids[pieces[0]] if len(pieces) == 1 else b"".join([ids[p] for p in pieces])
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""

@@ -54,3 +54,14 @@ def test_forgets(monkeypatch):
     monkeypatch.setattr(B, "REMEMBERED", 2)
     for text in ["a b c", "d e a", "a"]:
         same(text)
+
+
+def test_known_words_take_no_room_again(monkeypatch):
+    """Words that a task knows are split once, also when known and asked ones together exceed the room."""
+    monkeypatch.setattr(B, "REMEMBERED", 3)
+    coder, asked = B.WordBpe(PATH), []
+    split = coder.pre_tokens
+    monkeypatch.setattr(coder, "pre_tokens", lambda w: asked.append(w) or split(w))
+    first = coder.encode_batch(["one two"])
+    assert coder.encode_batch(["one two"]) == first and sorted(asked) == ["one", "two"]
+    assert coder.encode_batch(["three four one"])[0][-4:] == coder.encode_batch(["one"])[0] and len(coder.known) == 3
