@@ -116,6 +116,24 @@ def header_row(file: str, content: str) -> dict:
     return row
 
 
+#: Bytes of text that a task has as Python objects at a time, but for one text that is larger.
+HELD_BYTES = 2_000_000
+
+
+def slices(batch, column: int) -> Iterator:
+    """A batch's rows in their order, in slices of about HELD_BYTES of a column's text."""
+    import pyarrow.compute as pc
+
+    at, size = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if i > at and size + (n or 0) > HELD_BYTES:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += n or 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def parse_documents(files: DataFrame) -> DataFrame:
     """files (file, content) as rows of HEADER_SCHEMA. Files that can't be parsed carry an error, so all errors of a scan can be shown together."""
     from pyspark.sql import types as T
@@ -123,7 +141,7 @@ def parse_documents(files: DataFrame) -> DataFrame:
     def run(batches: Iterator):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             rows = [header_row(f, c or "") for f, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist([{n: r.get(n) if n != "taxonomies" else list((r.get(n) or {}).items()) for n in arrow.names} for r in rows], schema=arrow)
 

@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,18 @@ def test_stream_of_files(spark, tmp_path):
     state = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     new = changes.upsert(state, spark.createDataFrame([("b", 2), ("c", 3)], "k string, v int"), spark.createDataFrame([("a",)], "k string"), "k")
     assert sorted(tuple(r) for r in new.collect()) == [("b", 2), ("c", 3)]
+
+
+def test_headers_of_a_batch_are_read_in_slices(spark, monkeypatch):
+    """A task holds about HELD_BYTES of text as objects, whatever Spark puts into a batch; rows and their order stay."""
+    monkeypatch.setattr(documents, "HELD_BYTES", 100)
+    contents = [("x" * 40) if i % 3 else None for i in range(10)] + ["y" * 300, "z"]
+    batch = pa.RecordBatch.from_pydict({"file": [f"{i}.md" for i in range(12)], "content": pa.array(contents, pa.string())})
+    parts = list(documents.slices(batch, 1))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch]) and [p.num_rows for p in parts] == [4, 3, 3, 1, 1]
+    assert list(documents.slices(batch.slice(0, 0), 1)) == []
+    handed = []
+    fake = type("Rows", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, run, schema: handed.append(run)})()
+    documents.parse_documents(fake)
+    out = list(handed[0](iter([batch])))
+    assert [o.num_rows for o in out] == [4, 3, 3, 1, 1] and [f for o in out for f in o.column(0).to_pylist()] == batch.column(0).to_pylist()
