@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,21 @@ def trim_all(s: Column) -> Column:
     return F.trim(s, F.lit(_BLANKS))
 
 
+def ltrim_all(s: Column) -> Column:
+    """Without any white space at the start."""
+    return F.ltrim(s, F.lit(_BLANKS))
+
+
+def rtrim_all(s: Column) -> Column:
+    """Without any white space at the end. A pattern would be tried at every character."""
+    return F.rtrim(s, F.lit(_BLANKS))
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row however often then names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def outside_fences(text: Column) -> Column:
     """The parts of a text outside of fenced code, as an array."""
     return F.filter(F.split(text, FENCE), lambda x, i: i % 2 == 0)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SPACE, trim_all
+from ..functions.text import SPACE, ltrim_all, once, rtrim_all, trim_all
 from ..sources.shared import materialize
 
 # Elements that stand for a break in the sentence, elements whose content is no prose, elements with code.
@@ -49,6 +49,9 @@ CONSTRUCT = (
 #: Marks at the start of a Markdown line.
 PREFIX = r"^[ \t]*(?:>[ \t]*)*(?:(?:[-*+]|[0-9]{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?)?(?:#{1,6}[ \t]+)?"
 PROSE = r"\p{L}"
+#: The same matches, sooner: the many branches are tried only where one of them can begin.
+_HARD = rf"(?:(?=[<\r\n`])|(?m:^)(?=[ \t]))(?:{HARD})"
+_CONSTRUCT = rf"(?=[\\`{{<!\[\]&*_|]|https?:)(?:{CONSTRUCT})"
 # Fixed value: how a token reads.
 TOKEN = r"(?i)XHTML([0-9]{4})X"
 #: Texts and bytes of a request to a client.
@@ -62,11 +65,11 @@ def token(number: Column) -> Column:
 
 
 def _lead(s: Column) -> Column:
-    return F.regexp_extract(s, f"^{SPACE}*", 0)
+    return F.substring(s, F.lit(1), F.length(s) - F.length(ltrim_all(s)))
 
 
 def _trail(s: Column) -> Column:
-    return F.regexp_extract(s, f"{SPACE}*$", 0)
+    return F.substring(s, F.length(rtrim_all(s)) + 1, F.length(s))
 
 
 def _joined(parts: Column) -> Column:
@@ -78,10 +81,10 @@ def cut(text: Column) -> Column:
 
     Each step is a transform of its own, so that what it finds is computed once a piece.
     """
-    seps = F.regexp_extract_all(text, F.lit(f"({HARD})"), F.lit(1))
-    units = F.zip_with(F.split(text, HARD, -1), seps, lambda unit, sep: F.struct(unit.alias("unit"), F.coalesce(sep, F.lit("")).alias("sep"), F.regexp_extract(unit, PREFIX, 0).alias("prefix")))
+    seps = F.regexp_extract_all(text, F.lit(f"({_HARD})"), F.lit(1))
+    units = F.zip_with(F.split(text, _HARD, -1), seps, lambda unit, sep: F.struct(unit.alias("unit"), F.coalesce(sep, F.lit("")).alias("sep"), F.regexp_extract(unit, PREFIX, 0).alias("prefix")))
     bodies = F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), u["sep"].alias("sep"), u["prefix"].alias("prefix"), F.substring(u["unit"], F.length(u["prefix"]) + 1, F.length(u["unit"])).alias("body")))
-    apart = F.transform(bodies, lambda u: u.withField("texts", F.split(u["body"], CONSTRUCT, -1)).withField("atoms", F.regexp_extract_all(u["body"], F.lit(f"({CONSTRUCT})"), F.lit(1))))
+    apart = F.transform(bodies, lambda u: u.withField("texts", F.split(u["body"], _CONSTRUCT, -1)).withField("atoms", F.regexp_extract_all(u["body"], F.lit(f"({_CONSTRUCT})"), F.lit(1))))
     judged = F.transform(apart, lambda u: u.withField("prose", F.transform(u["texts"], lambda t: t.rlike(PROSE))))
     placed = F.transform(judged, lambda u: u.withField("first", F.array_position(u["prose"], True).cast("int")).withField("last", (F.size(u["prose"]) + 1 - F.array_position(F.reverse(u["prose"]), True)).cast("int")))
     return F.transform(placed, _piece)
@@ -92,8 +95,8 @@ def _piece(u: Column) -> Column:
     inner = F.slice(u["texts"], first, F.greatest(last - first + 1, F.lit(0)))
     before = _joined(F.zip_with(F.slice(u["texts"], 1, first - 1), F.slice(u["atoms"], 1, first - 1), lambda t, a: F.concat(t, a)))
     after = _joined(F.zip_with(F.slice(u["atoms"], last, n - last), F.slice(u["texts"], last + 1, n - last), lambda a, t: F.concat(a, t)))
-    led = F.transform(inner, lambda t, i: F.when(i == 0, F.regexp_replace(t, f"^{SPACE}+", "")).otherwise(t))
-    bare = F.transform(led, lambda t, i: F.when(i == last - first, F.regexp_replace(t, f"{SPACE}+$", "")).otherwise(t))
+    led = F.transform(inner, lambda t, i: F.when(i == 0, ltrim_all(t)).otherwise(t))
+    bare = F.transform(led, lambda t, i: F.when(i == last - first, rtrim_all(t)).otherwise(t))
     none = F.array().cast("array<string>")
     return F.when(
         first > 0,
@@ -123,7 +126,7 @@ def packed(piece: Column) -> Column:
 
 
 def _one_line(s: Column) -> Column:
-    return trim_all(F.regexp_replace(s, r"\r\n|\r|\n", " "))
+    return trim_all(F.regexp_replace(s, r"\r\n?|\n", " "))
 
 
 def _bars(piece: Column, text: Column) -> Column:
@@ -144,20 +147,21 @@ def restore(piece: Column, answer: Column) -> Column:
     `empty` where nothing remains; then the text is null.
     """
     k = F.size(piece["atoms"])
-    found = F.transform(F.regexp_extract_all(answer, F.lit(TOKEN), F.lit(1)), lambda x: x.cast("int"))
-    fine = found == F.transform(piece["atoms"], lambda _, i: i)
+    found = lambda a: F.transform(F.regexp_extract_all(a, F.lit(TOKEN), F.lit(1)), lambda x: x.cast("int"))
+    fine = lambda a: found(a) == F.transform(piece["atoms"], lambda _, i: i)
     blank = lambda t: trim_all(t) == ""
 
     def part(x, i):
-        bare = F.when(i > 0, F.regexp_replace(x, f"^{SPACE}+", "")).otherwise(x)
-        bare = F.when(i < k, F.regexp_replace(bare, f"{SPACE}+$", "")).otherwise(bare)
+        bare = F.when(i > 0, ltrim_all(x)).otherwise(x)
+        bare = F.when(i < k, rtrim_all(bare)).otherwise(bare)
         own = F.get(piece["texts"], i)
         around = F.concat(F.when(blank(own), "").otherwise(_trail(own)), F.get(piece["atoms"], i), _lead(F.get(piece["texts"], i + 1)))
         return F.concat(_bars(piece, bare), F.when(i < k, around).otherwise(""))
 
-    text = _one_line(_joined(F.transform(F.split(answer, TOKEN, -1), part)))
-    error = F.when(~F.coalesce(fine, F.lit(False)), "tokens").when(text == "", "empty")
-    return F.struct(F.when(error.isNull(), _unmarked(piece, text)).alias("text"), error.alias("error"))
+    text = lambda a: _one_line(_joined(F.transform(F.split(a, TOKEN, -1), part)))
+    read = once(answer, lambda a: F.struct(text(a).alias("text"), F.coalesce(fine(a), F.lit(False)).alias("fine")))
+    error = lambda r: F.when(~r["fine"], "tokens").when(r["text"] == "", "empty")
+    return once(read, lambda r: F.struct(F.when(error(r).isNull(), _unmarked(piece, r["text"])).alias("text"), error(r).alias("error")))
 
 
 def fragments(piece: Column) -> Column:
@@ -167,14 +171,18 @@ def fragments(piece: Column) -> Column:
 
 def restore_fragments(piece: Column, answers: Column) -> Column:
     """A segment from one answer for each of its fragments; a null answer leaves the fragment as it was."""
-    prose = F.transform(piece["texts"], lambda t: t.rlike(PROSE))
-    number = lambda i: F.size(F.filter(F.slice(prose, 1, i + 1), lambda p: p)) - 1
-
-    def part(t, i):
-        filled = F.concat(_lead(t), F.coalesce(_bars(piece, _one_line(F.get(answers, number(i)))), trim_all(t)), _trail(t))
-        return F.concat(F.when(t.rlike(PROSE), filled).otherwise(t), F.coalesce(F.get(piece["atoms"], i), F.lit("")))
-
-    return _unmarked(piece, _joined(F.transform(piece["texts"], part)))
+    told = F.transform(piece["texts"], lambda t, i: F.struct(i.alias("i"), t.alias("t"), F.coalesce(F.get(piece["atoms"], i), F.lit("")).alias("atom"), t.rlike(PROSE).alias("prose")))
+    filled = lambda p, a: F.concat(_lead(p["t"]), F.coalesce(_bars(piece, _one_line(a)), trim_all(p["t"])), _trail(p["t"]))
+    put = lambda p, text: F.struct(p["i"].alias("i"), F.concat(text, p["atom"]).alias("text"))
+
+    def parts(told):
+        prose = F.filter(told, lambda p: p["prose"])
+        given = F.slice(F.coalesce(answers, F.array().cast("array<string>")), 1, F.size(prose))
+        # fragments meet their answers by their order; then all stand in their places again
+        return F.concat(F.zip_with(prose, given, lambda p, a: put(p, filled(p, a))), F.transform(F.filter(told, lambda p: ~p["prose"]), lambda p: put(p, p["t"])))
+
+    text = _joined(F.transform(F.array_sort(once(told, parts)), lambda p: p["text"]))
+    return once(text, lambda t: _unmarked(piece, t))
 
 
 def reads_as_prose(text: Column) -> Column:

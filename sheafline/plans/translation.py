@@ -44,11 +44,11 @@ def masked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each segment of every text comes back from its own packed form, and from its own fragments, as it was but for line ends and marks at its start."""
     pieces = F.filter(segments.cut(F.col("text")), lambda p: F.size(p["texts"]) > 0)
-    back = F.transform(pieces, lambda p: F.struct(p.alias("p"), segments.restore(p, segments.packed(p)).alias("r"), segments.restore_fragments(p, segments.fragments(p)).alias("f")))
     bare = lambda s: F.replace(s, F.lit("\\"), F.lit(""))
-    good = F.forall(back, lambda b: b["r"]["error"].isNull() & (bare(b["r"]["text"]) == bare(segments.source(b["p"]))))
-    by_fragments = F.forall(back, lambda b: bare(b["f"]) == bare(segments.source(b["p"])))
-    return _texts(spark, sf_dir).select("kind", "id", good.alias("same"), by_fragments.alias("same_by_fragments"))
+    back = F.transform(pieces, lambda p: F.struct(bare(segments.source(p)).alias("own"), segments.restore(p, segments.packed(p)).alias("r"), bare(segments.restore_fragments(p, segments.fragments(p))).alias("f")))
+    # a column of its own: both answers read it
+    told = _texts(spark, sf_dir).select("kind", "id", F.transform(back, lambda b: F.struct((b["r"]["error"].isNull() & (bare(b["r"]["text"]) == b["own"])).alias("same"), (b["f"] == b["own"]).alias("by_fragments"))).alias("back"))
+    return told.select("kind", "id", F.forall("back", lambda b: b["same"]).alias("same"), F.forall("back", lambda b: b["by_fragments"]).alias("same_by_fragments"))
 
 
 _T = "'XHTML000{}X'"
@@ -68,7 +68,7 @@ def damaged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     german = _cat("Siehe ", t[0].lower(), F.lit("  \n"), F.trim(F.upper("plain")), t[1], " und ", t[2], " in\neinem ", t[3], F.col("source"), F.lit(" \r\n"), t[4], "Ende\n")
     answer = (F.when(n == 0, F.col("sent")).when(n == 1, F.replace("sent", F.lit(t[1]), F.lit(""))).when(n == 2, F.concat(F.lit(t[0]), "sent")).when(n == 3, swap)
               .when(n == 4, F.concat("sent", F.lit(t[5]))).when(n == 5, F.lit("")).when(n == 6, german))
-    back = docs.select("doc_id", segments.restore(F.col("piece"), answer).alias("r"))
+    back = docs.select("doc_id", segments.restore(F.col("piece"), answer).alias("r"))  # computed once: neither field of r repeats it
     return back.select("doc_id", "r.error", "r.text")
 
 
