@@ -37,23 +37,37 @@ def capped(work: DataFrame, most: int, keys: list[str]) -> DataFrame:
 # segments --------------------------------------------------------------------------------
 
 
+#: A line that opens or closes code, with its line end.
+FENCE_LINE = r"(?md)^ *(?:```|~~~)[^\n]*\n?"
+PIECES = "array<struct<kind:string,text:string>>"
+
+
 def split_segments(text: Column) -> Column:
     """array<struct<kind, text>>: lines of a text with their line ends, as code, heading, table, list, quote, blank or prose.
 
     A line is code when it is a fence or when an odd number of fences stands before it.
-    Joined again in order, the pieces are the text, byte for byte.
+    Joined again in order, the pieces are the text, byte for byte. The text is cut at its
+    fences, so each second part is code, and each part into its lines: nothing is
+    looked for once a line.
     """
-    lines = F.split(text, "(?<=\n)")
-    fence = lambda x: F.ltrim(x).startswith("```") | F.ltrim(x).startswith("~~~")
-    fences = F.array_compact(F.transform(lines, lambda x, i: F.when(fence(x), i)))
+    line = F.lit(f"({FENCE_LINE})")
 
-    def piece(x, i):
-        bare, inside = F.trim(x), F.size(F.filter(fences, lambda f: f < i)) % 2 == 1
-        kind = (F.when(fence(x) | inside, "code").when(F.regexp_replace(x, r"\s", "") == "", "blank").when(bare.rlike("^#{1,6}( |$)"), "heading").when(bare.startswith("|"), "table")
+    def piece(x, inside):
+        bare = F.trim(x)
+        kind = (F.when(inside, "code").when(~x.rlike(r"\S"), "blank").when(bare.rlike("^#{1,6}( |$)"), "heading").when(bare.startswith("|"), "table")
                 .when(bare.rlike(r"^([-*+]|\d+[.)]) "), "list").when(bare.startswith(">"), "quote").otherwise("prose"))
         return F.struct(kind.alias("kind"), x.alias("text"))
 
-    return F.transform(lines, piece)
+    def lines(part, k):
+        inside, last = k % 2 == 1, part["fence"].isNull()
+        whole = F.filter(F.split(part["text"], "(?<=\n)"), lambda x: x != "")
+        # what follows the last line end is a piece, empty or not
+        ends = F.when(last & ((text == "") | text.endswith("\n")), F.array(piece(F.lit(""), inside))).otherwise(F.array().cast(PIECES))
+        fence = F.when(last, ends).otherwise(F.array(F.struct(F.lit("code").alias("kind"), part["fence"].alias("text"))))
+        return F.concat(F.transform(whole, lambda x: piece(x, inside)), fence)
+
+    parts = F.zip_with(F.split(text, FENCE_LINE, -1), F.regexp_extract_all(text, line, F.lit(1)), lambda t, f: F.struct(t.alias("text"), f.alias("fence")))
+    return F.flatten(F.transform(parts, lines))
 
 
 def join_segments(pieces: Column) -> Column:

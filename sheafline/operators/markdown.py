@@ -35,14 +35,19 @@ def headings(pages: DataFrame, key: str, body: str) -> DataFrame:
 
 def inline_links(pages: DataFrame, key: str, body: str) -> DataFrame:
     """(key, pos, text, link) of inline links outside of code; images are none."""
-    plain = plain_body(F.col(body))
-    pairs = F.arrays_zip(F.regexp_extract_all(plain, F.lit(_LINK), F.lit(1)).alias("text"), F.regexp_extract_all(plain, F.lit(_LINK), F.lit(2)).alias("link"))
-    return pages.select(key, F.posexplode(pairs).alias("pos", "l")).select(key, "pos", "l.text", "l.link")
+    found = F.regexp_extract_all(plain_body(F.col(body)), F.lit(f"({_LINK})"), F.lit(1))
+    part = lambda i: F.regexp_extract("l", _LINK, i)
+    return pages.select(key, F.posexplode(found).alias("pos", "l")).select(key, "pos", part(1).alias("text"), part(2).alias("link"))
+
+
+def no_address(link: Column) -> Column:
+    """Whether a link is an error: it has no address."""
+    return link == ""
 
 
 def empty_links(pages: DataFrame, key: str, body: str) -> DataFrame:
     """Links without an address: errors."""
-    return inline_links(pages, key, body).where("link = ''")
+    return inline_links(pages, key, body).where(no_address(F.col("link")))
 
 
 def summary(body: Column) -> Column:
