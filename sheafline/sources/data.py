@@ -346,26 +346,38 @@ def is_copy(text: Column) -> Column:
     return F.coalesce(t.rlike(r"\p{IsAlphabetic}") & ~machine & ~slug & ~tag & ~style, F.lit(False))
 
 
+#: Levels of nested data that leaves() takes in one pass.
+LEVELS = 16
+
+
 def leaves(rows: DataFrame, key: str, data: str) -> DataFrame:
     """(key, path, text) of all string leaves of a JSON text column, however deep: arrays as [i], keys that hold no copy left out.
 
-    Each level is one explode of the variant's entries, until a level has nothing inside;
-    what a level leaves is written once, so deep data read nothing again.
+    A level is one explode of the entries, through which leaves pass as they are. LEVELS of
+    them run in one pass over the rows, dealt by their keys; only what is deeper is written
+    and goes on, so deep data are parsed and written once for all these levels.
     """
     from .shared import materialize
 
-    level = rows.select(key, F.lit("").alias("path"), F.parse_json(data).alias("v"))
+    c = F.col
+    inside = lambda kind: F.try_variant_get("v", "$", kind)
+    opened = lambda: inside("map<string,variant>").isNotNull() | inside("array<variant>").isNotNull()
+    entry = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+    named = F.filter(F.map_entries(inside("map<string,variant>")), lambda e: ~skipped_key(e["key"]))
+    named = F.transform(named, lambda e: entry(F.when(c("path") == "", e["key"]).otherwise(F.concat("path", F.lit("."), e["key"])), e["value"]))
+    listed = F.transform(inside("array<variant>"), lambda v, i: entry(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")), v))
+    level = rows.select(key, F.lit("").alias("path"), c(data).alias("rest")).repartition(c(key))
     found = None
     while True:
-        kind = F.schema_of_variant("v")
-        text = level.where(kind == "STRING").select(key, "path", F.try_variant_get("v", "$", "string").alias("text"))
+        level = level.select(key, "path", F.parse_json("rest").alias("v"))
+        for _ in range(LEVELS):
+            level = level.select(key, F.explode(F.coalesce(named, listed, F.array(entry(c("path"), c("v"))))).alias("e")).select(key, "e.path", "e.v")
+        text = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
+        done = level.select(key, "path", F.when(~opened(), text).alias("text"), F.when(opened(), F.to_json("v")).alias("rest")).where("text IS NOT NULL OR rest IS NOT NULL")
+        done = materialize(done, "leaves")
+        text = done.where("text IS NOT NULL").select(key, "path", "text")
         found = text if found is None else found.unionByName(text)
-        inner = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        inner.createOrReplaceTempView("__leaves")
-        level = inner.sparkSession.sql(f"SELECT t.`{key}`, t.path AS above, e.pos, e.key AS name, e.value AS v FROM __leaves t, LATERAL variant_explode(t.v) e")
-        level = level.where(~skipped_key(F.col("name")))
-        level = level.select(key, F.when(F.col("name").isNull(), F.concat("above", F.lit("["), "pos", F.lit("]"))).when(F.col("above") == "", F.col("name")).otherwise(F.concat("above", F.lit("."), "name")).alias("path"), "v")
-        level = materialize(level.withColumn("v", F.to_json("v")), "leaves").withColumn("v", F.parse_json("v"))
+        level = done.where("rest IS NOT NULL").select(key, "path", "rest")
         if level.isEmpty():
             return found
 

@@ -9,6 +9,7 @@ from __spark_entry__ import queries
 from sheafline.functions.text import once
 from sheafline.operators import i18n, markdown, segments
 from sheafline.plans import markup
+from sheafline.sources import data, shared
 
 ODD = ["", "\n", "a", "a\r\nb\n", "x <b>y</b> `c` *d* http://e.f/g h|i", "```\nno end\nof it", "  ```py\ncode *x*\n  ```\nafter [a](b) &amp; &no; \\* __u__", "<script >x\n</SCRIPT>z<!-- c\n -->t \t```q\n```\nr", "  word 　<img src=x> tail ", "- [x] ## a {# b} {{ c }} {% d %}", "1) >> `` a ` b `` ![i](u) [^n] [r][s] https://x.y htt h"]
 
@@ -82,3 +83,21 @@ def test_classes_tried_at_every_character_hold_no_range():
 
 def test_once_keeps_nulls(spark):
     assert spark.range(1).select(once(F.lit(None).cast("string"), lambda x: F.coalesce(x, F.lit("n")))).first()[0] == "n"
+
+
+def test_leaves_deeper_than_a_pass_with_nulls_lists_and_skipped_keys(spark):
+    deep = '"x"'
+    for i in range(2 * data.LEVELS + 3):
+        deep = '{"n":%s}' % deep if i % 2 else "[%s]" % deep
+    texts = [deep, '{"a":null,"slug":{"b":"no"},"e":{},"f":[],"g":[["y"],1,true,"{}"]}', '"alone"', None, "[]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, extra string")
+    got = sorted(tuple(r) for r in data.leaves(df, "id", "extra").collect())
+    path = "".join(".n" if i % 2 else "[0]" for i in reversed(range(2 * data.LEVELS + 3)))
+    assert got == [(0, path, "x"), (1, "g[0][0]", "y"), (1, "g[3]", "{}"), (2, "", "alone")]
+
+
+def test_deep_leaves_are_written_once(spark, sf, monkeypatch):
+    names = []
+    real = shared.materialize
+    monkeypatch.setattr(shared, "materialize", lambda df, name: names.append(name) or real(df, name))
+    assert queries()["deep_leaves"](spark, sf).count() == spark.read.parquet(sf + "/part.parquet").count() and names == ["leaves"]
