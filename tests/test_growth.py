@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from sheafline.functions.text import once
-from sheafline.operators import i18n, markdown, segments
+from sheafline.operators import i18n, markdown, quality, segments
 from sheafline.plans import markup
 from sheafline.sources import data, shared
 
@@ -101,3 +101,10 @@ def test_deep_leaves_are_written_once(spark, sf, monkeypatch):
     real = shared.materialize
     monkeypatch.setattr(shared, "materialize", lambda df, name: names.append(name) or real(df, name))
     assert queries()["deep_leaves"](spark, sf).count() == spark.read.parquet(sf + "/part.parquet").count() and names == ["leaves"]
+
+
+def test_edges_meet_their_reverse_in_one_grouping(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 1), (3, 1), (1, 4), (5, 5), (None, 1), (2, None)], "`from` int, `to` int")
+    out = quality.reciprocal(edges)
+    assert sorted(r["message"] or "" for r in out.collect()) == ["", "edge to 1 has no reverse edge", "edge to 1 has no reverse edge", "edge to 4 has no reverse edge"]
+    assert "Join" not in plan(out)
