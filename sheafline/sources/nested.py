@@ -7,15 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from .shared import materialize
 
 STEP = "struct<pos:int,name:string>"
+#: Levels of nested data that are opened in one pass.
+LEVELS = 8
+#: Into so many maps a row's edits are dealt, as a map is searched entry by entry.
+SLOTS = 256
 
 
 def quoted(text: Column) -> Column:
     """A string as JSON; null for null."""
-    one = F.to_json(F.struct(text.alias("v")))
-    return F.when(text.isNotNull(), F.substring(one, 6, F.length(one) - 6))
+    # the quote before the last brace ends what is trimmed
+    return F.when(text.isNotNull(), F.substring(F.rtrim(F.to_json(F.struct(text.alias("v"))), F.lit("}")), 6, 2**31 - 1))
 
 
 def unquoted(value: Column) -> Column:
@@ -29,6 +34,34 @@ def path_text(steps: Column) -> Column:
     return F.array_join(part, "")
 
 
+def _kind(value: Column) -> Column:
+    return F.when(value.startswith("{"), "object").when(value.startswith("["), "array").when(value.startswith('"'), "string").otherwise("other")
+
+
+def _root(data: str) -> Column:
+    """The JSON of a row; null where it is null or none."""
+    return F.when(F.try_parse_json(data).isNotNull(), F.trim(data))
+
+
+def _may_open(value: Column) -> Column:
+    """Whether there may be something in a value; cheap, for every leaf is asked on every level."""
+    return (value.startswith("{") & (value != "{}")) | (value.startswith("[") & (value != "[]"))
+
+
+def _entries(value: Column, into_arrays: bool = True) -> Column:
+    """(name, value) of what stands in an object or array, in the order of the text; null for a leaf, which what is empty is too."""
+    inside = lambda v, kind: F.try_variant_get(v, "$", kind).isNotNull()
+    # texts inside, and beside each what it is: the texts alone do not tell a string from a number
+    container = lambda text, v: F.when(text.startswith("{"), inside(v, "map<string,variant>")).when(text.startswith("["), inside(v, "array<variant>")).otherwise(False)
+    json = lambda text, v: F.when(container(text, v), text).otherwise(F.coalesce(F.to_json(v), F.lit("null")))
+    entry = lambda name, text, v: F.struct(name.alias("name"), json(text, v).alias("value"))
+    named = F.zip_with(F.map_entries(F.from_json(value, "map<string,string>")), F.map_values(F.from_json(value, "map<string,variant>")), lambda e, v: entry(e["key"], e["value"], v))
+    found = F.when(value.startswith("{"), named)
+    if into_arrays:
+        found = found.otherwise(F.zip_with(F.from_json(value, "array<string>"), F.from_json(value, "array<variant>"), lambda e, v: entry(F.lit(None).cast("string"), e, v)))
+    return F.when(_may_open(value), F.get(F.filter(F.array(found), lambda e: F.size(e) > 0), 0))
+
+
 def take_apart(rows: DataFrame, key: str, data: str, into_arrays: bool = True) -> DataFrame:
     """(key, steps, path, kind, value) of every leaf of a JSON column: scalars, and objects and arrays without entries; whole arrays where these are not taken apart.
 
@@ -80,22 +113,65 @@ def put_together(leaves: DataFrame, key: str, out: str = "data", *, name: Callab
     return above.select(key, c("value").alias(out))
 
 
+def _opened(piece: Column) -> Column:
+    """The pieces of what stands in a piece's object or array; null for a leaf."""
+
+    def one(e, i, last):
+        named, above = e["name"].isNotNull(), piece["path"]
+        start = F.when(i > 0, ",").otherwise(F.concat(piece["before"], F.when(named, "{").otherwise("[")))
+        end = F.when(i == last, F.concat(F.when(named, "}").otherwise("]"), piece["after"])).otherwise("")
+        step = F.when(named, F.concat(F.when(above.isNull(), "").otherwise("."), e["name"])).otherwise(F.concat(F.lit("["), i.cast("string"), F.lit("]")))
+        name = F.when(named, F.concat(quoted(e["name"]), F.lit(":"))).otherwise("")
+        return F.struct(F.concat(start, name).alias("before"), F.concat(F.coalesce(above, F.lit("")), step).alias("path"), e["value"].alias("value"), end.alias("after"))
+
+    return once(_entries(piece["value"]), lambda list_: F.transform(list_, lambda e, i: one(e, i, F.size(list_) - 1)))
+
+
 def set_leaves(rows: DataFrame, key: str, data: str, edits: DataFrame) -> DataFrame:
     """(key, data, missing) of rows with distinct keys: data with the strings at edits' paths (key, path, text) replaced.
 
     Only what is a string is replaced: a path that leads nowhere or to something else changes
     nothing and is listed in missing, sorted. Everything else, the order of objects and
     arrays included, stays. Data that are null or no JSON stay, and all their paths are missing.
+
+    A row meets its edits once and is changed where it stands, so no leaf is shuffled. In it, a
+    list of pieces is opened level by level: each has the text before it and after it, its
+    path and its value. Only what edits lead into is opened, LEVELS in one pass; rows in which
+    they lead deeper go on.
     """
     c = F.col
-    leaves = take_apart(rows, key, data)
-    wanted = edits.groupBy(key, "path").agg(F.max("text").alias("text"))
-    joined = leaves.join(wanted, [key, "path"], "left")
-    changed = joined.withColumn("value", F.when((c("kind") == "string") & c("text").isNotNull(), quoted(c("text"))).otherwise(c("value")))
-    built = put_together(changed, key, "__new")
-    missing = wanted.join(leaves.where("kind = 'string'").select(key, "path"), [key, "path"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list("path")).alias("missing"))
-    out = rows.select(key, data).join(built, key, "left").join(missing, key, "left")
-    return out.select(key, F.coalesce("__new", data).alias(data), F.coalesce("missing", F.expr("cast(array() as array<string>)")).alias("missing"))
+    slot = lambda path: F.pmod(F.hash(path), F.lit(SLOTS))
+    parts = F.split("path", r"(?=[.\[])")
+    told = F.array_append(F.transform(parts, lambda _, i: F.struct(F.array_join(F.slice(parts, 1, i), "").alias("path"), F.lit(None).alias("text"), F.lit(False).alias("own"))), F.struct("path", "text", F.lit(True).alias("own")))
+    told = edits.where("path IS NOT NULL").select(key, F.explode(told).alias("e")).groupBy(key, c("e.path").alias("path")).agg(F.max("e.text").alias("text"), F.max("e.own").alias("own"), F.min("e.own").alias("last"))
+    lists = told.groupBy(key).agg(F.collect_list(F.struct(slot(c("path")).alias("slot"), "path", F.struct("text", "own", (~c("last")).alias("above")).alias("told"))).alias("list"))
+    of = lambda n: F.map_from_entries(F.transform(F.filter("list", lambda e: e["slot"] == n), lambda e: F.struct(e["path"], e["told"])))
+    dealt = F.map_from_entries(F.transform(F.array_distinct(F.transform("list", lambda e: e["slot"])), lambda n: F.struct(n, of(n))))
+    own = F.transform(F.filter("list", lambda e: e["told"]["own"]), lambda e: e["path"])
+    nothing = F.expr("cast(array() as array<string>)")
+    # the path of the root is null, as that of an entry without a name is empty
+    root = F.struct(F.lit("").alias("before"), F.lit(None).cast("string").alias("path"), c("value").alias("value"), F.lit("").alias("after"))
+    level = rows.select(key, data).join(lists.select(key, dealt.alias("edits"), own.alias("own")), key, "left").select(key, data, "edits", "own", _root(data).alias("value"))
+    level = level.select(key, data, "edits", "own", F.when(c("value").isNotNull(), F.array(root)).alias("pieces"))
+    at = lambda p: F.coalesce(p["path"], F.lit(""))
+    of_piece = lambda p: F.element_at(F.element_at("edits", slot(at(p))), at(p))
+    string = lambda p: p["value"].startswith('"')
+    leads_in = lambda p: F.when(_may_open(p["value"]), of_piece(p)["above"])
+    whole = F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], F.coalesce(F.when(string(p), once(of_piece(p)["text"], quoted)), p["value"]), p["after"])), "")
+    there = F.coalesce(F.transform(F.filter("pieces", string), at), nothing)
+    found: DataFrame | None = None
+    while True:
+        for _ in range(LEVELS):
+            level = level.withColumn("pieces", F.flatten(F.transform("pieces", lambda p: F.when(leads_in(p), F.coalesce(_opened(p), F.array(p))).otherwise(F.array(p)))))
+        level = level.withColumn("open", F.coalesce(F.exists("pieces", lambda p: F.when(leads_in(p), _entries(p["value"]).isNotNull())), F.lit(False)))
+        ready = lambda x: F.when(~c("open"), x)
+        missing = F.array_sort(F.array_except("own", there))
+        level = materialize(level.select(key, "open", ready(F.coalesce(whole, data)).alias("new"), ready(F.coalesce(missing, nothing)).alias("missing"), *[F.when(c("open"), c(x)).alias(x) for x in (data, "edits", "own", "pieces")]), "set-leaves")
+        done = level.where("NOT open").select(key, c("new").alias(data), "missing")
+        found = done if found is None else found.unionByName(done)
+        level = level.where("open").select(key, data, "edits", "own", "pieces")
+        if level.isEmpty():
+            return found
 
 
 def merge(first: DataFrame, second: DataFrame, key: str, data: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """What a query computes does not grow faster than its input: steps run once, and over each part of a text once."""
 
+import json
 import re
 import time
 
@@ -9,7 +10,7 @@ from __spark_entry__ import queries
 from sheafline.functions.text import once
 from sheafline.operators import i18n, markdown, quality, segments
 from sheafline.plans import markup
-from sheafline.sources import data, shared
+from sheafline.sources import data, nested, shared
 
 ODD = ["", "\n", "a", "a\r\nb\n", "x <b>y</b> `c` *d* http://e.f/g h|i", "```\nno end\nof it", "  ```py\ncode *x*\n  ```\nafter [a](b) &amp; &no; \\* __u__", "<script >x\n</SCRIPT>z<!-- c\n -->t \t```q\n```\nr", "  word 　<img src=x> tail ", "- [x] ## a {# b} {{ c }} {% d %}", "1) >> `` a ` b `` ![i](u) [^n] [r][s] https://x.y htt h"]
 
@@ -108,3 +109,23 @@ def test_edges_meet_their_reverse_in_one_grouping(spark):
     out = quality.reciprocal(edges)
     assert sorted(r["message"] or "" for r in out.collect()) == ["", "edge to 1 has no reverse edge", "edge to 1 has no reverse edge", "edge to 4 has no reverse edge"]
     assert "Join" not in plan(out)
+
+
+def test_leaves_are_set_in_one_pass_at_any_depth(spark, monkeypatch):
+    names = []
+    real = nested.materialize
+    monkeypatch.setattr(nested, "materialize", lambda df, name: names.append(name) or real(df, name))
+    deep = '"x"'
+    for i in range(2 * nested.LEVELS + 3):
+        deep = '{"n":%s}' % deep if i % 2 else "[%s, {}]" % deep
+    path = "".join(".n" if i % 2 else "[0]" for i in reversed(range(2 * nested.LEVELS + 3)))
+    wide = {f"k{i}": str(i) for i in range(2000)}
+    texts = [deep, '{"a.b":"c","a":{"b":"c"},"":{"":"e"},"s":"{\\"a\\":1}","z":[ 1, "1", {"u":null}]}', json.dumps(wide), "{ }"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, data string")
+    edits = [(0, path, "y"), (1, "a.b", "d"), (1, ".", "f"), (1, "s", "t"), (1, "s.a", "no"), (1, "z[0]", "no"), (1, None, "no"), (3, "", "no"), *[(2, k, "n" + v) for k, v in wide.items()]]
+    rows = lambda n, kept: {r.k: (r.data, r.missing) for r in nested.set_leaves(df.where(n), "k", "data", spark.createDataFrame([e for e in edits if kept(e)], "k int, path string, text string")).collect()}
+    got = rows("k > 0", lambda e: e[0] > 0)
+    assert names == ["set-leaves"]
+    assert got[1] == ('{"a.b":"d","a":{"b":"d"},"":{"":"f"},"s":"t","z":[1,"1",{"u":null}]}', ["s.a", "z[0]"])
+    assert json.loads(got[2][0]) == {k: "n" + v for k, v in wide.items()} and got[2][1] == [] and got[3] == ("{ }", [""])
+    assert rows("k = 0", lambda e: e[0] == 0)[0] == (deep.replace('"x"', '"y"').replace(", ", ","), [])
