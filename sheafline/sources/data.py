@@ -250,7 +250,8 @@ def load_data(files: DataFrame, format: str | None = None, required: bool = True
     """files (file, content) with data (variant) and error, by each file's format. Null contents are errors where required, else null data.
 
     JSON, CSV and plain text are column expressions; only the formats that Spark has no
-    reader for as data of any shape (YAML, TOML, XML, BibTeX) go through a parser in Python.
+    reader for as data of any shape (YAML, TOML, XML, BibTeX) go through a parser in Python,
+    dealt by their names: a table of many small contents may be one part of one file.
     """
 
     def run(batches):
@@ -281,7 +282,7 @@ def load_data(files: DataFrame, format: str | None = None, required: bool = True
     fault = (F.when(c("content").isNull(), F.concat("file", F.lit(" is missing")) if required else F.lit(None).cast("string")).when((c("kind") == "json") & F.try_parse_json("content").isNull(), F.concat("file", F.lit(": not valid JSON")))
              .when(uneven, F.concat("file", F.lit(": rows differ in their number of fields"))))
     loaded = table.select("file", F.when(c("content").isNotNull(), value).alias("data"), fault.alias("error"))
-    parsed = rows.where(c("content").isNotNull() & ~c("kind").isin("json", "csv", "plain")).mapInPandas(run, "file string, json string, error string")
+    parsed = rows.where(c("content").isNotNull() & ~c("kind").isin("json", "csv", "plain")).repartition(c("file")).mapInPandas(run, "file string, json string, error string")
     return loaded.unionByName(parsed.select("file", F.parse_json("json").alias("data"), "error"))
 
 

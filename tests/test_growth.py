@@ -129,3 +129,7 @@ def test_leaves_are_set_in_one_pass_at_any_depth(spark, monkeypatch):
     assert got[1] == ('{"a.b":"d","a":{"b":"d"},"":{"":"f"},"s":"t","z":[1,"1",{"u":null}]}', ["s.a", "z[0]"])
     assert json.loads(got[2][0]) == {k: "n" + v for k, v in wide.items()} and got[2][1] == [] and got[3] == ("{ }", [""])
     assert rows("k = 0", lambda e: e[0] == 0)[0] == (deep.replace('"x"', '"y"').replace(", ", ","), [])
+
+
+def test_files_of_one_part_are_parsed_by_many_tasks(spark, sf):
+    assert re.search("MapInPandas.*\n.*RepartitionByExpression", plan(queries()["data_yaml"](spark, sf)))
