@@ -34,7 +34,8 @@ def tokens(docs: DataFrame, key: str, fields: list[str], stop_words=STOP_WORDS,
     """(key, field, pos, term): lower-case words without stop words; path fields split at slashes, dashes and spaces.
 
     With a language column, words of English documents become stems after that. Each
-    distinct word is stemmed once, however often it occurs.
+    distinct word is stemmed once, however often it occurs; occurrences stream past the
+    stems of their part, so no task sorts them.
     """
     parts = []
     for f in fields:
@@ -48,7 +49,7 @@ def tokens(docs: DataFrame, key: str, fields: list[str], stop_words=STOP_WORDS,
         return out
     english = F.col("__lang") == "en"
     words = out.where(english).select("term").distinct().select("term", F.get(stems(F.array("term")), 0).alias("stem"))
-    stemmed = out.where(english).join(words, "term").select(key, "field", "pos", F.col("stem").alias("term"))
+    stemmed = out.where(english).join(words.hint("shuffle_hash"), "term").select(key, "field", "pos", F.col("stem").alias("term"))
     return stemmed.unionByName(out.where(~F.coalesce(english, F.lit(False))).select(key, "field", "pos", "term"))
 
 

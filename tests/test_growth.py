@@ -133,3 +133,8 @@ def test_leaves_are_set_in_one_pass_at_any_depth(spark, monkeypatch):
 
 def test_files_of_one_part_are_parsed_by_many_tasks(spark, sf):
     assert re.search("MapInPandas.*\n.*RepartitionByExpression", plan(queries()["data_yaml"](spark, sf)))
+
+
+def test_no_task_sorts_words_to_stem_them(spark, sf):
+    physical = queries()["stemmed_index"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in physical and "SortMergeJoin" not in physical
