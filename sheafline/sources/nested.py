@@ -68,28 +68,30 @@ def take_apart(rows: DataFrame, key: str, data: str, into_arrays: bool = True) -
     steps: array of (pos, name) from the root, pos from 0 in the order of the text, name
     null in arrays. kind: string, other, object or array; value: the leaf as JSON. Objects
     keep their order: each level is read as a map of the texts inside. Rows whose data are
-    null or no JSON have no leaf. A level is one explode, and written once.
+    null or no JSON have no leaf.
+
+    A level is one explode, through which leaves pass as they are. LEVELS of them run in one
+    pass over the rows, dealt by their keys; only what is deeper is written and goes on.
     """
     c = F.col
-    level = rows.select(c(key), F.expr(f"cast(array() as array<{STEP}>)").alias("steps"), F.when(F.try_parse_json(data).isNotNull(), F.trim(data)).alias("value")).where("value IS NOT NULL")
+    level = rows.select(c(key), F.expr(f"cast(array() as array<{STEP}>)").alias("steps"), c(data).alias("value")).where("value IS NOT NULL")
+    # a fixed number of parts: these rows are small, but not what comes out of them
+    level = level.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), c(key))
+    level = level.withColumn("value", _root(data="value")).where("value IS NOT NULL")
+    below = F.transform(_entries(c("value"), into_arrays), lambda e, i: F.struct(F.array_append("steps", F.struct(i.alias("pos"), e["name"].alias("name"))).alias("steps"), e["value"].alias("value")))
+    opens = _may_open(c("value")) if into_arrays else _may_open(c("value")) & c("value").startswith("{")
     found: DataFrame | None = None
     while True:
-        kind = F.when(c("value").startswith("{"), "object").when(c("value").startswith("["), "array").when(c("value").startswith('"'), "string").otherwise("other")
-        level = level.withColumn("kind", kind)
-        # texts inside, and beside each what it is: the texts alone do not tell a string from a number
-        named = F.zip_with(F.map_entries(F.from_json("value", "map<string,string>")), F.map_values(F.from_json("value", "map<string,variant>")), lambda e, v: F.struct(e["key"].alias("name"), e["value"].alias("text"), v.alias("v")))
-        named = F.transform(named, lambda e, i: F.struct(i.alias("pos"), e["name"].alias("name"), e["text"].alias("text"), e["v"].alias("v")))
-        listed = F.zip_with(F.from_json("value", "array<string>"), F.from_json("value", "array<variant>"), lambda e, v: F.struct(e.alias("text"), v.alias("v")))
-        listed = F.transform(listed, lambda e, i: F.struct(i.alias("pos"), F.lit(None).cast("string").alias("name"), e["text"].alias("text"), e["v"].alias("v")))
-        inside = level.withColumn("entries", F.when(c("kind") == "object", named).when((c("kind") == "array") & F.lit(into_arrays), listed))
-        leaf = inside.where(c("entries").isNull() | (F.size("entries") == 0)).select(key, "steps", "kind", "value")
-        found = leaf if found is None else found.unionByName(leaf)
-        shape = F.schema_of_variant("e.v")
-        value = F.when(shape.startswith("OBJECT") | shape.startswith("ARRAY"), c("e.text")).otherwise(F.coalesce(F.to_json("e.v"), F.lit("null")))
-        below = inside.where(F.size("entries") > 0).select(key, "steps", F.explode("entries").alias("e"))
-        level = materialize(below.select(key, F.concat("steps", F.array(F.struct("e.pos", "e.name"))).alias("steps"), value.alias("value")), "nested-level")
+        for _ in range(LEVELS):
+            entries = F.when(opens, below)
+            level = level.select(key, F.explode(F.coalesce(entries, F.array(F.struct("steps", "value")))).alias("e")).select(key, "e.steps", "e.value")
+        level = level.withColumn("open", F.when(opens, _entries(c("value"), into_arrays).isNotNull()).otherwise(False))
+        level = materialize(level.select(key, "steps", F.when(~c("open"), path_text(c("steps"))).alias("path"), F.when(~c("open"), _kind(c("value"))).alias("kind"), "value"), "leaves")
+        done = level.where("kind IS NOT NULL")
+        found = done if found is None else found.unionByName(done)
+        level = level.where("kind IS NULL").select(key, "steps", "value")
         if level.isEmpty():
-            return materialize(found.select(key, "steps", path_text(c("steps")).alias("path"), "kind", "value"), "leaves")
+            return found
 
 
 def put_together(leaves: DataFrame, key: str, out: str = "data", *, name: Callable[[Column], Column] = quoted, colon: str = ":", comma: str = ",") -> DataFrame:

@@ -138,3 +138,21 @@ def test_files_of_one_part_are_parsed_by_many_tasks(spark, sf):
 def test_no_task_sorts_words_to_stem_them(spark, sf):
     physical = queries()["stemmed_index"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in physical and "SortMergeJoin" not in physical
+
+
+def test_nested_data_are_taken_apart_in_one_pass_at_any_depth(spark, monkeypatch):
+    names = []
+    real = nested.materialize
+    monkeypatch.setattr(nested, "materialize", lambda df, name: names.append(name) or real(df, name))
+    deep = '"x"'
+    for i in range(2 * nested.LEVELS + 3):
+        deep = '{"n":%s}' % deep if i % 2 else "[%s,{}]" % deep
+    path = "".join(".n" if i % 2 else "[0]" for i in reversed(range(2 * nested.LEVELS + 3)))
+    df = spark.createDataFrame([(0, deep), (1, '{"a":[],"b":[1,"{}",null],"c":{"d":"[1]"}}'), (2, "[ ]"), (None, "1")], "k int, data string")
+    got = {(r.k, r.path): (r.kind, r.value, [s.pos for s in r.steps]) for r in nested.take_apart(df, "k", "data").where("k IS NULL OR k > 0").collect()}
+    assert len(names) == 3 and got == {
+        (1, "a"): ("array", "[]", [0]), (1, "b[0]"): ("other", "1", [1, 0]), (1, "b[1]"): ("string", '"{}"', [1, 1]), (1, "b[2]"): ("other", "null", [1, 2]), (1, "c.d"): ("string", '"[1]"', [2, 0]), (2, ""): ("array", "[ ]", []), (None, ""): ("other", "1", [])}
+    names.clear()
+    whole = nested.take_apart(df.where("k = 1"), "k", "data", into_arrays=False).collect()
+    assert names == ["leaves"] and sorted((r.path, r.kind, r.value) for r in whole) == [("a", "array", "[]"), ("b", "array", '[1,"{}",null]'), ("c.d", "string", '"[1]"')]
+    assert (path, '"x"') in {(r.path, r.value) for r in nested.take_apart(df.where("k = 0"), "k", "data").collect()}
