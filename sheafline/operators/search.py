@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..sources.nested import put_together
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was with".split()
 
 
+#: A word of lower-case text. Named one by one: Java looks such a class up in one table, while each range is a call of its own for every character.
+WORD = f"[{string.ascii_lowercase}{string.digits}]+"
 #: Characters of a term that are a level each in index_trees.
 DEPTH = 12
 
@@ -53,9 +57,34 @@ def tokens(docs: DataFrame, key: str, fields: list[str], stop_words=STOP_WORDS,
     return stemmed.unionByName(out.where(~F.coalesce(english, F.lit(False))).select(key, "field", "pos", "term"))
 
 
-def inverted_index(docs: DataFrame, key: str, fields: list[str], **how) -> DataFrame:
-    """(field, term, key, tf): one aggregation with partial sums."""
-    return tokens(docs, key, fields, **how).groupBy("field", "term", key).agg(F.count("*").alias("tf"))
+def _counts(docs: DataFrame, key: str, fields: list[str], stop_words=STOP_WORDS, paths: list[str] = ()) -> DataFrame:
+    """(key, field, term, tf) of each row: its words are sorted and their runs measured, so no table of terms is held."""
+    c = F.col
+    values = docs.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), c(f).cast("string").alias("value")) for f in fields))).alias("f")).select(key, "f.*")
+    words = F.regexp_extract_all(F.lower("value"), F.lit(WORD), F.lit(0))
+    if paths:
+        words = F.when(c("field").isin(list(paths)), path_tokens(c("value"))).otherwise(words)
+    rows = values.select(key, "field", F.sort_array(words).alias("__w"))
+    # the last place of each run, then its length: a column each, as both look at their neighbours
+    ends = F.filter(F.transform("__w", lambda x, i: F.when(~F.equal_null(x, F.get("__w", i + 1)), F.struct(x.alias("term"), i.alias("i")))), lambda e: e.isNotNull())
+    rows = rows.select(key, "field", ends.alias("__e"))
+    runs = F.transform("__e", lambda e, j: F.struct(e["term"].alias("term"), (e["i"] - F.coalesce(F.get("__e", j - 1)["i"], F.lit(-1))).cast("long").alias("tf")))
+    return rows.select(key, "field", F.inline_outer(runs)).where(c("term").isNotNull() & ~c("term").isin(list(stop_words)))
+
+
+def inverted_index(docs: DataFrame, key: str, fields: list[str], lang: str | None = None, **how) -> DataFrame:
+    """(field, term, key, tf). A document is counted where it stands.
+
+    Only documents whose key stands in several rows are summed after that: a table of all
+    terms and documents would grow past a task's memory. With a language column, words
+    meet their stems first, and all are summed.
+    """
+    if lang:
+        return tokens(docs, key, fields, lang=lang, **how).groupBy("field", "term", key).agg(F.count("*").alias("tf"))
+    again = docs.groupBy(F.col(key).alias("__again")).count().where("count > 1").select("__again")
+    meets = docs[key].eqNullSafe(again["__again"])
+    parts = _counts(docs.join(again, meets, "left_semi"), key, fields, **how).groupBy("field", "term", key).agg(F.sum("tf").alias("tf"))
+    return _counts(docs.join(again, meets, "left_anti"), key, fields, **how).select("field", "term", key, "tf").unionByName(parts)
 
 
 def document_frequencies(index: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from sheafline.functions.text import once
-from sheafline.operators import i18n, markdown, quality, segments
+from sheafline.operators import i18n, markdown, quality, search, segments
 from sheafline.plans import markup
 from sheafline.sources import data, nested, shared
 
@@ -156,3 +156,17 @@ def test_nested_data_are_taken_apart_in_one_pass_at_any_depth(spark, monkeypatch
     whole = nested.take_apart(df.where("k = 1"), "k", "data", into_arrays=False).collect()
     assert names == ["leaves"] and sorted((r.path, r.kind, r.value) for r in whole) == [("a", "array", "[]"), ("b", "array", '[1,"{}",null]'), ("c.d", "string", '"[1]"')]
     assert (path, '"x"') in {(r.path, r.value) for r in nested.take_apart(df.where("k = 0"), "k", "data").collect()}
+
+
+def test_an_index_holds_no_table_of_all_terms(spark, sf):
+    alone, again = re.split(r"\n\+- (?=Aggregate \[field)", plan(queries()["inverted_index"](spark, sf)))
+    assert alone.startswith("Union") and "inline(" in alone and not re.search(r"Aggregate \[field|Aggregate \[term", alone)
+    assert "LeftSemi" in again
+
+
+def test_an_index_sums_documents_of_several_rows(spark):
+    docs = spark.createDataFrame([(1, "b a B", "x"), (1, "a 7\u00e9c a", None), (None, "a", "The"), (None, "a-a", "x"), (2, None, "Q q"), (3, "", "the")], "id int, body string, tag string")
+    got = sorted(tuple(r) for r in search.inverted_index(docs.repartition(3), "id", ["body", "tag"]).fillna(0, "id").collect())
+    assert got == [("body", "7", 1, 1), ("body", "b", 1, 2), ("body", "c", 1, 1), ("tag", "q", 2, 2), ("tag", "x", 0, 1), ("tag", "x", 1, 1)]
+    kept = sorted(tuple(r) for r in search.inverted_index(docs, "id", ["body"], stop_words=[]).fillna(0, "id").collect())
+    assert kept == [("body", "7", 1, 1), ("body", "a", 0, 3), ("body", "a", 1, 3), ("body", "b", 1, 2), ("body", "c", 1, 1)]
