@@ -170,3 +170,18 @@ def test_an_index_sums_documents_of_several_rows(spark):
     assert got == [("body", "7", 1, 1), ("body", "b", 1, 2), ("body", "c", 1, 1), ("tag", "q", 2, 2), ("tag", "x", 0, 1), ("tag", "x", 1, 1)]
     kept = sorted(tuple(r) for r in search.inverted_index(docs, "id", ["body"], stop_words=[]).fillna(0, "id").collect())
     assert kept == [("body", "7", 1, 1), ("body", "a", 0, 3), ("body", "a", 1, 3), ("body", "b", 1, 2), ("body", "c", 1, 1)]
+
+
+def test_a_text_is_cut_in_one_pass(spark, sf):
+    shown = plan(queries()["masked_segments"](spark, sf))
+    assert "regexp_extract_all(" not in shown and shown.count("<!--") == 2 * 2  # documents and pages: a pass, and the one of texts that have the mark
+
+
+def test_pieces_of_texts_that_have_the_mark(spark):
+    odd = [*ODD, *(t.replace(" ", m).replace("x", "x" + m) for t in ODD for m in ("\x01", "\x02", "\x02\x04", "\x01\x03", "\x02\x03\x01"))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").repartition(4)
+    for pattern in (segments._HARD, segments._CONSTRUCT):
+        got = df.select("t", segments._alternating(F.col("t"), pattern).alias("p"), F.split("t", pattern, -1).alias("u"), F.regexp_extract_all("t", F.lit(f"({pattern})"), F.lit(1)).alias("s")).collect()
+        for r in got:
+            assert r["p"][::2] == r["u"] and r["p"][1::2] == r["s"] and "".join(r["p"]) == r["t"]
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(segments.cut(F.col("t")).alias("p")).first()["p"] is None
