@@ -46,6 +46,29 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
+def alternating(text: Column, pattern: str) -> Column:
+    """What stands between the matches of a pattern and the matches themselves, in turn, from one pass over the text.
+
+    Matches are set between marks, and the text is cut at these. A text that has the mark
+    itself is escaped first, by characters that the patterns take as they take the mark.
+    """
+    mark, escape = "\x01", "\x02"
+    apart = lambda t: F.split(F.regexp_replace(t, pattern, f"{mark}$0{mark}"), mark, -1)
+    escaped = F.replace(F.replace(text, F.lit(escape), F.lit(escape + "\x03")), F.lit(mark), F.lit(escape + "\x04"))
+    bare = lambda x: F.replace(F.replace(x, F.lit(escape + "\x04"), F.lit(mark)), F.lit(escape + "\x03"), F.lit(escape))
+    return F.when(~F.contains(text, F.lit(mark)), apart(text)).otherwise(F.transform(apart(escaped), bare))
+
+
+def between(parts: Column) -> Column:
+    """Of alternating(): what stands between the matches, one more than these."""
+    return F.filter(parts, lambda _, i: i % 2 == 0)
+
+
+def matches(parts: Column) -> Column:
+    """Of alternating(): the matches."""
+    return F.filter(parts, lambda _, i: i % 2 == 1)
+
+
 def outside_fences(text: Column) -> Column:
     """The parts of a text outside of fenced code, as an array."""
     return F.filter(F.split(text, FENCE), lambda x, i: i % 2 == 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 
 def toc_parents(headings: DataFrame, page: str) -> DataFrame:
     """headings (page, pos, level) with parent_pos: the last earlier heading of a smaller level; null at the top.
@@ -27,10 +29,11 @@ def unique_ids(slugs: Column, explicit: Column) -> Column:
     pairs = F.arrays_zip(slugs.alias("s"), explicit.alias("e"))
 
     def step(acc, p):
-        free = F.filter(F.sequence(F.lit(0), F.size(acc["taken"])), lambda i: ~F.array_contains(acc["taken"], F.when(i == 0, p["s"]).otherwise(F.concat(p["s"], F.lit("-"), i.cast("string")))))
-        first = F.element_at(free, 1)
-        own = F.coalesce(p["e"], F.when(first == 0, p["s"]).otherwise(F.concat(p["s"], F.lit("-"), first.cast("string"))))
-        return F.struct(F.array_append(acc["ids"], own).alias("ids"), F.when(p["e"].isNull(), F.array_append(acc["taken"], own)).otherwise(acc["taken"]).alias("taken"))
+        name = lambda i: F.when(i == 0, p["s"]).otherwise(F.concat(p["s"], F.lit("-"), i.cast("string")))
+        # of one name more than are taken, one is free
+        free = F.get(F.array_except(F.transform(F.sequence(F.lit(0), F.size(acc["taken"])), name), acc["taken"]), 0)
+        own = F.coalesce(p["e"], F.when(~F.array_contains(acc["taken"], p["s"]), p["s"]).otherwise(free))
+        return once(own, lambda x: F.struct(F.array_append(acc["ids"], x).alias("ids"), F.when(p["e"].isNull(), F.array_append(acc["taken"], x)).otherwise(acc["taken"]).alias("taken")))
 
     start = F.struct(F.array().cast("array<string>").alias("ids"), taken.cast("array<string>").alias("taken"))
     return F.aggregate(pairs, start, step)["ids"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import outside_fences
+from ..functions.text import alternating, between, matches, once, outside_fences
 from .ordering import top_k
 
 #: Keys of extra data that hold no copy, and endings of such keys.
@@ -50,8 +50,6 @@ def split_segments(text: Column) -> Column:
     fences, so each second part is code, and each part into its lines: nothing is
     looked for once a line.
     """
-    line = F.lit(f"({FENCE_LINE})")
-
     def piece(x, inside):
         bare = F.trim(x)
         kind = (F.when(inside, "code").when(~x.rlike(r"\S"), "blank").when(bare.rlike("^#{1,6}( |$)"), "heading").when(bare.startswith("|"), "table")
@@ -60,13 +58,14 @@ def split_segments(text: Column) -> Column:
 
     def lines(part, k):
         inside, last = k % 2 == 1, part["fence"].isNull()
-        whole = F.filter(F.split(part["text"], "(?<=\n)"), lambda x: x != "")
+        # cut at the line ends themselves, which needs no pattern; all lines but the last have theirs again
+        whole = once(F.split(part["text"], "\n", -1), lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(i < F.size(ls) - 1, F.concat(x, F.lit("\n"))).otherwise(x)), lambda x: x != ""))
         # what follows the last line end is a piece, empty or not
         ends = F.when(last & ((text == "") | text.endswith("\n")), F.array(piece(F.lit(""), inside))).otherwise(F.array().cast(PIECES))
         fence = F.when(last, ends).otherwise(F.array(F.struct(F.lit("code").alias("kind"), part["fence"].alias("text"))))
         return F.concat(F.transform(whole, lambda x: piece(x, inside)), fence)
 
-    parts = F.zip_with(F.split(text, FENCE_LINE, -1), F.regexp_extract_all(text, line, F.lit(1)), lambda t, f: F.struct(t.alias("text"), f.alias("fence")))
+    parts = once(alternating(text, FENCE_LINE), lambda p: F.zip_with(between(p), matches(p), lambda t, f: F.struct(t.alias("text"), f.alias("fence"))))
     return F.flatten(F.transform(parts, lines))
 
 

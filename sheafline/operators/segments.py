@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SPACE, ltrim_all, once, rtrim_all, trim_all
+from ..functions.text import SPACE, alternating, between, ltrim_all, matches, once, rtrim_all, trim_all
 from ..sources.shared import materialize
 
 # Elements that stand for a break in the sentence, elements whose content is no prose, elements with code.
@@ -76,38 +76,17 @@ def _joined(parts: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def _alternating(text: Column, pattern: str) -> Column:
-    """What stands between the matches of a pattern and the matches themselves, in turn, from one pass over the text.
-
-    Matches are set between marks, and the text is cut at these. A text that has the mark
-    itself is escaped first, by characters that the patterns take as they take the mark.
-    """
-    mark, escape = "\x01", "\x02"
-    apart = lambda t: F.split(F.regexp_replace(t, pattern, f"{mark}$0{mark}"), mark, -1)
-    escaped = F.replace(F.replace(text, F.lit(escape), F.lit(escape + "\x03")), F.lit(mark), F.lit(escape + "\x04"))
-    bare = lambda x: F.replace(F.replace(x, F.lit(escape + "\x04"), F.lit(mark)), F.lit(escape + "\x03"), F.lit(escape))
-    return F.when(~F.contains(text, F.lit(mark)), apart(text)).otherwise(F.transform(apart(escaped), bare))
-
-
-def _between(parts: Column) -> Column:
-    return F.filter(parts, lambda _, i: i % 2 == 0)
-
-
-def _matches(parts: Column) -> Column:
-    return F.filter(parts, lambda _, i: i % 2 == 1)
-
-
 def cut(text: Column) -> Column:
     """array<PIECE> of a text; null for null.
 
     Each step is a transform of its own, so that what it finds is computed once a piece.
     """
     unit_of = lambda unit, sep: F.struct(unit.alias("unit"), F.coalesce(sep, F.lit("")).alias("sep"), F.regexp_extract(unit, PREFIX, 0).alias("prefix"))
-    units = once(_alternating(text, _HARD), lambda p: F.zip_with(_between(p), _matches(p), unit_of))
-    bodies = F.transform(units, lambda u: u.withField("apart", _alternating(F.substring(u["unit"], F.length(u["prefix"]) + 1, F.length(u["unit"])), _CONSTRUCT)))
+    units = once(alternating(text, _HARD), lambda p: F.zip_with(between(p), matches(p), unit_of))
+    bodies = F.transform(units, lambda u: u.withField("apart", alternating(F.substring(u["unit"], F.length(u["prefix"]) + 1, F.length(u["unit"])), _CONSTRUCT)))
     judged = F.transform(bodies, lambda u: F.struct(
-        u["unit"].alias("unit"), u["sep"].alias("sep"), u["prefix"].alias("prefix"), _between(u["apart"]).alias("texts"), _matches(u["apart"]).alias("atoms"),
-        F.transform(_between(u["apart"]), lambda t: t.rlike(PROSE)).alias("prose")))
+        u["unit"].alias("unit"), u["sep"].alias("sep"), u["prefix"].alias("prefix"), between(u["apart"]).alias("texts"), matches(u["apart"]).alias("atoms"),
+        F.transform(between(u["apart"]), lambda t: t.rlike(PROSE)).alias("prose")))
     placed = F.transform(judged, lambda u: u.withField("first", F.array_position(u["prose"], True).cast("int")).withField("last", (F.size(u["prose"]) + 1 - F.array_position(F.reverse(u["prose"]), True)).cast("int")))
     return F.transform(placed, _piece)
 

@@ -7,8 +7,8 @@ import time
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from sheafline.functions.text import once
-from sheafline.operators import i18n, markdown, quality, search, segments
+from sheafline.functions.text import alternating, once
+from sheafline.operators import headings, i18n, markdown, quality, search, segments
 from sheafline.plans import markup
 from sheafline.sources import data, nested, shared
 
@@ -180,8 +180,29 @@ def test_a_text_is_cut_in_one_pass(spark, sf):
 def test_pieces_of_texts_that_have_the_mark(spark):
     odd = [*ODD, *(t.replace(" ", m).replace("x", "x" + m) for t in ODD for m in ("\x01", "\x02", "\x02\x04", "\x01\x03", "\x02\x03\x01"))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").repartition(4)
-    for pattern in (segments._HARD, segments._CONSTRUCT):
-        got = df.select("t", segments._alternating(F.col("t"), pattern).alias("p"), F.split("t", pattern, -1).alias("u"), F.regexp_extract_all("t", F.lit(f"({pattern})"), F.lit(1)).alias("s")).collect()
+    for pattern in (segments._HARD, segments._CONSTRUCT, i18n.FENCE_LINE):
+        got = df.select("t", alternating(F.col("t"), pattern).alias("p"), F.split("t", pattern, -1).alias("u"), F.regexp_extract_all("t", F.lit(f"({pattern})"), F.lit(1)).alias("s")).collect()
         for r in got:
             assert r["p"][::2] == r["u"] and r["p"][1::2] == r["s"] and "".join(r["p"]) == r["t"]
     assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(segments.cut(F.col("t")).alias("p")).first()["p"] is None
+
+
+def test_lines_are_cut_in_one_pass(spark, sf):
+    shown = plan(queries()["md_headings"](spark, sf))
+    assert "(?<=" not in shown and "regexp_extract_all(" not in shown
+    odd = ["\n\n", "a\n\nb", "\x01# a\n```\x01\n# b\x02\n```\n# c\x01", "```", "~~~\n~~~\n~~~\n", "a\r\n# b\r", "\u2028# x\n", *ODD]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    for i, pieces in df.select("i", i18n.split_segments(F.col("t"))).collect():
+        assert [(p["kind"] == "code", p["text"]) for p in pieces] == _lines(odd[i])
+
+
+def test_ids_of_many_equal_headings(spark):
+    df = spark.createDataFrame([(["a"] * 2000 + ["a-1", "b", "a"], [None] * 2001 + ["a-2", None])], "s array<string>, e array<string>")
+    began = time.time()
+    got = df.select(headings.unique_ids(F.col("s"), F.col("e"))).first()[0]
+    want, taken = [], {"a-2"}
+    for s, e in zip(*df.first(), strict=True):
+        own = e or next(x for i in range(len(taken) + 1) if (x := f"{s}-{i}" if i else s) not in taken)
+        taken |= set() if e else {own}
+        want.append(own)
+    assert got == want and time.time() - began < 20
