@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SPACE, trim_all
 from ..sources import nested
 from ..sources.data import data_key, is_copy, skipped_key
-from ..sources.shared import materialize
+from ..sources.shared import join_shuffled, materialize
 from . import segments
 
 FENCE = "+++"
@@ -153,12 +153,12 @@ def translate_pages(pages: DataFrame, key: str, client: segments.Client, lang: s
     found = fields(pages.select(key, "title", "description", "body", extra), key, extra).withColumn("id", F.to_json(F.struct(c(key).alias("k"), c("field").alias("f"), c("path").alias("p"))))
     found = materialize(found, "fields")
     done = segments.translate(found.where("NOT verbatim").select("id", "text"), "id", "text", client, lang).select("id", c("text").alias("new"), "errors")
-    told = materialize(found.join(done, "id", "left").select(key, "field", "path", F.coalesce("new", "text").alias("text"), "errors"), "translated-fields")
+    told = materialize(join_shuffled(found, done, "id", "left").select(key, "field", "path", F.coalesce("new", "text").alias("text"), "errors"), "translated-fields")
     one = lambda n, name: F.max(F.when(c("field") == n, c("text"))).alias(name)
     wrong = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("errors") > 0, F.struct("field", "path", "errors")))), lambda x: x["errors"])).alias("errors")
     rows = told.groupBy(key).agg(one(0, "title"), one(1, "description"), one(3, "body"), wrong)
     inside = nested.set_leaves(pages.select(key, extra), key, extra, told.where("field = 2").select(key, "path", "text")).select(key, extra)
-    return pages.select(key).join(rows, key, "left").join(inside, key).select(key, "title", "description", extra, "body", F.coalesce("errors", F.expr("cast(array() as array<string>)")).alias("errors"))
+    return join_shuffled(join_shuffled(pages.select(key), rows, key, "left"), inside, key).select(key, "title", "description", extra, "body", F.coalesce("errors", F.expr("cast(array() as array<string>)")).alias("errors"))
 
 
 def sibling_texts(pages: DataFrame, siblings: DataFrame, key: str) -> DataFrame:

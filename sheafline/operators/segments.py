@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SPACE, alternating, between, ltrim_all, matches, once, rtrim_all, trim_all
-from ..sources.shared import materialize
+from ..sources.shared import join_shuffled, materialize
 
 # Elements that stand for a break in the sentence, elements whose content is no prose, elements with code.
 BLOCK_TAGS = (
@@ -247,7 +247,7 @@ def translate(texts: DataFrame, key: str, text: str, client: Client, lang: str)
     pieces = materialize(texts.select(key, F.posexplode_outer(cut(c(text))).alias("pos", "piece")), "pieces")
     piece = c("piece")
     segments = pieces.where(F.size("piece.texts") > 0)
-    first = ask(segments.select(key, "pos", packed(piece).alias("sent")), "sent", client, lang).join(segments, [key, "pos"])
+    first = join_shuffled(ask(segments.select(key, "pos", packed(piece).alias("sent")), "sent", client, lang), segments, [key, "pos"])
     back = first.withColumn("back", restore(piece, c("answer"))).withColumn("prose", reads_as_prose(plain(piece)))
     echoed = c("prose") & (trim_all(c("back.text")) == trim_all(source(piece)))
     state = F.when(c("error").isNotNull(), "failed").when(~c("ok") & ~c("prose"), "kept").when(~c("ok") | c("back.error").isNotNull() | echoed, "again").otherwise("done")
@@ -267,10 +267,10 @@ def translate(texts: DataFrame, key: str, text: str, client: Client, lang: str)
         F.when(c("error").isNotNull(), c("error")).when(~usable & ~as_is, F.concat(F.lit("untranslated: "), F.substring("sent", 1, 60))).alias("error")).alias("f"))
     joined = judged_fragments.groupBy(key, "pos").agg(F.array_sort(F.collect_list("f")).alias("f"))
     answers, wrong = F.transform("f", lambda f: f["text"]), F.get(F.filter("f", lambda f: f["error"].isNotNull()), 0)["error"]
-    redone = again.join(joined, [key, "pos"]).select(key, "pos", F.when(wrong.isNull(), restore_fragments(piece, answers)).alias("text"), wrong.alias("error"))
+    redone = join_shuffled(again, joined, [key, "pos"]).select(key, "pos", F.when(wrong.isNull(), restore_fragments(piece, answers)).alias("text"), wrong.alias("error"))
     others = judged.where("state <> 'again'").select(key, "pos", F.when(c("state") == "done", c("done")).alias("text"), F.when(c("state") == "failed", c("error")).alias("error"))
     results = others.unionByName(redone)
-    filled = pieces.join(results, [key, "pos"], "left").select(
+    filled = join_shuffled(pieces, results, [key, "pos"], "left").select(
         key, F.struct("pos", F.when(piece.isNotNull(), whole(piece, F.coalesce("text", source(piece)))).alias("text"), "error").alias("p"))
     out = filled.groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("p"))
     return out.select(key, F.when(F.exists("p", lambda p: p["text"].isNotNull()), _joined(F.transform("p", lambda p: p["text"]))).alias("text"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import once
-from .shared import materialize
+from .shared import join_shuffled, materialize
 
 STEP = "struct<pos:int,name:string>"
 #: Levels of nested data that are opened in one pass.
@@ -153,7 +153,7 @@ def set_leaves(rows: DataFrame, key: str, data: str, edits: DataFrame) -> DataFr
     nothing = F.expr("cast(array() as array<string>)")
     # the path of the root is null, as that of an entry without a name is empty
     root = F.struct(F.lit("").alias("before"), F.lit(None).cast("string").alias("path"), c("value").alias("value"), F.lit("").alias("after"))
-    level = rows.select(key, data).join(lists.select(key, dealt.alias("edits"), own.alias("own")), key, "left").select(key, data, "edits", "own", _root(data).alias("value"))
+    level = join_shuffled(rows.select(key, data), lists.select(key, dealt.alias("edits"), own.alias("own")), key, "left").select(key, data, "edits", "own", _root(data).alias("value"))
     level = level.select(key, data, "edits", "own", F.when(c("value").isNotNull(), F.array(root)).alias("pieces"))
     at = lambda p: F.coalesce(p["path"], F.lit(""))
     of_piece = lambda p: F.element_at(F.element_at("edits", slot(at(p))), at(p))

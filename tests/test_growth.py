@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from sheafline.functions.text import alternating, once
-from sheafline.operators import headings, i18n, markdown, quality, search, segments
+from sheafline.operators import headers, headings, i18n, markdown, quality, search, segments
 from sheafline.plans import markup
 from sheafline.sources import data, nested, shared
 
@@ -131,6 +131,14 @@ def test_leaves_are_set_in_one_pass_at_any_depth(spark, monkeypatch):
     assert rows("k = 0", lambda e: e[0] == 0)[0] == (deep.replace('"x"', '"y"').replace(", ", ","), [])
 
 
+def test_no_side_of_a_translation_is_sent_to_the_driver(spark, sf, monkeypatch):
+    plans = []
+    for place in (nested, headers, segments):
+        monkeypatch.setattr(place, "materialize", lambda df, name, real=place.materialize: plans.append(df) or real(df, name))
+    plans.append(queries()["translated_pages"](spark, sf))
+    assert len(plans) == 10 and not any("Broadcast" in p._jdf.queryExecution().sparkPlan().toString() for p in plans)
+
+
 def test_files_of_one_part_are_parsed_by_many_tasks(spark, sf):
     assert re.search("MapInPandas.*\n.*RepartitionByExpression", plan(queries()["data_yaml"](spark, sf)))
 
