@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_xml
-from ..sources.shared import materialize
+from ..sources.shared import join_shuffled, materialize
 from ..sources.trees import list_tree, opened, remove_files
 
 
@@ -234,7 +234,7 @@ def clean_outputs(spark: SparkSession, folder: str, planned: DataFrame, keep_dot
     there = list_tree(spark, folder)
     if keep_dot_files:
         there = there.where(~F.col("file").rlike(r"(^|/)\."))
-    return remove_files(there.join(planned.select(F.regexp_replace("path", "^/+", "").alias("file")).distinct(), "file", "left_anti"), folder)
+    return remove_files(join_shuffled(there, planned.select(F.regexp_replace("path", "^/+", "").alias("file")).distinct(), "file", "left_anti"), folder)
 
 
 #: Documents of one search file.

@@ -1,4 +1,7 @@
 """Files written, listed, watched and kept as state: what a failure, a retry or a restart leaves."""
+import json
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +84,46 @@ def test_watch_goes_on_after_a_restart(spark, tmp_path):
     assert sorted(seen) == [(0, "/config.toml", "create"), (0, "/content/a.md", "create"), (1, "/config.toml", "remove"), (1, "/content/a.md", "modify"), (1, "/content/b.md", "create")]
 
 
+def test_a_watched_folder_is_never_held_whole(tmp_path, monkeypatch):
+    monkeypatch.setattr(watch, "SORTED", 3000, raising=False)
+    site = tmp_path / "site"
+    for n in range(20_000):
+        if n % 1000 == 0:
+            (site / f"content/d{n % 7}/e {n}").mkdir(parents=True)
+        (site / f"content/d{n // 1000 * 1000 % 7}/e {n // 1000 * 1000}/p{n}.md").touch()
+    reader = watch._Changes(str(site), str(tmp_path / "state"), [".", "content", "gone"])
+    tracemalloc.start()
+    assert reader.latestOffset() == {"version": 1} == reader.latestOffset()
+    told = sum(1 for k in range(watch.SHARDS) for _ in reader.read(watch._Shard(0, 1, k)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told == 20_000 and peak < 4e6
+
+
+def test_changes_of_any_names_and_after_a_snapshot_of_an_earlier_release(tmp_path, monkeypatch):
+    monkeypatch.setattr(watch, "SORTED", 2, raising=False)
+    (site := tmp_path / "site").mkdir()
+    names = ["a", "a b", 'a"', "a\\", "a\u00e9", "a\U0001f600", "b", "b.md", "c"]
+    for n in names:
+        (site / n).write_text("1")
+    (site / "link").symlink_to("nowhere")
+    reader = watch._Changes(str(site), str(tmp_path / "state"), [".", "."])
+    changes = lambda start, end: sorted(x[1:] for k in range(watch.SHARDS) for x in reader.read(watch._Shard(start, end, k)))
+    assert reader.latestOffset() == {"version": 1} == reader.latestOffset()
+    assert changes(0, 1) == sorted(("/" + n, "create", 1) for n in names)
+    at = lambda n: [(site / n).stat().st_size, (site / n).stat().st_mtime_ns]
+    (tmp_path / "state/snapshot-000000000002.json").write_text(json.dumps({"/" + n: at(n) for n in reversed(names)}))
+    assert reader.latestOffset() == {"version": 2} and changes(1, 2) == []
+    (site / "a b").unlink()
+    (site / 'a"').write_text("22")
+    (site / "aa").write_text("")
+    assert reader.latestOffset() == {"version": 3}
+    assert changes(2, 3) == [("/a b", "remove", None), ('/a"', "modify", 2), ("/aa", "create", 0)]
+    for n in site.iterdir():
+        n.unlink()
+    assert reader.latestOffset() == {"version": 4} == reader.latestOffset() and {x[1] for x in changes(3, 4)} == {"remove"}
+
+
 def test_state_of_a_batch_that_is_run_again(spark, tmp_path):
     state = watch.StateTable(spark, str(tmp_path / "s"), "k int, v string", "k")
     rows = lambda *x: spark.createDataFrame(list(x), "k int, v string")
